@@ -1,24 +1,68 @@
-"""The corpus operators as registered queries, each over its whole table."""
+"""The corpus operators as registered queries, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(_table(spark, sf_dir, "documents"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    shards = F.size(F.array_distinct(F.transform("segments", lambda s: s["shard"])))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("segments").alias("n_segments"), shards.alias("n_shards"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    "op5_exact_dedup": op5_exact_dedup,
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_url_filter, op3_html_extraction, op4_source_mixing, op5_exact_dedup,
+        op6_quality_classifier, op7_bpe, op8_quality_rules, op9_language_id, op10_minhash_near_dedup,
+    )
 }
 
 ORACLE_SQL = {
+    "op2_url_filter": url_filter.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }
