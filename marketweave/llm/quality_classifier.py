@@ -62,17 +62,16 @@ def _step_batch(net: dict, texts: list[bytes], y: np.ndarray, weight: np.ndarray
     grads = {"out": hidden.T @ dz, "shift": dz.sum()}
     dh = np.outer(dz, net["out"]) * (pooled > 0)
     at = np.stack([starts[i] + np.argmax(response[starts[i] : max(starts[i] + 1, ends[i] - 1)], axis=0) for i in range(len(texts))])
-    k, d = at.ravel(), dh.ravel()
-    f = np.tile(np.arange(FILTERS), len(texts))
-    first, second = np.zeros_like(net["first"]), np.zeros_like(net["second"])
-    np.add.at(first.T, f, rows[k] * d[:, None])
-    np.add.at(second.T, f, rows[k + 1] * d[:, None])
+    # only the chunk that gave a filter's greatest response learns
+    first = np.stack([dh[:, f] @ rows[at[:, f]] for f in range(FILTERS)], axis=1)
+    second = np.stack([dh[:, f] @ rows[at[:, f] + 1] for f in range(FILTERS)], axis=1)
     grads |= {"first": first, "second": second, "bias": dh.sum(axis=0)}
-    embed = np.zeros_like(net["embed"])
+    d, k = dh.ravel()[:, None], at.ravel()
+    f = np.tile(np.arange(FILTERS), len(texts))
     both = flat.reshape(-1, STRIDE)
-    for rows_at, w in ((k, net["first"]), (k + 1, net["second"])):
-        back = (w.T[f] * d[:, None]).reshape(-1, EMBED)
-        np.add.at(embed, both[rows_at].ravel(), back)
+    where = np.concatenate([both[k].ravel(), both[k + 1].ravel()])
+    back = np.concatenate([(w.T[f] * d).reshape(-1, EMBED) for w in (net["first"], net["second"])])
+    embed = np.stack([np.bincount(where, weights=back[:, e], minlength=256) for e in range(EMBED)], axis=1)
     return grads | {"embed": embed}
 
 
