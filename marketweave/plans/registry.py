@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import cross_queries, signal_queries, window_queries
+
+_MODULES = (cross_queries, signal_queries, window_queries)
+
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
 FLAGSHIP = "agg05_mom_decile_summary"
