@@ -80,11 +80,19 @@ _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 
 
+_TABLES: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """base ** 0 ... base ** (n - 1) modulo 2 ** 64; kept for later calls up to a bound."""
+    known = _TABLES.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 19), base, dtype=np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if len(known) <= 1 << 22:
+            _TABLES[base] = known
+    return known[:n]
 
 
 def flat_words(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

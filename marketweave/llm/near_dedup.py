@@ -6,9 +6,11 @@ shingle of its earliest arrival. A shingle stops as soon as its next arrival is
 texts agree in a register with the probability Jaccard similarity of their weighted sets, which for unit weights (the
 default) is the Jaccard similarity of the sets. Bands of registers give candidates, which are verified on shingles.
 
-Buckets never become all pairs. A bucket first gives, for each member, a pair with the bucket's first member and one
-with its neighbour. Verified pairs are joined into components. Members of one component need no further look; members
-of a bucket that lie in different components are compared in further rounds, until no bucket can join components.
+Buckets never become all pairs. A bucket first gives, for each member, a pair with the bucket's most popular member
+and one with a neighbour. Verified pairs are joined into components. Members of one component need no further look.
+Where a bucket's members lie in different components, small buckets list these pairs (a bounded number for each
+member), and in large buckets blocks of members are compared inside tasks, which give back only links that join
+components. So each pair of texts that share a bucket is decided, by one way or another.
 """
 
 from __future__ import annotations
@@ -31,12 +33,16 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Parts in which a bucket is looked through before the parts' first members meet.
 SALTS = 8
-#: A text is handled whole; batches are split so that about this many bytes are handled together.
-_STEP = 2_000_000
+#: Members of a bucket up to which its pairs are listed, and members of a block in larger ones.
+SMALL, BLOCK = 32, 512
+#: Keys of 16 bytes that are broadcast at most (32 MB); more are joined by shuffle.
+MOST_BROADCAST = 1_000_000
+#: A text is handled whole; batches are split so that about this many bytes are sketched, or cut into words, together.
+_STEP, _WORD_STEP = 3_000_000, 250_000
 
 
-def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of many texts: hash, text number, multiplicity; sorted by text and hash.
+def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of many texts: hash and text number; those of short texts come last.
 
     Texts of fewer words than a shingle have one shingle of all their words; texts without a word have none.
     """
@@ -47,8 +53,13 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     short = np.flatnonzero((n > 0) & (n < words))
     if len(short):
         ends = np.cumsum(n)
-        own = np.array([mix(np.array([int(sum(int(h) * (2 * j + 3) for j, h in enumerate(hashes[ends[i] - n[i] : ends[i]]))) % (1 << 64)], dtype=np.uint64))[0] for i in short], dtype=np.uint64)
+        own = np.array([mix(np.array([sum(int(h) * (2 * j + 3) for j, h in enumerate(hashes[ends[i] - n[i] : ends[i]])) % (1 << 64)], dtype=np.uint64))[0] for i in short], dtype=np.uint64)
         found, of = np.concatenate([found, own]), np.concatenate([of, short])
+    return found, of
+
+
+def distinct(found: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct shingles, by text and hash, and how often each occurs."""
     order = np.lexsort((found, of))
     found, of = found[order], of[order]
     new = np.ones(len(found), dtype=bool)
@@ -63,6 +74,7 @@ def signatures(found: np.ndarray, of: np.ndarray, weight: np.ndarray, n_texts: i
     owner = np.zeros(n_texts * registers, dtype=np.uint64)
     element, text, rate, clock = found, of, weight.astype(np.float64), np.zeros(len(found))
     state = mix(found + np.uint64(0x632BE59BD9B4E019))
+    latest = np.full(n_texts, np.inf)
     while len(element):
         # the next arrival of each shingle that is still running
         state = mix(state + np.uint64(0x9E3779B97F4A7C15))
@@ -71,17 +83,19 @@ def signatures(found: np.ndarray, of: np.ndarray, weight: np.ndarray, n_texts: i
         np.minimum.at(times, slot, clock)
         won = clock == times[slot]
         owner[slot[won]] = element[won]
-        latest = times.reshape(n_texts, registers).max(axis=1)
+        # only texts with running shingles can have changed
+        running = np.flatnonzero(np.bincount(text, minlength=n_texts))
+        latest[running] = times.reshape(n_texts, registers)[running].max(axis=1)
         on = clock < latest[text]
         element, text, rate, clock, state = element[on], text[on], rate[on], clock[on], state[on]
     return owner.reshape(n_texts, registers)
 
 
-def _parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def _parts(texts: list[bytes], step: int = _STEP) -> Iterator[tuple[int, list[bytes]]]:
     begin = size = 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= _STEP:
+        if size >= step:
             yield begin, texts[begin : i + 1]
             begin, size = i + 1, 0
     if begin < len(texts):
@@ -99,8 +113,13 @@ def _sketch(bands: int, rows: int, words: int, counted: bool):
         for batch in batches:
             ids, raw = (c.to_pylist() for c in batch.columns)
             for begin, texts in _parts([t or b"" for t in raw]):
-                found, of, times = shingles(texts, words)
-                registers = signatures(found, of, times if counted else np.ones(len(found)), len(texts), bands * rows)
+                # a shingle that occurs again repeats its own arrivals, which changes no register
+                every = [(f, o + at) for at, some in _parts(texts, _WORD_STEP) for f, o in [shingles(some, words)]]
+                found, of = (np.concatenate(x) for x in zip(*every, strict=True))
+                weight = np.ones(len(found))
+                if counted:
+                    found, of, weight = distinct(found, of)
+                registers = signatures(found, of, weight, len(texts), bands * rows)
                 keys = (mix(registers.reshape(len(texts), bands, rows)) * spread).sum(axis=2, dtype=np.uint64)
                 keys = mix(keys + mix(np.arange(1, bands + 1, dtype=np.uint64))).view(np.int64)
                 some = np.bincount(of, minlength=len(texts)) > 0
@@ -113,8 +132,8 @@ def _sketch(bands: int, rows: int, words: int, counted: bool):
 def _shingle_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in _parts([t or b"" for t in batch.columns[0].to_pylist()]):
-                found, of, times = shingles(texts, words)
+            for _, texts in _parts([t or b"" for t in batch.columns[0].to_pylist()], _WORD_STEP):
+                found, of, times = distinct(*shingles(texts, words))
                 ends = np.cumsum(np.bincount(of, minlength=len(texts)))
                 offsets = pa.array(np.append(0, ends), pa.int32())
                 sets = pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64)))
@@ -125,30 +144,95 @@ def _shingle_sets(words: int):
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) with a < b: each member of a bucket with the bucket's first member and with its neighbour, in two steps."""
+    """(a, b) with a < b: each member of a bucket with the bucket's most popular one and with a neighbour.
+
+    Popular are texts that share buckets with many others. members: band, key, popular.
+    """
+    tops = cut(members.groupBy("band").agg(F.max(F.struct("popular", "key")).alias("top"), F.count("*").alias("n")), "tops")
+    star = hot_join(members, tops, ["band"], "n").select(F.col("top.key").alias("a"), F.col("key").alias("b"))
+    # neighbours by popularity: inside parts of a bucket, and from part to part
     salted = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    by = Window.partitionBy("band", "salt").orderBy("key")
-    near = salted.select("band", "key", F.first("key").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("key").over(by).alias("before"))
-    inner = near.where("before is not null").select(F.explode(F.array_distinct(F.array("head", "before"))).alias("a"), F.col("key").alias("b"))
-    heads = near.where("before is null").select("band", "key")
-    across = Window.partitionBy("band").orderBy("key")
-    outer = heads.select("key", F.first("key").over(across.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lag("key").over(across).alias("before")).where("before is not null")
-    outer = outer.select(F.explode(F.array_distinct(F.array("head", "before"))).alias("a"), F.col("key").alias("b"))
-    return inner.unionByName(outer).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    order = [F.col("popular").desc(), F.col("key")]
+    near = salted.select("band", "key", "popular", F.lag("key").over(Window.partitionBy("band", "salt").orderBy(*order)).alias("before"))
+    heads = near.where("before is null").select("key", F.lag("key").over(Window.partitionBy("band").orderBy(*order)).alias("before"))
+    chain = near.select("before", "key").unionByName(heads.select("before", "key")).where("before is not null")
+    pairs = star.unionByName(chain.select(F.col("before").alias("a"), F.col("key").alias("b"))).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
+def _sets_of(docs: DataFrame, keys: DataFrame, words: int, counted: bool) -> DataFrame:
+    """key, shingles (and times) of the texts whose keys are given, a row for each text."""
+    sets = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_shingle_sets(words), "key binary, shingles array<long>, times array<int>")
+    if not counted:
+        sets = sets.select("key", "shingles")
+    if keys.count() <= MOST_BROADCAST:
+        keys = F.broadcast(keys)
+    return cut(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "shingles")
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, counted: bool) -> DataFrame:
+
+def _verified(held: DataFrame, pairs: DataFrame, similarity: float, counted: bool) -> DataFrame:
     """The pairs whose shingle sets (or multisets, if counted) have at least the given similarity."""
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    left = held.select(F.col("key").alias("a"), F.col("shingles").alias("sa"), *([F.col("times").alias("ta")] if counted else []))
+    right = held.select(F.col("key").alias("b"), F.col("shingles").alias("sb"), *([F.col("times").alias("tb")] if counted else []))
+    both = pairs.join(left, "a").join(right, "b")
+    if counted:
+        return both.where(F.pandas_udf(_weighted_similarity, "double")("sa", "ta", "sb", "tb") >= similarity).select("a", "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def probability_jaccard(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray) -> float:
+    """Sum over shared i of 1 / sum over j of max(p_j / p_i, q_j / q_i), for sorted elements x, y of weights p, q."""
+    every = np.union1d(x, y)
+    u, v = np.zeros(len(every)), np.zeros(len(every))
+    u[np.searchsorted(every, x)], v[np.searchsorted(every, y)] = p, q
+    both = np.flatnonzero((u > 0) & (v > 0))
+    # with r_j = q_j / p_j in order, the maximum is the p part up to r_i and the q part above it
+    ratio = np.divide(v, u, out=np.full(len(every), np.inf), where=u > 0)
+    order = np.argsort(ratio)
+    below, above = np.append(0, np.cumsum(u[order])), np.append(np.cumsum(v[order][::-1])[::-1], 0)
+    at = np.searchsorted(ratio[order], ratio[both], side="right")
+    return float((1 / (below[at] / u[both] + above[at] / v[both])).sum())
+
+
+def _weighted_similarity(sa: pd.Series, ta: pd.Series, sb: pd.Series, tb: pd.Series) -> pd.Series:
+    return pd.Series([probability_jaccard(*x) for x in zip(sa, ta, sb, tb, strict=True)])
+
+
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """(a, b) with a < b: each member of a bucket with the bucket's most popular one and with a neighbour.
+
+    Popular are texts that share buckets with many others. members: band, key, popular.
+    """
+    tops = cut(members.groupBy("band").agg(F.max(F.struct("popular", "key")).alias("top"), F.count("*").alias("n")), "tops")
+    star = hot_join(members, tops, ["band"], "n").select(F.col("top.key").alias("a"), F.col("key").alias("b"))
+    # neighbours by popularity: inside parts of a bucket, and from part to part
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    order = [F.col("popular").desc(), F.col("key")]
+    near = salted.select("band", "key", "popular", F.lag("key").over(Window.partitionBy("band", "salt").orderBy(*order)).alias("before"))
+    heads = near.where("before is null").select("key", F.lag("key").over(Window.partitionBy("band").orderBy(*order)).alias("before"))
+    chain = near.select("before", "key").unionByName(heads.select("before", "key")).where("before is not null")
+    pairs = star.unionByName(chain.select(F.col("before").alias("a"), F.col("key").alias("b"))).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _sets_of(docs: DataFrame, keys: DataFrame, words: int, counted: bool) -> DataFrame:
+    """key, shingles (and times) of the texts whose keys are given, a row for each text."""
     sets = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_shingle_sets(words), "key binary, shingles array<long>, times array<int>")
     if not counted:
         sets = sets.select("key", "shingles")
-    held = cut(sets.join(needed, "key", "left_semi").dropDuplicates(["key"]), "shingles")
+    if keys.count() <= MOST_BROADCAST:
+        keys = F.broadcast(keys)
+    return cut(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "shingles")
+
+
+def _verified(held: DataFrame, pairs: DataFrame, similarity: float, counted: bool) -> DataFrame:
+    """The pairs whose shingle sets (or multisets, if counted) have at least the given similarity."""
     left = held.select(F.col("key").alias("a"), F.col("shingles").alias("sa"), *([F.col("times").alias("ta")] if counted else []))
     right = held.select(F.col("key").alias("b"), F.col("shingles").alias("sb"), *([F.col("times").alias("tb")] if counted else []))
     both = pairs.join(left, "a").join(right, "b")
     if counted:
-        return both.where(F.pandas_udf(_probability_jaccard, "double")("sa", "ta", "sb", "tb") >= similarity).select("a", "b")
+        return both.where(F.pandas_udf(_weighted_similarity, "double")("sa", "ta", "sb", "tb") >= similarity).select("a", "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
@@ -194,34 +278,91 @@ def components(links: DataFrame) -> DataFrame:
     return cut(edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct()), "components")
 
 
-def _across(members: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs that share a bucket, lie in different components and have not been tested yet."""
-    sizes = roots.withColumn("one", F.lit(1))
-    labelled = members.join(sizes.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    groups = labelled.groupBy("band", "root").agg(F.count("*").alias("n"))
-    open_bands = groups.groupBy("band").agg(F.count("*").alias("parts"), F.max("n").alias("most"), F.sum("n").alias("n")).where("parts > 1")
-    inside = cut(labelled.join(open_bands.select("band"), "band", "left_semi"), "open-buckets")
-    other = inside.select(F.col("band").alias("band2"), F.col("key").alias("key2"), F.col("root").alias("root2"))
-    pairs = inside.join(other, (F.col("band") == F.col("band2")) & (F.col("root") < F.col("root2")))
-    pairs = pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, key, root, n, most, largest: members of the buckets whose members lie in several components."""
+    labelled = members.select("band", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    parts = labelled.groupBy("band", "root").agg(F.count("*").alias("m"))
+    bands = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max(F.struct(F.col("m").alias("m"), F.col("root").alias("r"))).alias("top")).where("parts > 1")
+    bands = cut(bands.select("band", "n", F.col("top.m").alias("most"), F.col("top.r").alias("largest")), "open-bands")
+    return cut(hot_join(labelled, bands, ["band"], "n"), "open-buckets")
+
+
+def _small(inside: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs of different components in buckets of at most SMALL members, without those tested: under SMALL for each member."""
+    few = inside.where(F.col("n") <= SMALL)
+    left = few.select(F.col("band").alias("lband"), F.col("key").alias("lkey"), F.col("root").alias("lroot"))
+    pairs = few.join(left, (F.col("band") == F.col("lband")) & (F.col("root") < F.col("lroot")))
+    pairs = pairs.select(F.least("key", "lkey").alias("a"), F.greatest("key", "lkey").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
+def _compare(similarity: float, counted: bool):
+    """Links between a group's rows of side 0 and its rows of side 1, one for each row and component that it meets."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        side, keys, roots = (rows.column(c).to_pylist() for c in ("side", "key", "root"))
+        sets = rows.column("shingles").to_numpy(zero_copy_only=False)
+        times = rows.column("times").to_numpy(zero_copy_only=False) if counted else None
+        left, right = ([i for i, x in enumerate(side) if x == k] for k in (0, 1))
+        a, b = [], []
+        if left and right:
+            size = np.array([len(sets[i]) for i in right])
+            names, ids = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
+            starts, mark = np.cumsum(size) - size, np.zeros(len(names), dtype=np.int32)
+            for i in left:
+                at = np.minimum(np.searchsorted(names, sets[i]), len(names) - 1)
+                at = at[names[at] == sets[i]]
+                mark[at] = 1
+                shared = np.add.reduceat(mark[ids], starts)
+                mark[at] = 0
+                if counted:
+                    near = [k for k in np.flatnonzero(shared) if probability_jaccard(sets[i], times[i], sets[right[k]], times[right[k]]) >= similarity]
+                else:
+                    near = np.flatnonzero(shared >= similarity * (len(sets[i]) + size - shared))
+                for root, j in {roots[right[k]]: right[k] for k in near}.items():
+                    if root != roots[i]:
+                        a.append(min(keys[i], keys[j]))
+                        b.append(max(keys[i], keys[j]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def _large(inside: DataFrame, held: DataFrame, similarity: float, counted: bool) -> DataFrame:
+    """Links between different components in buckets of more than SMALL members.
+
+    What lies outside a bucket's largest component is compared with all its members, block against block: tasks get two
+    blocks of about BLOCK members each, and give back no pairs but the links that join components.
+    """
+    many, sets = inside.where(F.col("n") > SMALL).join(held, "key"), [c for c in held.columns if c != "key"]
+    rows_of = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    outside, every = rows_of(F.col("n") - F.col("most")), rows_of(F.col("n"))
+    part = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    left = many.where("root <> largest").select("band", part(outside).alias("l"), F.explode(F.sequence(F.lit(0), every - 1)).alias("r"), F.lit(0).alias("side"), "key", "root", *sets)
+    right = many.select("band", F.explode(F.sequence(F.lit(0), outside - 1)).alias("l"), part(every).alias("r"), F.lit(1).alias("side"), "key", "root", *sets)
+    return left.unionByName(right).groupBy("band", "l", "r").applyInArrow(_compare(similarity, counted), "a binary, b binary").distinct()
+
+
 def _classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sketched = cut(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sketch(bands, rows, words, counted), "doc_id long, key binary, bands array<long>").withColumn("uid", F.monotonically_increasing_id()), "sketches")
     members = sketched.select("key", F.explode("bands").alias("band")).distinct()
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = cut(members.join(shared, "band", "left_semi"), "buckets")
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(members.join(shared, "band"), "buckets")
+    popular = members.groupBy("key").agg(F.sum("n").alias("popular"))
+    members = cut(members.select("band", "key").join(popular, "key"), "members")
     pairs = cut(_first_pairs(members), "pairs")
-    links = cut(_verified(docs, pairs, words, similarity, counted), "links")
+    held = _sets_of(docs, popular.select("key"), words, counted)
+    links = cut(_verified(held, pairs, similarity, counted), "links")
     roots = components(links)
-    rest = cut(_across(members, roots, pairs), "pairs")
-    if rest.limit(1).count():
-        more = cut(_verified(docs, rest, words, similarity, counted), "links")
-        if more.limit(1).count():
-            roots = components(links.unionByName(more))
+    inside = _open_buckets(members, roots)
+    more = _verified(held, cut(_small(inside, pairs), "pairs"), similarity, counted)
+    if inside.where(F.col("n") > SMALL).limit(1).count():
+        more = more.unionByName(_large(inside, held, similarity, counted))
+    more = cut(more, "links")
+    if more.limit(1).count():
+        roots = components(links.unionByName(more))
     copies = roots.join(sketched.groupBy("key").agg(F.count("*").alias("n")), "key")
     owned = hot_join(sketched.select("doc_id", "key", "uid"), cut(copies, "copies"), ["key"], "n", "left")
     owned = cut(owned.select("doc_id", "uid", "key", F.coalesce("root", "key").alias("root")), "owned")
