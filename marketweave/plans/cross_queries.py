@@ -37,7 +37,7 @@ _add("xs01_winsorized_zscore", lambda d: xs.winsorized_zscore(d.where("score is
 w AS (SELECT *, count(score) {_PD} AS n, {_QS.format(x='score', p=0.05)} AS lo, {_QS.format(x='score', p=0.95)} AS hi FROM panel WHERE score IS NOT NULL),
 c AS (SELECT *, least(greatest(score, lo), hi) AS c FROM w), s AS (SELECT *, avg(c) {_PD} AS mu, stddev_samp(c) {_PD} AS sd FROM c),
 final AS (SELECT date, ticker, CASE WHEN n < 5 THEN score WHEN sd > 1e-12 THEN (c - mu) / sd ELSE c END AS z FROM s)""", _DT)
-_add("xs02_panel_zscore", lambda d: d.where("score is not null").withColumn("z", (F.col("score") - F.avg("score").over(xs.by_date)) / F.stddev_samp("score").over(xs.by_date)), {"z": 5}, f"""
+_add("xs02_panel_zscore", lambda d: d.where("score is not null").withColumn("z", (F.col("score") - F.avg("score").over(xs.by_date())) / F.stddev_samp("score").over(xs.by_date())), {"z": 5}, f"""
 final AS (SELECT date, ticker, (score - avg(score) {_PD}) / stddev_samp(score) {_PD} AS z FROM panel WHERE score IS NOT NULL)""", _DT)
 _add("xs03_sector_demean", lambda d: xs.demean(d.where("score is not null"), "score", "sector"), {"d": 5}, "final AS (SELECT date, ticker, score - avg(score) OVER (PARTITION BY date, sector) AS d FROM panel WHERE score IS NOT NULL)", _DT)
 _add("xs04_neutralize", lambda d: xs.neutralize(d.where("score is not null"), "score", "sector", "mcap", 0.05, 0.95), {"resid": 5}, f"""
@@ -164,7 +164,7 @@ _add("agg22_stats_by_regime", lambda d: _state(d).where("state is not null and f
 # Top-k
 _TOP = "tk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS place FROM panel WHERE score IS NOT NULL AND pos % 2 = 0), bk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score, ticker) AS place FROM panel WHERE score IS NOT NULL AND pos % 2 = 0)"
 _add("top01_long_short_weights", lambda d: xs.top_k(d.where("pos % 2 = 0"), "score", 3).withColumn("w", F.lit(1 / 3)).unionByName(xs.bottom_k(d.where("pos % 2 = 0"), "score", 3).withColumn("w", F.lit(-1 / 3))), {"w": 6}, f"{_TOP}, final AS (SELECT date, ticker, 1 / 3.0 AS w FROM tk WHERE place <= 3 UNION ALL SELECT date, ticker, -1 / 3.0 FROM bk WHERE place <= 3)", _DT)
-_add("top02_top_n_equal", lambda d: xs.top_k(d.where("pos % 2 = 0"), "score", 5).withColumn("w", 1 / F.count("*").over(xs.by_date)), {"w": 6}, f"{_TOP}, final AS (SELECT date, ticker, 1.0 / count(*) OVER (PARTITION BY date) AS w FROM tk WHERE place <= 5)", _DT)
+_add("top02_top_n_equal", lambda d: xs.top_k(d.where("pos % 2 = 0"), "score", 5).withColumn("w", 1 / F.count("*").over(xs.by_date())), {"w": 6}, f"{_TOP}, final AS (SELECT date, ticker, 1.0 / count(*) OVER (PARTITION BY date) AS w FROM tk WHERE place <= 5)", _DT)
 _add("top03_top_n_eligible", lambda d: xs.top_k(d.where("pos % 2 = 0 and volume > 100"), "score", 5).where("fwd is not null").groupBy("date").agg(F.avg("fwd").alias("ret"), F.count("*").alias("n")), {"ret": 5}, "tk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS place FROM panel WHERE score IS NOT NULL AND pos % 2 = 0 AND volume > 100), final AS (SELECT date, avg(fwd) AS ret, count(*) AS n FROM tk WHERE place <= 5 AND fwd IS NOT NULL GROUP BY date)", ("date", "n"))
 _add("top04_top_k_inverse_vol", lambda d: xs.top_k(staged(d, vol=F.stddev_samp("ret").over(Window.partitionBy("ticker").orderBy("date").rowsBetween(-11, 0))).where("pos % 4 = 0 and vol > 0"), "score", 4).withColumn("iv", 1 / F.col("vol")).withColumn("w", xs.share_of("iv", ["date"])), {"w": 6}, f"v AS (SELECT *, stddev_samp(ret) {q.w(12)} AS vol FROM panel), tk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS place FROM v WHERE score IS NOT NULL AND pos % 4 = 0 AND vol > 0), final AS (SELECT date, ticker, (1 / vol) / sum(1 / vol) OVER (PARTITION BY date) AS w FROM tk WHERE place <= 4)", _DT)
 _add("top05_top_k_forward", lambda d: xs.top_k(d.where("pos % 2 = 0"), "score", 3).where("fwd is not null").groupBy("date").agg(F.avg("fwd").alias("ret")), {"ret": 5}, f"{_TOP}, final AS (SELECT date, avg(fwd) AS ret FROM tk WHERE place <= 3 AND fwd IS NOT NULL GROUP BY date)", ("date",))

@@ -172,7 +172,7 @@ def _nav_input(s, d):
 
 _NAV = f"{q.NATION}, {_FIL}, pr AS (SELECT o_orderkey, s.close AS price FROM fil f ASOF LEFT JOIN sparse s ON f.ticker = s.ticker AND f.publish < s.date), nv AS (SELECT o.o_orderkey AS filing_id, floor(o_totalprice + 0.5) AS equity, coalesce(CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey % 90 + 10 AS DOUBLE) END, 50) AS shares_used, price FROM orders o JOIN pr USING (o_orderkey)), bk AS (SELECT *, equity / shares_used AS nav_per_share, equity / 4 - equity / 10 AS net_debt, price / (equity / shares_used) - 1 AS discount FROM nv)"
 _add("nav11_book_nav", lambda s, d: fl.book_nav(_nav_input(s, d)), {"nav_per_share": 4, "net_debt": 2, "discount": 6}, f"{_NAV}, final AS (SELECT * FROM bk)", ("filing_id",))
-_add("nav12_revalued_nav", lambda s, d: fl.revalued_nav(fl.book_nav(_nav_input(s, d))), {"rnav_equity": 6, "rnav_per_share": 8, "rnav_discount": 6}, f"{_NAV}, sc(scenario, u, r) AS (VALUES ('rnav_base', 0.0, 0.05), ('rnav_bull', 0.05, 0.10), ('rnav_bear', -0.05, 0.0)), rv AS (SELECT *, equity / 2 * u + equity * r AS adj FROM bk CROSS JOIN sc), rq AS (SELECT *, equity + adj - greatest(100.0, adj) * 0.25 - 25 AS rnav_equity FROM rv), final AS (SELECT *, rnav_equity / shares_used AS rnav_per_share, price / (rnav_equity / shares_used) - 1 AS rnav_discount FROM rq)", ("filing_id", "scenario"))
+_add("nav12_revalued_nav", lambda s, d: fl.revalued_nav(fl.book_nav(_nav_input(s, d))), {"rnav_equity": 6, "rnav_discount": 6}, f"{_NAV}, sc(scenario, u, r) AS (VALUES ('rnav_base', 0.0, 0.05), ('rnav_bull', 0.05, 0.10), ('rnav_bear', -0.05, 0.0)), rv AS (SELECT *, equity / 2 * u + equity * r AS adj FROM bk CROSS JOIN sc), rq AS (SELECT *, equity + adj - greatest(100.0, adj) * 0.25 - 25 AS rnav_equity FROM rv), final AS (SELECT *, rnav_equity / shares_used AS rnav_per_share, price / (rnav_equity / shares_used) - 1 AS rnav_discount FROM rq)", ("filing_id", "scenario"))
 _add("nav10_assumptions", lambda s, d: fl.assumptions(_index(s, d).select("filing_id")).groupBy("scenario").agg(F.count("*").alias("n"), F.max("dev_reserve").alias("dev")), {"dev": 4}, f"{_IDX}, sc(scenario, dev) AS (VALUES ('rnav_base', 0.05), ('rnav_bull', 0.10), ('rnav_bear', 0.0)), final AS (SELECT scenario, count(*) AS n, max(dev) AS dev FROM idx CROSS JOIN sc GROUP BY scenario)", ("scenario", "n"))
 _add("jon16_scenarios", lambda s, d: fl.assumptions(_index(s, d).select("filing_id", "stock_code")).groupBy("stock_code", "scenario").agg(F.count("*").alias("n")), {}, f"{_IDX}, final AS (SELECT stock_code, scenario, count(*) AS n FROM idx CROSS JOIN (VALUES ('rnav_base'), ('rnav_bull'), ('rnav_bear')) v(scenario) GROUP BY stock_code, scenario)", ("stock_code", "scenario", "n"))
 _add("fn14_dates", lambda s, d: table(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), F.last_day("o_orderdate").alias("month_end"), F.next_day(F.date_sub(F.to_date("o_orderdate"), 1), "FRI").alias("friday"), F.year("o_orderdate").alias("y")), {}, "final AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, last_day(CAST(o_orderdate AS DATE)) AS month_end, CAST(CAST(o_orderdate AS DATE) + CAST((12 - isodow(o_orderdate)) % 7 AS INTEGER) AS DATE) AS friday, year(o_orderdate) AS y FROM orders)", ("o_orderkey", "d", "month_end", "friday", "y"))

@@ -87,7 +87,7 @@ def _weights(d):
 _BT = f"b0 AS (SELECT *, coalesce({q.ref('w')}, 0) AS lw, coalesce(abs(w - {q.ref('w')}), 0) AS dw FROM {{src}}), b1 AS (SELECT date, sum(lw * coalesce(ret, 0)) AS gross, sum(abs(lw)) AS exposure, sum(dw) AS turnover FROM b0 GROUP BY date), b2 AS (SELECT *, coalesce(lag(turnover) OVER (ORDER BY date), 0) * 0.001 AS cost FROM b1)"
 _add("pf02_weights_backtest", lambda d: pf.backtest(_weights(d), 0.001), {"gross": 6, "cost": 7, "net": 6, "turnover": 5, "exposure": 5}, f"{_W}, {_BT.format(src='w1')}, final AS (SELECT *, gross - cost AS net FROM b2)", ("date",))
 _add("pf01_return_grid", lambda d: d.withColumn("r", F.coalesce("ret", F.lit(0.0))), {"r": 5}, "final AS (SELECT date, ticker, coalesce(ret, 0) AS r FROM panel)", _DT)
-_add("pf03_benchmark_weights", lambda d: pf.backtest(d.withColumn("w", 1 / F.count("*").over(xs.by_date))), {"gross": 6}, f"w1 AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY date) AS w FROM panel), {_BT.format(src='w1')}, final AS (SELECT * FROM b2)", ("date",))
+_add("pf03_benchmark_weights", lambda d: pf.backtest(d.withColumn("w", 1 / F.count("*").over(xs.by_date()))), {"gross": 6}, f"w1 AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY date) AS w FROM panel), {_BT.format(src='w1')}, final AS (SELECT * FROM b2)", ("date",))
 _add("pf05_experiment_stats", lambda d: m.perf_summary(pf.backtest(_weights(d), 0.001).withColumn("k", F.lit("top5")).withColumn("net", F.col("net") / 10), "net", "k", 52), {"ann_return": 4, "ann_vol": 5, "sharpe": 4, "max_drawdown": 5}, f"{_W}, {_BT.format(src='w1')}, s AS (SELECT date, (gross - cost) / 10 AS ret FROM b2), e AS (SELECT *, product(1 + ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS eq FROM s), f AS (SELECT *, eq / max(eq) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e), final AS (SELECT 'top5' AS k, pow(product(1 + ret), 52.0 / count(ret)) - 1 AS ann_return, stddev_pop(ret) * sqrt(52) AS ann_vol, avg(ret) / stddev_pop(ret) * sqrt(52) AS sharpe, min(dd) AS max_drawdown FROM f)", ("k",))
 
 

@@ -31,9 +31,9 @@ SELECT strftime(s, {_FMT}) AS start, event_type, n, round(open, 2) AS open, roun
 _add("str02_live_distinct", lambda r: live.live_distinct(r.select("event_id", "user_id", "ts", "value"), ["event_id"]), {"value": 2}, "SELECT event_id, user_id, round(value, 2) AS value FROM events", ("event_id", "user_id"))
 _add("str03_live_hysteresis", lambda r: live.live_hysteresis(r, 60.0, 10.0), {}, "SELECT event_id, user_id, coalesce(last_value(CASE WHEN value > 60 THEN 1 WHEN value < 10 THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS state FROM events", ("event_id", "user_id", "state"))
 _add("str04_live_trailing_stop", lambda r: live.live_trailing_stop(r, 0.9, 2), {}, None, ("event_id", "user_id", "held"))
-_add("str05_live_rolling", live.live_rolling, {"mean": 4, "std": 4}, f"""
+_add("str05_live_rolling", live.live_rolling, {"mean": 6, "std": 4}, f"""
 WITH e AS (SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events)
-SELECT strftime(s, {_FMT}) AS start, event_type, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std FROM e GROUP BY s, event_type HAVING s + INTERVAL 2 HOUR <= {_CLOSED}""", ("start", "event_type", "n"))
+SELECT strftime(s, {_FMT}) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 4) AS std FROM e GROUP BY s, event_type HAVING s + INTERVAL 2 HOUR <= {_CLOSED}""", ("start", "event_type", "n"))
 _add("str06_live_sessions", live.live_sessions, {"total": 2}, f"""
 WITH o AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS c FROM events),
 g AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM o)
