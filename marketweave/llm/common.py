@@ -56,6 +56,14 @@ def hot_join(rows: DataFrame, names: DataFrame, keys: list[str], count: str, how
     return joined(joined(rows, hot_keys, "left_semi"), F.broadcast(hot), how).unionByName(joined(joined(rows, hot_keys, "left_anti"), cold, how))
 
 
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df for the small side of a join: broadcast if it has at most `most` rows, else as it is, to be joined by shuffle.
+
+    df is narrow (ids and hashes, under 100 bytes a row) and cheap to count (a table that cut has written).
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def id_crc(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; null for a null id."""
     return F.crc32(doc_id.cast("string")) % mod

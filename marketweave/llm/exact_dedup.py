@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HOT_SHARE, cut, hot_join, small_batches
+from .common import HOT_SHARE, cut, hot_join, sized, small_batches
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -120,19 +120,15 @@ def duplicates(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
 def drop_duplicates(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     """The rows of docs that stay, with all their columns; see duplicates."""
     found = cut(duplicates(docs, block_bytes), "dedup")
-    gone = found.where(~F.col("kept")).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("gone"))
-    stay = found.where("kept").select("doc_id", "text_sha256", F.lit(True).alias("stay"))
-    dropped = gone.join(stay, [gone.doc_id.eqNullSafe(stay.doc_id), gone.text_sha256 == stay.text_sha256], "left").select(gone.doc_id.alias("_id"), gone.text_sha256.alias("_sha"), F.coalesce("stay", F.lit(False)).alias("_stay"))
-    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256)
-    names = docs.columns
-    # an id that is lost nowhere needs no look at its text
-    marked = docs.join(dropped.select(F.col("_id").alias("_any")).distinct(), docs["doc_id"].eqNullSafe(F.col("_any")), "left")
-    lost_none = marked.where("_any is null and doc_id is not null")
-    lost_some = marked.where("_any is not null or doc_id is null").withColumn("_key", sha)
-    judged = lost_some.join(dropped, lost_some["doc_id"].eqNullSafe(dropped["_id"]) & (F.col("_key") == F.col("_sha")), "left").where("_sha is null or _stay")
+    # ids and texts of which a row goes, and whether one of their rows stays
+    by_text = found.groupBy(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"))
+    lost = cut(by_text.agg(F.max("kept").alias("_stay"), F.min("kept").alias("_all")).where("not _all").drop("_all"), "lost")
+    key = F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256))
+    marked = docs.withColumn("_key", key)
+    marked = marked.join(sized(lost), marked["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")), "left")
     # of rows with equal id and text, one stays
-    once = judged.where("_stay").dropDuplicates(["doc_id", "_key"])
-    return lost_none.select(*names).unionByName(judged.where("_sha is null").select(*names)).unionByName(once.select(*names))
+    once = marked.where("_stay").dropDuplicates(["doc_id", "_key"])
+    return marked.where("_sha is null").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 ORACLE = """

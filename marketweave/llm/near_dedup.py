@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, flat_words, hot_join, mix, small_batches, windows
+from .common import cut, flat_words, hot_join, mix, sized, small_batches, windows
 
 #: Words of a shingle and least similarity of near duplicates.
 WORDS, SIMILARITY = 5, 0.8
@@ -393,11 +393,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float
     """The rows of docs that stay, with all their columns: one of each class; see classes."""
     small_batches(docs.sparkSession)
     found = cut(_classes(docs, words, similarity, bands, rows, counted), "near-dedup")
-    marks = found.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max("kept").alias("_some")).where("_some").select(F.col("doc_id").alias("_id"), "_n")
-    at = docs.join(marks, docs["doc_id"].eqNullSafe(F.col("_id")))
-    once = at.where("_n = 1").select(*docs.columns)
-    # where several rows have one id, their words tell which of them stays
-    stay = found.where("kept").join(marks.where("_n > 1"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_kept"), F.col("key").alias("_kept_key"))
-    several = at.where("_n > 1").withColumn("_key", F.pandas_udf(_key_of, "binary")("text"))
-    several = several.join(stay, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_key") == F.col("_kept_key"))).dropDuplicates(["_id", "_key"])
-    return once.unionByName(several.select(*docs.columns))
+    # ids of which a row goes; where several rows have one id, their words tell which of them stays
+    lost = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_stay"), F.min("kept").alias("_all")).where("not _all").drop("_all"), "lost")
+    marked = docs.join(sized(lost), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    stay = cut(found.where("kept").join(sized(lost.where("_stay")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_kept"), F.col("key").alias("_kept_key"), F.lit(True).alias("_found")), "stay")
+    all_stay = marked.where("_stay is null").select(*docs.columns)
+    if stay.limit(1).count() == 0:
+        return all_stay
+    some = marked.where("_stay").withColumn("_key", F.pandas_udf(_key_of, "binary")("text"))
+    some = some.join(sized(stay), F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_key") == F.col("_kept_key"))).dropDuplicates(["_id", "_key"])
+    return all_stay.unionByName(some.select(*docs.columns))
