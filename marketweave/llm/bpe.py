@@ -23,7 +23,7 @@ from .common import small_batches
 #: The split pattern of the vocabulary's format (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a worker remembers; at the bound it forgets all and goes on.
-MEMORY = 400_000
+MEMORY = 200_000
 _NONE = np.int64(1 << 40)
 
 

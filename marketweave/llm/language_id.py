@@ -24,7 +24,7 @@ ORDERS = (1, 2, 3, 4)
 #: Languages that a model may have; the matrix then stays under MAX_LANGS * BUCKETS * 4 bytes (32 MB).
 MAX_LANGS = 512
 #: Bytes handled at once inside a batch.
-_STEP = 1_000_000
+_STEP = 300_000
 _LETTER = regex.compile(r"\p{L}")
 
 
