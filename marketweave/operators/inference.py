@@ -148,7 +148,7 @@ def draw_test(df: DataFrame, chosen: str, label: str, tries: int, key: str, seed
 
 
 def hac_slope(df: DataFrame, y: str, x: str, lags: int, key: str, order: str = "date") -> DataFrame:
-    """key, slope, t_value of a line with Newey-West errors (Bartlett weights)."""
+    """key, slope, t_value of a line with Newey-West errors (Bartlett weights); t_value is null under ten rows."""
     rows = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
     fit = rows.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("_a"), F.avg(x).alias("_mx"), F.regr_sxx(y, x).alias("_sxx"))
     rows = rows.join(fit, key).withColumn("_u", (F.col(x) - F.col("_mx")) * (F.col(y) - F.col("_a") - F.col("slope") * F.col(x)))
@@ -156,7 +156,7 @@ def hac_slope(df: DataFrame, y: str, x: str, lags: int, key: str, order: str = "
     for k in range(1, lags + 1):
         spread = spread + 2 * (1 - k / (lags + 1)) * F.col("_u") * F.coalesce(F.lag("_u", k).over(w), F.lit(0.0))
     rows = rows.withColumn("_v", spread)
-    return rows.groupBy(key).agg(F.first("slope").alias("slope"), F.first("_sxx").alias("_sxx"), F.sum("_v").alias("_s")).select(key, "slope", F.try_divide(F.col("slope") * F.col("_sxx"), F.sqrt(F.greatest(F.col("_s"), F.lit(0.0)))).alias("t_value"))
+    return rows.groupBy(key).agg(F.first("slope").alias("slope"), F.first("_sxx").alias("_sxx"), F.sum("_v").alias("_s"), F.count("*").alias("_n")).select(key, "slope", F.when(F.col("_n") >= 10, F.try_divide(F.col("slope") * F.col("_sxx"), F.sqrt(F.greatest(F.col("_s"), F.lit(0.0))))).alias("t_value"))
 
 
 def principal_components(df: DataFrame, names: list[str], k: int) -> DataFrame:

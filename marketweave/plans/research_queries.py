@@ -152,7 +152,7 @@ def _c_grid(d):
 _add("ml07_penalty_grid", _c_grid, {"auc": 4}, None, ("grid", "fold"))
 _TK = [f"Brand#{i}" for i in range(1, 7)]
 _add("ml08_principal_components", lambda d: inf.principal_components(d.where(F.col("ticker").isin(_TK)).groupBy("date").pivot("ticker", _TK).agg(F.max("ret")), _TK, 3), {"loading": 4, "share": 5}, None, ("component", "name"))
-_add("ml09_hac_slope", lambda d: inf.hac_slope(d, "fwd", "score", 2, "ticker"), {"slope": 5, "t_value": 4}, f"a AS (SELECT * FROM panel WHERE fwd IS NOT NULL AND score IS NOT NULL), f AS (SELECT ticker, regr_slope(fwd, score) AS slope, regr_intercept(fwd, score) AS a, avg(score) AS mx, regr_sxx(fwd, score) AS sxx FROM a GROUP BY ticker), u AS (SELECT a.ticker, a.date, slope, sxx, (score - mx) * (fwd - f.a - slope * score) AS u FROM a JOIN f USING (ticker)), v AS (SELECT *, u * u + 2 * (1 - 1 / 3.0) * u * coalesce({q.ref('u', 1)}, 0) + 2 * (1 - 2 / 3.0) * u * coalesce({q.ref('u', 2)}, 0) AS v FROM u), final AS (SELECT ticker, any_value(slope) AS slope, any_value(slope) * any_value(sxx) / sqrt(greatest(sum(v), 0)) AS t_value FROM v GROUP BY ticker)", ("ticker",))
+_add("ml09_hac_slope", lambda d: inf.hac_slope(d, "fwd", "score", 2, "ticker"), {"slope": 5, "t_value": 4}, f"a AS (SELECT * FROM panel WHERE fwd IS NOT NULL AND score IS NOT NULL), f AS (SELECT ticker, regr_slope(fwd, score) AS slope, regr_intercept(fwd, score) AS a, avg(score) AS mx, regr_sxx(fwd, score) AS sxx FROM a GROUP BY ticker), u AS (SELECT a.ticker, a.date, slope, sxx, (score - mx) * (fwd - f.a - slope * score) AS u FROM a JOIN f USING (ticker)), v AS (SELECT *, u * u + 2 * (1 - 1 / 3.0) * u * coalesce({q.ref('u', 1)}, 0) + 2 * (1 - 2 / 3.0) * u * coalesce({q.ref('u', 2)}, 0) AS v FROM u), final AS (SELECT ticker, any_value(slope) AS slope, CASE WHEN count(*) >= 10 THEN any_value(slope) * any_value(sxx) / sqrt(greatest(sum(v), 0)) END AS t_value FROM v GROUP BY ticker)", ("ticker",))
 _add("ml12_rank_ic_of_scores", lambda d: m.ic_stats(m.spearman_ic(inf.walk_forward_logistic(_features(d), "up", ["score", "l1", "l2"], _folds(d)).join(d.select("date", "ticker", "fwd"), ["date", "ticker"]), "p", "fwd", 5, ["date", "fold"]), ["fold"]), {"mean": 4, "icir": 4}, None, ("fold", "n"))
 _add("ml13_shift_test", lambda d: inf.shift_test(d.withColumn("on", F.coalesce(F.col("score") > 0.2, F.lit(False))), "on", "fwd", 200, "ticker"), {"observed": 5, "p": 5}, None, ("ticker",))
 _add("ml14_draw_test", lambda d: inf.draw_test(d.where("score is not null and fwd is not null").withColumn("on", F.col("score") < -0.2).withColumn("y", F.col("fwd") > 0), "on", "y", 200, "ticker"), {"p": 5}, None, ("ticker", "hits"))
