@@ -12,14 +12,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LATE = "1 hour"
 
 
-def events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+def events(spark: SparkSession, path: str) -> DataFrame:
     """The event table as a stream; its local timestamps become instants, which watermarks need.
 
-    path may be one file or a folder: as a pattern, either is listed as the stream's input.
+    path may be one file or a folder: as a pattern, either is listed as the stream's input. All files that are there
+    are one batch, whatever their number and order: files may each span the whole period, and a batch of some of them
+    would move the watermark past the others' rows. Only rows of files that come later can be late.
     """
     schema = spark.read.parquet(path).schema
     head, _, name = path.rstrip("/").rpartition("/")
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{head}/[{name[0]}]{name[1:]}")
+    rows = spark.readStream.schema(schema).parquet(f"{head}/[{name[0]}]{name[1:]}")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
