@@ -1,7 +1,7 @@
 """URL filtering by pattern rules indexed by their rarest literal token, in DataFrame functions only.
 
-Each rule is a regular expression with the literal tokens that every URL it fits must contain. Spark counts, over all
-URLs, the tokens that rules name; a rule is filed under the rarest of its own. Each URL's tokens then fetch candidate
+Each rule is a regular expression with the literal tokens that every URL it fits must contain; a URL's tokens are also
+taken without the digits at their end, for rules that leave a number open. Spark counts, over all URLs, the tokens that rules name; a rule is filed under the rarest of its own. Each URL's tokens then fetch candidate
 rules from that index, and only those candidates run their regular expressions.
 """
 
@@ -22,7 +22,8 @@ PATTERN_RULES = (
     ("block", r"(^|\.)spam-[^./]*\.", ("spam",)),
     ("block", r"(^|[.-])(cheap|discount)-pills\.", ("pills",)),
     ("block", r"(^|[./-])casino[./-]", ("casino",)),
-    ("block", r"^ads?\d*\.", ("ads",)),
+    ("block", r"^ad\d*\.", ("ad",)),
+    ("block", r"^ads\d*\.", ("ads",)),
     ("block", r"/(wp-login|xmlrpc)\.php$", ("php",)),
 )
 
@@ -57,7 +58,8 @@ def host(url: Column) -> Column:
 
 def path(url: Column) -> Column:
     """What follows the host up to ?, # or the end; empty if there is no ://."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    # the atomic group holds on to the first ://, so that one in the query is not tried
+    return F.coalesce(F.regexp_extract(url, r"(?s)^(?>.*?://)[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -77,7 +79,9 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     ranked = sorted(rules, key=lambda r: (r.base is not None, len(r.base or ""), r.verdict == "block"))
     table = spark.createDataFrame([(i + 1, r.verdict, r.regex, list(r.tokens), r.base) for i, r in enumerate(ranked)], "number long, verdict string, regex string, tokens array<string>, base string")
     parts = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    tokens = F.array_distinct(F.filter(F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+"), lambda t: t != ""))
+    words = F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+")
+    stems = F.transform(words, lambda t: F.regexp_replace(t, "[0-9]+$", ""))
+    tokens = F.array_distinct(F.filter(F.concat(words, stems), lambda t: t != ""))
     tokened = parts.select("page_id", "url", "host", "path", F.explode_outer(F.concat(F.array(F.lit("")), tokens)).alias("token"))
     named = table.select(F.explode("tokens").alias("token")).distinct()
     counts = tokened.select("token").join(F.broadcast(named), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))

@@ -193,6 +193,22 @@ def test_url_filter_rules(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_filter_index_finds_all_that_the_rules_fit(spark):
+    hosts = ["ad.x.net", "ad3.x.net", "ads.x.net", "ads1.x.net", "ADS22.x.net", "adds.x.net", "ad-s.x.net", "x.ads.net", "ad3s.x.net", "spam-1.x.net", "casino2.x.net"]
+    rows = [(i, f"http://{h}/p") for i, h in enumerate(hosts)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    fits = re.compile("|".join(f"(?:{r[1]})" for r in url_filter.PATTERN_RULES))
+    assert [got[i] for i in range(len(hosts))] == ["block" if fits.search(f"{h.lower()}/p") else "allow" for h in hosts]
+    assert [got[i] for i in range(5)] == ["block"] * 5
+
+
+def test_url_path_stands_at_the_first_scheme_mark(spark):
+    urls = {"http://a.com?u=http://b.com/de/x": "", "http://a.com#http://b.com/de/x": "", "http://a.com/fr/?u=http://b.com/de/x": "/fr/", "http://a.com/http://b.com/de/": "/http://b.com/de/", "x\ny://h/p\nq?r": "/p\nq", "z" * 50_000 + "://h?://i/j": "", "z" * 50_000: ""}
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [got[i].path for i in range(len(urls))] == list(urls.values())
+    assert got[0].verdict == got[1].verdict == "allow" and got[0].rule is None
+
+
 def test_html_extraction(spark):
     nav = "<nav><a href=/a>Home</a></nav>"
     body = "<article><h1>Head &amp; line</h1><p><b>One\n two<br>three<p>Four &lt;five&gt;</article>"
