@@ -15,45 +15,61 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, id_crc, mix, small_batches
+from .common import id_crc, small_batches
 
 #: Hash buckets of the n-grams.
 BUCKETS = 1 << 14
-#: Lengths of the n-grams, in bytes of UTF-8.
+#: Lengths of the n-grams, in characters (code points).
 ORDERS = (1, 2, 3, 4)
 #: Languages that a model may have; the matrix then stays under MAX_LANGS * BUCKETS * 4 bytes (32 MB).
 MAX_LANGS = 512
-#: Bytes handled at once inside a batch.
+#: Characters handled at once inside a batch.
 _STEP = 300_000
+#: Odd factors of the hash.
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _LETTER = regex.compile(r"\p{L}")
 
 
-def _grams(flat: np.ndarray) -> Iterator[np.ndarray]:
-    """Bucket of each n-gram that starts at each byte, for each order in turn."""
-    code = np.zeros(len(flat), dtype=np.uint32)
-    wide = flat.astype(np.uint32)
+def _grams(flat: np.ndarray, part: np.ndarray, fresh: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Start and bucket of each n-gram inside a part, for each order in turn; its last character is fresh."""
+    code = np.zeros(len(flat), dtype=np.uint64)
+    wide = flat.astype(np.uint64) + np.uint64(1)
     for n in range(1, max(ORDERS) + 1):
         if len(flat) < n:
             return
-        code = code[: len(flat) - n + 1] * np.uint32(257) + wide[n - 1 :] + np.uint32(1)
+        code = code[: len(flat) - n + 1] * _BASE + wide[n - 1 :]
         if n in ORDERS:
-            yield ((code * np.uint32(2654435761) + np.uint32(n)) >> np.uint32(18)).astype(np.int32)
+            at = np.flatnonzero((part[: len(code)] == part[n - 1 :]) & fresh[n - 1 :])
+            yield at, ((code[at] * _SPREAD) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
 
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Flat bytes (letter case of A-Z dropped) and the text's number for each byte, about _STEP bytes at a time."""
-    held, owner, size = [], [], 0
+def _flat(held: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flat = np.frombuffer("".join(p for _, p, _ in held).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    flat[(flat >= 65) & (flat <= 90)] += np.uint32(32)
+    sizes = np.array([len(p) for _, p, _ in held])
+    owner = np.repeat([i for i, _, _ in held], sizes)
+    # the characters that a part repeats from the one before it
+    again = np.array([lead for _, _, lead in held])
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return flat, owner, place >= np.repeat(again, sizes)
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Flat code points (letter case of A-Z dropped), the text's number and whether it is new for each, about _STEP at a time.
+
+    A piece never holds two parts of one text.
+    """
+    held, size = [], 0
     for i, t in enumerate(texts):
         for at in range(0, len(t), _STEP):
-            part = t[max(0, at - max(ORDERS) + 1) : at + _STEP]
-            held.append(part)
-            owner.append((i, len(part) + 1))
-            size += len(part)
+            lead = min(at, max(ORDERS) - 1)
+            held.append((i, t[at - lead : at + _STEP], lead))
+            size += len(held[-1][1])
             if size >= _STEP:
-                yield LOWER[np.frombuffer(b"\n".join(held) + b"\n", np.uint8)], np.repeat([o[0] for o in owner], [o[1] for o in owner])
-                held, owner, size = [], [], 0
+                yield _flat(held)
+                held, size = [], 0
     if held:
-        yield LOWER[np.frombuffer(b"\n".join(held) + b"\n", np.uint8)], np.repeat([o[0] for o in owner], [o[1] for o in owner])
+        yield _flat(held)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,8 +79,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, texts = batch.columns[0].to_pylist(), batch.columns[1].to_pylist()
         for lang in set(langs):
             total = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-            for flat, _ in _pieces([t for x, t in zip(langs, texts, strict=True) if x == lang and t]):
-                for grams in _grams(flat):
+            for piece in _pieces([t.decode("utf-8", "replace") for x, t in zip(langs, texts, strict=True) if x == lang and t]):
+                for _, grams in _grams(*piece):
                     total += np.bincount(grams, minlength=BUCKETS)
     for lang, total in sums.items():
         at = np.flatnonzero(total)
@@ -87,34 +103,36 @@ def train(docs: DataFrame, usable: Column) -> tuple[list[str], np.ndarray]:
     for i, r in enumerate(arrays):
         matrix[i, r["b"]] = r["n"]
     matrix += 0.5
-    return [r["lang"] for r in arrays], np.log(matrix / matrix.sum(axis=1, keepdims=True)).astype(np.float32)
+    logs = np.log(matrix / matrix.sum(axis=1, keepdims=True))
+    # multiples of 2 ** -20, so that sums are exact in any order
+    return [r["lang"] for r in arrays], (np.round(logs * (1 << 20)) / (1 << 20)).astype(np.float32)
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs = model.value
-        columns = np.ascontiguousarray(logs.T)
+        columns = np.ascontiguousarray(logs.T, dtype=np.float64)
         for batch in batches:
             ids, held, raw = (c.to_pylist() for c in batch.columns)
-            texts = [t or b"" for t in raw]
+            texts = [(t or b"").decode("utf-8", "replace") for t in raw]
             sums = np.zeros((len(texts), len(langs)), dtype=np.float64)
-            for flat, owner in _pieces(texts):
+            for flat, owner, fresh in _pieces(texts):
                 if not langs:
                     break
                 first = int(owner[0])
                 keys, base = [], int(owner[-1]) - first + 1
-                for grams in _grams(flat):
-                    keys.append((owner[: len(grams)] - first) * BUCKETS + grams)
+                for at, grams in _grams(flat, owner, fresh):
+                    keys.append((owner[at] - first) * BUCKETS + grams)
                 # sparse counts of each text: its distinct buckets and how often they occur
                 if base * BUCKETS <= 4_000_000:
                     total = np.bincount(np.concatenate(keys), minlength=base * BUCKETS).reshape(base, BUCKETS)
-                    sums[first : first + base] += total.astype(np.float32) @ columns
+                    sums[first : first + base] += total.astype(np.float64) @ columns
                 else:
                     at, n = np.unique(np.concatenate(keys), return_counts=True)
                     row, bucket = at // BUCKETS, at % BUCKETS
                     for k in range(len(langs)):
                         sums[first : first + base, k] += np.bincount(row, weights=n * logs[k, bucket].astype(np.float64), minlength=base)
-            known = [bool(_LETTER.search(t.decode("utf-8", "replace"))) and bool(langs) for t in texts]
+            known = [bool(_LETTER.search(t)) and bool(langs) for t in texts]
             if langs:
                 sums -= sums.max(axis=1, keepdims=True)
                 chance = np.exp(sums)

@@ -379,6 +379,43 @@ def test_language_id(spark, docs, empty):
     assert language_id.keep_known(docs).where("doc_id in (5, 6, 7, 13)").count() == 0
 
 
+def grams_by_loop(text):
+    t = [c + 32 if 65 <= c <= 90 else c for c in map(ord, text)]
+    out = defaultdict(int)
+    for n in language_id.ORDERS:
+        for i in range(len(t) - n + 1):
+            code = 0
+            for c in t[i : i + n]:
+                code = (code * int(language_id._BASE) + c + 1) % 2**64
+            out[code * int(language_id._SPREAD) % 2**64 * language_id.BUCKETS >> 64] += 1
+    return out
+
+
+def test_language_grams_are_characters_of_one_text(monkeypatch):
+    texts = ["Ab", "", "語言識別測試", "x", "où élève 🎉", "abcdefghijklmnopqrstuvwxyz" * 3]
+    for step in (7, 300_000):  # short steps cut texts into parts
+        monkeypatch.setattr(language_id, "_STEP", step)
+        got = [defaultdict(int) for _ in texts]
+        for flat, owner, fresh in language_id._pieces(texts):
+            for at, grams in language_id._grams(flat, owner, fresh):
+                for i, g in zip(owner[at], grams, strict=True):
+                    got[i][int(g)] += 1
+        assert got == [grams_by_loop(t) for t in texts]
+
+
+def test_language_scores_do_not_depend_on_neighbours(spark):
+    rows = [(i, "the cat of that hat" if i % 2 else "le chat où être élève", "en" if i % 2 else "fr") for i in range(40)]
+    langs, logs = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    texts = ["the", "où", "語", "that chat", "le"]
+
+    def scored(order):
+        rows = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").coalesce(1)
+        return {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(rows, (langs, logs), F.lit(True)).collect()}
+
+    alone = {i: scored([i])[i] for i in range(len(texts))}
+    assert scored([0, 1, 2, 3, 4]) == scored([4, 2, 0, 3, 1]) == alone
+
+
 def test_queries_run_and_match_their_sql(spark):
     import duckdb
 
