@@ -2,7 +2,7 @@
 
 Fixed patterns give base spans of three kinds. Beside them, unlabelled long mixed tokens are candidates. The hash of
 every value found is aggregated over the whole corpus by distinct repositories and owners: a value seen under many
-owners is a copied example, one that a single owner holds may be live. Owner-specific candidates are added as spans.
+owners is a copied example, one that fewer hold may be live. Candidates that are not copied are added as spans.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     repositories, owners, verdict), ordered by start.
 
     verdict is copied (at least copied_owners owners hold the value), owned (one owner does) or shared. Base spans are
-    always there; token spans only if owned. owner is the column source and repository is source with lang, unless
+    always there; token spans unless copied. owner is the column source and repository is source with lang, unless
     given. Null texts count as empty and have no finding. Repeated rows are judged each for itself, and count once in
     owners. A value that very many rows hold is joined by broadcast. Other columns are not read.
     """
@@ -88,7 +88,7 @@ def scan(docs: DataFrame, owner: Column | None = None, repository: Column | None
     known = cut(ownership(each), "ownership")
     judged = hot_join(each.select("uid", "kind", "start", "end", "value_hash"), known, ["value_hash"], "seen", "left")
     judged = judged.withColumn("verdict", F.when(F.col("owners") >= copied_owners, "copied").when(F.col("owners") == 1, "owned").otherwise("shared"))
-    kept = judged.where("kind <> 'token' or verdict = 'owned'")
+    kept = judged.where("kind <> 'token' or verdict <> 'copied'")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     finding = F.struct("start", rank.alias("k"), "end", "kind", "value_hash", "seen", "repositories", "owners", "verdict")
     # the findings of one document are bounded by its own text

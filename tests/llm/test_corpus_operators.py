@@ -171,6 +171,16 @@ def test_secret_scan_matches_plain_regular_expressions(spark, docs, empty):
     assert secret_scan.digests(docs).count() == docs.count() and secret_scan.digests(empty).count() == 0
 
 
+def test_secret_of_two_owners_stays(spark):
+    live, wide = "Zk3vQ9xLm2Rt7Yp4Wn8BcD5f", "Xy7" * 9
+    rows = [(i, f"key {live} end", "en", f"s{i}") for i in range(secret_scan.COPIED_OWNERS - 1)]
+    rows += [(10 + i, f"key {wide} end", "en", f"s{i}") for i in range(secret_scan.COPIED_OWNERS)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: [(f.kind, f.verdict, f.owners) for f in r.findings] for r in secret_scan.scan(table).collect()}
+    assert got == {0: [("token", "shared", 2)], 1: [("token", "shared", 2)], 10: [], 11: [], 12: []}
+    assert {r.doc_id: r.spans for r in secret_scan.digests(table).collect()} == {0: "token:4:28", 1: "token:4:28", 10: "", 11: "", 12: ""}
+
+
 def test_url_filter_rules(spark):
     urls = {
         "https://A.Example.ORG/es/x?q": ("a.example.org", "/es/x", "example.org/es/", "block"),
