@@ -159,7 +159,7 @@ def _pages(s, d):
 _ROUNDED = "floor(amount + 0.5)"
 _add("nav03_line_facts", lambda s, d: fl.line_facts(_pages(s, d)), {"value": 2, "confidence": 2}, f"{_SEED}, final AS (SELECT o_orderkey AS filing_id, 'equity_attributable_to_owners' AS code, 0 AS line_no, CAST({_ROUNDED} AS DOUBLE) AS value, 0.45 AS confidence FROM seed UNION ALL SELECT o_orderkey, 'cash_and_bank_balances', 1, -CAST({_ROUNDED} AS DOUBLE), 0.45 FROM seed)", ("filing_id", "code", "line_no"))
 _add("nav04_note_anchors", lambda s, d: fl.note_anchors(_pages(s, d)), {"confidence": 2}, f"{_SEED}, final AS (SELECT o_orderkey AS filing_id, g AS note_group, 0.8 AS confidence FROM seed, (VALUES ('investment_properties'), ('fair_value')) v(g))", ("filing_id", "note_group"))
-_add("nav05_note_facts", lambda s, d: fl.note_facts(_pages(s, d)), {"value": 2, "confidence": 2}, f"{_SEED}, final AS (SELECT o_orderkey AS filing_id, 'investment_properties_fair_value_total' AS code, CAST({_ROUNDED} AS DOUBLE) AS value, 0.35 AS confidence FROM seed)", ("filing_id", "code"))
+_add("nav04_note_facts", lambda s, d: fl.note_facts(_pages(s, d)), {"value": 2, "confidence": 2}, f"{_SEED}, final AS (SELECT o_orderkey AS filing_id, 'investment_properties_fair_value_total' AS code, CAST({_ROUNDED} AS DOUBLE) AS value, 0.35 AS confidence FROM seed)", ("filing_id", "code"))
 _add("agg17_fact_pivot", lambda s, d: fl.pivot_facts(fl.line_facts(_pages(s, d)), ["equity_attributable_to_owners", "cash_and_bank_balances"]), {"equity_attributable_to_owners": 2, "cash_and_bank_balances": 2}, f"{_SEED}, final AS (SELECT o_orderkey AS filing_id, CAST({_ROUNDED} AS DOUBLE) AS equity_attributable_to_owners, -CAST({_ROUNDED} AS DOUBLE) AS cash_and_bank_balances FROM seed)", ("filing_id",))
 
 
