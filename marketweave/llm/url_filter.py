@@ -1,12 +1,14 @@
 """URL filtering by pattern rules indexed by their rarest literal token, in DataFrame functions only.
 
 Each rule is a regular expression with the literal tokens that every URL it fits must contain; a URL's tokens are also
-taken without the digits at their end, for rules that leave a number open. Spark counts, over all URLs, the tokens that rules name; a rule is filed under the rarest of its own. Each URL's tokens then fetch candidate
-rules from that index, and only those candidates run their regular expressions.
+taken without the digits at their end, for rules that leave a number open. Spark counts, over all URLs, the tokens that
+rules name; a rule is filed under the rarest of its own. Each URL's tokens then fetch candidate rules from that index,
+and only those candidates run their regular expressions.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -24,7 +26,7 @@ PATTERN_RULES = (
     ("block", r"(^|[./-])casino[./-]", ("casino",)),
     ("block", r"^ad\d*\.", ("ad",)),
     ("block", r"^ads\d*\.", ("ads",)),
-    ("block", r"/(wp-login|xmlrpc)\.php$", ("php",)),
+    ("block", r"/(wp-login|xmlrpc)\.php(?![\s\S])", ("php",)),
 )
 
 
@@ -68,7 +70,7 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     The longest base rule that fits decides; else any fitting pattern rule that blocks; else the URL is allowed. rule
     is that base rule or null. fetched counts the candidate rules that a URL's tokens brought up, fitted those that fit.
     Null URLs and URLs without :// have empty host and path and are allowed. Repeated rows are judged each for itself.
-    Other columns are not read. rules must not be more than MAX_RULES.
+    Other columns are not read; an empty table gives an empty result. rules must not be more than MAX_RULES.
     """
     spark, rules = pages.sparkSession, default_rules() if rules is None else rules
     if len(rules) > MAX_RULES:
@@ -77,7 +79,9 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         raise ValueError("each rule needs a literal token")
     # the higher number wins: base rules by length above pattern rules, and among these blocks above allows
     ranked = sorted(rules, key=lambda r: (r.base is not None, len(r.base or ""), r.verdict == "block"))
-    table = spark.createDataFrame([(i + 1, r.verdict, r.regex, list(r.tokens), r.base) for i, r in enumerate(ranked)], "number long, verdict string, regex string, tokens array<string>, base string")
+    fields = [{"number": i + 1, "verdict": r.verdict, "regex": r.regex, "tokens": r.tokens, "base": r.base} for i, r in enumerate(ranked)]
+    kind = "array<struct<number:int,verdict:string,regex:string,tokens:array<string>,base:string>>"
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(fields)), kind)))
     parts = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     words = F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+")
     stems = F.transform(words, lambda t: F.regexp_replace(t, "[0-9]+$", ""))
@@ -99,27 +103,34 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     )
     decided = best.join(F.broadcast(table.select("number", "verdict", "base")), "number", "left")
     each = decided.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select("page_id", "host", "path", F.col("base").alias("rule"), F.coalesce("verdict", F.lit("allow")).alias("verdict"), (F.col("fetched") / F.col("copies")).cast("long").alias("fetched"), (F.col("fitted") / F.col("copies")).cast("long").alias("fitted"))
+    per_copy = [(F.col(c) / F.col("copies")).cast("long").alias(c) for c in ("fetched", "fitted")]
+    return each.select("page_id", "host", "path", F.col("base").alias("rule"), F.coalesce("verdict", F.lit("allow")).alias("verdict"), *per_copy)
 
 
+#: The contract in other words: positions instead of expressions, and a table of rules of which the longest that fits wins.
 ORACLE = r"""
-WITH p AS (
-  SELECT page_id,
-         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path
-  FROM pages),
-r AS (
-  SELECT *, CASE
-    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
-    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
-    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
-    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
-    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
-  FROM p)
-SELECT page_id, host, path, rule, CASE
-    WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
-    WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host || path, '(^|\.)spam-[^./]*\.|(^|[.-])(cheap|discount)-pills\.|(^|[./-])casino[./-]|^ads?\d*\.|/(wp-login|xmlrpc)\.php$') THEN 'block'
-    ELSE 'allow' END AS verdict
-FROM r
+WITH rules (verdict, rule) AS (
+  VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
+rest AS (
+  SELECT row_number() OVER () AS k, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS s FROM pages),
+host_end AS (
+  SELECT k, page_id, s, list_min([p for p in [strpos(s, '/'), strpos(s, '?'), strpos(s, '#'), length(s) + 1] if p > 0]) AS h FROM rest),
+tail AS (
+  SELECT k, page_id, translate(substr(s, 1, h - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(s, h) AS t FROM host_end),
+parts AS (
+  SELECT k, page_id, host, substr(t, 1, list_min([p for p in [strpos(t, '?'), strpos(t, '#'), length(t) + 1] if p > 0]) - 1) AS path FROM tail),
+fits AS (
+  SELECT k, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+  FROM parts JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+    AND starts_with(path, substr(rule, strpos(rule, '/')))
+  GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE
+    WHEN regexp_matches(host || path, '(^|\.)spam-[^./]*\.') THEN 'block'
+    WHEN contains(host || path, 'cheap-pills.') AND regexp_matches(host || path, '(^|[.-])cheap-pills\.') THEN 'block'
+    WHEN contains(host || path, 'discount-pills.') AND regexp_matches(host || path, '(^|[.-])discount-pills\.') THEN 'block'
+    WHEN regexp_matches(host || path, '(^|[./-])casino[./-]') THEN 'block'
+    WHEN regexp_full_match(split_part(host, '.', 1), 'ads?[0-9]*') AND contains(host, '.') THEN 'block'
+    WHEN ends_with(path, '/wp-login.php') OR ends_with(path, '/xmlrpc.php') THEN 'block'
+    ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN fits USING (k)
 """
