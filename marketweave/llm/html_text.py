@@ -1,89 +1,142 @@
 """Main text of web pages by site template removal.
 
-Every element's subtree is hashed (its tag, its text and its children's hashes). Spark counts each hash over the pages
-of its host; a subtree that recurs across many pages of its host is template and is deleted. What stands in a page's
-article as prose is never template: paragraphs that many articles quote stay. Menus, headers, footers, sidebars,
-notices, adverts, forms, reader comments, scripts and styles are also known by their tags, roles and class names.
+Every element's subtree is hashed: its tag, its text and its children's hashes. Spark counts each hash over the
+different pages of its host; a subtree that recurs across many of them is template and is deleted, with all blocks in
+it. Lists of links outside the article are also hashed by their shape (tags and class names without the text), as menus
+with a page's own links recur by shape only. Recurrence decides first and over the whole page. What it leaves is then
+cut by tag, role and class name (menus, forms, reader comments of this page alone), and an article or main element is
+the scope of last resort. Inside an article, prose is never template, however many articles quote it: only boxes with a
+class, id or role and lists of links are, and class names that merely contain a telling word count if they recur, too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, small_batches
+from .common import cut, hot_join, sized, small_batches
 from .url_filter import host
 
-#: A subtree is template from this many pages of its host on, and from this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.02
+#: A subtree is template from this many different pages of its host on, whatever the host's size.
+LEAST_PAGES = 5
+#: Templates, and pages with their deleted ranges, that are broadcast at most; more are joined by shuffle.
+MOST_BROADCAST = 300_000
+#: Elements nested deeper are taken as part of the one at this depth.
+DEPTH = 512
 #: Elements without main text, elements whose content is no markup, and elements that have no end tag.
 DROPPED = frozenset("head script style noscript template svg math canvas object iframe form button select textarea input nav footer aside menu dialog".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that run on with the text around them; all others begin and end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rt rp".split())
+INLINE = frozenset(
+    """a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike
+    strong sub sup time tt u var wbr ruby rt rp""".split()
+)
 #: Words in class, id or role that mark what is no main text.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices gdpr popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar widget footer masthead comment comments reply replies disqus respond share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip complementary contentinfo".split())
+MARKS = frozenset(
+    """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent
+    notice notices gdpr popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar widget footer masthead
+    comment comments reply replies disqus respond share sharing social related recommended newsletter subscribe subscription
+    signup login search pagination pager skip complementary contentinfo""".split()
+)
+#: Elements that hold prose, and of these the headings.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p blockquote pre table thead tbody tr td th figure figcaption dl dt dd address".split())
 #: Elements that a new one of these ends, if open, without an end tag.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+ENDS_P = frozenset(
+    """address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4
+    h5 h6 header hr main menu nav ol p pre section table ul""".split()
+)
 SCOPE = frozenset("html body article main section div table td th ul ol dl blockquote nav aside header footer form figure".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'">])*+)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: What keeps a block out of the text: nothing, its tag or class, its place outside the article.
+KEPT, TAGGED, OUTSIDE = 0, 1, 2
 
 
 class Element:
-    __slots__ = ("digest", "dropped", "hash", "in_main", "linked", "parent", "size", "tag")
+    __slots__ = ("digest", "dropped", "first", "frame", "in_main", "linked", "named", "shape", "size", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, marked: bool):
-        self.tag, self.parent, self.hash = tag, parent, 0
+    def __init__(self, tag: str, parent: "Element | None", names: list[tuple[str, str]], first: int):
+        self.tag, self.named, self.first = tag, bool(names), first
         self.in_main = bool(parent) and (parent.in_main or parent.tag in ("article", "main"))
+        whole, named, part = _marks(tag, names)
         above = parent.dropped if parent else False
-        self.dropped = above or marked or tag in DROPPED or (tag == "header" and not self.in_main)
-        self.digest = xxhash.xxh3_64(tag)
+        self.dropped = above or whole or (part and not self.in_main) or tag in DROPPED or (tag == "header" and not self.in_main)
+        looks = " ".join([tag, *sorted(v for k, v in names if k == "class")])
+        self.frame = looks if named and self.in_main else ""
+        self.digest, self.shape = xxhash.xxh3_64(tag), xxhash.xxh3_64(looks)
         self.size = self.linked = 0
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    return any(t in MARKS for m in _ATTRIBUTE.finditer(attributes) for t in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()))
+def _names(attributes: str) -> list[tuple[str, str]]:
+    """(attribute, name) of each class, role and id."""
+    return [(m[1].lower(), v) for m in _ATTRIBUTE.finditer(attributes) for v in (m[2] or m[3] or m[4] or "").lower().split()] if attributes else []
 
 
-def parse(page: str) -> tuple[list[tuple[str, list[int]]], set[int]]:
-    """The page's candidate blocks of main text with the hashes of the deletable subtrees around each, and all deletable subtrees' hashes."""
-    root = Element("", None, False)
-    stack, blocks, hashes = [root], [], set()
+def _marks(tag: str, names: list[tuple[str, str]]) -> tuple[bool, bool, bool]:
+    """Whether a class or role is a telling word, whether one has such a word as a part, and whether any name has."""
+    if not names or tag in ("html", "body", "article", "main") or tag in HEADINGS:
+        return False, False, False
+    told = [(k, v in MARKS, any(t in MARKS for t in re.split(r"[^a-z]+", v))) for k, v in names]
+    return any(w for k, w, _ in told if k != "id"), any(p for k, _, p in told if k != "id"), any(p for _, _, p in told)
+
+
+def _signed(digest: "xxhash.xxh3_64") -> int:
+    return digest.intdigest() - (1 << 63)
+
+
+def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int]], int]:
+    """The page's blocks (text, if it may be main text), what keeps each out of the text, the hashes of its subtrees with
+    the range of blocks that each covers, and the hash of the page as a whole."""
+    root = Element("", None, [], 0)
+    stack, open_tags, skipped = [root], Counter(), Counter()
+    blocks: list[str] = []
+    why: list[int] = []
+    scoped: list[bool] = []
+    subtrees: list[tuple[int, int, int]] = []
     text: list[str] = []
     has_main = False
 
     def flush() -> None:
         if text:
             block = " ".join("".join(text).split())
-            if block and not stack[-1].dropped:
-                blocks.append((block, stack[-1]))
+            if block:
+                e = stack[-1]
+                blocks.append("" if e.dropped else block)
+                why.append(TAGGED if e.dropped else KEPT)
+                scoped.append(e.in_main or e.tag in ("article", "main"))
             text.clear()
 
-    def deletable(e: Element) -> bool:
-        # prose of an article is no template; a list of links inside it can be
-        return e.tag not in ("", "html", "body", "article", "main") and e.size > 0 and (not e.in_main or (e.tag not in INLINE and 2 * e.linked > e.size))
-
     def close() -> None:
         e = stack.pop()
-        e.hash = e.digest.intdigest() - (1 << 63)
-        above = stack[-1]
-        above.digest.update(e.hash.to_bytes(8, "big", signed=True))
+        open_tags[e.tag] -= 1
+        own, above = _signed(e.digest), stack[-1]
+        shape = _signed(e.shape)
+        above.digest.update(own.to_bytes(8, "big", signed=True))
+        above.shape.update(shape.to_bytes(8, "big", signed=True))
         above.size += e.size
         above.linked += e.size if e.tag == "a" else e.linked
-        if deletable(e):
-            hashes.add(e.hash)
+        last = len(blocks)
+        if last <= e.first or not e.size or e.tag in ("html", "body", "article", "main"):
+            return
+        links = 2 * e.linked > e.size
+        if not e.in_main or (e.tag not in INLINE and e.tag not in PROSE and (e.named or links)):
+            subtrees.append((own, e.first, last))
+        if links and not e.in_main:
+            subtrees.append((shape ^ 1, e.first, last))
+        if e.frame:
+            subtrees.append((_signed(xxhash.xxh3_64(e.frame)) ^ 2, e.first, last))
 
     def add(raw: str) -> None:
         if raw:
@@ -93,8 +146,19 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], set[int]]:
             if words:
                 e.digest.update(words.encode("utf-8", "replace") + b"\0")
                 e.size += len(words)
-            if not e.dropped:
-                text.append(piece)
+            text.append(piece)
+
+    def close_open(tags: tuple[str, ...]) -> None:
+        """Closes the innermost open element of these tags, unless a scope lies above it."""
+        if not any(open_tags[t] for t in tags):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in tags:
+                while len(stack) > i:
+                    close()
+                return
+            if stack[i].tag in SCOPE and stack[i].tag not in tags:
+                return
 
     at, end = 0, len(page)
     while at < end:
@@ -126,75 +190,111 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], set[int]]:
         if tag not in INLINE:
             flush()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    while len(stack) > i:
-                        close()
-                    break
-                if tag in INLINE | {"p", "li"} and stack[i].tag in SCOPE:
-                    break
+            if skipped[tag]:
+                skipped[tag] -= 1
+            elif open_tags[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        while len(stack) > i:
+                            close()
+                        break
+                    if (tag in INLINE or tag in ("p", "li")) and stack[i].tag in SCOPE:
+                        break
             continue
         if tag == "br":
             text.append(" ")
         if tag in VOID or attributes.endswith("/") and tag in ("path", "circle"):
             continue
-        for closes in (CLOSES.get(tag, ()), ("p",) if tag in ENDS_P else ()):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in closes:
-                    while len(stack) > i:
-                        close()
-                    break
-                if stack[i].tag in SCOPE - set(closes):
-                    break
-        stack.append(Element(tag, stack[-1], _marked(tag, attributes)))
+        if tag in CLOSES:
+            close_open(CLOSES[tag])
+        if tag in ENDS_P:
+            close_open(("p",))
+        if len(stack) <= DEPTH:
+            pending = any(t and not t.isspace() for t in text)
+            stack.append(Element(tag, stack[-1], _names(attributes), len(blocks) + pending))
+            open_tags[tag] += 1
+        else:
+            skipped[tag] += 1
         has_main = has_main or (tag in ("article", "main") and not stack[-1].dropped)
         if tag in RAW:
-            close_at = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            close_at = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             if tag == "textarea" or tag == "title":
                 add(page[at : close_at.start() if close_at else end])
             at = close_at.start() if close_at else end
     flush()
     while len(stack) > 1:
         close()
-    out = []
-    for block, e in blocks:
-        if has_main and not (e.in_main or e.tag in ("article", "main")):
-            continue
-        around, x = [], e
-        while x is not None and x.tag:
-            if deletable(x):
-                around.append(x.hash)
-            x = x.parent
-        out.append((block, around))
-    return out, hashes
+    if has_main:
+        why = [OUTSIDE if w == KEPT and not s else w for w, s in zip(why, scoped, strict=True)]
+        blocks = [b if w == KEPT else "" for b, w in zip(blocks, why, strict=True)]
+    return blocks, why, subtrees, _signed(root.digest)
+
+
+_PARSED = (
+    "page_id long, url string, host string, blocks array<string>, why array<tinyint>, "
+    "subtrees array<bigint>, firsts array<int>, lasts array<int>, whole bigint"
+)
+_OUT = "page_id long, url string, text string, n_chars long, n_deleted long, n_recurring long, n_tagged long, n_outside long"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("blocks", pa.list_(pa.string())), ("around", pa.list_(pa.list_(pa.int64()))), ("subtrees", pa.list_(pa.int64()))])
+    lists = [pa.list_(k) for k in (pa.string(), pa.int8(), pa.int64(), pa.int32(), pa.int32())]
+    kinds = [pa.int64(), pa.string(), pa.string(), *lists, pa.int64()]
+    names = [c.split()[0] for c in _PARSED.split(", ")]
     for batch in batches:
         ids, urls, hosts, pages = (c.to_pylist() for c in batch.columns)
         found = [parse(p or "") for p in pages]
-        columns = [ids, urls, hosts, [[b for b, _ in x] for x, _ in found], [[a for _, a in x] for x, _ in found], [sorted(h) for _, h in found]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
+        spans = [[[s[k] for s in x[2]] for x in found] for k in range(3)]
+        columns = [ids, urls, hosts, [x[0] for x in found], [x[1] for x in found], *spans, [x[3] for x in found]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text and counts of each page from its blocks and the ranges that recurrence deletes."""
+    kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5]
+    names = [c.split()[0] for c in _OUT.split(", ")]
+    for batch in batches:
+        ids, urls, *rest = (c.to_pylist() for c in batch.columns)
+        texts, counts = [], []
+        for blocks, why, gone in zip(*rest, strict=True):
+            depth = np.zeros(len(blocks) + 1, dtype=np.int64)
+            for g in gone or ():
+                depth[g["first"]] += 1
+                depth[g["last"]] -= 1
+            recurs = np.cumsum(depth[:-1]) > 0
+            cause = np.array(why, dtype=np.int8)
+            texts.append(" ".join([blocks[i] for i in np.flatnonzero((cause == KEPT) & ~recurs)]))
+            counts.append([int(x.sum()) for x in ((cause == KEPT) & recurs, recurs, (cause == TAGGED) & ~recurs, (cause == OUTSIDE) & ~recurs)])
+        columns = [ids, urls, texts, [len(t) for t in texts], *([c[k] for c in counts] for k in range(4))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """One row per row of pages: page_id, url, text, n_chars, n_deleted (blocks deleted as template).
+def extract(pages: DataFrame, least_pages: int | None = LEAST_PAGES) -> DataFrame:
+    """One row per row of pages: page_id, url, text, n_chars, n_deleted, n_recurring, n_tagged, n_outside.
 
-    Null and empty pages have empty text; null urls and urls without :// share the empty host. Repeated rows count as
-    pages of their own. A page without article or main element is taken as a whole, less its template. Markup may be
-    unclosed or cut off. Other columns are not read; an empty table gives an empty result.
+    n_recurring counts the blocks that recurrence deletes on at least least_pages different pages of the host (None: not
+    at all), and n_deleted those of them that would else be text; n_tagged and n_outside count the blocks that recurrence
+    leaves and that go by tag, role or class name, or as they stand outside the page's article. Null and empty pages
+    have empty text; null urls and urls without :// share the empty host. Repeated rows and pages that are alike count as
+    one page, and each gets its own row. A page without article or main element is taken as a whole, less its template.
+    Markup may be unclosed or cut off. Other columns are not read; an empty table gives an empty result.
     """
     small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), "html")
-    parsed = cut(rows.mapInArrow(_parse, "page_id long, url string, host string, blocks array<string>, around array<array<long>>, subtrees array<long>").withColumn("uid", F.monotonically_increasing_id()), "parsed-pages")
-    n_pages = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = parsed.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    template = cut(counts.join(n_pages, "host").where(F.col("n") >= F.col("pages") * least_share).select("host", "subtree", "n"), "templates")
-    # only blocks inside a deletable subtree need to be looked up
-    inside = parsed.select("uid", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("subtree"))
-    gone = hot_join(inside, template, ["host", "subtree"], "n").groupBy("uid").agg(F.collect_list("subtree").alias("gone"))
-    marked = parsed.select("uid", "page_id", "url", "blocks", "around").join(gone, "uid", "left") if gone.limit(1).count() else parsed.withColumn("gone", F.lit(None).cast("array<bigint>"))
-    kept = F.filter(F.arrays_zip("blocks", "around"), lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["around"], F.coalesce("gone", F.array().cast("array<bigint>"))))
-    text = F.array_join(F.transform(kept, lambda b: b["blocks"]), " ")
-    return marked.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), (F.size("blocks") - F.size(kept)).cast("long").alias("n_deleted"))
+    parsed = cut(rows.mapInArrow(_parse, _PARSED).withColumn("uid", F.monotonically_increasing_id()), "parsed-pages")
+    own = parsed.select("page_id", "url", "blocks", "why", "uid")
+    if least_pages is None:
+        joined = own.withColumn("gone", F.lit(None).cast("array<struct<first:int,last:int>>"))
+        return joined.select("page_id", "url", "blocks", "why", "gone").mapInArrow(_assemble, _OUT)
+    each = parsed.select("host", "whole", F.explode(F.array_distinct("subtrees")).alias("subtree"))
+    # a page and its copies are one voice
+    different = each.groupBy("host", "subtree", "whole").agg(F.count("*").alias("copies"))
+    template = different.groupBy("host", "subtree").agg(F.count("*").alias("pages"), F.sum("copies").alias("n")).where(F.col("pages") >= least_pages)
+    template = cut(template.select("host", "subtree", "n"), "templates")
+    ranges = parsed.select("uid", "host", F.explode(F.arrays_zip("subtrees", "firsts", "lasts")).alias("s"))
+    inside = ranges.select("uid", "host", F.col("s.subtrees").alias("subtree"), F.col("s.firsts").alias("first"), F.col("s.lasts").alias("last"))
+    few = sized(template, MOST_BROADCAST)
+    found = hot_join(inside, template, ["host", "subtree"], "n") if few is template else inside.join(few, ["host", "subtree"])
+    gone = cut(found.groupBy("uid").agg(F.collect_set(F.struct("first", "last")).alias("gone")), "deleted")
+    joined = own.join(sized(gone, MOST_BROADCAST), "uid", "left")
+    return joined.select("page_id", "url", "blocks", "why", "gone").mapInArrow(_assemble, _OUT)
