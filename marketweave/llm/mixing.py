@@ -4,29 +4,30 @@ Each source's documents, in a hashed order, form a stream of words; a source's t
 from the front of that stream, which starts again at its end (at most MAX_REPEATS times over). The words taken are cut
 into blocks. A tree splits the exact block quotas of all sources among the output shards: at each node, the left half's
 share of every source is drawn from the multivariate hypergeometric distribution, and the right half gets the rest. A
-shard then owns a range of each source's permuted block numbers, so that shards are disjoint and together complete.
-Inside a shard, blocks and documents are ordered by a hash. All steps are DataFrame operations, and all draws come
-from hashes of the seed, so that reruns agree.
+shard then owns a range of each source's permuted block numbers, so that shards are disjoint and together complete; the
+permutation is a keyed swap-or-not shuffle, exact for any number of blocks. Inside a shard, blocks and documents are
+ordered by a hash. All steps are DataFrame operations, and all draws come from hashes of the seed, so that reruns agree.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, sized
 
-#: Words of a block, and parts in which a source's stream is summed up.
-BLOCK_WORDS, STREAM_PARTS = 4096, 1024
+#: Words of a block, and rows of a part of a source's stream, about; parts are what a task sorts.
+BLOCK_WORDS, PART_ROWS = 4096, 50_000
 #: Weights by the source's place in code point order, repeating, and how often a source may be repeated (fixed values).
 WEIGHTS, MAX_REPEATS = (1, 2, 3), 3
 #: Words that an output shard holds at most, about.
 SHARD_WORDS = 50_000_000
-#: A prime above any number of blocks of a source: multiplying by it permutes the block numbers.
-_PRIME = 2147483647
+#: Rounds of the permutation of block numbers.
+ROUNDS = 64
 
 
 def n_words(text: Column) -> Column:
@@ -109,72 +110,140 @@ def split(table: DataFrame, shards: int, seed: int) -> DataFrame:
     return leaves.groupBy(F.col("x.source").alias("source")).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "x.q"))), lambda x: x["q"]).alias("quotas"))
 
 
-def mix(docs: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = 0, shards: int | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, segments.
+def permuted(block: Column, blocks: Column, key: Column) -> Column:
+    """A permutation of 0 ... blocks - 1 that looks random: the swap-or-not shuffle of Hoang, Morris and Rogaway.
 
-    segments is an array of (pass, start, words, shard, place): the words taken of this document, block by block, the
-    shard that gets them and the place in that shard's order; taken is the sum of their words. Null texts have size 0
-    and take nothing; rows with a null source form a source of their own, the last one. Rows with equal doc_id and text
-    are laid one after the other. A source's words are taken exactly, up to rounding its target to a whole number.
-    The table of sources is sorted in one task: it has a row per source, not per document. Other columns are not read.
+    In each round, a number and its mirror image around a keyed point change places or not, by a keyed bit of the pair.
     """
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.length("text")).alias("order"))
-    sized = cut(rows.withColumn("part", F.shiftrightunsigned("order", 64 - int(math.log2(STREAM_PARTS)))).withColumn("uid", F.monotonically_increasing_id()), "sizes")
-    targets = cut(sources(sized, share, weights, repeats).withColumn("words", F.round("target").cast("long")).withColumn("blocks", F.ceil(F.col("words") / BLOCK_WORDS)), "targets")
-    if shards is None:
-        total = targets.agg(F.sum("words")).first()[0] or 0
-        shards = 1 << max(4, math.ceil(math.log2(max(1, total / SHARD_WORDS))))
-    quotas = split(targets.select("source", "blocks"), shards, seed)
-    bounds = quotas.select(F.col("source").alias("_source"), F.aggregate("quotas", F.array(F.lit(0).cast("long")), lambda s, q: F.concat(s, F.array(F.element_at(s, -1) + q))).alias("bounds"))
-    table = targets.join(bounds, targets["source"].eqNullSafe(bounds["_source"])).drop("_source")
+
+    def swap(x: Column, r: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(key, r), blocks) - x, blocks)
+        bit = F.xxhash64(key, r, F.greatest(x, mirror)).bitwiseAND(F.lit(1))
+        return F.when(bit == 1, mirror).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), block.cast("long"), swap)
+
+
+def _lay(docs: DataFrame, share: float, weights: tuple[int, ...], repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The documents of docs (with a uid) on their source's streams, and the table of sources.
+
+    Documents: uid, doc_id, source, size, source_size, target, words, blocks, at: the place of the first word.
+    """
+    rows = docs.select("uid", "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order"))
+    measured = cut(rows, "sizes")
+    # so many parts that each has about PART_ROWS rows even of a source that has all; a power of two of them
+    bits = max(4, math.ceil(math.log2(max(1, measured.count() / PART_ROWS))))
+    measured = measured.withColumn("part", F.shiftrightunsigned("order", 64 - bits))
+    targets = sources(measured, share, weights, repeats).withColumn("words", F.round("target").cast("long"))
+    targets = cut(targets.withColumn("blocks", F.ceil(F.col("words") / BLOCK_WORDS)), "targets")
     # where a part of a stream begins, then where a document begins in its part
-    parts = sized.groupBy("source", "part").agg(F.sum("size").alias("part_words"))
-    begins = parts.withColumn("begin", F.coalesce(F.sum("part_words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    plan = cut(begins.join(table.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(F.col("source").alias("_source"), F.col("part").alias("_part"), "begin", "source_size", "target", "words", "blocks", "bounds"), "stream-parts")
+    parts = measured.groupBy("source", "part").agg(F.sum("size").alias("part_words"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = parts.withColumn("begin", F.coalesce(F.sum("part_words").over(before), F.lit(0)))
+    plan = begins.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    plan = cut(plan.select(F.col("source").alias("_source"), F.col("part").alias("_part"), "begin", "source_size", "target", "words", "blocks"), "stream-parts")
     inner = Window.partitionBy("source", "part").orderBy("order", "uid").rowsBetween(Window.unboundedPreceding, -1)
-    laid = sized.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    placed = laid.join(plan, laid["source"].eqNullSafe(plan["_source"]) & (laid["part"] == plan["_part"])).withColumn("at", F.col("begin") + F.col("inner"))
+    laid = measured.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    placed = laid.join(sized(plan, 200_000), laid["source"].eqNullSafe(plan["_source"]) & (laid["part"] == plan["_part"]))
+    placed = placed.withColumn("at", F.col("begin") + F.col("inner"))
+    return placed.select("uid", "doc_id", "source", "size", "source_size", "target", "words", "blocks", "at"), targets
+
 
-    def one_pass(p: Column) -> Column:
-        """The segments of pass p: the document's stretch of the repeated stream, up to the source's words, by block."""
+def _passes(repeats: int, of: Callable[[Column, Column, Column], Column]) -> Column:
+    """Array of of(pass, low, high): the document's stretch of the repeated stream in each pass, up to the source's words."""
+
+    def one(p: Column) -> Column:
         low = F.col("at") + p * F.col("source_size")
-        high = F.least(low + F.col("size"), F.col("words"))
-        blocks = F.when(high > low, F.sequence(F.floor(low / BLOCK_WORDS).cast("long"), F.floor((high - 1) / BLOCK_WORDS).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        return of(p, low, F.least(low + F.col("size"), F.col("words")))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), one)
+
+
+def _dealt(laid: DataFrame, targets: DataFrame, repeats: int, seed: int, shards: int | None) -> DataFrame:
+    """uid and segments of the documents that the mix takes: block by block, with the shard that gets each."""
+    if shards is None:
+        total = targets.agg(F.sum("words")).first()[0] or 0
+        shards = 1 << max(4, math.ceil(math.log2(max(1, total / SHARD_WORDS))))
+    quotas = split(targets.select("source", "blocks"), shards, seed).select("source", F.posexplode("quotas").alias("shard", "q"))
+    # a shard's range of permuted numbers in each source, filed under the cells of `width` numbers that it touches
+    order = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = quotas.withColumn("end", F.sum("q").over(order)).withColumn("begin", F.col("end") - F.col("q")).where("q > 0")
+    ranges = ranges.join(targets.select(F.col("source").alias("_source"), "blocks"), F.col("source").eqNullSafe(F.col("_source")))
+    width = lambda blocks: F.greatest(F.ceil(blocks / F.lit(shards)), F.lit(1))
+    cells = F.explode(F.sequence(F.floor(F.col("begin") / width(F.col("blocks"))), F.floor((F.col("end") - 1) / width(F.col("blocks")))))
+    ranges = cut(ranges.select("_source", "begin", "end", "shard", cells.alias("_cell")), "shard-ranges")
+
+    def stretch(p: Column, low: Column, high: Column) -> Column:
+        first, last = F.floor(low / BLOCK_WORDS).cast("long"), F.floor((high - 1) / BLOCK_WORDS).cast("long")
+        numbers = F.when(high > low, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        begin, end = (lambda b: F.greatest(low, b * BLOCK_WORDS)), (lambda b: F.least(high, (b + 1) * BLOCK_WORDS))
+        return F.transform(numbers, lambda b: F.struct(p.cast("int").alias("pass"), (begin(b) - low).alias("start"), (end(b) - begin(b)).alias("words"), b.alias("block")))
+
+    each = laid.select("uid", "source", "blocks", F.explode(F.flatten(_passes(repeats, stretch))).alias("s")).select("uid", "source", "blocks", "s.*")
+    each = each.withColumn("to", permuted(F.col("block"), F.col("blocks"), F.xxhash64(F.lit(seed), "source")))
+    each = each.withColumn("cell", F.floor(F.col("to") / width(F.col("blocks"))))
+    on = each["source"].eqNullSafe(ranges["_source"]) & (each["cell"] == ranges["_cell"]) & (each["to"] >= ranges["begin"]) & (each["to"] < ranges["end"])
+    found = each.join(sized(ranges, 200_000), on)
+    place = F.xxhash64(F.lit(seed), "block", "source", "uid").alias("place")
+    return found.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pass", "start", "words", "shard", place))).alias("segments"))
+
+
+def _numbered(docs: DataFrame, name: str, *columns: str) -> DataFrame:
+    """The given columns of docs (all, if none is given) with a number for each row, as a table: rows keep their numbers."""
+    return cut(docs.select(*columns, F.monotonically_increasing_id().alias("uid")), name)
+
+
+def _mixed(numbered: DataFrame, share: float, weights: tuple[int, ...], repeats: int, seed: int, shards: int | None) -> DataFrame:
+    laid, targets = _lay(numbered, share, weights, repeats, seed)
+    laid = cut(laid, "laid")
+    dealt = _dealt(laid, targets, repeats, seed, shards)
+    taken = F.aggregate(_passes(repeats, lambda p, low, high: F.greatest(high - low, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
+    out = laid.withColumn("taken", taken).join(dealt.withColumnRenamed("uid", "_uid"), F.col("uid") == F.col("_uid"), "left")
+    segments = F.coalesce("segments", F.array().cast(dealt.schema["segments"].dataType)).alias("segments")
+    return out.select("uid", "doc_id", "source", "size", "source_size", "target", "taken", segments)
+
 
-        def segment(b: Column) -> Column:
-            begin, end = F.greatest(low, b * BLOCK_WORDS), F.least(high, (b + 1) * BLOCK_WORDS)
-            permuted = (b * _PRIME + F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 30))) % F.col("blocks")
-            shard = F.size(F.filter("bounds", lambda x: x <= permuted)) - 1
-            return F.struct(p.cast("int").alias("pass"), (begin - low).alias("start"), (end - begin).alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed), b, "source", "uid").alias("place"))
+def mix(docs: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = 0, shards: int | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, segments.
 
-        return F.transform(blocks, segment)
+    segments is an array of (pass, start, words, shard, place): the words taken of this document, block by block, the
+    shard that gets them and the place in that shard's order; taken is the sum of their words. Null texts have size 0
+    and take nothing; rows with a null source form a source of their own, the last one. Rows with equal doc_id and text
+    are laid one after the other. A source's words are taken exactly, up to rounding its target to a whole number.
+    The table of sources is sorted in one task: it has a row per source, not per document. Other columns are not read;
+    an empty table gives an empty result.
+    """
+    rows = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("uid"))
+    return _mixed(rows, share, weights, repeats, seed, shards).drop("uid")
 
-    passes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), one_pass))
-    taken = F.aggregate("segments", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    return placed.withColumn("segments", passes).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "segments")
 
+def write_shards(docs: DataFrame, path: str, share: float = 1.0, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = 0, shards: int | None = None) -> None:
+    """Writes the mix as Parquet, a folder per shard, each in the shard's own order: doc_id, pass, start, words, text.
 
-def write_shards(docs: DataFrame, mixed: DataFrame, path: str) -> None:
-    """Writes the mix as Parquet, a folder per shard, each in the shard's own order: doc_id, pass, start, words, text."""
-    pieces = mixed.select(F.col("doc_id").alias("_id"), F.explode("segments").alias("s")).select("_id", "s.*")
-    texts = docs.select("doc_id", F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("all_words"))
-    joined = pieces.join(texts, F.col("_id").eqNullSafe(F.col("doc_id")))
-    cuts = joined.select("doc_id", "shard", "place", "pass", "start", "words", F.array_join(F.slice("all_words", F.col("start").cast("int") + 1, F.col("words").cast("int")), " ").alias("text"))
+    A row of docs gives its own pieces, whatever other rows have its doc_id. A shard is sorted in one task: it has
+    about SHARD_WORDS words, or those that shards asks for. Null and empty texts give nothing; an empty table writes no
+    folder. docs is written once more with numbered rows, as a text must be found again.
+    """
+    numbered = _numbered(docs, "numbered", "doc_id", "source", "text")
+    mixed = _mixed(numbered, share, weights, repeats, seed, shards).select(F.col("uid").alias("_uid"), "segments").where(F.size("segments") > 0)
+    joined = numbered.join(mixed, F.col("uid") == F.col("_uid")).withColumn("all_words", F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    piece = lambda s: F.array_join(F.slice("all_words", s["start"].cast("int") + 1, s["words"].cast("int")), " ")
+    pieces = F.transform("segments", lambda s: F.struct(s["shard"].alias("shard"), s["place"].alias("place"), s["pass"].alias("pass"), s["start"].alias("start"), s["words"].alias("words"), piece(s).alias("text")))
+    cuts = joined.select("doc_id", pieces.alias("pieces")).select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*")
     cuts.repartition("shard").sortWithinPartitions("shard", "place", "pass", "start").write.partitionBy("shard").parquet(path)
 
 
 def mixture(docs: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = 0) -> DataFrame:
     """The rows of docs that the mix takes, whole and with all their columns, once for each time they are taken.
 
-    A pass takes a document whole if it takes at least half of its words. Ids carried by several rows are told apart
-    by their numbers of words.
+    A pass takes a document whole if it takes at least half of its words. Only the document at the end of a source's
+    words is taken in part, so that a source's words come within half a document of its target. Repeated rows and rows of
+    one doc_id are each counted for themselves. docs is written once more with numbered rows, so that each row is found
+    again. Rows without words are not taken; an empty table gives an empty result.
     """
-    mixed = mix(docs, share, weights, repeats, seed)
-    per_pass = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda p: F.aggregate(F.filter("segments", lambda s: s["pass"] == p), F.lit(0).cast("long"), lambda a, s: a + s["words"]))
-    times = F.size(F.filter(per_pass, lambda w: (w > 0) & (w * 2 >= F.col("size"))))
-    counts = mixed.select("doc_id", "source", "size", times.alias("times")).groupBy("doc_id", "source", "size").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
-    counts = counts.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_times", "_rows")
-    sized = docs.withColumn("_words", n_words(F.col("text")))
-    at = sized.join(counts, sized["doc_id"].eqNullSafe(F.col("_id")) & sized["source"].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    copies = F.explode(F.sequence(F.lit(1), F.greatest(F.round(F.col("_times") / F.col("_rows")), F.lit(1)).cast("int")))
-    return at.withColumn("_copy", copies).select(*docs.columns)
+    numbered = cut(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")), "numbered")
+    laid, _ = _lay(numbered.select("uid", *[F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "text")]), share, weights, repeats, seed)
+    whole = _passes(repeats, lambda p, low, high: ((high > low) & ((high - low) * 2 >= F.col("size"))).cast("int"))
+    times = cut(laid.select(F.col("uid").alias("_uid"), F.aggregate(whole, F.lit(0), lambda s, x: s + x).alias("times")).where("times > 0"), "times")
+    taken = numbered.join(sized(times), F.col("uid") == F.col("_uid"))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
