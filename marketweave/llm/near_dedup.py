@@ -31,12 +31,15 @@ from .common import cut, flat_words, hot_join, mix, sized, small_batches, window
 WORDS, SIMILARITY = 5, 0.8
 #: BANDS bands of ROWS registers: a pair at 0.8 is a candidate with probability 1 - (1 - 0.8**4)**24 = 0.999997.
 BANDS, ROWS = 24, 4
-#: Parts in which a bucket is looked through before the parts' first members meet.
-SALTS = 8
+#: Members of a part of a bucket, about, in which neighbours are looked for before the parts' first members meet, and
+#: pairs that share one copy of a popular text's shingles.
+PART, COPY_PAIRS = 4096, 1024
 #: Members of a bucket up to which its pairs are listed, and members of a block in larger ones.
 SMALL, BLOCK = 32, 512
 #: Keys of 16 bytes that are broadcast at most (32 MB); more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
+#: Popular texts (a key and a number each) that are broadcast at most; there is one for COPY_PAIRS pairs at most.
+MOST_POPULAR = 300_000
 #: A text is handled whole; batches are split so that about this many bytes are sketched, or cut into words, together.
 _STEP, _WORD_STEP = 3_000_000, 250_000
 
@@ -143,44 +146,6 @@ def _shingle_sets(words: int):
     return run
 
 
-def _first_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) with a < b: each member of a bucket with the bucket's most popular one and with a neighbour.
-
-    Popular are texts that share buckets with many others. members: band, key, popular.
-    """
-    tops = cut(members.groupBy("band").agg(F.max(F.struct("popular", "key")).alias("top"), F.count("*").alias("n")), "tops")
-    star = hot_join(members, tops, ["band"], "n").select(F.col("top.key").alias("a"), F.col("key").alias("b"))
-    # neighbours by popularity: inside parts of a bucket, and from part to part
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    order = [F.col("popular").desc(), F.col("key")]
-    near = salted.select("band", "key", "popular", F.lag("key").over(Window.partitionBy("band", "salt").orderBy(*order)).alias("before"))
-    heads = near.where("before is null").select("key", F.lag("key").over(Window.partitionBy("band").orderBy(*order)).alias("before"))
-    chain = near.select("before", "key").unionByName(heads.select("before", "key")).where("before is not null")
-    pairs = star.unionByName(chain.select(F.col("before").alias("a"), F.col("key").alias("b"))).where("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _sets_of(docs: DataFrame, keys: DataFrame, words: int, counted: bool) -> DataFrame:
-    """key, shingles (and times) of the texts whose keys are given, a row for each text."""
-    sets = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_shingle_sets(words), "key binary, shingles array<long>, times array<int>")
-    if not counted:
-        sets = sets.select("key", "shingles")
-    if keys.count() <= MOST_BROADCAST:
-        keys = F.broadcast(keys)
-    return cut(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "shingles")
-
-
-def _verified(held: DataFrame, pairs: DataFrame, similarity: float, counted: bool) -> DataFrame:
-    """The pairs whose shingle sets (or multisets, if counted) have at least the given similarity."""
-    left = held.select(F.col("key").alias("a"), F.col("shingles").alias("sa"), *([F.col("times").alias("ta")] if counted else []))
-    right = held.select(F.col("key").alias("b"), F.col("shingles").alias("sb"), *([F.col("times").alias("tb")] if counted else []))
-    both = pairs.join(left, "a").join(right, "b")
-    if counted:
-        return both.where(F.pandas_udf(_weighted_similarity, "double")("sa", "ta", "sb", "tb") >= similarity).select("a", "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-
-
 def probability_jaccard(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarray) -> float:
     """Sum over shared i of 1 / sum over j of max(p_j / p_i, q_j / q_i), for sorted elements x, y of weights p, q."""
     every = np.union1d(x, y)
@@ -202,12 +167,12 @@ def _weighted_similarity(sa: pd.Series, ta: pd.Series, sb: pd.Series, tb: pd.Ser
 def _first_pairs(members: DataFrame) -> DataFrame:
     """(a, b) with a < b: each member of a bucket with the bucket's most popular one and with a neighbour.
 
-    Popular are texts that share buckets with many others. members: band, key, popular.
+    Popular are texts that share buckets with many others. members: band, key, popular, n (the bucket's members).
     """
     tops = cut(members.groupBy("band").agg(F.max(F.struct("popular", "key")).alias("top"), F.count("*").alias("n")), "tops")
-    star = hot_join(members, tops, ["band"], "n").select(F.col("top.key").alias("a"), F.col("key").alias("b"))
+    star = hot_join(members.drop("n"), tops, ["band"], "n").select(F.col("top.key").alias("a"), F.col("key").alias("b"))
     # neighbours by popularity: inside parts of a bucket, and from part to part
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / PART)))
     order = [F.col("popular").desc(), F.col("key")]
     near = salted.select("band", "key", "popular", F.lag("key").over(Window.partitionBy("band", "salt").orderBy(*order)).alias("before"))
     heads = near.where("before is null").select("key", F.lag("key").over(Window.partitionBy("band").orderBy(*order)).alias("before"))
@@ -230,30 +195,18 @@ def _verified(held: DataFrame, pairs: DataFrame, similarity: float, counted: boo
     """The pairs whose shingle sets (or multisets, if counted) have at least the given similarity."""
     left = held.select(F.col("key").alias("a"), F.col("shingles").alias("sa"), *([F.col("times").alias("ta")] if counted else []))
     right = held.select(F.col("key").alias("b"), F.col("shingles").alias("sb"), *([F.col("times").alias("tb")] if counted else []))
-    both = pairs.join(left, "a").join(right, "b")
+    # a popular text stands in very many pairs: its shingles are shipped once for each COPY_PAIRS of them
+    many = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / COPY_PAIRS).cast("int").alias("copies")).where("copies > 1"), "popular")
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = pairs.join(sized(many, MOST_POPULAR), "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), copies).cast("int")).drop("copies")
+    left = left.join(sized(many, MOST_POPULAR), "a", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    both = dealt.join(left, ["a", "copy"]).join(right, "b")
     if counted:
         return both.where(F.pandas_udf(_weighted_similarity, "double")("sa", "ta", "sb", "tb") >= similarity).select("a", "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def _probability_jaccard(sa: pd.Series, ta: pd.Series, sb: pd.Series, tb: pd.Series) -> pd.Series:
-    def of(x, p, y, q) -> float:
-        """sum over shared i of 1 / sum over j of max(x_j / x_i, y_j / y_i)"""
-        every = np.union1d(x, y)
-        u, v = np.zeros(len(every)), np.zeros(len(every))
-        u[np.searchsorted(every, x)], v[np.searchsorted(every, y)] = p, q
-        both = np.flatnonzero((u > 0) & (v > 0))
-        # with r_j = y_j / x_j in order, the maximum is the x part below r_i and the y part above it
-        ratio = np.divide(v, u, out=np.full(len(every), np.inf), where=u > 0)
-        order = np.argsort(ratio)
-        below, above = np.append(0, np.cumsum(u[order])), np.append(np.cumsum(v[order][::-1])[::-1], 0)
-        at = np.searchsorted(ratio[order], ratio[both], side="right")
-        return float((1 / (below[at] / u[both] + above[at] / v[both])).sum())
-
-    return pd.Series([of(*x) for x in zip(sa, ta, sb, tb, strict=True)])
-
-
 def components(links: DataFrame) -> DataFrame:
     """(key, root) for each key in links (a, b): root is the least key of the component.
 
@@ -351,7 +304,7 @@ def _classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(members.join(shared, "band"), "buckets")
     popular = members.groupBy("key").agg(F.sum("n").alias("popular"))
-    members = cut(members.select("band", "key").join(popular, "key"), "members")
+    members = cut(members.join(popular, "key"), "members")
     pairs = cut(_first_pairs(members), "pairs")
     held = _sets_of(docs, popular.select("key"), words, counted)
     links = cut(_verified(held, pairs, similarity, counted), "links")
