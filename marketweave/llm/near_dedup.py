@@ -29,6 +29,8 @@ from .common import cut, flat_words, hot_join, mix, sized, small_batches, window
 
 #: Words of a shingle and least similarity of near duplicates.
 WORDS, SIMILARITY = 5, 0.8
+#: What floating point may take from a weighted similarity: pairs at the threshold itself are links.
+ROUNDING = 1e-9
 #: BANDS bands of ROWS registers: a pair at 0.8 is a candidate with probability 1 - (1 - 0.8**4)**24 = 0.999997.
 BANDS, ROWS = 24, 4
 #: Members of a part of a bucket, about, in which neighbours are looked for before the parts' first members meet, and
@@ -202,7 +204,7 @@ def _verified(held: DataFrame, pairs: DataFrame, similarity: float, counted: boo
     left = left.join(sized(many, MOST_POPULAR), "a", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
     both = dealt.join(left, ["a", "copy"]).join(right, "b")
     if counted:
-        return both.where(F.pandas_udf(_weighted_similarity, "double")("sa", "ta", "sb", "tb") >= similarity).select("a", "b")
+        return both.where(F.pandas_udf(_weighted_similarity, "double")("sa", "ta", "sb", "tb") >= similarity - ROUNDING).select("a", "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
@@ -261,17 +263,25 @@ def _compare(similarity: float, counted: bool):
         if left and right:
             size = np.array([len(sets[i]) for i in right])
             names, ids = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
-            starts, mark = np.cumsum(size) - size, np.zeros(len(names), dtype=np.int32)
+            starts, mark = np.cumsum(size) - size, np.zeros(len(names))
+            if counted:
+                weights = np.concatenate([times[i] / times[i].sum() for i in right])
             for i in left:
                 at = np.minimum(np.searchsorted(names, sets[i]), len(names) - 1)
-                at = at[names[at] == sets[i]]
-                mark[at] = 1
-                shared = np.add.reduceat(mark[ids], starts)
-                mark[at] = 0
+                both = names[at] == sets[i]
                 if counted:
-                    near = [k for k in np.flatnonzero(shared) if probability_jaccard(sets[i], times[i], sets[right[k]], times[right[k]]) >= similarity]
+                    # the common mass m bounds the similarity from above, and m / (2 - m) bounds it from below
+                    mark[at[both]] = (times[i] / times[i].sum())[both]
+                    mass = np.add.reduceat(np.minimum(mark[ids], weights), starts)
+                    sure = mass / (2 - mass) >= similarity
+                    exact = lambda k, i=i: probability_jaccard(sets[i], times[i], sets[right[k]], times[right[k]])
+                    open_ = np.flatnonzero((mass >= similarity - ROUNDING) & ~sure)
+                    near = np.append(np.flatnonzero(sure), np.array([k for k in open_ if exact(k) >= similarity - ROUNDING], dtype=np.int64))
                 else:
+                    mark[at[both]] = 1
+                    shared = np.add.reduceat(mark[ids], starts)
                     near = np.flatnonzero(shared >= similarity * (len(sets[i]) + size - shared))
+                mark[at[both]] = 0
                 for root, j in {roots[right[k]]: right[k] for k in near}.items():
                     if root != roots[i]:
                         a.append(min(keys[i], keys[j]))

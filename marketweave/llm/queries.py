@@ -51,7 +51,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+    return near_dedup.classes(_table(spark, sf_dir, "documents"), counted=True)
 
 
 QUERIES = {
