@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from .common import cut, sized
 
 #: Words of a block, and rows of a part of a source's stream, about; parts are what a task sorts.
-BLOCK_WORDS, PART_ROWS = 4096, 50_000
+BLOCK_WORDS, PART_ROWS = 4096, 10_000
 #: Weights by the source's place in code point order, repeating, and how often a source may be repeated (fixed values).
 WEIGHTS, MAX_REPEATS = (1, 2, 3), 3
 #: Words that an output shard holds at most, about.
@@ -131,8 +131,8 @@ def _lay(docs: DataFrame, share: float, weights: tuple[int, ...], repeats: int,
     """
     rows = docs.select("uid", "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order"))
     measured = cut(rows, "sizes")
-    # so many parts that each has about PART_ROWS rows even of a source that has all; a power of two of them
-    bits = max(4, math.ceil(math.log2(max(1, measured.count() / PART_ROWS))))
+    # so many parts that each has about PART_ROWS rows even of a source that has all; a power of two of them, 256 at least
+    bits = max(8, math.ceil(math.log2(max(1, measured.count() / PART_ROWS))))
     measured = measured.withColumn("part", F.shiftrightunsigned("order", 64 - bits))
     targets = sources(measured, share, weights, repeats).withColumn("words", F.round("target").cast("long"))
     targets = cut(targets.withColumn("blocks", F.ceil(F.col("words") / BLOCK_WORDS)), "targets")
