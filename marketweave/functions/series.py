@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -114,3 +116,52 @@ def corr_of(x: ColumnLike, y: ColumnLike) -> Column:
     x, y = F.when(both, x), F.when(both, y)
     scale = F.stddev_samp(x) * F.stddev_samp(y)
     return F.when(F.abs(scale) > 1e-15, F.try_divide(F.covar_samp(x, y), scale))
+
+
+def ln_factorial(n: ColumnLike) -> Column:
+    """ln n! by Stirling's series after a shift by 8, exact to about 1e-10."""
+    n = col(n).cast("double")
+    x = n + 9
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, 5))
+    for k in range(1, 9):
+        series = series - F.log(n + k)
+    return series
+
+
+#: Ranges into which a key's values are cut to be ordered, each by a task of its own.
+RANGES = 64
+
+
+def pooled_order(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys, x, n, less: how often each value occurs, and how many rows of its key have a lower one.
+
+    A key may hold any number of rows: values are counted, cut at approximate quantiles of the key, and ordered inside
+    each range; the ranges' sums make the offsets. Nulls are left out. There are few keys (features, horizons): their
+    quantiles, RANGES numbers a key, are broadcast.
+    """
+    values = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("n"))
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_cuts"))
+    same = lambda a, b: [F.col(k).eqNullSafe(b[f"_{k}"]) for k in keys]
+    named = lambda t: t.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in t.columns if c not in keys])
+    drop = [f"_{k}" for k in keys]
+    cuts = named(cuts)
+    ranged = values.join(F.broadcast(cuts), same(values, cuts)).drop(*drop).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("n").alias("_m"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = named(sums.withColumn("_offset", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m").withColumnRenamed("_range", "_r"))
+    joined = ranged.join(F.broadcast(offsets), [*same(ranged, offsets), F.col("_range") == F.col("_r")]).drop(*drop, "_r")
+    inside = Window.partitionBy(*keys, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    return joined.withColumn("less", F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).select(*keys, x, "n", "less")
+
+
+def pooled_quantiles(df: DataFrame, keys: list[str], x: str, at: dict[str, float]) -> DataFrame:
+    """keys and, for each name in at, the exact quantile of x with linear interpolation; see pooled_order."""
+    order = pooled_order(df, keys, x)
+    total = order.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    total = total.select(*[F.col(k).alias(f"_{k}") for k in keys], "_total")
+    rows = order.join(F.broadcast(total), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    place = lambda p: (F.col("_total") - 1) * F.lit(float(p))
+    holds = lambda i: (F.col("less") <= i) & (i < F.col("less") + F.col("n"))
+    ends = [F.max(F.when(holds(f(place(p))), F.col(x))).alias(f"_{side}_{name}") for name, p in at.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    found = rows.groupBy(*keys).agg(F.max("_total").alias("_total"), *ends)
+    return found.select(*keys, *[(F.col(f"_low_{n}") + (place(p) - F.floor(place(p))) * (F.col(f"_high_{n}") - F.col(f"_low_{n}"))).alias(n) for n, p in at.items()])

@@ -2,46 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.series import ma, staged
 from .regimes import stateful
 
 
-def trend_episodes(df: DataFrame, price: str, window: int, below: int, cooldown: int, key: str = "ticker", order: str = "date") -> DataFrame:
-    """key, start, end, n: from a close above its mean to the first of `below` closes in a row under it; then a pause."""
-    df = staged(df, _m=ma(price, window, key=key, order=order)).select(key, order, price, "_m")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out, start, under, wait = rows.sort_values(order), [], None, 0, 0
-        at = list(rows[order])
-        for i, (p, m) in enumerate(zip(rows[price], rows["_m"], strict=True)):
-            known = p == p and m == m and p is not None and m is not None
-            if start is None:
-                if wait > 0:
-                    wait -= 1
-                elif known and p > m:
-                    start, under = i, 0
-                continue
-            under = under + 1 if known and p < m else 0
-            if under == below:
-                out.append((rows[key].iloc[0], at[start], at[i - below + 1], i - below + 1 - start))
-                start, wait = None, cooldown
+def trend_episodes(df: DataFrame, start: str, price: str, window: int, below: int, cooldown: int, key: str = "ticker", order: str = "date") -> DataFrame:
+    """key, start, end, n: from a row with the start flag to the first later row from which `below` closes in a row lie
+    under their mean (the last row but `below` at the latest); no start counts until `cooldown` rows after an end.
+    Starts whose end is not found are left out."""
+    marked = staged(df, _m=ma(price, window, key=key, order=order), _under=F.coalesce(F.col(price) < F.col("_m"), F.lit(False)))
+    ahead = Window.partitionBy(key).orderBy(order).rowsBetween(0, below - 1)
+    marked = marked.withColumn("_end", (F.min(F.col("_under").cast("int")).over(ahead) == 1) & (F.count(F.lit(1)).over(ahead) == below))
+    rows = marked.select(key, order, F.coalesce(F.col(start), F.lit(False)).alias("_start"), "_end")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part, out, last = part.sort_values(order), [], None
+        at = list(part[order])
+        ends = np.flatnonzero(part["_end"].to_numpy()[: max(len(part) - below, 0)])
+        for i in np.flatnonzero(part["_start"].to_numpy()):
+            k = np.searchsorted(ends, i + 1)
+            if (last is None or i > last + cooldown) and k < len(ends):
+                last = int(ends[k])
+                out.append((part[key].iloc[0], at[i], at[last], last - int(i)))
         return pd.DataFrame(out, columns=[key, "start", "end", "n"])
 
-    return df.groupBy(key).applyInPandas(run, f"{key} string, start date, end date, n long")
+    return rows.groupBy(key).applyInPandas(run, f"{key} string, start date, end date, n long")
 
 
-def collapse_alerts(df: DataFrame, flag: str, rows_apart: int, key: list[str], order: str = "date") -> DataFrame:
-    """kept: alerts at least rows_apart rows after the last one kept."""
+def collapse_alerts(df: DataFrame, flag: str, cooldown_days: int, key: list[str], order: str = "date") -> DataFrame:
+    """kept: alerts more than cooldown_days calendar days after the last one kept."""
 
     def step(rows: pd.DataFrame) -> list:
         out, last = [], None
-        for i, hit in enumerate(rows[flag]):
-            hit = bool(hit) and (last is None or i - last >= rows_apart)
-            last = i if hit else last
+        for hit, at in zip(rows[flag], pd.to_datetime(rows[order]), strict=True):
+            hit = bool(hit) and (last is None or (at - last).days > cooldown_days)
+            last = at if hit else last
             out.append(hit)
         return out
 
@@ -49,24 +50,42 @@ def collapse_alerts(df: DataFrame, flag: str, rows_apart: int, key: list[str], o
 
 
 def match_alerts(events: DataFrame, alerts: DataFrame, key: str, at: str, tolerance: int) -> DataFrame:
-    """key, event, alert: for each event in order, the earliest alert within the tolerance that no earlier event has used."""
-    a = alerts.select(key, F.col(at).cast("long").alias("at"), F.lit(1).alias("kind"))
-    both = events.select(key, F.col(at).cast("long").alias("at"), F.lit(0).alias("kind")).unionByName(a)
+    """key, event, alert: for each event in order, the earliest alert within the tolerance that no earlier event has used.
+
+    at is a number, or a date (counted in days since 1970).
+    """
+    place = lambda df: F.unix_date(at) if dict(df.dtypes)[at] == "date" else F.col(at).cast("long")
+    a = alerts.select(key, place(alerts).alias("at"), F.lit(1).alias("kind"))
+    both = events.select(key, place(events).alias("at"), F.lit(0).alias("kind")).unionByName(a)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ev, al = sorted(rows["at"][rows.kind == 0]), sorted(rows["at"][rows.kind == 1])
-        used, out = set(), []
-        for e in ev:
-            hit = next((j for j, x in enumerate(al) if j not in used and abs(x - e) <= tolerance), None)
-            if hit is not None:
-                used.add(hit)
-            out.append((rows[key].iloc[0], e, None if hit is None else al[hit]))
-        frame = pd.DataFrame(out, columns=[key, "event", "alert"])
-        return frame.astype({"event": "int64", "alert": "Int64"})
+        found, first, out = np.sort(rows["at"][rows.kind == 1].to_numpy()), 0, []
+        for e in np.sort(rows["at"][rows.kind == 0].to_numpy()):
+            # alerts before the last one used lie before this event's span, too
+            i = max(first, int(np.searchsorted(found, e - tolerance)))
+            hit = i < len(found) and found[i] <= e + tolerance
+            out.append((rows[key].iloc[0], e, found[i] if hit else None))
+            first = i + 1 if hit else first
+        return pd.DataFrame(out, columns=[key, "event", "alert"]).astype({"event": "int64", "alert": "Int64"})
 
     return both.groupBy(key).applyInPandas(run, f"{key} string, event long, alert long")
 
 
+def score_alerts(rows: DataFrame, flag: str, labels: DataFrame, tolerance: int, cooldown_days: int, key: str = "ticker", order: str = "date") -> DataFrame:
+    """key, n_events, n_alerts, tp, fn, fp, precision, recall, mean_delay: collapsed alerts against labelled dates.
+
+    labels: key and order, a row per event. Keys without event or alert have no ratio of what they lack.
+    """
+    kept = collapse_alerts(rows.select(key, order, flag), flag, cooldown_days, [key], order).where("kept").select(key, order)
+    hits = match_alerts(labels.select(key, order), kept, key, order, tolerance)
+    matched = hits.groupBy(key).agg(F.count("*").alias("n_events"), F.count("alert").alias("tp"), F.avg(F.col("alert") - F.col("event")).alias("mean_delay"))
+    counts = kept.groupBy(key).agg(F.count("*").alias("n_alerts"))
+    out = rows.select(key).distinct().join(matched, key, "left").join(counts, key, "left").fillna(0, ["n_events", "tp", "n_alerts"])
+    out = out.withColumn("fn", F.col("n_events") - F.col("tp")).withColumn("fp", F.col("n_alerts") - F.col("tp"))
+    ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    return out.withColumn("precision", ratio("tp", "n_alerts")).withColumn("recall", ratio("tp", "n_events"))
+
+
 def early_exit(df: DataFrame, entries: DataFrame, h: int, price: str, window: int) -> DataFrame:
     """ticker, entry, exit, ret: exit on the first row in 1..h whose price is under its mean, else after h rows."""
     marked = staged(df, _m=ma(price, window)).select(F.col("ticker").alias("_t"), F.col("pos").alias("_p"), F.col(price).alias("_px"), (F.col(price) < F.col("_m")).alias("_below"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.series import cs_rank, div
+from ..functions.series import cs_rank, div, pooled_order
 
 def by_date():
     """The window of a cross section (made on use: columns need a session)."""
@@ -74,17 +74,13 @@ def grades(df: DataFrame, x: str, n: int, least: int, name: str = "grade") -> Da
 def flip_signs(long: DataFrame, target: str) -> DataFrame:
     """feature, sign: -1 where a feature's pooled rank correlation with the target is below 0. long: feature, value, target."""
     rows = long.where(F.col("value").isNotNull() & F.col(target).isNotNull())
-    # each feature's ranks over all of its rows, by a sort over (feature, value)
-    ranked = rows.withColumn("_a", _pooled_rank("value")).withColumn("_b", _pooled_rank(target))
-    stats = ranked.groupBy("feature").agg(F.covar_samp("_a", "_b").alias("c"))
+    rank = lambda x, name: pooled_order(rows, ["feature"], x).select(F.col("feature").alias("_f"), F.col(x).alias("_x"), (F.col("less") + (F.col("n") + 1) / 2).alias(name))
+    for x, name in (("value", "_a"), (target, "_b")):
+        rows = rows.join(rank(x, name), (F.col("feature") == F.col("_f")) & (F.col(x) == F.col("_x"))).drop("_f", "_x")
+    stats = rows.groupBy("feature").agg(F.covar_samp("_a", "_b").alias("c"))
     return stats.select("feature", F.when(F.col("c") < 0, -1).otherwise(1).alias("sign"))
 
 
-def _pooled_rank(x: str) -> Column:
-    within = Window.partitionBy("feature").orderBy(x)
-    return F.rank().over(within) + (F.count(F.lit(1)).over(Window.partitionBy("feature", x)) - 1) / 2
-
-
 def double_tail_spread(df: DataFrame, bucket: str, r: str, n: int) -> DataFrame:
     """date, spread: mean return of both end buckets less that of the rest."""
     ends = F.col(bucket).isin(1, n)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.series import trailing
+from ..sources.io import scratch
 
 
 def expanding_trend(df: DataFrame, y: str, least: int = 10, key: str = "ticker", order: str = "date", t: str = "pos") -> DataFrame:
@@ -100,25 +105,60 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return b
 
 
-def walk_forward_logistic(df: DataFrame, y: str, xs: list[str], folds: DataFrame, ridge: float = 1.0, least_each: int = 5) -> DataFrame:
-    """fold, date, ticker, y, p: each fold's fit on its training rows scores its test rows; folds run in parallel.
+def _literal(spark, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows as a literal of the plan."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
 
-    folds: fold, train_start, train_end, test_start, test_end (row numbers); folds with too few of a label are left out.
+def fit_folds(rows: DataFrame, xs: list[str], ridge: float, least_each: int, steps: int = 30) -> DataFrame:
+    """fold, mean, scale, coef (arrays): a balanced ridge logistic regression for each fold of rows (fold, y, xs).
+
+    All folds take their Newton steps together: a step is one aggregate of gradients and second derivatives, a few
+    numbers a fold, over rows that stay distributed. Folds with under least_each of a label are left out.
     """
-    rows = df.where(" and ".join(f"{c} is not null" for c in [y, *xs])).join(F.broadcast(folds), ((F.col("pos") >= F.col("train_start")) & (F.col("pos") <= F.col("train_end"))) | ((F.col("pos") >= F.col("test_start")) & (F.col("pos") <= F.col("test_end"))))
-    rows = rows.select("fold", "date", "ticker", F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in xs], (F.col("pos") <= F.col("train_end")).alias("train"))
+    spark, k = rows.sparkSession, len(xs)
+    stats = rows.groupBy("fold").agg(
+        F.count("*").alias("n"), F.sum("y").alias("pos"), F.array(*[F.avg(x) for x in xs]).alias("mean"), F.array(*[F.stddev_pop(x) for x in xs]).alias("scale")
+    )
+    folds = {r.fold: r for r in stats.collect() if r.pos >= least_each and r.n - r.pos >= least_each}  # a row per test span of the calendar
+    known = {f: {"fold": f, "mean": list(r["mean"]), "scale": [s or 1.0 for s in r.scale], "coef": [0.0] * (k + 1)} for f, r in folds.items()}
+    schema = "fold:int,mean:array<double>,scale:array<double>,coef:array<double>"
+    penalty = np.diag([0.0] + [ridge] * k)
+    pairs = [(i, j) for i in range(k + 1) for j in range(i + 1)]
+    for _ in range(steps if known else 0):
+        table = _literal(spark, [{**v, "yes": folds[f].n / (2 * folds[f].pos), "no": folds[f].n / (2 * (folds[f].n - folds[f].pos))} for f, v in known.items()], schema + ",yes:double,no:double")
+        a = [F.lit(1.0)] + [(F.col(x) - F.col("mean")[i]) / F.col("scale")[i] for i, x in enumerate(xs)]
+        z = sum((F.col("coef")[i] * x for i, x in enumerate(a)), F.lit(0.0))
+        each = rows.join(F.broadcast(table), "fold").select("fold", "y", F.when(F.col("y") == 1, F.col("yes")).otherwise(F.col("no")).alias("w"), (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("p"), *[x.alias(f"a{i}") for i, x in enumerate(a)])
+        gradient = [F.sum(F.col("w") * (F.col("p") - F.col("y")) * F.col(f"a{i}")) for i in range(k + 1)]
+        curve = [F.sum(F.col("w") * F.col("p") * (1 - F.col("p")) * F.col(f"a{i}") * F.col(f"a{j}")) for i, j in pairs]
+        largest = 0.0
+        for r in each.groupBy("fold").agg(F.array(*gradient).alias("g"), F.array(*curve).alias("h")).collect():
+            b, h = np.array(known[r.fold]["coef"]), np.zeros((k + 1, k + 1))
+            for (i, j), v in zip(pairs, r.h, strict=True):
+                h[i, j] = h[j, i] = v
+            step = np.linalg.solve(h + penalty + 1e-9 * np.eye(k + 1), np.array(r.g) + penalty @ b)
+            known[r.fold]["coef"], largest = (b - step).tolist(), max(largest, float(np.abs(step).max()))
+        if largest < 1e-8:
+            break
+    return _literal(spark, list(known.values()), schema)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["date", "ticker"])
-        a, b = part[part.train], part[~part.train]
-        if a.y.sum() < least_each or (1 - a.y).sum() < least_each or not len(b):
-            return pd.DataFrame({"fold": [], "date": [], "ticker": [], "y": [], "p": []})
-        mean, spread = a[xs].mean(), a[xs].std(ddof=0).replace(0, 1)
-        coef = logistic_fit(((a[xs] - mean) / spread).to_numpy(), a.y.to_numpy(), ridge)
-        z = coef[0] + ((b[xs] - mean) / spread).to_numpy() @ coef[1:]
-        return pd.DataFrame({"fold": b.fold, "date": b.date, "ticker": b.ticker, "y": b.y, "p": 1 / (1 + np.exp(-z))})
 
-    return rows.groupBy("fold").applyInPandas(run, "fold int, date date, ticker string, y double, p double")
+def walk_forward_logistic(df: DataFrame, y: str, xs: list[str], folds: DataFrame, ridge: float = 1.0, least_each: int = 5) -> DataFrame:
+    """fold, date, ticker, y, p: each fold's fit on its training rows scores its test rows; see fit_folds.
+
+    folds: fold, train_start, train_end, test_start, test_end (row numbers), a row per test span of the calendar; folds
+    with too few of a label are left out. The rows are written once, as each Newton step reads them again.
+    """
+    known = df.where(" and ".join(f"{c} is not null" for c in [y, *xs])).select("date", "ticker", "pos", F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in xs])
+    path = scratch(df.sparkSession, "walk-forward")
+    known.write.parquet(path)
+    rows, spans = df.sparkSession.read.parquet(path), F.broadcast(folds)
+    train = rows.join(spans, F.col("pos").between(F.col("train_start"), F.col("train_end"))).select("fold", "y", *xs)
+    fits = fit_folds(train, xs, ridge, least_each)
+    test = rows.join(spans, F.col("pos").between(F.col("test_start"), F.col("test_end"))).join(F.broadcast(fits), "fold")
+    z = sum((F.col("coef")[i + 1] * (F.col(x) - F.col("mean")[i]) / F.col("scale")[i] for i, x in enumerate(xs)), F.col("coef")[0])
+    return test.select("fold", "date", "ticker", "y", (1 / (1 + F.exp(-z))).alias("p"))
 
 
 def make_folds(calendar: DataFrame, train: int, test: int, purge: int) -> DataFrame:
@@ -128,23 +168,45 @@ def make_folds(calendar: DataFrame, train: int, test: int, purge: int) -> DataFr
     return starts.select(((F.col("test_start") - train - purge) / test).cast("int").alias("fold"), (F.col("test_start") - train - purge).alias("train_start"), (F.col("test_start") - purge - 1).alias("train_end"), "test_start", F.least(F.col("test_start") + test - 1, F.col("last").cast("long")).alias("test_end"))
 
 
+def _seed(seed: int, key: str) -> np.random.Generator:
+    return np.random.default_rng([seed, zlib.crc32(str(key).encode())])
+
+
 def shift_test(df: DataFrame, mask: str, r: str, tries: int, key: str, seed: int = 0) -> DataFrame:
-    """key, observed, p: mean return where the mask holds, against circular shifts of the mask by hashed offsets."""
-    rows = df.where(F.col(r).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("date")) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-    masks = rows.where(F.col(mask)).select(F.col(key).alias("_key"), F.col("_i").alias("_m"), F.col("_n").alias("_mn"))
-    shifted = masks.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries)))).withColumn("_at", F.when(F.col("try") == 0, F.col("_m")).otherwise(F.pmod(F.col("_m") + F.pmod(F.xxhash64(F.lit(seed), "_key", "try"), F.col("_mn") - 1) + 1, F.col("_mn"))))
-    means = shifted.join(rows, (F.col("_key") == F.col(key)) & (F.col("_at") == F.col("_i"))).groupBy(key, "try").agg(F.avg(r).alias("mean"))
-    real = means.where("try = 0").select(F.col(key).alias("_rk"), F.col("mean").alias("observed"))
-    return means.where("try > 0").join(real, F.col(key) == F.col("_rk")).groupBy(key, "observed").agg(((1 + F.sum((F.col("mean") >= F.col("observed")).cast("int"))) / (1 + F.count("*"))).alias("p"))
+    """key, observed, p: mean return where the mask holds, against circular shifts of the mask by random offsets.
+
+    The means of all offsets of a key's series come from one Fourier transform, so that tries cost nothing but a look-up.
+    """
+    rows = df.where(F.col(r).isNotNull()).select(F.col(key).cast("string").alias(key), "date", F.coalesce(F.col(mask), F.lit(False)).alias("on"), F.col(r).cast("double").alias("r"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("date")
+        on, x, n = part["on"].to_numpy(dtype=float), part["r"].to_numpy(), len(part)
+        if not on.sum() or n < 2:
+            return part[:0].rename(columns={"on": "observed", "r": "p"})[[key, "observed", "p"]].astype({"observed": float})
+        means = np.fft.irfft(np.conj(np.fft.rfft(on)) * np.fft.rfft(x), n) / on.sum()
+        observed = float(x[on > 0].mean())
+        tried = means[_seed(seed, part[key].iloc[0]).integers(1, n, tries)]
+        return part[:1][[key]].assign(observed=observed, p=(1 + (tried >= observed - 1e-12).sum()) / (1 + tries))
+
+    return rows.groupBy(key).applyInPandas(run, f"{key} string, observed double, p double")
 
 
 def draw_test(df: DataFrame, chosen: str, label: str, tries: int, key: str, seed: int = 0) -> DataFrame:
-    """key, hits, p: labels among the chosen rows, against as many rows drawn without replacement by hash order."""
-    rows = df.where(F.col(label).isNotNull()).select(key, "date", F.coalesce(F.col(chosen), F.lit(False)).alias("_c"), F.col(label).cast("int").alias("_y"))
-    real = rows.groupBy(key).agg(F.sum(F.when(F.col("_c"), F.col("_y")).otherwise(0)).alias("hits"), F.sum(F.col("_c").cast("int")).alias("m")).where("m > 0")
-    drawn = rows.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries)))).withColumn("_k", F.row_number().over(Window.partitionBy(key, "try").orderBy(F.xxhash64(F.lit(seed), "try", "date"), "date")))
-    counts = drawn.join(real, key).where("_k <= m").groupBy(key, "try", "hits").agg(F.sum("_y").alias("n"))
-    return counts.groupBy(key, "hits").agg(((1 + F.sum((F.col("n") >= F.col("hits")).cast("int"))) / (1 + F.count("*"))).alias("p"))
+    """key, hits, p: labels among the chosen rows, against as many rows drawn without replacement.
+
+    The labels among m rows drawn from N with K labels are hypergeometric, so that four counts of a key are all it takes.
+    """
+    c, y = F.coalesce(F.col(chosen), F.lit(False)), F.col(label).cast("boolean")
+    n = lambda x: F.sum(x.cast("long"))
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(key).cast("string").alias(key)).agg(n(c & y).alias("hits"), n(c).alias("m"), n(y).alias("labels"), F.count("*").alias("n")).where("m > 0")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            drawn = [_seed(seed, k).hypergeometric(lab, all_ - lab, m, tries) for k, lab, m, all_ in zip(part[key], part["labels"], part["m"], part["n"], strict=True)]
+            yield pd.DataFrame({key: part[key], "hits": part["hits"], "p": [(1 + (d >= h).sum()) / (1 + tries) for d, h in zip(drawn, part["hits"], strict=True)]})
+
+    return counts.mapInPandas(run, f"{key} string, hits long, p double")
 
 
 def hac_slope(df: DataFrame, y: str, x: str, lags: int, key: str, order: str = "date") -> DataFrame:

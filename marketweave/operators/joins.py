@@ -34,9 +34,23 @@ def within_span(rows: DataFrame, spans: DataFrame, key: str, at: str, start: str
 
 
 def next_trading_date(events: DataFrame, calendar: DataFrame, at: str, strict: bool) -> DataFrame:
-    """events with trade_date: the first date of the calendar at (or after, if strict) the event; null after its end."""
-    cal = calendar.select(F.lit(1).alias("_one"), F.col("date").alias("trade_date"))
-    return asof(events.withColumn("_one", F.lit(1)), cal.withColumn("_at", F.col("trade_date")), ["_one"], at, "_at", ["trade_date"], "forward", not strict).drop("_one", "matched")
+    """events with trade_date: the first date of the calendar at (or after, if strict) the event; null after its end.
+
+    The calendar is a dimension: spread to one row per day (some 36,000 a century), with the dates on and after that
+    day, it is broadcast, and each event looks its own day up. An event before the calendar looks up the day before it.
+    """
+    cal = calendar.select(F.col("date").alias("_c")).distinct()
+    ends = cal.agg(F.date_sub(F.min("_c"), 1).alias("_low"), F.max("_c").alias("_high"))
+    days = ends.select(F.explode(F.sequence("_low", "_high")).alias("_day")).join(cal, F.col("_day") == F.col("_c"), "left")
+    back = Window.orderBy(F.col("_day").desc())
+    first = lambda last: F.last("_c", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, last))
+    days = days.select("_day", first(0).alias("_on"), first(-1).alias("_after"))
+    rows = events.crossJoin(F.broadcast(ends.select("_low")))  # one row
+    rows = rows.withColumn("_d", F.when(F.col(at).isNotNull(), F.greatest(F.to_date(at), F.col("_low"))))
+    late = F.lit(True) if strict else F.col(at).cast("timestamp") > F.to_date(at).cast("timestamp")
+    found = rows.join(F.broadcast(days), F.col("_d") == F.col("_day"), "left")
+    # what lies before the calendar is late in any case
+    return found.select(*events.columns, F.when(late & (F.to_date(at) >= F.col("_low")), F.col("_after")).otherwise(F.col("_on")).alias("trade_date"))
 
 
 def replay_delta(grid: DataFrame, events: DataFrame, seeds: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.series import corr_of, cs_rank, trailing
+from ..functions.series import corr_of, cs_rank, ln_factorial, pooled_quantiles, trailing
 
 TRADING_DAYS = 252
 
@@ -162,14 +162,15 @@ def event_study(df: DataFrame, event: Column, horizons: dict[str, str]) -> DataF
     """horizon, n, mean, hit, p10, p50, p90 of the forward-return columns on event rows."""
     pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("ret")) for h, c in horizons.items()]))
     rows = df.where(event).select(pairs.alias("e")).select("e.*").where("ret is not null")
-    return rows.groupBy("horizon").agg(
-        F.count("*").alias("n"), F.avg("ret").alias("mean"), F.avg((F.col("ret") > 0).cast("double")).alias("hit"),
-        F.percentile("ret", F.lit(0.1)).alias("p10"), F.percentile("ret", F.lit(0.5)).alias("p50"), F.percentile("ret", F.lit(0.9)).alias("p90"),
-    )
+    sums = rows.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.avg((F.col("ret") > 0).cast("double")).alias("hit"))
+    return sums.join(pooled_quantiles(rows, ["horizon"], "ret", {"p10": 0.1, "p50": 0.5, "p90": 0.9}), "horizon")
 
 
 def pairwise_corr(df: DataFrame, name: str, value: str, on: str, least: int) -> DataFrame:
-    """a, b, corr, n for each pair of names by a self-join on the date; null under `least` common dates."""
+    """a, b, corr, n for each pair of names by a self-join on the date; null under `least` common dates.
+
+    All pairs are the result: its size, and the rows that meet per date, grow with the square of the number of names.
+    """
     left = df.select(on, F.col(name).alias("a"), F.col(value).alias("x"))
     right = df.select(F.col(on).alias("_on"), F.col(name).alias("b"), F.col(value).alias("y"))
     joined = left.join(right, (F.col(on) == F.col("_on")) & (F.col("a") < F.col("b"))).where("x is not null and y is not null")
@@ -177,17 +178,24 @@ def pairwise_corr(df: DataFrame, name: str, value: str, on: str, least: int) ->
 
 
 def log_choose(n: Column, k: Column) -> Column:
-    """ln of n over k, summed term by term."""
-    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(terms, F.lit(0.0), lambda s, i: s + F.log((n - k + i) / i))
+    """ln of n over k."""
+    return ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k)
 
 
 def fisher_greater(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """One-sided p of a 2 x 2 table: chance of at least a, given the margins."""
+    """One-sided p of a 2 x 2 table: chance of at least a, given the margins.
+
+    Terms beyond 12 standard deviations from the mean (or from a, above it) add less than 1e-20 and are left out, so
+    that a table of N rows takes some sqrt(N) terms.
+    """
     n, row, column = a + b + c + d, a + b, a + c
+    mean = row * column / F.greatest(n, F.lit(1))
+    deviation = F.sqrt(mean * (n - row) / F.greatest(n, F.lit(1)) * (n - column) / F.greatest(n - 1, F.lit(1)))
     base = log_choose(n, column)
-    tail = F.sequence(a.cast("long"), F.least(row, column).cast("long"))
-    return F.least(F.lit(1.0), F.aggregate(tail, F.lit(0.0), lambda s, k: s + F.when(column - k <= n - row, F.exp(log_choose(row, k) + log_choose(n - row, column - k) - base)).otherwise(0.0)))
+    first = F.greatest(a.cast("double"), F.floor(mean - 12 * deviation) - 2, row + column - n, F.lit(0)).cast("long")
+    last = F.least(row, column, F.ceil(F.greatest(a, mean) + 12 * deviation) + 50).cast("long")
+    chance = lambda k: F.exp(log_choose(row, k) + log_choose(n - row, column - k) - base)
+    return F.least(F.lit(1.0), F.aggregate(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, k: s + chance(k)))
 
 
 def enrichment(df: DataFrame, subset: Column, label: Column) -> DataFrame:

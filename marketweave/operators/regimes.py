@@ -117,41 +117,46 @@ def spaced_events(df: DataFrame, flag: str, gap_days: int, key: list[str], order
 
 
 def trailing_stop(df: DataFrame, w: str, price: str, stop: float, cooldown: int, key: list[str], order: str = "date") -> DataFrame:
-    """held: the weight, but 0 from the row after a fall of `stop` from the trade's peak, for `cooldown` rows."""
+    """held, exit_flag, dd, peak: the weight, but 0 on a row whose price has fallen by `stop` from the trade's peak and for
+    `cooldown` rows after it. A trade begins with a positive weight; one that begins without a price is never stopped."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, held double, exit_flag boolean, dd double, peak double"
 
-    def step(rows: pd.DataFrame) -> list:
-        out, peak, wait = [], None, 0
-        for weight, px in zip(rows[w], rows[price], strict=True):
-            weight = 0.0 if weight is None or weight != weight else float(weight)
-            if wait > 0:
-                wait -= 1
-                peak = None
-                out.append(0.0)
-                continue
-            out.append(weight)
-            if weight == 0:
-                peak = None
-            elif px is not None and px == px:
-                peak = px if peak is None else max(peak, px)
-                if px / peak - 1 <= -stop:
-                    wait, peak = cooldown, None
-        return out
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        out, inside, peak, until = [], False, float("nan"), -1
+        for i, (weight, px) in enumerate(zip(rows[w].fillna(0.0).astype(float), rows[price].astype(float), strict=True)):
+            wanted = weight > 1e-12
+            if wanted and i <= until:
+                weight, wanted = 0.0, False
+            if wanted and not inside:
+                inside, peak = True, px
+            elif not wanted:
+                inside, peak = False, float("nan")
+            fall = float("nan")
+            if inside:
+                peak = px if px > peak else peak
+                fall = px / peak - 1
+            row = [weight, False, fall, peak]
+            if inside and fall <= -stop:
+                row[:2] = 0.0, True
+                inside, peak, until = False, float("nan"), i + cooldown
+            out.append(row)
+        held = pd.DataFrame(out, columns=["held", "exit_flag", "dd", "peak"], index=rows.index)
+        return pd.concat([rows, held], axis=1)
 
-    return stateful(df, key, order, "held", "double", step)
+    return df.groupBy(*key).applyInPandas(run, schema)
 
 
 def kill_switch(df: DataFrame, dd: str, limit: float, lockout: int, key: str, order: str = "date") -> DataFrame:
-    """live: false for `lockout` rows after the drawdown has passed the limit; re-arms when the counter is at 0."""
+    """live: false for `lockout` rows after the drawdown has passed the limit; the row that uses the lockout up is tested again."""
 
     def step(rows: pd.DataFrame) -> list:
         out, left = [], 0
         for d in rows[dd]:
-            if left > 0:
-                left -= 1
-                out.append(False)
-            else:
-                out.append(True)
-                left = lockout if d is not None and d <= -limit else 0
+            out.append(left == 0)
+            left = max(left - 1, 0)
+            if left == 0 and d is not None and d <= -limit:
+                left = lockout
         return out
 
     return stateful(df, [key], order, "live", "boolean", step)

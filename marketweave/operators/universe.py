@@ -18,14 +18,14 @@ def holds(x: Column) -> Column:
 class UniverseConfig:
     """Limits of the investable universe; None switches a filter off."""
 
-    price_window: int = 20
+    price_window: int = 21
     min_price: float | None = None
-    mcap_window: int = 20
+    mcap_window: int = 21
     min_mcap: float | None = None
     max_mcap: float | None = None
     turnover_window: int = 20
     min_turnover: float | None = None
-    min_age: int = 0
+    min_age: int = 63
 
 
 def price_floor(window: int, low: float, price: str = "close") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.series import ref, staged
+from ..functions.series import pooled_quantiles, ref, staged
 from ..operators import cross_section as xs
 from ..operators import metrics as m
 from ..operators.windows import rebalance_every
@@ -117,12 +117,13 @@ _add("jon19_ic_pairs", lambda d: m.pairwise_corr(_ics(d), "feature", "ic", "date
 _add("agg38_signal_sweep", lambda d: m.ic_stats(_ics(d), ["feature"]), {"mean": 5, "std": 5, "icir": 5, "hit": 5}, f"{_ICS}, final AS (SELECT feature, avg(ic) AS mean, stddev_pop(ic) AS std, avg(ic) / nullif(stddev_pop(ic), 0) AS icir, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS hit, count(ic) AS n FROM ics GROUP BY feature)", ("feature", "n"))
 _add("agg45_ic_frame", lambda d: _ics(d).groupBy("date").pivot("feature", ["score", "size", "volume"]).agg(F.max("ic")), {"score": 5, "size": 5, "volume": 5}, f"{_ICS}, final AS (SELECT date, max(CASE WHEN feature = 'score' THEN ic END) AS score, max(CASE WHEN feature = 'size' THEN ic END) AS size, max(CASE WHEN feature = 'volume' THEN ic END) AS volume FROM ics GROUP BY date)", ("date",))
 _add("win13_rolling_ic", lambda d: _ic(d).withColumn("k", F.lit(1)).withColumn("avg_ic", F.when(F.count("ic").over(Window.partitionBy("k").orderBy("date").rowsBetween(-9, 0)) == 10, F.avg("ic").over(Window.partitionBy("k").orderBy("date").rowsBetween(-9, 0)))), {"avg_ic": 6}, f"{_IC}, final AS (SELECT date, CASE WHEN count(ic) OVER (ORDER BY date ROWS 9 PRECEDING) = 10 THEN avg(ic) OVER (ORDER BY date ROWS 9 PRECEDING) END AS avg_ic FROM ic)", ("date",))
-_add("agg35_return_correlation", lambda d: m.pairwise_corr(d.where("ticker in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4')"), "ticker", "ret", "date", 10), {"corr": 5}, "r AS (SELECT * FROM panel WHERE ticker IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4') AND ret IS NOT NULL), final AS (SELECT x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) / (stddev_samp(x.ret) * stddev_samp(y.ret)) AS corr, count(*) AS n FROM r x JOIN r y ON x.date = y.date AND x.ticker < y.ticker GROUP BY x.ticker, y.ticker)", ("a", "b", "n"))
+_add("agg35_return_correlation", lambda d: m.pairwise_corr(d, "ticker", "ret", "date", 10), {"corr": 5}, "r AS (SELECT * FROM panel WHERE ret IS NOT NULL), final AS (SELECT x.ticker AS a, y.ticker AS b, CASE WHEN count(*) >= 10 THEN covar_samp(x.ret, y.ret) / (stddev_samp(x.ret) * stddev_samp(y.ret)) END AS corr, count(*) AS n FROM r x JOIN r y ON x.date = y.date AND x.ticker < y.ticker GROUP BY x.ticker, y.ticker)", ("a", "b", "n"))
 _add("agg36_bucket_membership", lambda d: _grid(d).where("bucket is not null").groupBy("ticker").agg(F.avg((F.col("bucket") == 5).cast("double")).alias("freq"), F.avg(F.when(F.col("bucket") == 5, F.col("fwd"))).alias("ret_in"), F.count("*").alias("n")), {"freq": 6, "ret_in": 5}, f"{_GRID}, final AS (SELECT ticker, avg(CASE WHEN bucket = 5 THEN 1.0 ELSE 0.0 END) AS freq, avg(CASE WHEN bucket = 5 THEN fwd END) AS ret_in, count(*) AS n FROM g WHERE bucket IS NOT NULL GROUP BY ticker)", ("ticker", "n"))
 _add("agg41_drawdown_duration", lambda d: m.drawdown_duration(_ticker(d), "ret", "ticker"), {}, f"{_TICKER}, {_DDS}, h AS (SELECT *, sum(CASE WHEN dd >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY date ROWS UNBOUNDED PRECEDING) AS p FROM f), r AS (SELECT ticker, p, sum(CASE WHEN dd < 0 THEN 1 ELSE 0 END) AS run FROM h GROUP BY ticker, p), final AS (SELECT ticker, CAST(max(run) AS BIGINT) AS longest FROM r GROUP BY ticker)", ("ticker", "longest"))
 _add("agg42_sortino", lambda d: _ticker(d).groupBy("ticker").agg(m.sortino("ret", 52).alias("v")), {"v": 5}, f"{_TICKER}, final AS (SELECT ticker, avg(ret) * sqrt(52) / nullif(sqrt(avg(pow(least(ret, 0), 2))), 0) AS v FROM src GROUP BY ticker)", ("ticker",))
 _add("agg47_seasonality", lambda d: _ticker(d).groupBy(F.month("date").alias("month")).agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("std"), F.min("ret").alias("low"), F.percentile("ret", F.lit(0.5)).alias("median"), F.max("ret").alias("high")), {"mean": 5, "std": 5, "low": 5, "median": 5, "high": 5}, f"{_TICKER}, final AS (SELECT month(date) AS month, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS std, min(ret) AS low, quantile_cont(ret, 0.5) AS median, max(ret) AS high FROM src GROUP BY month(date))", ("month", "n"))
-_add("agg48_quantile_bins", lambda d: xs.buckets(d, "score", 5).where("bucket is not null and fwd is not null").groupBy("bucket").agg(F.avg("fwd").alias("mean"), F.percentile("fwd", F.lit(0.5)).alias("median"), F.max("fwd").alias("high"), F.min("fwd").alias("low"), F.stddev_samp("fwd").alias("std"), F.count("*").alias("n")), {"mean": 5, "median": 5, "high": 5, "low": 5, "std": 5}, f"{_BUCKETED}, final AS (SELECT bucket, avg(fwd) AS mean, quantile_cont(fwd, 0.5) AS median, max(fwd) AS high, min(fwd) AS low, stddev_samp(fwd) AS std, count(*) AS n FROM b WHERE bucket IS NOT NULL AND fwd IS NOT NULL GROUP BY bucket)", ("bucket", "n"))
+_binned = lambda d: xs.buckets(d, "score", 5).where("bucket is not null and fwd is not null")
+_add("agg48_quantile_bins", lambda d: _binned(d).groupBy("bucket").agg(F.avg("fwd").alias("mean"), F.max("fwd").alias("high"), F.min("fwd").alias("low"), F.stddev_samp("fwd").alias("std"), F.count("*").alias("n")).join(pooled_quantiles(_binned(d), ["bucket"], "fwd", {"median": 0.5}), "bucket"), {"mean": 5, "median": 5, "high": 5, "low": 5, "std": 5}, f"{_BUCKETED}, final AS (SELECT bucket, avg(fwd) AS mean, quantile_cont(fwd, 0.5) AS median, max(fwd) AS high, min(fwd) AS low, stddev_samp(fwd) AS std, count(*) AS n FROM b WHERE bucket IS NOT NULL AND fwd IS NOT NULL GROUP BY bucket)", ("bucket", "n"))
 _PS = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
 _add("agg49_percentile_table", lambda d: d.groupBy("ticker").agg(F.percentile("px", F.array(*map(F.lit, _PS))).alias("v"), F.avg("px").alias("mean")).select("ticker", "mean", F.posexplode("v").alias("place", "v")), {"v": 4, "mean": 4}, f"p AS (SELECT ticker, quantile_cont(px, [{', '.join(map(str, _PS))}]) AS vs, avg(px) AS mean FROM panel GROUP BY ticker), final AS (SELECT ticker, mean, CAST(i - 1 AS INTEGER) AS place, vs[i] AS v FROM p, range(1, {len(_PS) + 1}) r(i))", ("ticker", "place"))
 _add("agg50_arithmetic_stats", lambda d: _ticker(d).groupBy("ticker").agg((F.avg("ret") * 52).alias("mean"), m.annual_vol("ret", 52, 1).alias("vol"), (m.annual_return("ret", 52) / m.annual_vol("ret", 52)).alias("geo_sharpe")), {"mean": 5, "vol": 5, "geo_sharpe": 4}, f"{_TICKER}, final AS (SELECT ticker, avg(ret) * 52 AS mean, stddev_samp(ret) * sqrt(52) AS vol, (pow(product(1 + ret), 52.0 / count(ret)) - 1) / (stddev_pop(ret) * sqrt(52)) AS geo_sharpe FROM src GROUP BY ticker)", ("ticker",))
@@ -153,7 +154,7 @@ _add("agg25_roc_auc", lambda d: m.auc(_classes(d), "p", "y", "year"), {"auc": 6,
 _add("agg26_brier_calibration", lambda d: m.calibration(_classes(d), "p", "y"), {"mean_p": 6, "rate": 6}, f"{_CLS}, final AS (SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, avg(p) AS mean_p, avg(y) AS rate, count(*) AS n FROM c GROUP BY 1)", ("bin", "n"))
 _add("agg27_event_study", lambda d: m.event_study(staged(d, f1=ref("px", -1) / F.col("px") - 1, f4=ref("px", -4) / F.col("px") - 1), F.col("ret") < -0.4, {"h1": "f1", "h4": "f4"}), {"mean": 5, "hit": 5, "p10": 5, "p50": 5, "p90": 5}, f"e AS (SELECT *, {q.ref('px', -1)} / px - 1 AS f1, {q.ref('px', -4)} / px - 1 AS f4 FROM panel), h AS (SELECT 'h1' AS horizon, f1 AS r FROM e WHERE ret < -0.4 UNION ALL SELECT 'h4', f4 FROM e WHERE ret < -0.4), final AS (SELECT horizon, count(*) AS n, avg(r) AS mean, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS hit, quantile_cont(r, 0.1) AS p10, quantile_cont(r, 0.5) AS p50, quantile_cont(r, 0.9) AS p90 FROM h WHERE r IS NOT NULL GROUP BY horizon)", ("horizon", "n"))
 _add("agg28_event_skew", lambda d: d.where("ret < -0.3 and fwd is not null").groupBy("sector").agg(F.count("*").alias("n"), F.percentile("fwd", F.lit(0.5)).alias("median"), F.stddev_samp("fwd").alias("std"), m.sample_skew("fwd").alias("skew")), {"median": 5, "std": 5, "skew": 4}, "final AS (SELECT sector, count(*) AS n, quantile_cont(fwd, 0.5) AS median, stddev_samp(fwd) AS std, skewness(fwd) AS skew FROM panel WHERE ret < -0.3 AND fwd IS NOT NULL GROUP BY sector)", ("sector", "n"))
-_add("agg34_enrichment", lambda d: m.enrichment(d.where("score is not null and fwd is not null and pos < 60"), F.col("score") < -0.4, F.col("fwd") > 0.1), {"odds_ratio": 6}, "t AS (SELECT score < -0.4 AS s, fwd > 0.1 AS y FROM panel WHERE score IS NOT NULL AND fwd IS NOT NULL AND pos < 60), n AS (SELECT count(CASE WHEN s AND y THEN 1 END) AS a, count(CASE WHEN s AND NOT y THEN 1 END) AS b, count(CASE WHEN NOT s AND y THEN 1 END) AS c, count(CASE WHEN NOT s AND NOT y THEN 1 END) AS d FROM t), final AS (SELECT *, CAST(a * d AS DOUBLE) / nullif(b * c, 0) AS odds_ratio FROM n)", ("a", "b", "c", "d"))
+_add("agg34_enrichment", lambda d: m.enrichment(d.where("score is not null and fwd is not null"), F.col("score") < -0.4, F.col("fwd") > 0.1), {"odds_ratio": 6, "p": 6}, "t AS (SELECT score < -0.4 AS s, fwd > 0.1 AS y FROM panel WHERE score IS NOT NULL AND fwd IS NOT NULL), n AS (SELECT count(CASE WHEN s AND y THEN 1 END) AS a, count(CASE WHEN s AND NOT y THEN 1 END) AS b, count(CASE WHEN NOT s AND y THEN 1 END) AS c, count(CASE WHEN NOT s AND NOT y THEN 1 END) AS d FROM t), lc AS (SELECT *, a + b + c + d AS nn, a + b AS rw, a + c AS cl FROM n), final AS (SELECT *, CAST(a * d AS DOUBLE) / nullif(b * c, 0) AS odds_ratio, least(1.0, list_sum([exp(lgamma(rw + 1.0) - lgamma(k + 1.0) - lgamma(rw - k + 1.0) + lgamma(nn - rw + 1.0) - lgamma(cl - k + 1.0) - lgamma(nn - rw - cl + k + 1.0) - lgamma(nn + 1.0) + lgamma(cl + 1.0) + lgamma(nn - cl + 1.0)) for k in generate_series(greatest(a, rw + cl - nn), least(rw, cl))])) AS p FROM lc)", ("a", "b", "c", "d"))
 # States
 _STATE = "st AS (SELECT *, CASE WHEN ret > 0.2 THEN 'up' WHEN ret < -0.2 THEN 'down' WHEN ret IS NOT NULL THEN 'flat' END AS state FROM panel)"
 _state = lambda d: d.withColumn("state", F.when(F.col("ret") > 0.2, "up").when(F.col("ret") < -0.2, "down").when(F.col("ret").isNotNull(), "flat"))
@@ -168,7 +169,7 @@ _add("top02_top_n_equal", lambda d: xs.top_k(d.where("pos % 2 = 0"), "score", 5)
 _add("top03_top_n_eligible", lambda d: xs.top_k(d.where("pos % 2 = 0 and volume > 100"), "score", 5).where("fwd is not null").groupBy("date").agg(F.avg("fwd").alias("ret"), F.count("*").alias("n")), {"ret": 5}, "tk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS place FROM panel WHERE score IS NOT NULL AND pos % 2 = 0 AND volume > 100), final AS (SELECT date, avg(fwd) AS ret, count(*) AS n FROM tk WHERE place <= 5 AND fwd IS NOT NULL GROUP BY date)", ("date", "n"))
 _add("top04_top_k_inverse_vol", lambda d: xs.top_k(staged(d, vol=F.stddev_samp("ret").over(Window.partitionBy("ticker").orderBy("date").rowsBetween(-11, 0))).where("pos % 4 = 0 and vol > 0"), "score", 4).withColumn("iv", 1 / F.col("vol")).withColumn("w", xs.share_of("iv", ["date"])), {"w": 6}, f"v AS (SELECT *, stddev_samp(ret) {q.w(12)} AS vol FROM panel), tk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS place FROM v WHERE score IS NOT NULL AND pos % 4 = 0 AND vol > 0), final AS (SELECT date, ticker, (1 / vol) / sum(1 / vol) OVER (PARTITION BY date) AS w FROM tk WHERE place <= 4)", _DT)
 _add("top05_top_k_forward", lambda d: xs.top_k(d.where("pos % 2 = 0"), "score", 3).where("fwd is not null").groupBy("date").agg(F.avg("fwd").alias("ret")), {"ret": 5}, f"{_TOP}, final AS (SELECT date, avg(fwd) AS ret FROM tk WHERE place <= 3 AND fwd IS NOT NULL GROUP BY date)", ("date",))
-_add("top06_top_pairs", lambda d: m.pairwise_corr(d, "ticker", "ret", "date", 10).orderBy(F.abs("corr").desc(), "a", "b").limit(20), {"corr": 5}, "r AS (SELECT * FROM panel WHERE ret IS NOT NULL), p AS (SELECT x.ticker AS a, y.ticker AS b, covar_samp(x.ret, y.ret) / (stddev_samp(x.ret) * stddev_samp(y.ret)) AS corr, count(*) AS n FROM r x JOIN r y ON x.date = y.date AND x.ticker < y.ticker GROUP BY x.ticker, y.ticker), final AS (SELECT * FROM p ORDER BY abs(corr) DESC, a, b LIMIT 20)", ("a", "b"))
+_add("top06_top_pairs", lambda d: m.pairwise_corr(d, "ticker", "ret", "date", 10).orderBy(F.abs("corr").desc(), "a", "b").limit(20), {"corr": 5}, "r AS (SELECT * FROM panel WHERE ret IS NOT NULL), p AS (SELECT x.ticker AS a, y.ticker AS b, CASE WHEN count(*) >= 10 THEN covar_samp(x.ret, y.ret) / (stddev_samp(x.ret) * stddev_samp(y.ret)) END AS corr, count(*) AS n FROM r x JOIN r y ON x.date = y.date AND x.ticker < y.ticker GROUP BY x.ticker, y.ticker), final AS (SELECT * FROM p ORDER BY abs(corr) DESC, a, b LIMIT 20)", ("a", "b"))
 _add("top07_top_one", lambda d: d.where("score is not null").groupBy("date").agg(F.max_by(F.struct("ticker", "fwd", "score"), F.struct("score", "ticker")).alias("x")).select("date", "x.ticker", "x.score", "x.fwd"), {"score": 6, "fwd": 5}, "t AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker DESC) AS k FROM panel WHERE score IS NOT NULL), final AS (SELECT * FROM t WHERE k = 1)", _DT)
 _add("top08_rank_rows", lambda d: d.where("fwd is not null").orderBy(F.col("fwd").desc(), "date", "ticker").limit(50), {"fwd": 5}, "final AS (SELECT * FROM panel WHERE fwd IS NOT NULL ORDER BY fwd DESC, date, ticker LIMIT 50)", _DT)
 _add("top09_keep_last", lambda d: d.where("px is not null").withColumn("k", F.row_number().over(Window.partitionBy("ticker", F.year("date")).orderBy(F.col("date").desc()))).where("k = 1"), {"px": 5}, "t AS (SELECT *, row_number() OVER (PARTITION BY ticker, year(date) ORDER BY date DESC) AS k FROM panel WHERE px IS NOT NULL), final AS (SELECT * FROM t WHERE k = 1)", _DT)

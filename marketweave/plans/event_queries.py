@@ -21,7 +21,7 @@ def _add(key: str, run, digits: dict[str, int], sql: str | None, plain: tuple[st
     """Registers run(spark, sf_dir); sql is a list of common table expressions that ends in final."""
     QUERIES[key] = lambda spark, sf_dir: run(spark, sf_dir).select(*plain, *[F.round(c, d).alias(c) for c, d in digits.items()])
     if sql is not None:
-        ORACLE_SQL[key] = f"WITH {sql.strip()}\nSELECT {', '.join([*plain, *[f'round({c}, {d}) + 0.0 AS {c}' for c, d in digits.items()]])} FROM final"
+        ORACLE_SQL[key] = q.recursive(f"WITH {sql.strip()}\nSELECT {', '.join([*plain, *[f'round({c}, {d}) + 0.0 AS {c}' for c, d in digits.items()]])} FROM final")
 
 
 _DT = ("date", "ticker")
@@ -47,15 +47,15 @@ _add("flt08_combined_filters", lambda s, d: (lambda b: b.withColumn("ok", un.inv
 
 def _events(s, d, strict=True):
     """Membership events on trading dates: ticker, date, delta."""
-    ev = member_events(s, d).withColumn("delta", F.when(F.col("direction") == "in", 1).otherwise(-1)).where("event_id % 40 = 0")
+    ev = member_events(s, d).withColumn("delta", F.when(F.col("direction") == "in", 1).otherwise(-1))
     on = jn.next_trading_date(ev.select("code", "change_date", "delta"), calendar(sparse_bars(s, d)), "change_date", strict)
     return on.where("trade_date is not null").select(F.col("code").alias("ticker"), F.col("trade_date").alias("date"), "delta")
 
 
-_EV = "ev AS (SELECT 'Brand#' || CAST(o_custkey % 25 + 1 AS VARCHAR) AS ticker, CAST(o_orderdate AS DATE) AS d, CASE o_orderstatus WHEN 'O' THEN 1 ELSE -1 END AS delta FROM orders WHERE o_orderkey % 40 = 0 AND o_orderstatus IN ('O', 'F')), ed AS (SELECT ev.ticker, dates.date, delta FROM ev ASOF JOIN dates ON ev.d < dates.date)"
+_EV = "ev AS (SELECT 'Brand#' || CAST(o_custkey % 25 + 1 AS VARCHAR) AS ticker, CAST(o_orderdate AS DATE) AS d, CASE o_orderstatus WHEN 'O' THEN 1 ELSE -1 END AS delta FROM orders WHERE o_orderstatus IN ('O', 'F')), ed AS (SELECT ev.ticker, dates.date, delta FROM ev ASOF JOIN dates ON ev.d < dates.date)"
 _DELTA = f"{q.BRAND}, {_EV}, sm AS (SELECT date, ticker, sum(delta) AS delta FROM ed GROUP BY date, ticker), mem AS (SELECT b.*, sum(coalesce(delta, 0)) OVER (PARTITION BY b.ticker ORDER BY b.date ROWS UNBOUNDED PRECEDING) + CASE WHEN b.ticker IN ('Brand#1', 'Brand#2') THEN 1 ELSE 0 END > 0 AS member FROM bars b LEFT JOIN sm ON sm.date = b.date AND sm.ticker = b.ticker)"
 _member = lambda s, d: jn.replay_delta(bars(s, d), _events(s, d), ["Brand#1", "Brand#2"])
-_add("jon08_next_trading_date", lambda s, d: jn.next_trading_date(member_events(s, d).where("event_id % 10 = 0").select("event_id", "change_date"), calendar(sparse_bars(s, d, "nation")), "change_date", False), {}, f"{q.NATION}, e AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS change_date FROM orders WHERE o_orderkey % 10 = 0 AND o_orderstatus IN ('O', 'F')), final AS (SELECT event_id, change_date, dates.date AS trade_date FROM e ASOF LEFT JOIN dates ON e.change_date <= dates.date)", ("event_id", "change_date", "trade_date"))
+_add("jon08_next_trading_date", lambda s, d: jn.next_trading_date(member_events(s, d).select("event_id", "change_date"), calendar(sparse_bars(s, d, "nation")), "change_date", False), {}, f"{q.NATION}, e AS (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS change_date FROM orders WHERE o_orderstatus IN ('O', 'F')), final AS (SELECT event_id, change_date, dates.date AS trade_date FROM e ASOF LEFT JOIN dates ON e.change_date <= dates.date)", ("event_id", "change_date", "trade_date"))
 _add("jon13_replay_delta", _member, {}, f"{_DELTA}, final AS (SELECT * FROM mem)", (*_DT, "member"))
 _add("jon14_replay_last", lambda s, d: jn.replay_last(bars(s, d), _events(s, d), ["Brand#3"]), {}, f"{q.BRAND}, {_EV}, la AS (SELECT date, ticker, min(delta) AS delta FROM ed GROUP BY date, ticker), final AS (SELECT b.date, b.ticker, coalesce(last_value(delta IGNORE NULLS) OVER (PARTITION BY b.ticker ORDER BY b.date ROWS UNBOUNDED PRECEDING) > 0, b.ticker = 'Brand#3') AS member FROM bars b LEFT JOIN la ON la.date = b.date AND la.ticker = b.ticker)", (*_DT, "member"))
 _add("flt09_final_universe", lambda s, d: un.universe_bundle(_member(s, d), _CFG), {}, f"{_DELTA}, final AS (SELECT date, ticker, member AND close IS NOT NULL AND {_INV} AS eligible FROM mem)", (*_DT, "eligible"))

@@ -35,6 +35,7 @@ _YES = lambda c: f"CASE WHEN {c} THEN 1.0 ELSE 0.0 END"
 _add(1, "size", [], "-ln(CASE WHEN mkt_cap > 0 THEN mkt_cap END)")
 _add(2, "on_minus_id", [f"ln({q.div('open', q.ref('close'))}) AS o, ln({q.div('close', 'open')}) AS i"], f"-((exp({q.full('sum', 'o', 4)}) - 1) - (exp({q.full('sum', 'i', 4)}) - 1))", 3, lookback=4)
 _add(3, "rsi", None)
+ORACLE_SQL["sig03_rsi"] = q.rsi_query(14)
 _add(4, "overnight_mom", [f"{q.div('open', q.ref('close'))} AS x"], f"-({q.full('product', 'x', 21)} - 1)")
 _add(5, "intraday_mom", [f"{q.div('close', 'open')} AS x"], f"-({q.full('product', 'x', 21)} - 1)")
 _add(6, "trend_annret_r2", [f"{q.ffill('close')} AS p", f"ln({q.ref('p', 21)}) AS y, CAST(pos AS DOUBLE) AS t"], f"CASE WHEN count(y) {q.w(63)} = 63 THEN (exp(regr_slope(y, t) {q.w(63)} * 52) - 1) * regr_r2(y, t) {q.w(63)} END", lookback=63, ann_factor=52)
@@ -47,12 +48,18 @@ _add(12, "vol_price_corr", [], f"-({q.corr('close', 'volume', 20)})")
 _add(13, "first_order_divergence", [f"volume - {q.ref('volume')} AS dv, {q.div('close', 'open')} - 1 AS r", f"{q.ts_rank('dv', 10)} AS a, {q.ts_rank('r', 10)} AS b"], f"-({q.corr('a', 'b', 10)})")
 _add(14, "vol_amp_comove", [f"volume - {q.ref('volume')} AS dv, {q.div('high', 'low')} - 1 AS r", f"{q.ts_rank('dv', 10)} AS a, {q.ts_rank('r', 10)} AS b"], q.corr("a", "b", 10))
 _add(15, "mom_second_order", None)
+_value = lambda: "SELECT date, ticker, round(value, 4) + 0.0 AS value FROM final WHERE value IS NOT NULL"
+_DIST = f"x0 AS (SELECT date, ticker, close, {q.ma('close', 20)} AS m FROM bars), x1 AS (SELECT *, (close - m) / nullif(m, 0) AS x FROM x0), x2 AS (SELECT *, x - {q.ref('x', 5)} AS d FROM x1)"
+ORACLE_SQL["sig15_mom_second_order"] = f"WITH RECURSIVE {q.BRAND}, {_DIST}, {q.ewm('final', 'x2', 'd', 2 / 11, 1, 'value')} {_value()}"
 _add(16, "mom_term_spread", [], f"{q.change('close', 20)} - {q.change('close', 60)}")
 _add(17, "amount_std", [_AMOUNT], f"-({q.std('amt', 20)})", 1)
 _add(18, "volume_std", [], f"-({q.std('volume', 20)})")
 _add(19, "turnover_change", [f"{_SAFE('volume', 'shares_outstanding')} AS t"], _SAFE(f"({q.ma('t', 20)})", f"({q.ma('t', 60)})"))
 _add(20, "bull_bear_total", [f"{_SAFE('close - low', '(high - close)')} AS z"], f"-({q.full('sum', 'z', 20)})", 2)
 _add(21, "bull_bear_change", None)
+_FLOW = f"z0 AS (SELECT date, ticker, volume * {_SAFE('(2 * close - high - low)', '(high - low)')} AS z FROM bars)"
+_TWO = f"{q.ewm('za', 'z0', 'z', 2 / 11, 1, 'a')}, {q.ewm('zb', 'za', 'z', 2 / 31, 1, 'b')}, final AS (SELECT date, ticker, a - b AS value FROM zb)"
+ORACLE_SQL["sig21_bull_bear_change"] = f"WITH RECURSIVE {q.BRAND}, {_FLOW}, {_TWO} {_value()}"
 _add(22, "liq_turn_avg_3M", [f"{_SAFE('volume', 'shares_outstanding')} AS t"], q.ma("t", 63), 7)
 _add(23, "liq_turn_std_3M", [f"{_SAFE('volume', 'shares_outstanding')} AS t"], q.std("t", 63), 7)
 _add(24, "liq_vstd_3M", [*_PAD, _AMOUNT], _SAFE(f"({q.ma('amt', 63)})", f"({q.std('r', 63)})"), 1)

@@ -39,23 +39,23 @@ def _panel_files(s, d):
 
 
 def _csv(s, d):
-    b = sparse_bars(s, d, "nation").where("ticker = 'NATION_3'").select("date", "ticker", "volume")
+    b = sparse_bars(s, d, "nation").select("date", "ticker", "volume")
     path = _written(s, d, "panel", lambda p: b.write.option("header", True).csv(p + ".csv"))
     return io.load_any(s, path + ".csv", "date date, ticker string, volume double")
 
 
 def _registry(s, d):
     r = io.DatasetRegistry(s, io.scratch(s, "registry"))
-    names = [x["n_name"] for x in table(s, d, "nation").orderBy("n_name").limit(100).collect()]
+    names = [x["n_name"] for x in table(s, d, "nation").toLocalIterator()]
     r.write([{"dataset_name": n, "path": f"processed/{n}.parquet", "schema_version": 1, "format": "parquet", "parameters": {"k": n}} for n in names])
     return r.read().select("dataset_name", "path", F.col("parameters")["k"].alias("k"))
 
 
 def _yearly(s, d):
-    o = table(s, d, "orders").select(F.concat(F.lit(" "), (F.col("o_custkey") % 20).cast("string")).alias("code"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_totalprice").alias("value"), "o_orderkey")
+    o = table(s, d, "orders").select(F.concat(F.lit(" "), (F.col("o_custkey") % 20).cast("string")).alias("code"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("line"), F.year("o_orderdate").alias("year"))
     path = io.scratch(s, "yearly")
-    o.repartition(1).sortWithinPartitions("o_orderkey").select("code", "date", "value").write.option("header", True).csv(path)
-    return io.yearly_csv_to_parquet(s, [path], "code string, date string, value double", ["code", "date"], "date", path + "-out", lambda x: x.withColumn("code", F.trim("code")))
+    o.write.partitionBy("year").option("header", True).csv(path)
+    return io.yearly_csv_to_parquet(s, [path], "code string, date string, value double, line long", ["code", "date"], "date", path + "-out", lambda x: x.withColumn("code", F.trim("code")), "line")
 
 
 def _factors(s, d):
@@ -105,8 +105,8 @@ _add("src02_long_to_wide", _wide, {}, f"{q.BRAND}, final AS (SELECT date, round(
 QUERIES["src02_long_to_wide"] = lambda s, d: _wide(s, d).select("date", F.round("`close__Brand#3`", 9).alias("c3"), F.col("`volume__Brand#7`").alias("v7"))
 ORACLE_SQL["src02_long_to_wide"] = ORACLE_SQL["src02_long_to_wide"].rsplit("SELECT", 1)[0] + "SELECT date, c3, v7 FROM final"
 _add("src03_panel_files", _panel_files, {"close": 9}, f"{q.BRAND}, final AS (SELECT * FROM sparse WHERE year(date) = 1997)", _DT)
-_add("src05_csv", _csv, {"volume": 2}, f"{q.NATION}, final AS (SELECT * FROM sparse WHERE ticker = 'NATION_3')", _DT)
-_add("src07_registry", _registry, {}, "final AS (SELECT n_name AS dataset_name, 'processed/' || n_name || '.parquet' AS path, n_name AS k FROM nation ORDER BY n_name LIMIT 100)", ("dataset_name", "path", "k"))
+_add("src05_csv", _csv, {"volume": 2}, f"{q.NATION}, final AS (SELECT * FROM sparse)", _DT)
+_add("src07_registry", _registry, {}, "final AS (SELECT n_name AS dataset_name, 'processed/' || n_name || '.parquet' AS path, n_name AS k FROM nation)", ("dataset_name", "path", "k"))
 _add("src08_aligned", lambda s, d: io.aligned(sparse_bars(s, d, "nation").withColumn("code", F.concat(F.lit(" "), "ticker")), "date", "code", "volume", bars(s, d, "nation").select("date", "ticker")), {"value": 2}, f"{q.NATION}, final AS (SELECT date, ticker, volume AS value FROM bars)", _DT)
 _add("src10_vendor_fields", lambda s, d: sparse_bars(s, d).select("date", "ticker", F.col("turnover").alias("money")).where("date >= '1998-01-01' and ticker in ('Brand#1', 'Brand#5')").withColumnRenamed("money", "turnover"), {"turnover": 2}, f"{q.BRAND}, final AS (SELECT * FROM sparse WHERE date >= DATE '1998-01-01' AND ticker IN ('Brand#1', 'Brand#5'))", _DT)
 _add("src12_yearly_csv", _yearly, {"value": 2}, "final AS (SELECT CAST(o_custkey % 20 AS VARCHAR) AS code, CAST(o_orderdate AS DATE) AS date, max_by(o_totalprice, o_orderkey) AS value FROM orders GROUP BY 1, 2)", ("code", "date"))
@@ -118,4 +118,4 @@ _add("src20_json_lines", _jsonl, {}, "final AS (SELECT * FROM nation)", ("n_nati
 _add("src21_curated_load", _curated, {}, "final AS (SELECT o_orderstatus, count(CASE WHEN o_orderkey % 5 = 0 THEN 1 END) AS n, count(*) AS all_n FROM orders GROUP BY o_orderstatus)", ("o_orderstatus", "n", "all_n"))
 _add("src22_run_artifacts", _artifacts, {}, f"{q.BRAND}, final AS (SELECT ticker, count(*) AS n FROM sparse GROUP BY ticker)", ("ticker", "n"))
 _add("src25_clean_bars", lambda s, d: io.clean_bars(bars(s, d, "nation").select("date", "ticker", F.when(F.col("volume") > 45, float("inf")).otherwise(F.col("volume")).alias("volume"))), {"volume": 2}, f"{q.NATION}, c AS (SELECT date, ticker, CASE WHEN volume <= 45 THEN volume END AS v FROM bars), k AS (SELECT *, count(v) OVER (PARTITION BY date) AS n FROM c), final AS (SELECT date, ticker, {q.ffill('v')} AS volume FROM k WHERE n > 0)", _DT)
-_add("src28_vendor_history", lambda s, d: io.vendor_history(table(s, d, "orders").where("o_orderkey % 11 = 0").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), F.format_number("o_totalprice", 2).alias("price"), F.col("o_orderkey").cast("string").alias("ticker"))), {"price": 2}, "final AS (SELECT CAST(o_orderkey AS VARCHAR) AS ticker, last_day(CAST(o_orderdate AS DATE)) AS month_end, o_totalprice AS price FROM orders WHERE o_orderkey % 11 = 0)", ("ticker", "month_end"))
+_add("src28_vendor_history", lambda s, d: io.vendor_history(table(s, d, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), F.format_number("o_totalprice", 2).alias("price"), (F.col("o_custkey") % 30).cast("string").alias("ticker"), F.col("o_orderkey").alias("line")), "line"), {"price": 2}, "final AS (SELECT CAST(o_custkey % 30 AS VARCHAR) AS ticker, last_day(CAST(o_orderdate AS DATE)) AS month_end, max_by(o_totalprice, {'a': CAST(o_orderdate AS DATE), 'b': o_orderkey}) AS price FROM orders GROUP BY 1, 2)", ("ticker", "month_end"))

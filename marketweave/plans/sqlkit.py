@@ -119,3 +119,39 @@ def bucket(x: str, n: int, usable: str | None = None) -> tuple[str, str]:
         f"row_number() OVER (PARTITION BY date, {u} ORDER BY {x}, ticker) - 1 AS bi, count(CASE WHEN {u} THEN 1 END) OVER (PARTITION BY date) AS bm",
         f"CASE WHEN {u} AND bm >= {n} THEN least({n - 1}, (bi * {n}) // greatest(bm - 1, 1)) + 1 END AS bucket",
     )
+
+
+def walk(name: str, rows: str, first: dict[str, str], step: dict[str, str], key: str = "ticker", order: str = "date") -> str:
+    """A table that walks each key's rows in order with a state: first from row n, step from the state before (s) and row n."""
+    same = " AND ".join(f"n.{k} = s.{k}" for k in key.split(", "))
+    begin, go = (", ".join(f"{v} AS {k}" for k, v in d.items()) for d in (first, step))
+    return f"""{name}_rows AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM {rows}),
+{name} AS (SELECT n.*, {begin} FROM {name}_rows n WHERE rn = 1 UNION ALL SELECT n.*, {go} FROM {name} s JOIN {name}_rows n ON {same} AND n.rn = s.rn + 1)"""
+
+
+def ewm(name: str, rows: str, x: str, alpha: float, least: int, out: str, key: str = "ticker", order: str = "date") -> str:
+    """rows with the exponential mean of x without adjustment, where gaps go on decaying, as a table `name`."""
+    keep = 1 - alpha
+    first = {"wt": f"CAST(n.{x} AS DOUBLE)", "ow": "CAST(1 AS DOUBLE)", "nobs": f"CASE WHEN n.{x} IS NULL THEN 0 ELSE 1 END"}
+    step = {
+        "wt": f"CASE WHEN s.wt IS NULL THEN n.{x} WHEN n.{x} IS NULL THEN s.wt ELSE (s.ow * {keep} * s.wt + {alpha} * n.{x}) / (s.ow * {keep} + {alpha}) END",
+        "ow": f"CASE WHEN s.wt IS NULL OR n.{x} IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE s.ow * {keep} END",
+        "nobs": f"s.nobs + CASE WHEN n.{x} IS NULL THEN 0 ELSE 1 END",
+    }
+    return f"{walk(f'{name}_w', rows, first, step, key, order)},\n{name} AS (SELECT * EXCLUDE (wt, ow, nobs, rn), CASE WHEN nobs >= {least} THEN wt END AS {out} FROM {name}_w)"
+
+
+def recursive(sql: str) -> str:
+    """sql, told that it holds a walk if it does."""
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1) if "UNION ALL SELECT n.*" in sql else sql
+
+
+def rsi(name: str, rows: str, x: str, n: int) -> str:
+    """rows with Wilder's relative strength index of x, as a table `name`."""
+    diff = f"{name}_d AS (SELECT *, {x} - {ref(x)} AS df FROM {rows}), {name}_u AS (SELECT *, CASE WHEN df > 0 THEN df WHEN df IS NOT NULL THEN 0.0 END AS up, CASE WHEN df < 0 THEN -df WHEN df IS NOT NULL THEN 0.0 END AS dn FROM {name}_d)"
+    means = f"{ewm(f'{name}_g', f'{name}_u', 'up', 1 / n, n, 'gain')}, {ewm(f'{name}_l', f'{name}_g', 'dn', 1 / n, n, 'loss')}"
+    return f"{diff}, {means}, {name} AS (SELECT *, CASE WHEN loss = 0 AND gain > 0 THEN 100.0 ELSE 100 - 100 / (1 + gain / nullif(loss, 0)) END AS rsi FROM {name}_l)"
+
+
+def rsi_query(n: int) -> str:
+    return f"WITH RECURSIVE {BRAND}, base AS (SELECT date, ticker, close FROM bars), {rsi('r', 'base', 'close', n)} SELECT date, ticker, round(rsi, 4) + 0.0 AS value FROM r WHERE rsi IS NOT NULL"

@@ -55,7 +55,7 @@ SELECT date, ticker, round(avg, 4) + 0.0 AS e FROM e
 _add("win08_rolling_ols", lambda d: op.rolling_ols(staged(d, y=F.ln("close")), "y", 26), {"slope": 6, "r2": 5}, ["ln(close) AS y, CAST(pos AS DOUBLE) AS x", f"CASE WHEN count(y) {q.w(26)} = 26 THEN regr_slope(y, x) {q.w(26)} END AS slope, CASE WHEN count(y) {q.w(26)} = 26 THEN regr_r2(y, x) {q.w(26)} END AS r2"])
 _add("win09_rolling_zscore", lambda d: staged(d, z=op.zscore("close", 26)), {"z": 4}, [f"(close - ({q.ma('close', 26)})) / nullif({q.std('close', 26)}, 0) AS z"])
 _add("win10_rolling_sharpe", lambda d: staged(d, r=change("close"), s=op.rolling_sharpe("r", 26, 52)), {"s": 4}, [f"{q.change('close')} AS r", f"({q.ma('r', 26)}) / nullif({q.full('stddev_pop', 'r', 26)}, 0) * sqrt(52) AS s"])
-_add("win11_equity_curve", lambda d: staged(d, r=change("close"), e=op.equity("r")), {"e": 3}, [f"{q.change('close')} AS r", f"product(1 + coalesce(r, 0)) {q.w()} AS e"], where="pos < 150")
+_add("win11_equity_curve", lambda d: staged(d, r=change("close"), e=op.equity("r")), {"e": 3}, [f"{q.change('close')} AS r", f"product(1 + coalesce(r, 0)) {q.w()} AS e"])
 _add("win12_drawdown", lambda d: staged(d, r=change("close"), e=op.equity("r"), dd=op.drawdown("e")), {"dd": 5}, [f"{q.change('close')} AS r", f"product(1 + coalesce(r, 0)) {q.w()} AS e", f"e / max(e) {q.w()} - 1 AS dd"])
 _add(
     "win14_forward_returns",

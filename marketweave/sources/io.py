@@ -77,9 +77,14 @@ def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def yearly_csv_to_parquet(spark: SparkSession, paths: list[str], schema: str, keys: list[str], date_col: str, out: str, postprocess: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """CSV files of years as one Parquet table: codes trimmed, dates parsed (a bad one is an error), the last row of a key kept."""
-    raw = spark.read.schema(schema).option("header", True).csv(paths).withColumn("_seq", F.monotonically_increasing_id())
+def yearly_csv_to_parquet(spark: SparkSession, paths: list[str], schema: str, keys: list[str], date_col: str, out: str, postprocess: Callable[[DataFrame], DataFrame] | None = None, order: str | None = None) -> DataFrame:
+    """CSV files of years as one Parquet table: codes trimmed, dates parsed (a bad one is an error), the last row of a key kept.
+
+    The last row is the one with the highest `order`; without it, the last line of the last file by name.
+    """
+    raw = spark.read.schema(schema).option("header", True).csv(paths)
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    raw = raw.withColumn("_seq", place if order is None else F.col(order))
     require(raw, [*keys, date_col])
     rows = raw.withColumn("_d", F.try_to_timestamp(F.col(date_col).cast("string"), F.lit("yyyy-MM-dd")).cast("date"))
     if rows.where("_d is null").limit(1).count():
@@ -167,10 +172,12 @@ def load_table(df: DataFrame, path: str, replace: bool) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def vendor_history(df: DataFrame) -> DataFrame:
-    """month_end and price from day/month/year dates and numbers with thousands separators: the last row of each month."""
-    rows = df.select(F.to_date("day", "dd/MM/yyyy").alias("date"), F.regexp_replace("price", ",", "").try_cast("double").alias("price"), "ticker").where("price is not null")
-    return rows.groupBy("ticker", F.last_day("date").alias("month_end")).agg(F.max_by("price", "date").alias("price"))
+def vendor_history(df: DataFrame, order: str | None = None) -> DataFrame:
+    """month_end and price from day/month/year dates and numbers with thousands separators: the last row of each month,
+    and of rows of one day the last by order, if one is given."""
+    at = F.struct(F.to_date("day", "dd/MM/yyyy").alias("date"), F.col(order) if order else F.lit(0))
+    rows = df.select(at.alias("at"), F.regexp_replace("price", ",", "").try_cast("double").alias("price"), "ticker").where("price is not null")
+    return rows.groupBy("ticker", F.last_day("at.date").alias("month_end")).agg(F.max_by("price", "at").alias("price"))
 
 
 def write_artifacts(path: str, run_id: str, **tables: DataFrame) -> None:

@@ -69,7 +69,7 @@ def live_hysteresis(rows: DataFrame, upper: float, lower: float) -> DataFrame:
 
 
 def live_trailing_stop(rows: DataFrame, stop: float, cooldown: int) -> DataFrame:
-    """event_id, user_id, held: 0 for some rows after a fall of `stop` from the running peak."""
+    """event_id, user_id, held: 0 on a fall of `stop` from the running peak and for `cooldown` rows after it."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         peak, wait = state.get if state.exists else (0.0, 0)
@@ -79,9 +79,10 @@ def live_trailing_stop(rows: DataFrame, stop: float, cooldown: int) -> DataFrame
                 wait, peak = wait - 1, 0.0
                 out.append(0)
                 continue
-            out.append(1)
             peak = max(peak, v)
-            if peak > 0 and v / peak - 1 <= -stop:
+            fell = peak > 0 and v / peak - 1 <= -stop
+            out.append(0 if fell else 1)
+            if fell:
                 wait, peak = cooldown, 0.0
         state.update((float(peak), int(wait)))
         if out:

@@ -156,8 +156,12 @@ def test_stateful_rules_match_loops(spark):
     hits = series(spark, [1, 1, 0, 1, 1]).withColumn("h", F.col("x") > 0)
     assert column(rg.spaced_events(hits, "h", 3, ["ticker"]), "chosen") == [True, False, False, True, False]
     stop = series(spark, [10, 12, 9, 9, 9, 9]).withColumn("w", F.lit(1.0))
-    assert column(rg.trailing_stop(stop, "w", "x", 0.2, 2, ["ticker"]), "held") == [1, 1, 1, 0, 0, 1]
+    stopped = rg.trailing_stop(stop, "w", "x", 0.2, 2, ["ticker"])
+    assert column(stopped, "held") == [1, 1, 0, 0, 0, 1] and column(stopped, "exit_flag") == [False, False, True, False, False, False]
+    assert column(stopped, "peak") == [10, 12, 12, None, None, 9] and column(stopped, "dd")[:3] == pytest.approx([0, 0, -0.25])
+    assert column(rg.trailing_stop(stop, "w", "x", 0.2, 0, ["ticker"]), "held") == [1, 1, 0, 1, 1, 1]
     assert column(rg.kill_switch(series(spark, [0, -0.2, -0.2, 0, 0]), "x", 0.1, 2, "ticker"), "live") == [True, True, False, False, True]
+    assert column(rg.kill_switch(series(spark, [0, -0.2, -0.2, -0.2, 0, 0, 0]), "x", 0.1, 2, "ticker"), "live") == [True, True, False, False, False, False, True]
 
 
 def test_episodes_and_merging(spark):
