@@ -35,7 +35,7 @@ ROUNDING = 1e-9
 BANDS, ROWS = 24, 4
 #: Members of a part of a bucket, about, in which neighbours are looked for before the parts' first members meet, and
 #: pairs that share one copy of a popular text's shingles.
-PART, COPY_PAIRS = 4096, 1024
+PART, COPY_PAIRS = 256, 1024
 #: Members of a bucket up to which its pairs are listed, and members of a block in larger ones.
 SMALL, BLOCK = 32, 512
 #: Keys of 16 bytes that are broadcast at most (32 MB); more are joined by shuffle.
@@ -73,6 +73,19 @@ def distinct(found: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return found[at], of[at], np.diff(np.append(at, len(found)))
 
 
+def weighed(found: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct shingles and how often each occurs, in any order; few shingles occur again, and only these are grouped."""
+    key = mix(found + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.sort(key)
+    again = np.unique(order[1:][order[1:] == order[:-1]])
+    if not len(again):
+        return found, of, np.ones(len(found))
+    repeated = again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key
+    f, o, n = distinct(found[repeated], of[repeated])
+    once = ~repeated
+    return np.concatenate([found[once], f]), np.concatenate([of[once], o]), np.concatenate([np.ones(once.sum()), n])
+
+
 def signatures(found: np.ndarray, of: np.ndarray, weight: np.ndarray, n_texts: int, registers: int) -> np.ndarray:
     """ProbMinHash registers (texts x registers) of weighted shingles; 0 where a text has no shingle."""
     times = np.full(n_texts * registers, np.inf)
@@ -123,7 +136,7 @@ def _sketch(bands: int, rows: int, words: int, counted: bool):
                 found, of = (np.concatenate(x) for x in zip(*every, strict=True))
                 weight = np.ones(len(found))
                 if counted:
-                    found, of, weight = distinct(found, of)
+                    found, of, weight = weighed(found, of)
                 registers = signatures(found, of, weight, len(texts), bands * rows)
                 keys = (mix(registers.reshape(len(texts), bands, rows)) * spread).sum(axis=2, dtype=np.uint64)
                 keys = mix(keys + mix(np.arange(1, bands + 1, dtype=np.uint64))).view(np.int64)
@@ -139,10 +152,12 @@ def _shingle_sets(words: int):
         for batch in batches:
             for _, texts in _parts([t or b"" for t in batch.columns[0].to_pylist()], _WORD_STEP):
                 found, of, times = distinct(*shingles(texts, words))
-                ends = np.cumsum(np.bincount(of, minlength=len(texts)))
-                offsets = pa.array(np.append(0, ends), pa.int32())
-                sets = pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64)))
-                many = pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))
+                n = np.bincount(of, minlength=len(texts))
+                sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(found.view(np.int64)))
+                # texts without a repeated shingle have an empty list of times
+                uneven = np.zeros(len(texts), dtype=bool)
+                uneven[of[times > 1]] = True
+                many = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n * uneven)), pa.int32()), pa.array(times[uneven[of]].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.binary()), sets, many], names=["key", "shingles", "times"])
 
     return run
@@ -163,7 +178,8 @@ def probability_jaccard(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarr
 
 
 def _weighted_similarity(sa: pd.Series, ta: pd.Series, sb: pd.Series, tb: pd.Series) -> pd.Series:
-    return pd.Series([probability_jaccard(*x) for x in zip(sa, ta, sb, tb, strict=True)])
+    times = lambda s, t: np.asarray(t, dtype=float) if len(t) else np.ones(len(s))
+    return pd.Series([probability_jaccard(x, times(x, p), y, times(y, q)) for x, p, y, q in zip(sa, ta, sb, tb, strict=True)])
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:
@@ -195,18 +211,35 @@ def _sets_of(docs: DataFrame, keys: DataFrame, words: int, counted: bool) -> Dat
 
 def _verified(held: DataFrame, pairs: DataFrame, similarity: float, counted: bool) -> DataFrame:
     """The pairs whose shingle sets (or multisets, if counted) have at least the given similarity."""
-    left = held.select(F.col("key").alias("a"), F.col("shingles").alias("sa"), *([F.col("times").alias("ta")] if counted else []))
-    right = held.select(F.col("key").alias("b"), F.col("shingles").alias("sb"), *([F.col("times").alias("tb")] if counted else []))
+    if counted:
+        # where no shingle of either text occurs again, the weighted similarity is that of the sets
+        uneven = cut(held.where(F.size("times") > 0).select("key"), "uneven")
+        mark = lambda c: sized(uneven.select(F.col("key").alias(c), F.lit(True).alias(f"_{c}")))
+        marked = pairs.join(mark("a"), "a", "left").join(mark("b"), "b", "left")
+        even = _verified(held, marked.where("_a is null and _b is null").select("a", "b"), similarity, False)
+        return even.unionByName(_verified_uneven(held, marked.where("_a or _b").select("a", "b"), similarity))
+    return _pairs_with(held, pairs).where(_shared() >= similarity * (F.size("sa") + F.size("sb") - _shared())).select("a", "b")
+
+
+def _shared():
+    return F.size(F.array_intersect("sa", "sb"))
+
+
+def _verified_uneven(held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    near = F.pandas_udf(_weighted_similarity, "double")("sa", "ta", "sb", "tb") >= similarity - ROUNDING
+    return _pairs_with(held, pairs, "times").where(near).select("a", "b")
+
+
+def _pairs_with(held: DataFrame, pairs: DataFrame, *more: str) -> DataFrame:
+    """pairs (a, b) with sa and sb, the shingles of each (and ta, tb)."""
+    columns = lambda x: [F.col("key").alias(x), F.col("shingles").alias(f"s{x}"), *[F.col(c).alias(f"{c[0]}{x}") for c in more]]
+    left, right = held.select(*columns("a")), held.select(*columns("b"))
     # a popular text stands in very many pairs: its shingles are shipped once for each COPY_PAIRS of them
     many = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / COPY_PAIRS).cast("int").alias("copies")).where("copies > 1"), "popular")
     copies = F.coalesce("copies", F.lit(1))
     dealt = pairs.join(sized(many, MOST_POPULAR), "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), copies).cast("int")).drop("copies")
     left = left.join(sized(many, MOST_POPULAR), "a", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
-    both = dealt.join(left, ["a", "copy"]).join(right, "b")
-    if counted:
-        return both.where(F.pandas_udf(_weighted_similarity, "double")("sa", "ta", "sb", "tb") >= similarity - ROUNDING).select("a", "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return dealt.join(left, ["a", "copy"]).join(right, "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,23 +297,25 @@ def _compare(similarity: float, counted: bool):
             size = np.array([len(sets[i]) for i in right])
             names, ids = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
             starts, mark = np.cumsum(size) - size, np.zeros(len(names))
-            if counted:
-                weights = np.concatenate([times[i] / times[i].sum() for i in right])
+            of = lambda i: times[i] if counted and len(times[i]) else np.ones(len(sets[i]))
+            even = np.array([not counted or not len(times[i]) for i in right])
+            share = None if even.all() and all(not counted or not len(times[i]) for i in left) else np.concatenate([of(i) / of(i).sum() for i in right])
             for i in left:
                 at = np.minimum(np.searchsorted(names, sets[i]), len(names) - 1)
                 both = names[at] == sets[i]
-                if counted:
+                mark[at[both]] = 1
+                shared = np.add.reduceat(mark[ids], starts)
+                # where no shingle of either text occurs again, the weighted similarity is that of the sets
+                plain = even if not counted or not len(times[i]) else np.zeros(len(right), dtype=bool)
+                near = np.flatnonzero(plain & (shared >= similarity * (len(sets[i]) + size - shared)))
+                if (~plain & (shared > 0)).any():
                     # the common mass m bounds the similarity from above, and m / (2 - m) bounds it from below
-                    mark[at[both]] = (times[i] / times[i].sum())[both]
-                    mass = np.add.reduceat(np.minimum(mark[ids], weights), starts)
-                    sure = mass / (2 - mass) >= similarity
-                    exact = lambda k, i=i: probability_jaccard(sets[i], times[i], sets[right[k]], times[right[k]])
-                    open_ = np.flatnonzero((mass >= similarity - ROUNDING) & ~sure)
-                    near = np.append(np.flatnonzero(sure), np.array([k for k in open_ if exact(k) >= similarity - ROUNDING], dtype=np.int64))
-                else:
-                    mark[at[both]] = 1
-                    shared = np.add.reduceat(mark[ids], starts)
-                    near = np.flatnonzero(shared >= similarity * (len(sets[i]) + size - shared))
+                    mark[at[both]] = (of(i) / of(i).sum())[both]
+                    mass = np.add.reduceat(np.minimum(mark[ids], share), starts)
+                    sure = ~plain & (mass / (2 - mass) >= similarity)
+                    open_ = np.flatnonzero(~plain & ~sure & (mass >= similarity - ROUNDING))
+                    exact = [k for k in open_ if probability_jaccard(sets[i], of(i), sets[right[k]], of(right[k])) >= similarity - ROUNDING]
+                    near = np.concatenate([near, np.flatnonzero(sure), np.array(exact, dtype=np.int64)])
                 mark[at[both]] = 0
                 for root, j in {roots[right[k]]: right[k] for k in near}.items():
                     if root != roots[i]:
