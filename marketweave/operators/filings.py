@@ -88,32 +88,38 @@ def _rules(df: DataFrame, rules: tuple, names: str) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in rules], names))
 
 
+def _matches(text: Column, rules: tuple) -> Column:
+    """A row for each rule (pattern, name) whose pattern text holds; each pattern is compiled once."""
+    return F.explode(F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(name).cast("string").alias("name"))) for p, name in rules])))
+
+
 def line_facts(pages: DataFrame) -> DataFrame:
     """Every table line and rule that match: filing_id, page_no, line_no, code, value, confidence, label."""
     lines = pages.select("filing_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    hits = lines.join(_rules(pages, TABLE_RULES, "pattern string, rule_code string"), F.regexp_like(F.lower(F.col("line")), F.col("pattern")))
+    hits = lines.withColumn("hit", _matches(F.lower("line"), TABLE_RULES))
     value = last_number(F.col("line"))
-    code = F.coalesce("rule_code", line_item(F.col("line")))
+    code = F.coalesce("hit.name", line_item(F.col("line")))
     return hits.select("filing_id", "page_no", "line_no", code.alias("code"), value.alias("value"), F.when(value.isNotNull(), 0.45).otherwise(0.2).alias("confidence"), F.trim("line").alias("label"))
 
 
 def note_anchors(pages: DataFrame) -> DataFrame:
-    hits = pages.join(_rules(pages, NOTE_HEADINGS, "note_group string, pattern string"), F.regexp_like(F.col("text"), F.col("pattern")))
-    return hits.select("filing_id", "page_no", "note_group", F.lit(0.8).alias("confidence"))
+    hits = pages.withColumn("hit", _matches(F.col("text"), tuple((p, g) for g, p in NOTE_HEADINGS)))
+    return hits.select("filing_id", "page_no", F.col("hit.name").alias("note_group"), F.lit(0.8).alias("confidence"))
 
 
 def note_facts(pages: DataFrame) -> DataFrame:
     """Note lines by metric rule; labels are cut to 250 characters."""
     lines = pages.select("filing_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    hits = lines.join(_rules(pages, METRIC_RULES, "pattern string, code string"), F.regexp_like(F.col("line"), F.col("pattern")))
+    hits = lines.withColumn("hit", _matches(F.col("line"), METRIC_RULES))
     value = last_number(F.col("line"))
-    return hits.select("filing_id", "page_no", "line_no", "code", value.alias("value"), F.when(value.isNotNull(), 0.35).otherwise(0.25).alias("confidence"), F.substring(F.trim("line"), 1, 250).alias("label"))
+    return hits.select("filing_id", "page_no", "line_no", F.col("hit.name").alias("code"), value.alias("value"), F.when(value.isNotNull(), 0.35).otherwise(0.25).alias("confidence"), F.substring(F.trim("line"), 1, 250).alias("label"))
 
 
 def pivot_facts(facts: DataFrame, codes: list[str]) -> DataFrame:
     """A row per filing with the first value of each code, by page and line."""
-    first = facts.where("value is not null").groupBy("filing_id", "code").agg(F.min_by("value", F.struct("page_no", "line_no")).alias("value"))
-    return first.groupBy("filing_id").pivot("code", codes).agg(F.first("value"))
+    known = facts.where("value is not null")
+    first = lambda c: F.min_by("value", F.when(F.col("code") == c, F.struct("page_no", "line_no"))).alias(c)
+    return known.groupBy("filing_id").agg(*map(first, codes))
 
 
 def book_nav(df: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def next_trading_date(events: DataFrame, calendar: DataFrame, at: str, strict: b
     """
     cal = calendar.select(F.col("date").alias("_c")).distinct()
     ends = cal.agg(F.date_sub(F.min("_c"), 1).alias("_low"), F.max("_c").alias("_high"))
-    days = ends.select(F.explode(F.sequence("_low", "_high")).alias("_day")).join(cal, F.col("_day") == F.col("_c"), "left")
+    days = ends.select(F.explode(F.sequence("_low", "_high")).alias("_day")).join(F.broadcast(cal), F.col("_day") == F.col("_c"), "left")
     back = Window.orderBy(F.col("_day").desc())
     first = lambda last: F.last("_c", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, last))
     days = days.select("_day", first(0).alias("_on"), first(-1).alias("_after"))

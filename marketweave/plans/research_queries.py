@@ -145,7 +145,7 @@ _SSE = "({p}yy - {p}y * {p}y / {p}n) - pow({p}xy - {p}x * {p}y / {p}n, 2) / ({p}
 _TERMS = {"n": "1.0", "x": "x", "y": "y", "xx": "x * x", "xy": "x * y", "yy": "y * y"}
 _add("ml04_break_scan", lambda d: inf.break_scan(_lnp(d), "y", 30), {"sse": 4}, f"a AS (SELECT *, {_LNP} FROM panel WHERE px IS NOT NULL), s AS (SELECT *, " + ", ".join(f"sum({t}) {q.w()} AS l_{k}, sum({t}) OVER (PARTITION BY ticker) - sum({t}) {q.w()} AS r_{k}" for k, t in _TERMS.items()) + f" FROM a), z AS (SELECT ticker, pos, {_SSE.format(p='l_')} + {_SSE.format(p='r_')} AS sse FROM s WHERE l_n >= 30 AND r_n >= 30), final AS (SELECT ticker, arg_min(pos, sse) AS break_at, min(sse) AS sse FROM z GROUP BY ticker)", ("ticker", "break_at"))
 _features = lambda d: staged(d, l1=ref("ret"), l2=ref("ret", 2), up=(F.col("fwd") > 0).cast("double"))
-_add("ml05_expanding_ols", lambda d: inf.expanding_ols(_features(d).select("date", "ticker", "ret", "l1", "l2"), "ret", ["l1", "l2"], 36, ["ticker"]).where("not isnan(forecast)"), {"forecast": 5}, None, _DT)
+_add("ml05_expanding_ols", lambda d: inf.expanding_ols(_features(d).select("date", "ticker", "ret", "l1", "l2"), "ret", ["l1", "l2"], 36, ["ticker"]).where("forecast is not null and not isnan(forecast)"), {"forecast": 5}, None, _DT)
 _add("ml10_folds", lambda d: inf.make_folds(d.select("date", "pos").distinct(), 104, 13, 2), {}, "mx AS (SELECT max(pos) AS last FROM panel), t AS (SELECT unnest(generate_series(106, last, 13)) AS test_start, last FROM mx), final AS (SELECT CAST((test_start - 106) / 13 AS INTEGER) AS fold, test_start - 106 AS train_start, test_start - 3 AS train_end, test_start, least(test_start + 12, last) AS test_end FROM t)", ("fold", "train_start", "train_end", "test_start", "test_end"))
 _folds = lambda d: inf.make_folds(d.select("date", "pos").distinct(), 104, 26, 2)
 _add("ml06_walk_forward_logistic", lambda d: inf.walk_forward_logistic(_features(d), "up", ["score", "l1", "l2"], _folds(d)), {"p": 5}, None, ("fold", *_DT))

@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,11 +14,17 @@ from pyspark.sql.window import Window
 from ..functions.series import clean, ffill
 
 FIELDS = ("open", "high", "low", "close", "volume", "turnover")
+#: Columns of a daily table of price limits (fixed values).
+LIMIT_FIELDS = ("open", "close", "volume", "high_limit", "low_limit")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or on one machine the warehouse."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -47,10 +54,45 @@ def save_panel(bars: DataFrame, path: str) -> None:
     bars.withColumn("year", F.year("date")).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
-def load_panel(spark: SparkSession, path: str) -> DataFrame:
+def load_panel(spark: SparkSession, path: str, registry: DatasetRegistry | None = None, root: str = "") -> DataFrame:
+    """A panel by path, or by the name that a registry knows; a name without a suffix is looked up there."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if registry is not None and "/" not in path and "." not in name:
+        path = registry.resolve(path, root)
     return spark.read.parquet(path)
 
 
+def load_with_provenance(spark: SparkSession, path: str, registry: DatasetRegistry, root: str = "", schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A table by name or path, read by its suffix, and the registry's entries for it (no row, if it has none)."""
+    name = path if "/" not in path and "." not in path else None
+    entries = registry.read()
+    entries = entries.where(F.col("dataset_name") == name) if name else entries.where(F.endswith(F.lit(path), F.col("path")))
+    return load_any(spark, registry.resolve(path, root) if name else path, schema), entries
+
+
+def build_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path; where there is none, build's rows are written there first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def load_limits(spark: SparkSession, path: str, grid: DataFrame) -> DataFrame:
+    """open, close, volume, high_limit and low_limit on the grid (date, ticker) from a daily table of codes.
+
+    A missing column and a repeated date and code are errors; codes are trimmed, rows without a key dropped.
+    """
+    rows = require(spark.read.parquet(path), ["date", "code", *LIMIT_FIELDS])
+    keyed = rows.select(F.to_date("date").alias("date"), F.trim("code").alias("ticker"), *[clean(F.col(c)).alias(c) for c in LIMIT_FIELDS]).where("date is not null and ticker <> ''")
+    if keyed.groupBy("date", "ticker").count().where("count > 1").limit(1).count():
+        raise ValueError("duplicate date and code")
+    return grid.select("date", "ticker").join(keyed, ["date", "ticker"], "left")
+
+
 def load_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Parquet, CSV with a header, or JSON lines, by suffix; other suffixes are an error."""
     reader = spark.read.schema(schema) if schema else spark.read

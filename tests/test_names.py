@@ -1,13 +1,16 @@
 """Queries carry the inventory's number of what they compute, and what is not built says so."""
 
 import os
+import re
 
 from marketweave.plans import registry
 
 
 def test_unbuilt_methods_have_no_query_and_are_listed():
     readme = open(os.path.join(os.path.dirname(__file__), "..", "README.md"), encoding="utf-8").read()
-    unbuilt = readme[readme.index("### Not built") :]
-    for number in ("AGG18", "NAV05", "NAV07"):
-        assert f"({number})" in unbuilt and not [k for k in registry.QUERIES if k.startswith(f"{number.lower()}_")]
-    assert "SRC06;" in unbuilt and "nav04_note_facts" in registry.ORACLE_SQL
+    unbuilt = readme[readme.index("### Not built") :].split("###")[1]
+    for number in re.findall(r"\b[A-Z]{2,3}\d\d\b", unbuilt):
+        assert not [k for k in registry.QUERIES if k.startswith(f"{number.lower()}_")], number
+    for number in ("AGG18", "NAV05", "NAV07", "SRC06"):  # built, each with a query of its name, or listed
+        assert number in unbuilt or [k for k in registry.ORACLE_SQL if k.startswith(f"{number.lower()}_")]
+    assert "nav04_note_facts" in registry.ORACLE_SQL
