@@ -14,10 +14,16 @@ HOT_SHARE = 500
 BATCH_ROWS = 500
 
 
+#: Paths of the tables that cut has written, in order.
+_WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one beside the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine, if unset, one beside the warehouse."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return found.rstrip("/")
 
@@ -25,13 +31,26 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table into the shared folder and reads it back, which ends its lineage.
 
-    The table outlives any executor. The folder's owner clears it with the session.
+    The table outlives any executor. It stays until release drops it, or the folder's owner clears the folder.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int) -> int:
+    """Drops the tables that cut has written after the first `since`, all but the last one; returns how many are left.
+
+    For a caller that has just written a result made of them, and needs them no more.
+    """
+    for path in _WRITTEN[since:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN[since:] = _WRITTEN[-1:] if len(_WRITTEN) > since else []
+    return len(_WRITTEN)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

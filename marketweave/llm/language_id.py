@@ -149,7 +149,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], held_out: Colu
     """doc_id, held_out, lang_pred and score (the posterior) of each row; only the text decides.
 
     Null texts and texts without a letter give und with score 0, as does every text under a model without languages.
-    Equal scores give the language that sorts first. Other columns of docs are not read.
+    Equal scores give the language that sorts first. Repeated rows are predicted each for itself; an empty table gives an
+    empty result. Other columns of docs are not read.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -158,7 +159,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], held_out: Colu
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learns from documents whose crc32(doc_id) mod 4 is not 2 (rows with null ids are not learned from), and predicts all."""
+    """Learns from documents whose crc32(doc_id) mod 4 is not 2 (rows with null ids are not learned from), and predicts all.
+
+    Each repeated row counts once more in what is learned. Without a usable row every prediction is und.
+    """
     held = id_crc(F.col("doc_id"), 4) == 2
     return predict(docs, train(docs, F.coalesce(~held, F.lit(False))), held)
 

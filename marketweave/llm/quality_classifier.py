@@ -13,11 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, id_crc, small_batches
 
-#: Labelled rows to fit on at most (those whose ids hash lowest), and the bytes of the longest text among them.
-SAMPLE, LONGEST = 4000, 100_000
+#: Labelled rows to fit on at most (those whose ids hash lowest), the bytes of the longest text among them, and of all.
+SAMPLE, LONGEST, SAMPLE_BYTES = 4000, 100_000, 64_000_000
 #: Shape of the network: embedding, half a chunk, filters.
 EMBED, STRIDE, FILTERS = 8, 8, 48
 EPOCHS, BATCH, SEED = 8, 32, 7
@@ -134,19 +135,28 @@ def _score_long(net: dict, text: bytes) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> dict:
     """A network from at most sample labelled rows whose crc32(doc_id) mod 5 is not 0 and whose text has at most longest bytes.
 
-    Rows with null id or label are left out, as are ids with contradicting labels.
+    Together their texts have at most SAMPLE_BYTES, which is what the driver receives. Rows with null id or label are left
+    out, as are ids with contradicting labels; of several rows of an id, the greatest text counts. Without usable rows,
+    or with empty tables, the network is one that has learned nothing.
     """
     small_batches(docs.sparkSession)
     usable = labels.where("doc_id is not null and quality is not null").where(id_crc(F.col("doc_id"), 5) != 0)
     clear = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     chosen = cut(clear.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where(F.octet_length("text") <= longest)
-    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("quality").alias("quality")).orderBy("doc_id").toPandas()
+    found = cut(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("quality").alias("quality")), "labelled")
+    # a window without a key over at most sample ids and lengths
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    few = found.select("doc_id", F.octet_length("text").alias("size")).withColumn("sum", F.sum("size").over(upto)).where(F.col("sum") <= SAMPLE_BYTES)
+    found = found.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi").orderBy("doc_id").toPandas()
     return fit([bytes(t) for t in found["text"]], found["quality"].to_numpy(dtype=np.float64))
 
 
 def score(docs: DataFrame, net: dict, cut_at: float = CUT) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row; only the text decides the score. Null texts count as empty."""
+    """doc_id, held_out, score, predicted of each row; only the text decides the score. Null texts count as empty.
+
+    Repeated rows are scored each for itself; an empty table gives an empty result. Other columns are not read.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

@@ -7,7 +7,6 @@ result is an ordered chain of Spark conditions over the statistics.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -180,11 +179,12 @@ def base_failed() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Rules learned from at most sample labelled rows; rows with null id or label are left out, doubtful ids too."""
+    """Rules learned from at most sample labelled ids; rows with null id or label are left out, ids of contradicting labels
+    too. Of several rows of an id, the greatest text counts. Without usable rows, or with empty tables, no rule is learned."""
     clear = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     chosen = cut(clear.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
-    few = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    rows = statistics(few).where(~base_failed()).join(F.broadcast(chosen), "doc_id").select("quality", *[feature(n).alias(n) for n in FEATURES]).orderBy("quality", *FEATURES).limit(2 * sample).toPandas()
+    few = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = statistics(few).where(~base_failed()).join(F.broadcast(chosen), "doc_id").select("quality", *[feature(n).alias(n) for n in FEATURES]).orderBy("quality", *FEATURES).toPandas()
     names = list(FEATURES)
     return learn(rows[names].to_numpy(dtype=np.float64), rows["quality"].to_numpy() == 0, names)
 
@@ -206,25 +206,9 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     rule (the number of the learned rule that dropped the row, 0 if none).
 
     Null texts count as empty and fail the base rules. Without usable labels all that pass the base rules are kept.
-    Repeated rows are judged each for itself; other columns are not read. Words are compared by 64-bit hashes.
+    Repeated rows are judged each for itself; an empty table gives an empty result; other columns are not read. Words are
+    compared by 64-bit hashes.
     """
     keep, number = verdict(train(docs, labels, sample))
     out = statistics(docs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & keep).alias("kept"), F.when(base_failed(), 0).otherwise(number).alias("rule"))
-
-
-def brute_force(text: str | None) -> tuple[int, int, int, int, int]:
-    """The base statistics of one text by plain loops, for tests."""
-    import re
-
-    text = text or ""
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    seen, dup = set(), 0
-    for line in text.split("\n"):
-        if re.search(r"[^\x20\x09-\x0D]", line):
-            dup += line in seen
-            seen.add(line)
-    grams = [tuple(words[i : i + WINDOW]) for i in range(len(words) - WINDOW + 1)]
-    often = Counter(grams)
-    covered = {j for i, g in enumerate(grams) if often[g] > 1 for j in range(i, i + WINDOW)}
-    return len(words), sum(map(len, words)), sum(c in SYMBOLS for c in text), dup, len(covered)
