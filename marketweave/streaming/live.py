@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "1 hour"
+#: A key without events for so long loses its state.
+IDLE_MS = 90 * 24 * 3_600_000
 
 
-def events(spark: SparkSession, path: str) -> DataFrame:
+def events(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """The event table as a stream; its local timestamps become instants, which watermarks need.
 
     path may be one file or a folder: as a pattern, either is listed as the stream's input. All files that are there
     are one batch, whatever their number and order: files may each span the whole period, and a batch of some of them
-    would move the watermark past the others' rows. Only rows of files that come later can be late.
+    would move the watermark past the others' rows. Only rows of files that come later can be late. For files that were
+    written in the order of their rows, `files` bounds a batch to as many of them.
     """
     schema = spark.read.parquet(path).schema
     head, _, name = path.rstrip("/").rpartition("/")
-    rows = spark.readStream.schema(schema).parquet(f"{head}/[{name[0]}]{name[1:]}")
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
+    rows = reader.parquet(f"{head}/[{name[0]}]{name[1:]}")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -52,29 +57,46 @@ def _ordered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(found).sort_values(["ts", "event_id"]) if found else pd.DataFrame()
 
 
-def live_hysteresis(rows: DataFrame, upper: float, lower: float) -> DataFrame:
-    """event_id, user_id, state: on above upper, off below lower, kept in between; the state lives between batches."""
+def _keyed(rows: DataFrame, step: Callable[[pd.DataFrame, tuple], tuple[list, tuple]], first: tuple, out: str, schema: str, late: str, idle_ms: int) -> DataFrame:
+    """event_id, user_id and column `out`: step walks a user's rows of a batch, in order of time, on from the state that the
+    last batch left. Rows behind the watermark are dropped; a user's state goes idle_ms of event time after its last row."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, out = (state.get[0] if state.exists else 0), []
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         batch = _ordered(parts)
-        for v in batch["value"] if len(batch) else []:
+        if not len(batch):
+            return
+        found, now = step(batch, state.get if state.exists else first)
+        state.update(now)
+        last = int(batch["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame({"event_id": batch["event_id"], "user_id": batch["user_id"], out: found})
+
+    keyed = rows.withWatermark("ts", late).groupBy("user_id")
+    return keyed.applyInPandasWithState(run, f"event_id long, user_id long, {out} int", schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def live_hysteresis(rows: DataFrame, upper: float, lower: float, late: str = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
+    """event_id, user_id, state: on above upper, off below lower, kept in between; the state lives between batches."""
+
+    def step(batch: pd.DataFrame, before: tuple) -> tuple[list, tuple]:
+        now, out = before[0], []
+        for v in batch["value"]:
             now = 1 if v > upper else 0 if v < lower else now
             out.append(now)
-        state.update((now,))
-        if out:
-            yield pd.DataFrame({"event_id": batch["event_id"], "user_id": batch["user_id"], "state": out})
+        return out, (now,)
 
-    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, state int", "state int", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(rows, step, (0,), "state", "state int", late, idle_ms)
 
 
-def live_trailing_stop(rows: DataFrame, stop: float, cooldown: int) -> DataFrame:
+def live_trailing_stop(rows: DataFrame, stop: float, cooldown: int, late: str = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
     """event_id, user_id, held: 0 on a fall of `stop` from the running peak and for `cooldown` rows after it."""
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        peak, wait = state.get if state.exists else (0.0, 0)
-        out, batch = [], _ordered(parts)
-        for v in batch["value"] if len(batch) else []:
+    def step(batch: pd.DataFrame, before: tuple) -> tuple[list, tuple]:
+        (peak, wait), out = before, []
+        for v in batch["value"]:
             if wait > 0:
                 wait, peak = wait - 1, 0.0
                 out.append(0)
@@ -84,11 +106,9 @@ def live_trailing_stop(rows: DataFrame, stop: float, cooldown: int) -> DataFrame
             out.append(0 if fell else 1)
             if fell:
                 wait, peak = cooldown, 0.0
-        state.update((float(peak), int(wait)))
-        if out:
-            yield pd.DataFrame({"event_id": batch["event_id"], "user_id": batch["user_id"], "held": out})
+        return out, (float(peak), int(wait))
 
-    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, held int", "peak double, wait int", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(rows, step, (0.0, 0), "held", "peak double, wait int", late, idle_ms)
 
 
 def run_to_end(rows: DataFrame, path: str) -> DataFrame:
