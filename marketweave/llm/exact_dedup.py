@@ -28,7 +28,17 @@ _OUT = "uid long, doc_id long, sha string, n int, pos int, block binary, block_h
 
 def _cut_texts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.string()), ("n", pa.int32()), ("pos", pa.int32()), ("block", pa.binary()), ("block_hash", pa.int64())])
+        types = pa.schema(
+            [
+                ("uid", pa.int64()),
+                ("doc_id", pa.int64()),
+                ("sha", pa.string()),
+                ("n", pa.int32()),
+                ("pos", pa.int32()),
+                ("block", pa.binary()),
+                ("block_hash", pa.int64())
+            ]
+        )
         for batch in batches:
             uid, ids, texts = (c.to_pylist() for c in batch.columns)
             out: list[tuple] = []
@@ -41,7 +51,10 @@ def _cut_texts(size: int):
                     out.append((u, d, sha if not i else None, n, i, block, xxhash.xxh3_64_intdigest(block) - (1 << 63)))
                     held += len(block)
                     if held > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)], schema=types)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)],
+                            schema=types
+                        )
                         out, held = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)], schema=types)
@@ -87,7 +100,10 @@ def _name_pairs(arrays: DataFrame) -> DataFrame:
     pairs = cut(arrays.select("uid", F.posexplode(halves).alias("pos", "pair")).select("uid", "pos", "pair.l", "pair.r"), "pairs")
     names = cut(pairs.groupBy("l", "r").count().sortWithinPartitions("l", "r").withColumn("name", F.monotonically_increasing_id()), "pair-names")
     named = hot_join(pairs, names, ["l", "r"], "count")
-    return cut(named.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names")), "name-arrays")
+    return cut(
+        named.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names")),
+        "name-arrays"
+    )
 
 
 def duplicates(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
@@ -109,7 +125,10 @@ def duplicates(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
     for part in done:
         final = final.unionByName(part)
     # texts with a different number of blocks differ, and those with equal numbers are named in the same rounds
-    owners = cut(first.select("uid", "doc_id", "sha", "n").join(final, "uid"), "identities") if done else first.select("uid", "doc_id", "sha", "n", F.col("names")[0].alias("name"))
+    owners = cut(
+        first.select("uid", "doc_id", "sha", "n").join(final, "uid"),
+        "identities"
+    ) if done else first.select("uid", "doc_id", "sha", "n", F.col("names")[0].alias("name"))
     stays = F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), F.col("uid").alias("u"), F.col("doc_id").alias("d")))
     groups = cut(owners.groupBy("n", "name").agg(stays.alias("top"), F.count("*").alias("group_size")), "groups")
     groups = groups.select("n", "name", F.col("top.d").alias("keep_id"), F.col("top.u").alias("keep_uid"), "group_size")

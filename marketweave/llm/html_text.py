@@ -32,7 +32,9 @@ MOST_BROADCAST = 300_000
 #: Elements nested deeper are taken as part of the one at this depth.
 DEPTH = 512
 #: Elements without main text, elements whose content is no markup, and elements that have no end tag.
-DROPPED = frozenset("head script style noscript template svg math canvas object iframe form button select textarea input nav footer aside menu dialog".split())
+DROPPED = frozenset(
+    "head script style noscript template svg math canvas object iframe form button select textarea input nav footer aside menu dialog".split()
+)
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that run on with the text around them; all others begin and end a block.
@@ -51,7 +53,15 @@ MARKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | frozenset("p blockquote pre table thead tbody tr td th figure figcaption dl dt dd address".split())
 #: Elements that a new one of these ends, if open, without an end tag.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CLOSES = {
+    "li": ("li",),
+    "dt": ("dt", "dd"),
+    "dd": ("dt", "dd"),
+    "tr": ("tr", "td", "th"),
+    "td": ("td", "th"),
+    "th": ("td", "th"),
+    "option": ("option",)
+}
 ENDS_P = frozenset(
     """address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4
     h5 h6 header hr main menu nav ol p pre section table ul""".split()

@@ -84,7 +84,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     total += np.bincount(grams, minlength=BUCKETS)
     for lang, total in sums.items():
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])],
+            names=["lang", "bucket", "n"]
+        )
 
 
 def train(docs: DataFrame, usable: Column) -> tuple[list[str], np.ndarray]:
@@ -140,7 +143,10 @@ def _score(model):
                 best = chance.argmax(axis=1)
             pred = [langs[best[i]] if k else "und" for i, k in enumerate(known)]
             score = [float(chance[i, best[i]]) if k else 0.0 for i, k in enumerate(known)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+                names=["doc_id", "held_out", "lang_pred", "score"]
+            )
 
     return run
 
@@ -176,7 +182,10 @@ def keep_known(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
         raw = [None if t is None else t.encode() for t in texts]
-        batch = pa.RecordBatch.from_arrays([pa.array(range(len(raw)), pa.int64()), pa.array([False] * len(raw)), pa.array(raw, pa.binary())], names=["doc_id", "held_out", "text"])
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(len(raw)), pa.int64()), pa.array([False] * len(raw)), pa.array(raw, pa.binary())],
+            names=["doc_id", "held_out", "text"]
+        )
         out = next(_score(model)(iter([batch]))).to_pydict()
         return pd.Series([p != "und" and s >= min_score for p, s in zip(out["lang_pred"], out["score"], strict=True)])
 

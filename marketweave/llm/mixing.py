@@ -50,11 +50,25 @@ def sources(sizes: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEI
     order = Window.orderBy(limit / F.col("weight"), F.col("source").asc_nulls_last())
     every = Window.partitionBy()
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(every) * share - F.coalesce(F.sum(limit).over(before), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    level = (
+        F.sum("source_size").over(every) * share - F.coalesce(F.sum(limit).over(before), F.lit(0))
+    ) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     # the level that holds if all before this row are at their limits; the first row below its limit has the final one
     table = table.withColumn("level", level).withColumn("free", F.col("level") * F.col("weight") <= limit)
-    final = F.coalesce(F.first(F.when(F.col("free"), F.col("level")), ignorenulls=True).over(Window.orderBy(limit / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(float("inf")))
-    return table.withColumn("final", final).select("source", "source_size", F.least(F.col("weight") * F.col("final"), limit.cast("double")).alias("target"))
+    final = F.coalesce(
+        F.first(F.when(F.col("free"), F.col("level")), ignorenulls=True).over(
+            Window.orderBy(
+                limit / F.col("weight"),
+                F.col("source").asc_nulls_last()
+            ).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ),
+        F.lit(float("inf"))
+    )
+    return table.withColumn("final", final).select(
+        "source",
+        "source_size",
+        F.least(F.col("weight") * F.col("final"), limit.cast("double")).alias("target")
+    )
 
 
 def _unit(*parts: Column) -> Column:
@@ -78,36 +92,74 @@ def _hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Co
     low = F.greatest(F.lit(0), draws + good - total, F.floor(mean - 9 * deviation) - 2).cast("long")
     high = F.least(good, draws, F.ceil(mean + 9 * deviation) + 2).cast("long")
     base = _log_factorial(good) + _log_factorial(total - good) + _log_factorial(draws) + _log_factorial(total - draws) - _log_factorial(total)
-    chance = lambda k: F.exp(base - _log_factorial(k) - _log_factorial(good - k) - _log_factorial(draws - k) - _log_factorial(total - good - draws + k))
+    chance = lambda k: F.exp(
+        base - _log_factorial(k) - _log_factorial(good - k) - _log_factorial(draws - k) - _log_factorial(total - good - draws + k)
+    )
     start = F.struct(F.lit(0.0).alias("sum"), low.alias("k"))
-    return F.aggregate(F.sequence(low, high), start, lambda s, k: F.struct((s["sum"] + chance(k)).alias("sum"), F.when(s["sum"] <= u, k).otherwise(s["k"]).alias("k")), lambda s: F.least(s["k"], high))
+    return F.aggregate(
+        F.sequence(low, high),
+        start,
+        lambda s, k: F.struct((s["sum"] + chance(k)).alias("sum"), F.when(s["sum"] <= u, k).otherwise(s["k"]).alias("k")),
+        lambda s: F.least(s["k"], high)
+    )
 
 
 def split(table: DataFrame, shards: int, seed: int) -> DataFrame:
     """source and the array of its block quotas by shard, from the column blocks, by the splitting tree."""
-    every = F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("o"), F.col("source").isNull().alias("z"), F.col("source").alias("source"), F.col("blocks").cast("long").alias("q"))))
+    every = F.array_sort(
+        F.collect_list(
+            F.struct(
+                F.coalesce("source", F.lit("")).alias("o"),
+                F.col("source").isNull().alias("z"),
+                F.col("source").alias("source"),
+                F.col("blocks").cast("long").alias("q")
+            )
+        )
+    )
     node = table.groupBy().agg(every.alias("quotas")).select(F.lit(0).alias("first"), F.lit(shards).alias("n"), "quotas")
     width = shards
     while width > 1:
         total = F.aggregate("quotas", F.lit(0).cast("long"), lambda s, x: s + x["q"])
         left_n = F.floor((F.col("n") + 1) / 2).cast("int")
-        node = node.withColumn("total", total).withColumn("left_n", left_n).withColumn("want", F.floor(F.col("total") * F.col("left_n") / F.col("n")).cast("long"))
+        node = node.withColumn("total", total).withColumn("left_n", left_n).withColumn(
+            "want",
+            F.floor(F.col("total") * F.col("left_n") / F.col("n")).cast("long")
+        )
         # one source after the other: its part of what is still wanted, given what is left
         start = F.struct(F.col("total").alias("rest"), F.col("want").alias("want"), F.array().cast("array<bigint>").alias("took"))
 
         def step(s: Column, x: Column) -> Column:
-            took = F.when(s["rest"] <= 0, F.lit(0).cast("long")).otherwise(_hypergeometric(s["rest"], x["q"], s["want"], _unit(F.lit(seed), F.col("first"), F.col("n"), x["o"], x["z"])))
+            took = F.when(s["rest"] <= 0, F.lit(0).cast("long")).otherwise(
+                _hypergeometric(s["rest"], x["q"], s["want"], _unit(F.lit(seed), F.col("first"), F.col("n"), x["o"], x["z"]))
+            )
             return F.struct((s["rest"] - x["q"]).alias("rest"), (s["want"] - took).alias("want"), F.concat(s["took"], F.array(took)).alias("took"))
 
         node = node.withColumn("left", F.when(F.col("n") > 1, F.aggregate("quotas", start, step, lambda s: s["took"])))
-        own = F.when(F.col("n") > 1, F.array(F.struct(F.col("first").alias("first"), F.col("left_n").alias("n"), F.lit(True).alias("is_left")), F.struct((F.col("first") + F.col("left_n")).alias("first"), (F.col("n") - F.col("left_n")).alias("n"), F.lit(False).alias("is_left")))).otherwise(F.array(F.struct("first", "n", F.lit(None).cast("boolean").alias("is_left"))))
+        own = F.when(
+            F.col("n") > 1,
+            F.array(
+                F.struct(F.col("first").alias("first"), F.col("left_n").alias("n"), F.lit(True).alias("is_left")),
+                F.struct((F.col("first") + F.col("left_n")).alias("first"), (F.col("n") - F.col("left_n")).alias("n"), F.lit(False).alias("is_left"))
+            )
+        ).otherwise(F.array(F.struct("first", "n", F.lit(None).cast("boolean").alias("is_left"))))
         node = node.withColumn("child", F.explode(own))
-        part = lambda x, t: F.struct(x["o"].alias("o"), x["z"].alias("z"), x["source"].alias("source"), F.when(F.col("child.is_left").isNull(), x["q"]).when(F.col("child.is_left"), t).otherwise(x["q"] - t).alias("q"))
-        node = node.select("child.first", "child.n", F.zip_with("quotas", F.coalesce("left", F.transform("quotas", lambda x: x["q"])), part).alias("quotas"))
+        part = lambda x, t: F.struct(
+            x["o"].alias("o"),
+            x["z"].alias("z"),
+            x["source"].alias("source"),
+            F.when(F.col("child.is_left").isNull(), x["q"]).when(F.col("child.is_left"), t).otherwise(x["q"] - t).alias("q")
+        )
+        node = node.select(
+            "child.first",
+            "child.n",
+            F.zip_with("quotas", F.coalesce("left", F.transform("quotas", lambda x: x["q"])), part).alias("quotas")
+        )
         node = cut(node, "split")
         width = (width + 1) // 2
     leaves = node.select("first", F.explode("quotas").alias("x"))
-    return leaves.groupBy(F.col("x.source").alias("source")).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "x.q"))), lambda x: x["q"]).alias("quotas"))
+    return leaves.groupBy(F.col("x.source").alias("source")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("first", "x.q"))), lambda x: x["q"]).alias("quotas")
+    )
 
 
 def permuted(block: Column, blocks: Column, key: Column) -> Column:
@@ -141,7 +193,10 @@ def _lay(docs: DataFrame, share: float, weights: tuple[int, ...], repeats: int,
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     begins = parts.withColumn("begin", F.coalesce(F.sum("part_words").over(before), F.lit(0)))
     plan = begins.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    plan = cut(plan.select(F.col("source").alias("_source"), F.col("part").alias("_part"), "begin", "source_size", "target", "words", "blocks"), "stream-parts")
+    plan = cut(
+        plan.select(F.col("source").alias("_source"), F.col("part").alias("_part"), "begin", "source_size", "target", "words", "blocks"),
+        "stream-parts"
+    )
     inner = Window.partitionBy("source", "part").orderBy("order", "uid").rowsBetween(Window.unboundedPreceding, -1)
     laid = measured.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     placed = laid.join(sized(plan, 200_000), laid["source"].eqNullSafe(plan["_source"]) & (laid["part"] == plan["_part"]))
@@ -177,12 +232,17 @@ def _dealt(laid: DataFrame, targets: DataFrame, repeats: int, seed: int, shards:
         first, last = F.floor(low / BLOCK_WORDS).cast("long"), F.floor((high - 1) / BLOCK_WORDS).cast("long")
         numbers = F.when(high > low, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
         begin, end = (lambda b: F.greatest(low, b * BLOCK_WORDS)), (lambda b: F.least(high, (b + 1) * BLOCK_WORDS))
-        return F.transform(numbers, lambda b: F.struct(p.cast("int").alias("pass"), (begin(b) - low).alias("start"), (end(b) - begin(b)).alias("words"), b.alias("block")))
+        return F.transform(
+            numbers,
+            lambda b: F.struct(p.cast("int").alias("pass"), (begin(b) - low).alias("start"), (end(b) - begin(b)).alias("words"), b.alias("block"))
+        )
 
     each = laid.select("uid", "source", "blocks", F.explode(F.flatten(_passes(repeats, stretch))).alias("s")).select("uid", "source", "blocks", "s.*")
     each = each.withColumn("to", permuted(F.col("block"), F.col("blocks"), F.xxhash64(F.lit(seed), "source")))
     each = each.withColumn("cell", F.floor(F.col("to") / width(F.col("blocks"))))
-    on = each["source"].eqNullSafe(ranges["_source"]) & (each["cell"] == ranges["_cell"]) & (each["to"] >= ranges["begin"]) & (each["to"] < ranges["end"])
+    on = each["source"].eqNullSafe(ranges["_source"]) & (
+        each["cell"] == ranges["_cell"]
+    ) & (each["to"] >= ranges["begin"]) & (each["to"] < ranges["end"])
     found = each.join(sized(ranges, 200_000), on)
     place = F.xxhash64(F.lit(seed), "block", "source", "uid").alias("place")
     return found.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pass", "start", "words", "shard", place))).alias("segments"))
@@ -203,7 +263,14 @@ def _mixed(numbered: DataFrame, share: float, weights: tuple[int, ...], repeats:
     return out.select("uid", "doc_id", "source", "size", "source_size", "target", "taken", segments)
 
 
-def mix(docs: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = 0, shards: int | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    share: float = 1.0,
+    weights: tuple[int, ...] = WEIGHTS,
+    repeats: int = MAX_REPEATS,
+    seed: int = 0,
+    shards: int | None = None
+) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, segments.
 
     segments is an array of (pass, start, words, shard, place): the words taken of this document, block by block, the
@@ -217,7 +284,15 @@ def mix(docs: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEIGHTS,
     return _mixed(rows, share, weights, repeats, seed, shards).drop("uid")
 
 
-def write_shards(docs: DataFrame, path: str, share: float = 1.0, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = 0, shards: int | None = None) -> None:
+def write_shards(
+    docs: DataFrame,
+    path: str,
+    share: float = 1.0,
+    weights: tuple[int, ...] = WEIGHTS,
+    repeats: int = MAX_REPEATS,
+    seed: int = 0,
+    shards: int | None = None
+) -> None:
     """Writes the mix as Parquet, a folder per shard, each in the shard's own order: doc_id, pass, start, words, text.
 
     A row of docs gives its own pieces, whatever other rows have its doc_id. A shard is sorted in one task: it has
@@ -226,9 +301,22 @@ def write_shards(docs: DataFrame, path: str, share: float = 1.0, weights: tuple[
     """
     numbered = _numbered(docs, "numbered", "doc_id", "source", "text")
     mixed = _mixed(numbered, share, weights, repeats, seed, shards).select(F.col("uid").alias("_uid"), "segments").where(F.size("segments") > 0)
-    joined = numbered.join(mixed, F.col("uid") == F.col("_uid")).withColumn("all_words", F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    joined = numbered.join(mixed, F.col("uid") == F.col("_uid")).withColumn(
+        "all_words",
+        F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    )
     piece = lambda s: F.array_join(F.slice("all_words", s["start"].cast("int") + 1, s["words"].cast("int")), " ")
-    pieces = F.transform("segments", lambda s: F.struct(s["shard"].alias("shard"), s["place"].alias("place"), s["pass"].alias("pass"), s["start"].alias("start"), s["words"].alias("words"), piece(s).alias("text")))
+    pieces = F.transform(
+        "segments",
+        lambda s: F.struct(
+            s["shard"].alias("shard"),
+            s["place"].alias("place"),
+            s["pass"].alias("pass"),
+            s["start"].alias("start"),
+            s["words"].alias("words"),
+            piece(s).alias("text")
+        )
+    )
     cuts = joined.select("doc_id", pieces.alias("pieces")).select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*")
     cuts.repartition("shard").sortWithinPartitions("shard", "place", "pass", "start").write.partitionBy("shard").parquet(path)
 

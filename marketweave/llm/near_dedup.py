@@ -58,7 +58,14 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     short = np.flatnonzero((n > 0) & (n < words))
     if len(short):
         ends = np.cumsum(n)
-        own = np.array([mix(np.array([sum(int(h) * (2 * j + 3) for j, h in enumerate(hashes[ends[i] - n[i] : ends[i]])) % (1 << 64)], dtype=np.uint64))[0] for i in short], dtype=np.uint64)
+        own = np.array(
+            [
+                mix(
+                    np.array([sum(int(h) * (2 * j + 3) for j, h in enumerate(hashes[ends[i] - n[i] : ends[i]])) % (1 << 64)], dtype=np.uint64)
+                )[0] for i in short
+            ],
+            dtype=np.uint64
+        )
         found, of = np.concatenate([found, own]), np.concatenate([of, short])
     return found, of
 
@@ -142,7 +149,14 @@ def _sketch(bands: int, rows: int, words: int, counted: bool):
                 keys = mix(keys + mix(np.arange(1, bands + 1, dtype=np.uint64))).view(np.int64)
                 some = np.bincount(of, minlength=len(texts)) > 0
                 lists = [k if s else [] for k, s in zip(keys.tolist(), some.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[begin : begin + len(texts)], pa.int64()), pa.array([text_key(t) for t in texts], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[begin : begin + len(texts)], pa.int64()),
+                        pa.array([text_key(t) for t in texts], pa.binary()),
+                        pa.array(lists, pa.list_(pa.int64()))
+                    ],
+                    names=["doc_id", "key", "bands"]
+                )
 
     return run
 
@@ -157,8 +171,14 @@ def _shingle_sets(words: int):
                 # texts without a repeated shingle have an empty list of times
                 uneven = np.zeros(len(texts), dtype=bool)
                 uneven[of[times > 1]] = True
-                many = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n * uneven)), pa.int32()), pa.array(times[uneven[of]].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array([text_key(t) for t in texts], pa.binary()), sets, many], names=["key", "shingles", "times"])
+                many = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum(n * uneven)), pa.int32()),
+                    pa.array(times[uneven[of]].astype(np.int32))
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([text_key(t) for t in texts], pa.binary()), sets, many],
+                    names=["key", "shingles", "times"]
+                )
 
     return run
 
@@ -201,7 +221,10 @@ def _first_pairs(members: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, keys: DataFrame, words: int, counted: bool) -> DataFrame:
     """key, shingles (and times) of the texts whose keys are given, a row for each text."""
-    sets = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_shingle_sets(words), "key binary, shingles array<long>, times array<int>")
+    sets = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(
+        _shingle_sets(words),
+        "key binary, shingles array<long>, times array<int>"
+    )
     if not counted:
         sets = sets.select("key", "shingles")
     if keys.count() <= MOST_BROADCAST:
@@ -252,25 +275,40 @@ def components(links: DataFrame) -> DataFrame:
         # large star: each larger neighbour of u is linked to the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = hot_join(both, cut(least, "least"), ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = hot_join(both, cut(least, "least"), ["u"], "n").where("v > u").select(
+            F.col("v").alias("u"),
+            F.col("m").alias("v")
+        ).where("u <> v").distinct()
         large = cut(large, "large-star")
         # small star: u and its smaller neighbours are linked to the least of them
         least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
         joined = hot_join(large, least, ["u"], "n")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = joined.select(
+            F.col("v").alias("u"),
+            F.col("m").alias("v")
+        ).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = cut(small, "small-star")
         same = small.count() == edges.count() and small.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0
         edges = small
         if same:
             break
-    return cut(edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct()), "components")
+    return cut(
+        edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(
+            edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct()
+        ),
+        "components"
+    )
 
 
 def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     """band, key, root, n, most, largest: members of the buckets whose members lie in several components."""
     labelled = members.select("band", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     parts = labelled.groupBy("band", "root").agg(F.count("*").alias("m"))
-    bands = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max(F.struct(F.col("m").alias("m"), F.col("root").alias("r"))).alias("top")).where("parts > 1")
+    bands = parts.groupBy("band").agg(
+        F.count("*").alias("parts"),
+        F.sum("m").alias("n"),
+        F.max(F.struct(F.col("m").alias("m"), F.col("root").alias("r"))).alias("top")
+    ).where("parts > 1")
     bands = cut(bands.select("band", "n", F.col("top.m").alias("most"), F.col("top.r").alias("largest")), "open-bands")
     return cut(hot_join(labelled, bands, ["band"], "n"), "open-buckets")
 
@@ -299,7 +337,9 @@ def _compare(similarity: float, counted: bool):
             starts, mark = np.cumsum(size) - size, np.zeros(len(names))
             of = lambda i: times[i] if counted and len(times[i]) else np.ones(len(sets[i]))
             even = np.array([not counted or not len(times[i]) for i in right])
-            share = None if even.all() and all(not counted or not len(times[i]) for i in left) else np.concatenate([of(i) / of(i).sum() for i in right])
+            share = None if even.all() and all(
+                not counted or not len(times[i]) for i in left
+            ) else np.concatenate([of(i) / of(i).sum() for i in right])
             for i in left:
                 at = np.minimum(np.searchsorted(names, sets[i]), len(names) - 1)
                 both = names[at] == sets[i]
@@ -336,15 +376,44 @@ def _large(inside: DataFrame, held: DataFrame, similarity: float, counted: bool)
     rows_of = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
     outside, every = rows_of(F.col("n") - F.col("most")), rows_of(F.col("n"))
     part = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
-    left = many.where("root <> largest").select("band", part(outside).alias("l"), F.explode(F.sequence(F.lit(0), every - 1)).alias("r"), F.lit(0).alias("side"), "key", "root", *sets)
-    right = many.select("band", F.explode(F.sequence(F.lit(0), outside - 1)).alias("l"), part(every).alias("r"), F.lit(1).alias("side"), "key", "root", *sets)
+    left = many.where("root <> largest").select(
+        "band",
+        part(outside).alias("l"),
+        F.explode(F.sequence(F.lit(0), every - 1)).alias("r"),
+        F.lit(0).alias("side"),
+        "key",
+        "root",
+        *sets
+    )
+    right = many.select(
+        "band",
+        F.explode(F.sequence(F.lit(0), outside - 1)).alias("l"),
+        part(every).alias("r"),
+        F.lit(1).alias("side"),
+        "key",
+        "root",
+        *sets
+    )
     return left.unionByName(right).groupBy("band", "l", "r").applyInArrow(_compare(similarity, counted), "a binary, b binary").distinct()
 
 
-def _classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+def _classes(
+    docs: DataFrame,
+    words: int = WORDS,
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    counted: bool = False
+) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sketched = cut(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sketch(bands, rows, words, counted), "doc_id long, key binary, bands array<long>").withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    sketched = cut(
+        docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
+            _sketch(bands, rows, words, counted),
+            "doc_id long, key binary, bands array<long>"
+        ).withColumn("uid", F.monotonically_increasing_id()),
+        "sketches"
+    )
     members = sketched.select("key", F.explode("bands").alias("band")).distinct()
     shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(members.join(shared, "band"), "buckets")
@@ -365,13 +434,24 @@ def _classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     owned = hot_join(sketched.select("doc_id", "key", "uid"), cut(copies, "copies"), ["key"], "n", "left")
     owned = cut(owned.select("doc_id", "uid", "key", F.coalesce("root", "key").alias("root")), "owned")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), F.col("uid").alias("u"), F.col("doc_id").alias("d")))
-    texts = owned.groupBy("root", "key").agg(first.alias("top"), F.count("*").alias("n")).groupBy("root").agg(F.min("top").alias("top"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts"))
+    texts = owned.groupBy("root", "key").agg(first.alias("top"), F.count("*").alias("n")).groupBy("root").agg(
+        F.min("top").alias("top"),
+        F.sum("n").alias("class_size"),
+        F.count("*").alias("n_texts")
+    )
     named = cut(texts.select("root", F.col("top.d").alias("class_id"), F.col("top.u").alias("keep_uid"), "class_size", "n_texts"), "classes")
     out = hot_join(owned, named, ["root"], "class_size")
     return out.select("doc_id", "key", "class_id", "class_size", "n_texts", (F.col("uid") == F.col("keep_uid")).alias("kept"))
 
 
-def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+def classes(
+    docs: DataFrame,
+    words: int = WORDS,
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    counted: bool = False
+) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size, n_texts, kept.
 
     Texts are in one class when a chain of links joins them; a link is a similarity of at least the given one. Texts
@@ -387,14 +467,31 @@ def _key_of(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: text_key((t or "").encode()))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame,
+    words: int = WORDS,
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    counted: bool = False
+) -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each class; see classes."""
     small_batches(docs.sparkSession)
     found = cut(_classes(docs, words, similarity, bands, rows, counted), "near-dedup")
     # ids of which a row goes; where several rows have one id, their words tell which of them stays
-    lost = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_stay"), F.min("kept").alias("_all")).where("not _all").drop("_all"), "lost")
+    lost = cut(
+        found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_stay"), F.min("kept").alias("_all")).where("not _all").drop("_all"),
+        "lost"
+    )
     marked = docs.join(sized(lost), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    stay = cut(found.where("kept").join(sized(lost.where("_stay")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_kept"), F.col("key").alias("_kept_key"), F.lit(True).alias("_found")), "stay")
+    stay = cut(
+        found.where("kept").join(sized(lost.where("_stay")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(
+            F.col("doc_id").alias("_kept"),
+            F.col("key").alias("_kept_key"),
+            F.lit(True).alias("_found")
+        ),
+        "stay"
+    )
     all_stay = marked.where("_stay is null").select(*docs.columns)
     if stay.limit(1).count() == 0:
         return all_stay

@@ -144,7 +144,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
     clear = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     chosen = cut(clear.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).where(F.octet_length("text") <= longest)
-    found = cut(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("quality").alias("quality")), "labelled")
+    found = cut(
+        rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("quality").alias("quality")),
+        "labelled"
+    )
     # a window without a key over at most sample ids and lengths
     upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     few = found.select("doc_id", F.octet_length("text").alias("size")).withColumn("sum", F.sum("size").over(upto)).where(F.col("sum") <= SAMPLE_BYTES)
@@ -164,9 +167,16 @@ def score(docs: DataFrame, net: dict, cut_at: float = CUT) -> DataFrame:
         for batch in batches:
             ids, held, texts = (c.to_pylist() for c in batch.columns)
             p = score_texts(shared.value, [t or b"" for t in texts]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(p), pa.array((p >= cut_at).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
-
-    rows = docs.select("doc_id", F.coalesce(id_crc(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(p), pa.array((p >= cut_at).astype(np.int32))],
+                names=["doc_id", "held_out", "score", "predicted"]
+            )
+
+    rows = docs.select(
+        "doc_id",
+        F.coalesce(id_crc(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("text").cast("binary").alias("text")
+    )
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 

@@ -86,7 +86,19 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines.append(len(with_word))
                 dup.append(len(with_word) - len(set(with_word)))
                 marks.append(text.count("!") + text.count("?"))
-            columns = [ids[begin:end], n_words, chars, symbols, dup, np.bincount(owner[covered], minlength=len(part)), lines, np.bincount(o[starts], minlength=len(part)), upper, marks, top]
+            columns = [
+                ids[begin:end],
+                n_words,
+                chars,
+                symbols,
+                dup,
+                np.bincount(owner[covered], minlength=len(part)),
+                lines,
+                np.bincount(o[starts], minlength=len(part)),
+                upper,
+                marks,
+                top
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
             begin = end
 
@@ -181,10 +193,20 @@ def base_failed() -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Rules learned from at most sample labelled ids; rows with null id or label are left out, ids of contradicting labels
     too. Of several rows of an id, the greatest text counts. Without usable rows, or with empty tables, no rule is learned."""
-    clear = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
+    clear = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
+        F.min("quality").alias("quality"),
+        F.max("quality").alias("most")
+    ).where("quality = most")
     chosen = cut(clear.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
-    few = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    rows = statistics(few).where(~base_failed()).join(F.broadcast(chosen), "doc_id").select("quality", *[feature(n).alias(n) for n in FEATURES]).orderBy("quality", *FEATURES).toPandas()
+    few = docs.select("doc_id", "text").join(
+        F.broadcast(chosen.select("doc_id")),
+        "doc_id",
+        "left_semi"
+    ).groupBy("doc_id").agg(F.max("text").alias("text"))
+    rows = statistics(few).where(~base_failed()).join(F.broadcast(chosen), "doc_id").select(
+        "quality",
+        *[feature(n).alias(n) for n in FEATURES]
+    ).orderBy("quality", *FEATURES).toPandas()
     names = list(FEATURES)
     return learn(rows[names].to_numpy(dtype=np.float64), rows["quality"].to_numpy() == 0, names)
 
@@ -211,4 +233,14 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """
     keep, number = verdict(train(docs, labels, sample))
     out = statistics(docs)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & keep).alias("kept"), F.when(base_failed(), 0).otherwise(number).alias("rule"))
+    return out.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        base_failed().alias("base_failed"),
+        (~base_failed() & keep).alias("kept"),
+        F.when(base_failed(), 0).otherwise(number).alias("rule")
+    )

@@ -58,7 +58,10 @@ def _pieces(text: Column, pattern: str, group: bool) -> Column:
     matches = F.regexp_extract_all(text, F.lit(f"({pattern})") if not group else F.lit(pattern), F.lit(0))
     both = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("before"), matches.alias("match")), lambda x: x["match"].isNotNull())
     value = lambda m: F.regexp_extract(m, pattern, 1) if group else m
-    found = F.transform(both, lambda x: F.struct(F.length(x["before"]).alias("gap"), F.length(x["match"]).alias("length"), value(x["match"]).alias("value")))
+    found = F.transform(
+        both,
+        lambda x: F.struct(F.length(x["before"]).alias("gap"), F.length(x["match"]).alias("length"), value(x["match"]).alias("value"))
+    )
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<gap:int,length:int,value:string>>"))
 
 
@@ -68,8 +71,14 @@ def _rank(kind: Column) -> Column:
 
 def _joined(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, comma-joined."""
-    ranked = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), _rank(x["kind"]).alias("k"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return F.array_join(F.transform(F.array_sort(ranked), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    ranked = F.transform(
+        spans,
+        lambda x: F.struct(x["start"].alias("start"), _rank(x["kind"]).alias("k"), x["end"].alias("end"), x["kind"].alias("kind"))
+    )
+    return F.array_join(
+        F.transform(F.array_sort(ranked), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))),
+        ","
+    )
 
 
 def candidates(docs: DataFrame, owner: Column, repository: Column) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +88,13 @@ def candidates(docs: DataFrame, owner: Column, repository: Column) -> tuple[Data
     matches, so that a text with very many matches costs no more than its length.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", owner.alias("owner"), repository.alias("repository"), text.alias("text"))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("uid"),
+        "doc_id",
+        owner.alias("owner"),
+        repository.alias("repository"),
+        text.alias("text")
+    )
 
     def named(kind: str, found: Column) -> Column:
         value = lambda x: F.sha2(x["value"].cast("binary"), 256).alias("value_hash")
@@ -88,7 +103,12 @@ def candidates(docs: DataFrame, owner: Column, repository: Column) -> tuple[Data
 
     found = [named(k, _pieces(F.col("text"), p, g)) for k, p, g, _ in PATTERNS]
     rows = cut(rows.select("uid", "doc_id", "owner", "repository", F.concat(*found).alias("found")), "secrets")
-    each = rows.where(F.size("found") > 0).select("uid", "owner", "repository", F.explode("found").alias("f")).select("uid", "owner", "repository", "f.*")
+    each = rows.where(F.size("found") > 0).select(
+        "uid",
+        "owner",
+        "repository",
+        F.explode("found").alias("f")
+    ).select("uid", "owner", "repository", "f.*")
     end = F.sum(F.col("gap") + F.col("length")).over(Window.partitionBy("uid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     least = F.element_at(F.create_map(*[F.lit(x) for k, _, _, n in PATTERNS for x in (k, n)]), F.col("kind"))
     spans = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("length")).where(F.col("size") >= least)

@@ -21,7 +21,9 @@ def ids(own, texts):
 def test_both_ways_of_merging_agree(pair):
     own, lib = pair
     rng = np.random.default_rng(4)
-    words = ["".join(rng.choice(list(letters), n)) for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "aé語") for n in (1, 2, 3, 17, 90, 400)] + ["a" * k for k in range(1, 40)]
+    words = [
+        "".join(rng.choice(list(letters), n)) for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "aé語") for n in (1, 2, 3, 17, 90, 400)
+    ] + ["a" * k for k in range(1, 40)]
     short, long = own.merge([w.encode() for w in words]), own.merge_long([w.encode() for w in words])
     assert np.array_equal(short[0], long[0]) and np.array_equal(short[1], long[1])
     assert ids(own, words) == [lib.encode(w, add_special_tokens=False).ids for w in words]
@@ -30,7 +32,12 @@ def test_both_ways_of_merging_agree(pair):
 def test_very_long_words_take_seconds(pair):
     own, lib = pair
     rng = np.random.default_rng(5)
-    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000)), "x" * 300_000, " " * 50_000 + "\n" * 50_000, "".join(rng.choice(list("!?#"), 100_000))]
+    texts = [
+        "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000)),
+        "x" * 300_000,
+        " " * 50_000 + "\n" * 50_000,
+        "".join(rng.choice(list("!?#"), 100_000))
+    ]
     began = time.time()
     got = ids(own, texts)
     assert time.time() - began < 40

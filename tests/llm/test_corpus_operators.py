@@ -28,13 +28,47 @@ def docs(spark):
     long = prose(30_000, 1)
     near = prose(200, 2)
     rows = [
-        (1, "Same Text", "en", "a", 9), (2, "sAME tEXT", "en", "b", 9), (2, "sAME tEXT", "en", "b", 9), (3, "ÉTÉ", "fr", "a", 3), (4, "été", "fr", "a", 3),
-        (5, None, None, None, None), (6, "", "en", "a", 0), (None, "", None, "b", 0), (None, "no id", "de", None, 5), (7, " \n\t ", "en", "a", 4),
-        (8, long, "en", "a", len(long)), (9, long, None, "c", len(long)), (10, near, "en", "b", 1), (11, near.replace("alpha", "ALPHA", 1) + " tail", "en", "b", 1),
-        (12, "x" * 5000, "en", "a", 5000), (13, "123 456 !!", "en", "a", 10), (14, near.replace(" ", "\n", 3), "en", "a", 1), (12, "other text under an equal id", "es", "c", 1),
+        (1, "Same Text", "en", "a", 9),
+        (2, "sAME tEXT", "en", "b", 9),
+        (2, "sAME tEXT", "en", "b", 9),
+        (3, "ÉTÉ", "fr", "a", 3),
+        (4, "été", "fr", "a", 3),
+        (5, None, None, None, None),
+        (6, "", "en", "a", 0),
+        (None, "", None, "b", 0),
+        (None, "no id", "de", None, 5),
+        (7, " \n\t ", "en", "a", 4),
+        (8, long, "en", "a", len(long)),
+        (9, long, None, "c", len(long)),
+        (10, near, "en", "b", 1),
+        (11, near.replace("alpha", "ALPHA", 1) + " tail", "en", "b", 1),
+        (12, "x" * 5000, "en", "a", 5000),
+        (13, "123 456 !!", "en", "a", 10),
+        (14, near.replace(" ", "\n", 3), "en", "a", 1),
+        (12, "other text under an equal id", "es", "c", 1),
     ]
     frame = spark.createDataFrame(rows, DOCS)
-    return frame.select("*", *[F.lit(7).alias(c) for c in ("score", "keep_id", "block", "band", "key", "size", "uid", "name", "n", "taken", "kept", "held_out", "root", "target")])
+    return frame.select(
+        "*",
+        *[
+            F.lit(7).alias(c) for c in (
+                "score",
+                "keep_id",
+                "block",
+                "band",
+                "key",
+                "size",
+                "uid",
+                "name",
+                "n",
+                "taken",
+                "kept",
+                "held_out",
+                "root",
+                "target"
+            )
+        ]
+    )
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +78,10 @@ def empty(spark):
 
 @pytest.fixture(scope="module")
 def labels(spark):
-    return spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 0), (None, 1, 0), (3, None, 0), (8, 1, 0), (12, 0, 0)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame(
+        [(1, 1, 0), (2, 0, 0), (2, 1, 0), (None, 1, 0), (3, None, 0), (8, 1, 0), (12, 0, 0)],
+        "doc_id long, quality int, toxic int"
+    )
 
 
 def plain(docs):
@@ -149,15 +186,30 @@ def test_weighted_similarity_and_registers():
 
 
 def base_spans(text):
-    word = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
-    found = [(m.start(), 0, m.end(), "assign") for m in re.finditer(rf"""(?:{word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
+    word = "|".join(
+        "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")
+    ) + "|[aA][pP][iI]_?[kK][eE][yY]"
+    found = [
+        (m.start(), 0, m.end(), "assign") for m in re.finditer(rf"""(?:{word})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6
+    ]
     found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     return sorted(found + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
 
 
 def test_secret_scan_matches_plain_regular_expressions(spark, docs, empty):
     hexa, live = "0123456789abcdef" * 2, "Zk3vQ9xLm2Rt7Yp4Wn8BcD5f"
-    texts = ["🎉 token = abcdef", "token=token:abcdef", "PassWord: 'x1y2z3' api-key", f"é {hexa} api_key={hexa}", "AKIA" + "Z" * 16 + " AKIAZ", "secret=short", f"key {live} end", "passwd:abc,secret = 'qwerty'", hexa[:23], ""]
+    texts = [
+        "🎉 token = abcdef",
+        "token=token:abcdef",
+        "PassWord: 'x1y2z3' api-key",
+        f"é {hexa} api_key={hexa}",
+        "AKIA" + "Z" * 16 + " AKIAZ",
+        "secret=short",
+        f"key {live} end",
+        "passwd:abc,secret = 'qwerty'",
+        hexa[:23],
+        ""
+    ]
     rows = [(i, t, "en", f"s{i % 2}") for i, t in enumerate(texts * 2)] + [(90, None, None, None)]
     rows += [(50 + i, f"copied {'Xy7' * 9} here", "en", f"o{i}") for i in range(4)]
     got = {(r.doc_id): r for r in secret_scan.digests(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
@@ -204,7 +256,19 @@ def test_url_filter_rules(spark):
 
 
 def test_url_filter_index_finds_all_that_the_rules_fit(spark):
-    hosts = ["ad.x.net", "ad3.x.net", "ads.x.net", "ads1.x.net", "ADS22.x.net", "adds.x.net", "ad-s.x.net", "x.ads.net", "ad3s.x.net", "spam-1.x.net", "casino2.x.net"]
+    hosts = [
+        "ad.x.net",
+        "ad3.x.net",
+        "ads.x.net",
+        "ads1.x.net",
+        "ADS22.x.net",
+        "adds.x.net",
+        "ad-s.x.net",
+        "x.ads.net",
+        "ad3s.x.net",
+        "spam-1.x.net",
+        "casino2.x.net"
+    ]
     rows = [(i, f"http://{h}/p") for i, h in enumerate(hosts)]
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     fits = re.compile("|".join(f"(?:{r[1]})" for r in url_filter.PATTERN_RULES))
@@ -213,7 +277,15 @@ def test_url_filter_index_finds_all_that_the_rules_fit(spark):
 
 
 def test_url_path_stands_at_the_first_scheme_mark(spark):
-    urls = {"http://a.com?u=http://b.com/de/x": "", "http://a.com#http://b.com/de/x": "", "http://a.com/fr/?u=http://b.com/de/x": "/fr/", "http://a.com/http://b.com/de/": "/http://b.com/de/", "x\ny://h/p\nq?r": "/p\nq", "z" * 50_000 + "://h?://i/j": "", "z" * 50_000: ""}
+    urls = {
+        "http://a.com?u=http://b.com/de/x": "",
+        "http://a.com#http://b.com/de/x": "",
+        "http://a.com/fr/?u=http://b.com/de/x": "/fr/",
+        "http://a.com/http://b.com/de/": "/http://b.com/de/",
+        "x\ny://h/p\nq?r": "/p\nq",
+        "z" * 50_000 + "://h?://i/j": "",
+        "z" * 50_000: ""
+    }
     got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     assert [got[i].path for i in range(len(urls))] == list(urls.values())
     assert got[0].verdict == got[1].verdict == "allow" and got[0].rule is None
@@ -223,8 +295,21 @@ def test_html_extraction(spark):
     nav = "<nav><a href=/a>Home</a></nav>"
     body = "<article><h1>Head &amp; line</h1><p><b>One\n two<br>three<p>Four &lt;five&gt;</article>"
     promo = "<div><div>Buy our great new things now</div></div>"
-    pages = [(i, f"http://h.com/{i}", f"<html><head><title>T</title><style>p</style></head><body>{nav}{promo}<div><p>Unique text number {i}.</p></div><footer>f</footer></body>") for i in range(8)]
-    pages += [(20, "http://h.com/x", f"<body>{nav}<div class='ad'>Buy</div>{body}<div class=comments>me too</div><script>var a='</p>'</script>"), (21, None, None), (22, "", ""), (23, "http://o.com", "<p>cut off &am"), (24, "http://o.com", "a < b <i>c</i><form>x</form>"), (20, "http://h.com/x", body)]
+    pages = [
+        (
+            i,
+            f"http://h.com/{i}",
+            f"<html><head><title>T</title><style>p</style></head><body>{nav}{promo}<div><p>Unique text number {i}.</p></div><footer>f</footer></body>"
+        ) for i in range(8)
+    ]
+    pages += [
+        (20, "http://h.com/x", f"<body>{nav}<div class='ad'>Buy</div>{body}<div class=comments>me too</div><script>var a='</p>'</script>"),
+        (21, None, None),
+        (22, "", ""),
+        (23, "http://o.com", "<p>cut off &am"),
+        (24, "http://o.com", "a < b <i>c</i><form>x</form>"),
+        (20, "http://h.com/x", body)
+    ]
     got = defaultdict(list)
     for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("blocks", F.lit(1))).collect():
         assert r.n_chars == len(r.text)
@@ -275,7 +360,10 @@ def test_hypergeometric_quantiles(spark):
 
     n, good, draws = 60, 25, 18
     u = [(i + 0.5) / 200 for i in range(200)]
-    frame = spark.createDataFrame([(x,) for x in u], "u double").select(mixing._hypergeometric(F.lit(n), F.lit(good), F.lit(draws), F.col("u")).alias("k"), "u")
+    frame = spark.createDataFrame([(x,) for x in u], "u double").select(
+        mixing._hypergeometric(F.lit(n), F.lit(good), F.lit(draws), F.col("u")).alias("k"),
+        "u"
+    )
     for r in frame.collect():
         total, k = 0.0, 0
         for k in range(draws + 1):
@@ -289,7 +377,18 @@ def test_bpe_matches_the_library(spark, docs, empty):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(bpe.default_path())
-    texts = ["", " ", "aaaaaaaaaaaa aaa", "<|endoftext|>a<|endoftext|>", "日本語 🎉🎉", " \n\n x\t\ty ", "it's we'll I'D", "é̈ Ⅷ ½ ٣", "ab" * 3000, "\x00\x01 \x85"]
+    texts = [
+        "",
+        " ",
+        "aaaaaaaaaaaa aaa",
+        "<|endoftext|>a<|endoftext|>",
+        "日本語 🎉🎉",
+        " \n\n x\t\ty ",
+        "it's we'll I'D",
+        "é̈ Ⅷ ½ ٣",
+        "ab" * 3000,
+        "\x00\x01 \x85"
+    ]
     frame = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
     for r in bpe.digests(frame).collect():
         e = lib.encode(texts[r.doc_id] if r.doc_id < 90 else "", add_special_tokens=False)
@@ -451,7 +550,9 @@ def test_queries_run_and_match_their_sql(spark):
         got = queries.QUERIES[name](spark, SF)
         want = con.sql(sql)
         assert sorted(got.columns) == sorted(want.columns)
-        rows = sorted(tuple(r[c] for c in sorted(got.columns)) for r in got.collect()) if name != "op2_url_filter" else sorted((str(tuple(r[c] for c in sorted(got.columns))) for r in got.collect()))
+        rows = sorted(tuple(r[c] for c in sorted(got.columns)) for r in got.collect()) if name != "op2_url_filter" else sorted(
+            (str(tuple(r[c] for c in sorted(got.columns))) for r in got.collect())
+        )
         cols = ", ".join(f'"{c}"' for c in sorted(want.columns))
         expected = con.sql(f"SELECT {cols} FROM ({sql})").fetchall()
         assert rows == (sorted(expected) if name != "op2_url_filter" else sorted(map(str, expected)))

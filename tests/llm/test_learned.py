@@ -27,7 +27,10 @@ def grams(text):
 
 def test_posteriors_equal_those_of_dictionaries(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500").orderBy("doc_id").limit(60)
-    extra = spark.createDataFrame([(10_000, "a", "en"), (10_001, None, None), (10_002, "!!", "en"), (10_003, "é", "fr")], "doc_id long, text string, lang string")
+    extra = spark.createDataFrame(
+        [(10_000, "a", "en"), (10_001, None, None), (10_002, "!!", "en"), (10_003, "é", "fr")],
+        "doc_id long, text string, lang string"
+    )
     table = docs.select("doc_id", "text", "lang").unionByName(extra)
     rows = [tuple(r) for r in table.collect()]
     counts = defaultdict(Counter)
@@ -71,7 +74,10 @@ def plain_score(net, text):
 def test_network_scores_equal_loops(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     net = quality_classifier.train(docs, labels)
-    odd = spark.createDataFrame([(-1, ""), (-2, None), (-3, "x"), (-4, "é" * 3), (-5, "y" * 7), (-6, "z" * 8), (-7, "last chunk counts" * 9 + "!")], "doc_id long, text string")
+    odd = spark.createDataFrame(
+        [(-1, ""), (-2, None), (-3, "x"), (-4, "é" * 3), (-5, "y" * 7), (-6, "z" * 8), (-7, "last chunk counts" * 9 + "!")],
+        "doc_id long, text string"
+    )
     table = docs.select("doc_id", "text").orderBy("doc_id").limit(40).unionByName(odd)
     got = {r.doc_id: r for r in quality_classifier.score(table, net).collect()}
     for i, t in table.collect():
@@ -81,7 +87,10 @@ def test_network_scores_equal_loops(spark):
 
 def test_training_bytes_are_bounded(spark, monkeypatch):
     rows = [(i, "w" * (50 + i)) for i in range(200)]
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(
+        [(i, i % 2, 0) for i in range(200)],
+        "doc_id long, quality int, toxic int"
+    )
     seen = []
     monkeypatch.setattr(quality_classifier, "SAMPLE_BYTES", 3000)
     monkeypatch.setattr(quality_classifier, "fit", lambda texts, y, **k: seen.append(texts) or {})
@@ -93,7 +102,11 @@ def test_kept_is_what_the_rules_say_row_by_row(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rules = quality_rules.train(docs, labels)
     names = list(quality_rules.FEATURES)
-    base = quality_rules.statistics(docs).select("doc_id", quality_rules.base_failed().alias("failed"), *[quality_rules.feature(n).alias(n) for n in names]).toPandas()
+    base = quality_rules.statistics(docs).select(
+        "doc_id",
+        quality_rules.base_failed().alias("failed"),
+        *[quality_rules.feature(n).alias(n) for n in names]
+    ).toPandas()
     x, want = base[names].to_numpy(dtype=float), np.zeros(len(base), dtype=int)
     for k in reversed(range(len(rules))):  # the first rule that holds decides
         want[quality_rules._hits(rules[k], x, names)] = k + 1

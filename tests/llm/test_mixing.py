@@ -13,7 +13,11 @@ DOCS = "doc_id long, text string, source string"
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 16, 37, 64, 1000, 4096])
 def test_block_numbers_are_permuted(spark, n):
-    rows = spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n), F.lit(11).cast("long")).alias("to"), mixing.permuted(F.col("id"), F.lit(n), F.lit(12).cast("long")).alias("other")).orderBy("id").collect()
+    rows = spark.range(n).select(
+        "id",
+        mixing.permuted(F.col("id"), F.lit(n), F.lit(11).cast("long")).alias("to"),
+        mixing.permuted(F.col("id"), F.lit(n), F.lit(12).cast("long")).alias("other")
+    ).orderBy("id").collect()
     to = [r.to for r in rows]
     assert sorted(to) == list(range(n)) == sorted(r.other for r in rows)
     if n >= 37:
@@ -26,7 +30,13 @@ def test_block_numbers_are_permuted(spark, n):
 
 
 def rows_of(k):
-    return [(i % 7 if i % 5 else None, " ".join(f"w{i}_{j}" for j in range(i % 40)) if i % 11 else None, f"s{i % 3}" if i % 13 else None) for i in range(k)]
+    return [
+        (
+            i % 7 if i % 5 else None,
+            " ".join(f"w{i}_{j}" for j in range(i % 40)) if i % 11 else None,
+            f"s{i % 3}" if i % 13 else None
+        ) for i in range(k)
+    ]
 
 
 @pytest.mark.parametrize("shards", [None, 3, 1000])
@@ -57,7 +67,9 @@ def test_shards_hold_each_piece_once(spark, tmp_path, monkeypatch, shards):
 
 
 def test_mixture_gives_exact_copies(spark):
-    rows = [(1, "a b c d e f", "s")] * 3 + [(i, " ".join(f"w{j}" for j in range(6)), f"t{i % 2}") for i in range(10, 60)] + [(None, None, None), (5, "", "s")]
+    rows = [(1, "a b c d e f", "s")] * 3 + [
+        (i, " ".join(f"w{j}" for j in range(6)), f"t{i % 2}") for i in range(10, 60)
+    ] + [(None, None, None), (5, "", "s")]
     docs = spark.createDataFrame(rows, DOCS).withColumn("uid", F.lit("x")).withColumn("row", F.lit(1)).withColumn("times", F.lit(2))
     mixed = mixing.mix(docs).collect()
     got = mixing.mixture(docs)
@@ -76,6 +88,11 @@ def test_mixture_gives_exact_copies(spark):
 
 def test_mixture_meets_the_targets_on_the_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    targets = {r.source: (r.target, r.longest) for r in mixing.mix(docs).groupBy("source").agg(F.first("target").alias("target"), F.max("size").alias("longest")).collect()}
+    targets = {
+        r.source: (r.target, r.longest) for r in mixing.mix(docs).groupBy("source").agg(
+            F.first("target").alias("target"),
+            F.max("size").alias("longest")
+        ).collect()
+    }
     got = {r.source: r.words for r in mixing.mixture(docs).groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("words")).collect()}
     assert all(abs(got.get(s, 0) - t) <= longest / 2 + 1 for s, (t, longest) in targets.items())

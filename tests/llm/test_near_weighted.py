@@ -79,6 +79,9 @@ def test_recall_of_weighted_sketches():
                 if near_dedup.probability_jaccard(a, p, b, q) <= want:
                     break
                 own += 1
-            regs = [near_dedup.signatures(k, np.zeros(len(k), dtype=int), w, 1, near_dedup.BANDS * near_dedup.ROWS).reshape(near_dedup.BANDS, -1) for k, w in ((a, p), (b, q))]
+            regs = [
+                near_dedup.signatures(k, np.zeros(len(k), dtype=int), w, 1, near_dedup.BANDS * near_dedup.ROWS).reshape(near_dedup.BANDS, -1) for k,
+                w in ((a, p), (b, q))
+            ]
             found[want] += bool((regs[0] == regs[1]).all(axis=1).any())
     assert found[0.8] >= 149 and found[0.3] < 75

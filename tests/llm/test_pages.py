@@ -14,10 +14,43 @@ from marketweave.llm import html_text, url_filter
 
 SF = "/root/testdata/sf0.01"
 URLS = [
-    "http://example.org#x://y/en/1z", "http://host?u=http://b.org/p", "http://a.com?u=http://b.com/de/x", "https://www.EXAMPLE.org/en/12", "https://example.org/es/", "ftp://x.org/", "http://x.org", "http://x.org?",
-    "http://spam-a.net/", "http://x.spam-b.net/", "http://xspam-b.net/", "http://a.net/x.spam-y.z", "http://cheap-pills.net/", "http://my-cheap-pills.net/", "http://mycheap-pills.net/", "http://discount-pills.fr/a",
-    "http://casino.net/", "http://a.net/casino/", "http://a.net/casino", "http://casinos.net/", "http://ad.foo.net/", "http://ads1.foo.net/", "http://ad", "http://ads7/x.y", "http://aad.foo.net/", "http://ad.com/fr/", "http://x.net/wp-login.php",
-    "http://x.net/wp-login.php\n", "http://x.net/xmlrpc.php?x", "http://x.com/de/xmlrpc.php", "http://x.com/DE/", "http://é.com/de/ü", "://", "a://b", "//x.com/de/", "http://ads-1.x.net/p", "",
+    "http://example.org#x://y/en/1z",
+    "http://host?u=http://b.org/p",
+    "http://a.com?u=http://b.com/de/x",
+    "https://www.EXAMPLE.org/en/12",
+    "https://example.org/es/",
+    "ftp://x.org/",
+    "http://x.org",
+    "http://x.org?",
+    "http://spam-a.net/",
+    "http://x.spam-b.net/",
+    "http://xspam-b.net/",
+    "http://a.net/x.spam-y.z",
+    "http://cheap-pills.net/",
+    "http://my-cheap-pills.net/",
+    "http://mycheap-pills.net/",
+    "http://discount-pills.fr/a",
+    "http://casino.net/",
+    "http://a.net/casino/",
+    "http://a.net/casino",
+    "http://casinos.net/",
+    "http://ad.foo.net/",
+    "http://ads1.foo.net/",
+    "http://ad",
+    "http://ads7/x.y",
+    "http://aad.foo.net/",
+    "http://ad.com/fr/",
+    "http://x.net/wp-login.php",
+    "http://x.net/wp-login.php\n",
+    "http://x.net/xmlrpc.php?x",
+    "http://x.com/de/xmlrpc.php",
+    "http://x.com/DE/",
+    "http://é.com/de/ü",
+    "://",
+    "a://b",
+    "//x.com/de/",
+    "http://ads-1.x.net/p",
+    "",
 ]
 
 
@@ -28,7 +61,10 @@ def plain_verdict(url):
     host = re.split("[/?#]", rest, maxsplit=1)[0]
     path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
     host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
-    fits = [(len(r), r, v) for v, r in url_filter.BASE_RULES if (h := r.partition("/")) and (host == h[0] or host.endswith("." + h[0])) and path.startswith("/" + h[2])]
+    fits = [
+        (len(r), r, v) for v,
+        r in url_filter.BASE_RULES if (h := r.partition("/")) and (host == h[0] or host.endswith("." + h[0])) and path.startswith("/" + h[2])
+    ]
     if fits:
         return host, path, *max(fits)[1:]
     blocked = any(re.search(e, host + path) for _, e, _ in url_filter.PATTERN_RULES)
@@ -36,7 +72,9 @@ def plain_verdict(url):
 
 
 def test_index_equals_all_rules_on_all_urls(spark):
-    table = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(-1 - i, u) for i, u in enumerate([*URLS, None])], "page_id long, url string"))
+    table = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").unionByName(
+        spark.createDataFrame([(-1 - i, u) for i, u in enumerate([*URLS, None])], "page_id long, url string")
+    )
     urls = {r.page_id: r.url for r in table.collect()}
     got = url_filter.judge(table).collect()
     assert len(got) == len(urls)
@@ -82,7 +120,11 @@ class Tree(HTMLParser):
 
 def frozen(node, text=True):
     tag, attrs, children = node
-    return (tag, tuple(v for k, v in attrs if k == "class") if not text else (), tuple(c if isinstance(c, str) and text else frozen(c, text) if not isinstance(c, str) else None for c in children))
+    return (
+        tag,
+        tuple(v for k, v in attrs if k == "class") if not text else (),
+        tuple(c if isinstance(c, str) and text else frozen(c, text) if not isinstance(c, str) else None for c in children)
+    )
 
 
 def sizes(node):
@@ -150,7 +192,10 @@ def made_page(rng, k):
     prose = "".join(f"<p>{words(6)} {k}</p>" for _ in range(rng.integers(1, 4)))
     inner = f"{prose}{quote if rng.random() < 0.7 else ''}{box if rng.random() < 0.7 else ''}<p>{words(5)} {k}.</p>"
     main = f"<article><h1>{words(3)}</h1>{inner}</article>" if k % 3 else f"<div><div>{inner}</div></div>"
-    return f"<html><body><ul>{nav}</ul>{notice if rng.random() < 0.8 else ''}{main}<div class='x3'>{words(2)}</div><footer>{words(2)}</footer></body></html>"
+    return (
+        f"<html><body><ul>{nav}</ul>{notice if rng.random() < 0.8 else ''}{main}<div "
+        f"class='x3'>{words(2)}</div><footer>{words(2)}</footer></body></html>"
+    )
 
 
 @pytest.mark.parametrize("few", [300_000, 0])
@@ -159,11 +204,16 @@ def test_template_removal_equals_plain_counting(spark, monkeypatch, few):
     rng = np.random.default_rng(7)
     pages = [(f"h{k % 3}.com", made_page(rng, k)) for k in range(60)]
     pages += [pages[0]] * 6 + [("solo.com", pages[3][1])] * 8  # copies of a page are one voice
-    table = spark.createDataFrame([(k, f"http://{h}/{k}", p) for k, (h, p) in enumerate(pages)], "page_id long, url string, html string").withColumn("host", F.lit(1))
+    table = spark.createDataFrame(
+        [(k, f"http://{h}/{k}", p) for k, (h, p) in enumerate(pages)],
+        "page_id long, url string, html string"
+    ).withColumn("host", F.lit(1))
     got = {r.page_id: r for r in html_text.extract(table).collect()}
     want = plain_extract(pages, html_text.LEAST_PAGES)
     assert [(got[k].text, got[k].n_recurring) for k in range(len(pages))] == want
-    assert all("quoted by very many" not in got[k].text or "quoted by" in pages[k][1] for k in got) and any("quoted by very many" in r.text for r in got.values())
+    assert all(
+        "quoted by very many" not in got[k].text or "quoted by" in pages[k][1] for k in got
+    ) and any("quoted by very many" in r.text for r in got.values())
     off = {r.page_id: r.text for r in html_text.extract(table, None).collect()}
     assert all("club" not in got[k].text for k in range(60)) and any("club" in off[k] for k in off)  # an unlisted box inside the article
     assert got[66].text == off[66] and got[66].n_recurring == 0
@@ -182,7 +232,10 @@ def test_deep_long_and_broken_pages(spark):
     long = "<article>" + "<p>word word word</p>" * 60_000 + "</article>"
     stray = "</i></span></div>" * 30_000 + "kept <!-- c --> &copy; &#x41;&nbsp;b<script>no</scrip" + "<"
     began = time.time()
-    table = spark.createDataFrame(list(enumerate([deep, bold, long, stray, "<", "</", "<a", "&", " \n "])), "page_id long, html string").withColumn("url", F.lit("http://d.com/"))
+    table = spark.createDataFrame(
+        list(enumerate([deep, bold, long, stray, "<", "</", "<a", "&", " \n "])),
+        "page_id long, html string"
+    ).withColumn("url", F.lit("http://d.com/"))
     got = {r.page_id: r.text for r in html_text.extract(table).collect()}
     assert got[0] == "deep text after" and got[1] == " ".join(["x"] * 2000) and got[2] == " ".join(["word word word"] * 60_000)
     assert got[3] == "kept © A b" and [got[k] for k in range(4, 9)] == ["<", "</", "", "&", ""]
@@ -190,8 +243,13 @@ def test_deep_long_and_broken_pages(spark):
 
 
 def test_telling_names_inside_an_article(spark):
-    inner = "<section id=related-work><h2 id=comments>Related work</h2><p>Prose {0}.</p></section><div class=comments>me too</div><div class='ad-slot'>Buy {0}</div>"
-    pages = [(k, f"http://t.com/{k}", f"<article><p>Own {k}</p>{inner.format(k)}</article>") for k in range(6)] + [(9, "http://u.com/", f"<article>{inner.format(9)}</article>")]
+    inner = (
+        "<section id=related-work><h2 id=comments>Related work</h2><p>Prose {0}.</p></section><div class=comments>me too</div><div "
+        "class='ad-slot'>Buy {0}</div>"
+    )
+    pages = [
+        (k, f"http://t.com/{k}", f"<article><p>Own {k}</p>{inner.format(k)}</article>") for k in range(6)
+    ] + [(9, "http://u.com/", f"<article>{inner.format(9)}</article>")]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert [got[k] for k in range(6)] == [f"Own {k} Related work Prose {k}." for k in range(6)]
     assert got[9] == "Related work Prose 9. Buy 9"  # a name that only contains a telling word must recur

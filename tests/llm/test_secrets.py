@@ -48,7 +48,12 @@ def test_scan_equals_nested_loops_on_the_given_documents(spark):
     assert sum(r.n_added for r in got.values()) > 10  # what one owner or two hold is added
     copied = {v for v, o in owners.items() if len(o) >= secret_scan.COPIED_OWNERS}
     texts = {r[0]: r[1] for r in rows}
-    added = {texts[i][int(a) : int(b)] for i, r in got.items() for k, a, b in (x.split(":") for x in filter(None, r.spans.split(","))) if k == "token"}
+    added = {
+        texts[i][int(a) : int(b)] for i,
+        r in got.items() for k,
+        a,
+        b in (x.split(":") for x in filter(None, r.spans.split(","))) if k == "token"
+    }
     assert added and not added & copied
 
 
