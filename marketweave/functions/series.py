@@ -145,7 +145,10 @@ def pooled_order(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     named = lambda t: t.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in t.columns if c not in keys])
     drop = [f"_{k}" for k in keys]
     cuts = named(cuts)
-    ranged = values.join(F.broadcast(cuts), same(values, cuts)).drop(*drop).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
+    ranged = values.join(F.broadcast(cuts), same(values, cuts)).drop(*drop).withColumn(
+        "_range",
+        F.size(F.filter("_cuts", lambda c: c < F.col(x)))
+    ).drop("_cuts")
     sums = ranged.groupBy(*keys, "_range").agg(F.sum("n").alias("_m"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = named(sums.withColumn("_offset", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m").withColumnRenamed("_range", "_r"))
@@ -162,6 +165,13 @@ def pooled_quantiles(df: DataFrame, keys: list[str], x: str, at: dict[str, float
     rows = order.join(F.broadcast(total), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     place = lambda p: (F.col("_total") - 1) * F.lit(float(p))
     holds = lambda i: (F.col("less") <= i) & (i < F.col("less") + F.col("n"))
-    ends = [F.max(F.when(holds(f(place(p))), F.col(x))).alias(f"_{side}_{name}") for name, p in at.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    ends = [
+        F.max(F.when(holds(f(place(p))), F.col(x))).alias(f"_{side}_{name}") for name,
+        p in at.items() for side,
+        f in (("low", F.floor), ("high", F.ceil))
+    ]
     found = rows.groupBy(*keys).agg(F.max("_total").alias("_total"), *ends)
-    return found.select(*keys, *[(F.col(f"_low_{n}") + (place(p) - F.floor(place(p))) * (F.col(f"_high_{n}") - F.col(f"_low_{n}"))).alias(n) for n, p in at.items()])
+    return found.select(
+        *keys,
+        *[(F.col(f"_low_{n}") + (place(p) - F.floor(place(p))) * (F.col(f"_high_{n}") - F.col(f"_low_{n}"))).alias(n) for n, p in at.items()]
+    )

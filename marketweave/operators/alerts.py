@@ -12,7 +12,16 @@ from ..functions.series import ma, staged
 from .regimes import stateful
 
 
-def trend_episodes(df: DataFrame, start: str, price: str, window: int, below: int, cooldown: int, key: str = "ticker", order: str = "date") -> DataFrame:
+def trend_episodes(
+    df: DataFrame,
+    start: str,
+    price: str,
+    window: int,
+    below: int,
+    cooldown: int,
+    key: str = "ticker",
+    order: str = "date"
+) -> DataFrame:
     """key, start, end, n: from a row with the start flag to the first later row from which `below` closes in a row lie
     under their mean (the last row but `below` at the latest); no start counts until `cooldown` rows after an end.
     Starts whose end is not found are left out."""
@@ -71,14 +80,26 @@ def match_alerts(events: DataFrame, alerts: DataFrame, key: str, at: str, tolera
     return both.groupBy(key).applyInPandas(run, f"{key} string, event long, alert long")
 
 
-def score_alerts(rows: DataFrame, flag: str, labels: DataFrame, tolerance: int, cooldown_days: int, key: str = "ticker", order: str = "date") -> DataFrame:
+def score_alerts(
+    rows: DataFrame,
+    flag: str,
+    labels: DataFrame,
+    tolerance: int,
+    cooldown_days: int,
+    key: str = "ticker",
+    order: str = "date"
+) -> DataFrame:
     """key, n_events, n_alerts, tp, fn, fp, precision, recall, mean_delay: collapsed alerts against labelled dates.
 
     labels: key and order, a row per event. Keys without event or alert have no ratio of what they lack.
     """
     kept = collapse_alerts(rows.select(key, order, flag), flag, cooldown_days, [key], order).where("kept").select(key, order)
     hits = match_alerts(labels.select(key, order), kept, key, order, tolerance)
-    matched = hits.groupBy(key).agg(F.count("*").alias("n_events"), F.count("alert").alias("tp"), F.avg(F.col("alert") - F.col("event")).alias("mean_delay"))
+    matched = hits.groupBy(key).agg(
+        F.count("*").alias("n_events"),
+        F.count("alert").alias("tp"),
+        F.avg(F.col("alert") - F.col("event")).alias("mean_delay")
+    )
     counts = kept.groupBy(key).agg(F.count("*").alias("n_alerts"))
     out = rows.select(key).distinct().join(matched, key, "left").join(counts, key, "left").fillna(0, ["n_events", "tp", "n_alerts"])
     out = out.withColumn("fn", F.col("n_events") - F.col("tp")).withColumn("fp", F.col("n_alerts") - F.col("tp"))
@@ -88,9 +109,22 @@ def score_alerts(rows: DataFrame, flag: str, labels: DataFrame, tolerance: int,
 
 def early_exit(df: DataFrame, entries: DataFrame, h: int, price: str, window: int) -> DataFrame:
     """ticker, entry, exit, ret: exit on the first row in 1..h whose price is under its mean, else after h rows."""
-    marked = staged(df, _m=ma(price, window)).select(F.col("ticker").alias("_t"), F.col("pos").alias("_p"), F.col(price).alias("_px"), (F.col(price) < F.col("_m")).alias("_below"))
-    path = entries.select("ticker", F.col("pos").alias("entry"), F.col(price).alias("paid")).join(marked, (F.col("ticker") == F.col("_t")) & F.col("_p").between(F.col("entry") + 1, F.col("entry") + h))
+    marked = staged(df, _m=ma(price, window)).select(
+        F.col("ticker").alias("_t"),
+        F.col("pos").alias("_p"),
+        F.col(price).alias("_px"),
+        (F.col(price) < F.col("_m")).alias("_below")
+    )
+    path = entries.select("ticker", F.col("pos").alias("entry"), F.col(price).alias("paid")).join(
+        marked,
+        (F.col("ticker") == F.col("_t")) & F.col("_p").between(F.col("entry") + 1, F.col("entry") + h)
+    )
     out = path.groupBy("ticker", "entry", "paid").agg(F.min(F.when(F.col("_below"), F.col("_p"))).alias("broke"), F.max("_p").alias("last"))
     out = out.withColumn("exit", F.coalesce("broke", "last"))
     last = marked.select(F.col("_t").alias("_t2"), F.col("_p").alias("_p2"), F.col("_px").alias("sold"))
-    return out.join(last, (F.col("ticker") == F.col("_t2")) & (F.col("exit") == F.col("_p2"))).select("ticker", "entry", "exit", (F.try_divide("sold", "paid") - 1).alias("ret"))
+    return out.join(last, (F.col("ticker") == F.col("_t2")) & (F.col("exit") == F.col("_p2"))).select(
+        "ticker",
+        "entry",
+        "exit",
+        (F.try_divide("sold", "paid") - 1).alias("ret")
+    )

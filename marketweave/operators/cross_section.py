@@ -32,7 +32,10 @@ def neutralize(df: DataFrame, x: str, group: str, size: str, low: float = 0.01,
     df = df.withColumn("_ln", F.when(F.col(size) > 0, F.ln(size)))
     df = df.withColumn("_b", F.percentile("_ln", F.array(F.lit(low), F.lit(high))).over(by_date()))
     known = F.col(x).isNotNull() & F.col("_ln").isNotNull() & F.col(group).isNotNull()
-    df = df.withColumn("_x", F.when(known, F.col(x))).withColumn("_l", F.when(known, F.least(F.greatest(F.col("_ln"), F.col("_b")[0]), F.col("_b")[1])))
+    df = df.withColumn("_x", F.when(known, F.col(x))).withColumn(
+        "_l",
+        F.when(known, F.least(F.greatest(F.col("_ln"), F.col("_b")[0]), F.col("_b")[1]))
+    )
     within = Window.partitionBy("date", group)
     df = df.withColumn("_dx", F.col("_x") - F.avg("_x").over(within)).withColumn("_dl", F.col("_l") - F.avg("_l").over(within))
     square = F.sum(F.col("_dl") * F.col("_dl")).over(by_date())
@@ -74,7 +77,11 @@ def grades(df: DataFrame, x: str, n: int, least: int, name: str = "grade") -> Da
 def flip_signs(long: DataFrame, target: str) -> DataFrame:
     """feature, sign: -1 where a feature's pooled rank correlation with the target is below 0. long: feature, value, target."""
     rows = long.where(F.col("value").isNotNull() & F.col(target).isNotNull())
-    rank = lambda x, name: pooled_order(rows, ["feature"], x).select(F.col("feature").alias("_f"), F.col(x).alias("_x"), (F.col("less") + (F.col("n") + 1) / 2).alias(name))
+    rank = lambda x, name: pooled_order(rows, ["feature"], x).select(
+        F.col("feature").alias("_f"),
+        F.col(x).alias("_x"),
+        (F.col("less") + (F.col("n") + 1) / 2).alias(name)
+    )
     for x, name in (("value", "_a"), (target, "_b")):
         rows = rows.join(rank(x, name), (F.col("feature") == F.col("_f")) & (F.col(x) == F.col("_x"))).drop("_f", "_x")
     stats = rows.groupBy("feature").agg(F.covar_samp("_a", "_b").alias("c"))
@@ -84,7 +91,9 @@ def flip_signs(long: DataFrame, target: str) -> DataFrame:
 def double_tail_spread(df: DataFrame, bucket: str, r: str, n: int) -> DataFrame:
     """date, spread: mean return of both end buckets less that of the rest."""
     ends = F.col(bucket).isin(1, n)
-    return df.where(F.col(bucket).isNotNull() & F.col(r).isNotNull()).groupBy("date").agg((F.avg(F.when(ends, F.col(r))) - F.avg(F.when(~ends, F.col(r)))).alias("spread"))
+    return df.where(F.col(bucket).isNotNull() & F.col(r).isNotNull()).groupBy("date").agg(
+        (F.avg(F.when(ends, F.col(r))) - F.avg(F.when(~ends, F.col(r)))).alias("spread")
+    )
 
 
 def top_k(df: DataFrame, x: str, k: int, name: str = "place") -> DataFrame:

@@ -36,8 +36,16 @@ def property_lines(pages: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.contains(F.lower(x), F.lit("investment propert")))
     rows = pages.select("filing_id", "page_no", F.try_element_at(lines, F.lit(1)).alias("label")).where("label is not null")
     return rows.select(
-        "filing_id", F.lit("note").alias("kind"), "label", F.lit("investment_properties_fair_value_total").alias("code"), F.lit(None).cast("double").alias("value"),
-        "page_no", F.lit(None).cast("int").alias("line_no"), F.lit(0.2).alias("confidence"), fl.currency(F.col("label")).alias("currency"), fl.unit_scale(F.col("label")).alias("unit_scale"),
+        "filing_id",
+        F.lit("note").alias("kind"),
+        "label",
+        F.lit("investment_properties_fair_value_total").alias("code"),
+        F.lit(None).cast("double").alias("value"),
+        "page_no",
+        F.lit(None).cast("int").alias("line_no"),
+        F.lit(0.2).alias("confidence"),
+        fl.currency(F.col("label")).alias("currency"),
+        fl.unit_scale(F.col("label")).alias("unit_scale"),
     )
 
 
@@ -56,7 +64,11 @@ def _numbered(rows: DataFrame, prefix: str, name: str) -> DataFrame:
 
 def statement_line_items(index: DataFrame, facts: DataFrame) -> DataFrame:
     """Table facts with fact_id and their filing's stock_code and period_end (null for filings that index lacks)."""
-    rows = _numbered(facts.where("kind = 'table'"), "fact", "fact_id").join(index.select("filing_id", "stock_code", "period_end"), "filing_id", "left")
+    rows = _numbered(facts.where("kind = 'table'"), "fact", "fact_id").join(
+        index.select("filing_id", "stock_code", "period_end"),
+        "filing_id",
+        "left"
+    )
     names = {"code": "line_item_code", "label": "line_item_label_raw", "confidence": "extract_confidence"}
     return rows.withColumnsRenamed(names).drop("kind").withColumn("scope", F.lit("group")).withColumn("as_reported_sign", F.lit(1))
 
@@ -87,7 +99,16 @@ def debt_schedule(index: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts of index's filings whose label names a borrowing, with debt_fact_id, debt_type and amount."""
     rows = _numbered(facts.where(F.contains(F.lower("label"), F.lit("borrow"))), "debt", "debt_fact_id")
     joined = rows.join(index.select("filing_id", "stock_code", "period_end"), "filing_id")
-    return joined.select("debt_fact_id", "filing_id", "stock_code", "period_end", F.lit("other").alias("debt_type"), "currency", F.col("value").alias("amount"), "page_no")
+    return joined.select(
+        "debt_fact_id",
+        "filing_id",
+        "stock_code",
+        "period_end",
+        F.lit("other").alias("debt_type"),
+        "currency",
+        F.col("value").alias("amount"),
+        "page_no"
+    )
 
 
 def property_notes(index: DataFrame, facts: DataFrame) -> DataFrame:
@@ -95,20 +116,38 @@ def property_notes(index: DataFrame, facts: DataFrame) -> DataFrame:
     rows = facts.where((F.col("kind") == "note") | F.contains(F.coalesce("code", F.lit("")), F.lit("investment_properties")))
     joined = _numbered(rows, "ip", "ip_note_fact_id").join(index.select("filing_id", "stock_code", "period_end"), "filing_id", "left")
     return joined.select(
-        "ip_note_fact_id", "filing_id", "stock_code", "period_end", F.col("code").alias("metric_code"), F.col("label").alias("metric_label_raw"), F.col("value").alias("value_num"), "page_no"
+        "ip_note_fact_id",
+        "filing_id",
+        "stock_code",
+        "period_end",
+        F.col("code").alias("metric_code"),
+        F.col("label").alias("metric_label_raw"),
+        F.col("value").alias("value_num"),
+        "page_no"
     )
 
 
 def review_sheet(rows: DataFrame, target: str, keys: list[str], field: str, value: str) -> DataFrame:
     """rows with what a reviewer fills in: the suggested value, empty override columns, and the row's key as JSON."""
     empty = {"override_value_num": "double", "override_value_text": "string", "override_reason": "string", "reviewer": "string"}
-    out = rows.select(F.lit(target).alias("target_table"), F.to_json(F.struct(*keys)).alias("target_key_json"), F.lit(field).alias("field_name"), F.col(value).alias("suggested_value"))
+    out = rows.select(
+        F.lit(target).alias("target_table"),
+        F.to_json(F.struct(*keys)).alias("target_key_json"),
+        F.lit(field).alias("field_name"),
+        F.col(value).alias("suggested_value")
+    )
     return out.select("*", *[F.lit(None).cast(t).alias(n) for n, t in empty.items()], F.lit("pending").alias("status"))
 
 
 def core_review_sheet(items: DataFrame) -> DataFrame:
     """Review sheet of the statement line items with the core codes."""
-    return review_sheet(items.where(F.col("line_item_code").isin(*CORE_CODES)), "statement_line_items", ["filing_id", "line_item_code"], "value", "value")
+    return review_sheet(
+        items.where(F.col("line_item_code").isin(*CORE_CODES)),
+        "statement_line_items",
+        ["filing_id", "line_item_code"],
+        "value",
+        "value"
+    )
 
 
 def import_overrides(sheets: DataFrame) -> DataFrame:
@@ -120,7 +159,10 @@ def import_overrides(sheets: DataFrame) -> DataFrame:
     if not set(keys) <= set(sheets.columns):
         return sheets.limit(0)
     known = F.when(F.col("status").isin(*STATES), F.col("status")).otherwise("pending")
-    return sheets.withColumn("override_id", F.concat(F.lit("ovr_"), F.substring(F.sha2(F.concat_ws("|", *keys), 256), 1, 12))).withColumn("status", known)
+    return sheets.withColumn(
+        "override_id",
+        F.concat(F.lit("ovr_"), F.substring(F.sha2(F.concat_ws("|", *keys), 256), 1, 12))
+    ).withColumn("status", known)
 
 
 def apply_overrides(items: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -8,12 +8,39 @@ from pyspark.sql.window import Window
 
 #: Titles that are left out, and ordered patterns of the document types (fixed values).
 DROPPED_TITLES = r"(?i)\bnotice of\b|\bproxy\b"
-DOC_TYPES = ((r"(?i)\bannual report\b", "annual_report"), (r"(?i)\binterim report\b", "interim_report"), (r"(?i)\b(annual|final)\s+results\b", "annual_results"), (r"(?i)\binterim results\b", "interim_results"))
+DOC_TYPES = (
+    (r"(?i)\bannual report\b", "annual_report"),
+    (r"(?i)\binterim report\b", "interim_report"),
+    (r"(?i)\b(annual|final)\s+results\b", "annual_results"),
+    (r"(?i)\binterim results\b", "interim_results")
+)
 #: Patterns of table lines with the canonical code, if the line's label decides it (fixed values).
-TABLE_RULES = (("equity attributable to", "equity_attributable_to_owners"), ("non-controlling interests", "non_controlling_interests"), (r"\btotal equity\b", "total_equity"), ("cash and bank balances", "cash_and_bank_balances"), (r"\bborrowings\b", None))
+TABLE_RULES = (
+    ("equity attributable to", "equity_attributable_to_owners"),
+    ("non-controlling interests", "non_controlling_interests"),
+    (r"\btotal equity\b", "total_equity"),
+    ("cash and bank balances", "cash_and_bank_balances"),
+    (r"\bborrowings\b", None)
+)
 #: Patterns of note headings and of metrics in notes (fixed values).
-NOTE_HEADINGS = (("investment_properties", r"(?i)\binvestment properties\b"), ("fair_value", r"(?i)\bfair value (measurement|gain|loss)?\b"), ("valuation", r"(?i)\bvaluation\b"), ("deferred_tax", r"(?i)\bdeferred tax\b"), ("borrowings", r"(?i)\b(borrowings|interest-bearing liabilities)\b"), ("share_capital", r"(?i)\bshare capital\b"), ("eps", r"(?i)\bearn(?:ings)? per share\b"))
-METRIC_RULES = (("(?i)fair value gain", "fair_value_gain_loss"), ("(?i)investment properties", "investment_properties_fair_value_total"), ("(?i)cap rate", "valuation_cap_rate_low"), ("(?i)discount rate", "discount_rate_low"), ("(?i)rental income", "rental_income"), ("(?i)deferred tax", "deferred_tax_revaluation_related"), ("(?i)valuer|valued by", "valuer_name"))
+NOTE_HEADINGS = (
+    ("investment_properties", r"(?i)\binvestment properties\b"),
+    ("fair_value", r"(?i)\bfair value (measurement|gain|loss)?\b"),
+    ("valuation", r"(?i)\bvaluation\b"),
+    ("deferred_tax", r"(?i)\bdeferred tax\b"),
+    ("borrowings", r"(?i)\b(borrowings|interest-bearing liabilities)\b"),
+    ("share_capital", r"(?i)\bshare capital\b"),
+    ("eps", r"(?i)\bearn(?:ings)? per share\b")
+)
+METRIC_RULES = (
+    ("(?i)fair value gain", "fair_value_gain_loss"),
+    ("(?i)investment properties", "investment_properties_fair_value_total"),
+    ("(?i)cap rate", "valuation_cap_rate_low"),
+    ("(?i)discount rate", "discount_rate_low"),
+    ("(?i)rental income", "rental_income"),
+    ("(?i)deferred tax", "deferred_tax_revaluation_related"),
+    ("(?i)valuer|valued by", "valuer_name")
+)
 #: Scenario, cap-rate shift in basis points, uplift of investment properties, hidden development reserve (fixed values).
 SCENARIOS = (("rnav_base", 0, 0.0, 0.05), ("rnav_bull", -25, 0.05, 0.10), ("rnav_bear", 25, -0.05, 0.0))
 #: Haircut on deferred tax in every scenario (fixed value).
@@ -31,7 +58,11 @@ def period_end(title: Column) -> Column:
     """A date such as 30 June 2024 after "for" or "ended", else one such as 2024/06/30."""
     words = F.regexp_extract(title, r"(?i)(?:for|ended)\s+(\d{1,2}\s+[A-Za-z]+\s+\d{4})", 1)
     digits = F.regexp_replace(F.regexp_extract(title, r"(\d{4}[/-]\d{2}[/-]\d{2})", 1), "/", "-")
-    return F.coalesce(F.try_to_timestamp(words, F.lit("d MMMM yyyy")), F.try_to_timestamp(words, F.lit("d MMM yyyy")), F.try_to_timestamp(digits, F.lit("yyyy-MM-dd"))).cast("date")
+    return F.coalesce(
+        F.try_to_timestamp(words, F.lit("d MMMM yyyy")),
+        F.try_to_timestamp(words, F.lit("d MMM yyyy")),
+        F.try_to_timestamp(digits, F.lit("yyyy-MM-dd"))
+    ).cast("date")
 
 
 def currency(text: Column) -> Column:
@@ -78,7 +109,10 @@ def index_filings(seed: DataFrame) -> DataFrame:
     seed: stock_code, title, publish_datetime_hk (text). Titles of no known type and rows without a date are dropped.
     """
     rows = seed.withColumn("doc_type", doc_type(F.col("title"))).where("doc_type is not null and publish_datetime_hk is not null")
-    rows = rows.withColumn("period_end", period_end(F.col("title"))).withColumn("filing_id", filing_id(F.col("stock_code"), F.col("publish_datetime_hk"), F.col("title")))
+    rows = rows.withColumn("period_end", period_end(F.col("title"))).withColumn(
+        "filing_id",
+        filing_id(F.col("stock_code"), F.col("publish_datetime_hk"), F.col("title"))
+    )
     rows = rows.withColumn("fiscal_year", F.year("period_end")).withColumn("fiscal_half", fiscal_half(F.col("period_end")))
     return rows.dropDuplicates(["stock_code", "doc_type", "publish_datetime_hk", "title"])
 
@@ -99,7 +133,15 @@ def line_facts(pages: DataFrame) -> DataFrame:
     hits = lines.withColumn("hit", _matches(F.lower("line"), TABLE_RULES))
     value = last_number(F.col("line"))
     code = F.coalesce("hit.name", line_item(F.col("line")))
-    return hits.select("filing_id", "page_no", "line_no", code.alias("code"), value.alias("value"), F.when(value.isNotNull(), 0.45).otherwise(0.2).alias("confidence"), F.trim("line").alias("label"))
+    return hits.select(
+        "filing_id",
+        "page_no",
+        "line_no",
+        code.alias("code"),
+        value.alias("value"),
+        F.when(value.isNotNull(), 0.45).otherwise(0.2).alias("confidence"),
+        F.trim("line").alias("label")
+    )
 
 
 def note_anchors(pages: DataFrame) -> DataFrame:
@@ -112,7 +154,15 @@ def note_facts(pages: DataFrame) -> DataFrame:
     lines = pages.select("filing_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
     hits = lines.withColumn("hit", _matches(F.col("line"), METRIC_RULES))
     value = last_number(F.col("line"))
-    return hits.select("filing_id", "page_no", "line_no", F.col("hit.name").alias("code"), value.alias("value"), F.when(value.isNotNull(), 0.35).otherwise(0.25).alias("confidence"), F.substring(F.trim("line"), 1, 250).alias("label"))
+    return hits.select(
+        "filing_id",
+        "page_no",
+        "line_no",
+        F.col("hit.name").alias("code"),
+        value.alias("value"),
+        F.when(value.isNotNull(), 0.35).otherwise(0.25).alias("confidence"),
+        F.substring(F.trim("line"), 1, 250).alias("label")
+    )
 
 
 def pivot_facts(facts: DataFrame, codes: list[str]) -> DataFrame:
@@ -146,8 +196,17 @@ def revalued_nav(df: DataFrame) -> DataFrame:
     df: columns of book_nav with investment_properties, deferred_tax and nci.
     """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    rows = assumptions(df).withColumn("ip_adj", zero("investment_properties") * F.col("ip_uplift")).withColumn("dev_adj", F.col("equity") * F.col("dev_reserve"))
-    rows = rows.withColumn("deferred_tax_adj", F.greatest(zero("deferred_tax"), F.col("ip_adj") + F.col("dev_adj")) * TAX_HAIRCUT).withColumn("minority_adj", zero("nci"))
+    rows = assumptions(df).withColumn(
+        "ip_adj",
+        zero("investment_properties") * F.col("ip_uplift")
+    ).withColumn("dev_adj", F.col("equity") * F.col("dev_reserve"))
+    rows = rows.withColumn(
+        "deferred_tax_adj",
+        F.greatest(zero("deferred_tax"), F.col("ip_adj") + F.col("dev_adj")) * TAX_HAIRCUT
+    ).withColumn("minority_adj", zero("nci"))
     rows = rows.withColumn("rnav_equity", F.col("equity") + F.col("ip_adj") + F.col("dev_adj") - F.col("deferred_tax_adj") - F.col("minority_adj"))
-    rows = rows.withColumn("rnav_per_share", F.col("rnav_equity") / F.col("shares_used")).withColumn("rnav_discount", F.try_divide("price", "rnav_per_share") - 1)
+    rows = rows.withColumn(
+        "rnav_per_share",
+        F.col("rnav_equity") / F.col("shares_used")
+    ).withColumn("rnav_discount", F.try_divide("price", "rnav_per_share") - 1)
     return rows.withColumn("lineage", F.to_json(F.struct("shares_source", "scenario")))

@@ -21,13 +21,19 @@ def expanding_trend(df: DataFrame, y: str, least: int = 10, key: str = "ticker",
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     x = F.when(F.col(y).isNotNull(), F.col(t).cast("double"))
     n, slope, base = F.count(y).over(w), F.regr_slope(F.col(y), x).over(w), F.regr_intercept(F.col(y), x).over(w)
-    df = df.withColumn("_n", n).withColumn("_b", slope).withColumn("_a", base).withColumn("_sxx", F.regr_sxx(F.col(y), x).over(w)).withColumn("_syy", F.regr_syy(F.col(y), x).over(w))
+    df = df.withColumn("_n", n).withColumn("_b", slope).withColumn("_a", base).withColumn(
+        "_sxx",
+        F.regr_sxx(F.col(y), x).over(w)
+    ).withColumn("_syy", F.regr_syy(F.col(y), x).over(w))
     df = df.withColumn("_last", F.last(y, ignorenulls=True).over(w))
     rest = F.greatest(F.col("_syy") - F.col("_b") * F.col("_b") * F.col("_sxx"), F.lit(0.0))
     known = F.col("_n") >= least
     df = df.withColumn("forecast", F.when(known, F.col("_a") + F.col("_b") * F.col(t)))
     df = df.withColumn("error", F.col(y) - F.col("forecast")).withColumn("naive_error", F.when(known, F.col(y) - F.col("_last")))
-    return df.withColumn("t_value", F.when(known, F.try_divide(F.col("_b"), F.sqrt(F.try_divide(rest, (F.col("_n") - 2) * F.col("_sxx")))))).drop("_n", "_a", "_b", "_sxx", "_syy", "_last")
+    return df.withColumn(
+        "t_value",
+        F.when(known, F.try_divide(F.col("_b"), F.sqrt(F.try_divide(rest, (F.col("_n") - 2) * F.col("_sxx")))))
+    ).drop("_n", "_a", "_b", "_sxx", "_syy", "_last")
 
 
 def rolling_forecast(df: DataFrame, y: str, n: int, quantile: float, key: str = "ticker", order: str = "date", t: str = "pos") -> DataFrame:
@@ -36,11 +42,17 @@ def rolling_forecast(df: DataFrame, y: str, n: int, quantile: float, key: str =
     x = F.col(t).cast("double")
     known = F.count(y).over(w) == n
     slope, base = F.regr_slope(F.col(y), x).over(w), F.regr_intercept(F.col(y), x).over(w)
-    df = df.withColumn("_b", F.when(known, slope)).withColumn("_a", F.when(known, base)).withColumn("_sxx", F.regr_sxx(F.col(y), x).over(w)).withColumn("_syy", F.regr_syy(F.col(y), x).over(w)).withColumn("_mx", F.avg(x).over(w))
+    df = df.withColumn("_b", F.when(known, slope)).withColumn("_a", F.when(known, base)).withColumn(
+        "_sxx",
+        F.regr_sxx(F.col(y), x).over(w)
+    ).withColumn("_syy", F.regr_syy(F.col(y), x).over(w)).withColumn("_mx", F.avg(x).over(w))
     rest = F.greatest(F.col("_syy") - F.col("_b") * F.col("_b") * F.col("_sxx"), F.lit(0.0)) / (n - 2)
     spread = F.sqrt(rest * (1 + 1 / n + F.try_divide(F.pow(x - F.col("_mx"), 2), F.col("_sxx"))))
     df = df.withColumn("forecast", F.col("_a") + F.col("_b") * x).withColumn("_s", spread)
-    return df.withColumn("low", F.col("forecast") - quantile * F.col("_s")).withColumn("high", F.col("forecast") + quantile * F.col("_s")).withColumn("z", F.try_divide(F.col(y) - F.col("forecast"), F.col("_s"))).drop("_a", "_b", "_sxx", "_syy", "_mx", "_s")
+    return df.withColumn("low", F.col("forecast") - quantile * F.col("_s")).withColumn("high", F.col("forecast") + quantile * F.col("_s")).withColumn(
+        "z",
+        F.try_divide(F.col(y) - F.col("forecast"), F.col("_s"))
+    ).drop("_a", "_b", "_sxx", "_syy", "_mx", "_s")
 
 
 def split_rmse(df: DataFrame, y: str, x: str, train: Column, key: str) -> DataFrame:
@@ -49,14 +61,25 @@ def split_rmse(df: DataFrame, y: str, x: str, train: Column, key: str) -> DataFr
     fit = df.groupBy(key).agg(F.regr_slope(yt, xt).alias("_b"), F.regr_intercept(yt, xt).alias("_a"), F.avg(yt).alias("_m"))
     rows = df.join(fit, key).withColumn("_e", F.col(y) - F.col("_a") - F.col("_b") * F.col(x)).withColumn("_t", train)
     rms = lambda e, on: F.sqrt(F.avg(F.when(on, e * e)))
-    return rows.groupBy(key).agg(rms(F.col("_e"), F.col("_t")).alias("train"), rms(F.col("_e"), ~F.col("_t")).alias("test"), rms(F.col(y) - F.col("_m"), ~F.col("_t")).alias("naive"))
+    return rows.groupBy(key).agg(
+        rms(F.col("_e"), F.col("_t")).alias("train"),
+        rms(F.col("_e"), ~F.col("_t")).alias("test"),
+        rms(F.col(y) - F.col("_m"), ~F.col("_t")).alias("naive")
+    )
 
 
 def break_scan(df: DataFrame, y: str, least: int, key: str = "ticker", order: str = "date", t: str = "pos") -> DataFrame:
     """key, break_at, sse: the place where two lines fit best; sums after a place are the total less the prefix."""
     rows = df.where(F.col(y).isNotNull()).withColumn("_x", F.col(t).cast("double"))
     w, every = trailing(None, key, order), Window.partitionBy(key)
-    terms = {"n": F.lit(1.0), "x": F.col("_x"), "y": F.col(y), "xx": F.col("_x") * F.col("_x"), "xy": F.col("_x") * F.col(y), "yy": F.col(y) * F.col(y)}
+    terms = {
+        "n": F.lit(1.0),
+        "x": F.col("_x"),
+        "y": F.col(y),
+        "xx": F.col("_x") * F.col("_x"),
+        "xy": F.col("_x") * F.col(y),
+        "yy": F.col(y) * F.col(y)
+    }
     for name, term in terms.items():
         rows = rows.withColumn(f"_p{name}", F.sum(term).over(w)).withColumn(f"_q{name}", F.sum(term).over(every) - F.col(f"_p{name}"))
 
@@ -118,7 +141,10 @@ def fit_folds(rows: DataFrame, xs: list[str], ridge: float, least_each: int, ste
     """
     spark, k = rows.sparkSession, len(xs)
     stats = rows.groupBy("fold").agg(
-        F.count("*").alias("n"), F.sum("y").alias("pos"), F.array(*[F.avg(x) for x in xs]).alias("mean"), F.array(*[F.stddev_pop(x) for x in xs]).alias("scale")
+        F.count("*").alias("n"),
+        F.sum("y").alias("pos"),
+        F.array(*[F.avg(x) for x in xs]).alias("mean"),
+        F.array(*[F.stddev_pop(x) for x in xs]).alias("scale")
     )
     folds = {r.fold: r for r in stats.collect() if r.pos >= least_each and r.n - r.pos >= least_each}  # a row per test span of the calendar
     known = {f: {"fold": f, "mean": list(r["mean"]), "scale": [s or 1.0 for s in r.scale], "coef": [0.0] * (k + 1)} for f, r in folds.items()}
@@ -126,10 +152,20 @@ def fit_folds(rows: DataFrame, xs: list[str], ridge: float, least_each: int, ste
     penalty = np.diag([0.0] + [ridge] * k)
     pairs = [(i, j) for i in range(k + 1) for j in range(i + 1)]
     for _ in range(steps if known else 0):
-        table = _literal(spark, [{**v, "yes": folds[f].n / (2 * folds[f].pos), "no": folds[f].n / (2 * (folds[f].n - folds[f].pos))} for f, v in known.items()], schema + ",yes:double,no:double")
+        table = _literal(
+            spark,
+            [{**v, "yes": folds[f].n / (2 * folds[f].pos), "no": folds[f].n / (2 * (folds[f].n - folds[f].pos))} for f, v in known.items()],
+            schema + ",yes:double,no:double"
+        )
         a = [F.lit(1.0)] + [(F.col(x) - F.col("mean")[i]) / F.col("scale")[i] for i, x in enumerate(xs)]
         z = sum((F.col("coef")[i] * x for i, x in enumerate(a)), F.lit(0.0))
-        each = rows.join(F.broadcast(table), "fold").select("fold", "y", F.when(F.col("y") == 1, F.col("yes")).otherwise(F.col("no")).alias("w"), (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("p"), *[x.alias(f"a{i}") for i, x in enumerate(a)])
+        each = rows.join(F.broadcast(table), "fold").select(
+            "fold",
+            "y",
+            F.when(F.col("y") == 1, F.col("yes")).otherwise(F.col("no")).alias("w"),
+            (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("p"),
+            *[x.alias(f"a{i}") for i, x in enumerate(a)]
+        )
         gradient = [F.sum(F.col("w") * (F.col("p") - F.col("y")) * F.col(f"a{i}")) for i in range(k + 1)]
         curve = [F.sum(F.col("w") * F.col("p") * (1 - F.col("p")) * F.col(f"a{i}") * F.col(f"a{j}")) for i, j in pairs]
         largest = 0.0
@@ -150,7 +186,13 @@ def walk_forward_logistic(df: DataFrame, y: str, xs: list[str], folds: DataFrame
     folds: fold, train_start, train_end, test_start, test_end (row numbers), a row per test span of the calendar; folds
     with too few of a label are left out. The rows are written once, as each Newton step reads them again.
     """
-    known = df.where(" and ".join(f"{c} is not null" for c in [y, *xs])).select("date", "ticker", "pos", F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in xs])
+    known = df.where(" and ".join(f"{c} is not null" for c in [y, *xs])).select(
+        "date",
+        "ticker",
+        "pos",
+        F.col(y).cast("double").alias("y"),
+        *[F.col(c).cast("double").alias(c) for c in xs]
+    )
     path = scratch(df.sparkSession, "walk-forward")
     known.write.parquet(path)
     rows, spans = df.sparkSession.read.parquet(path), F.broadcast(folds)
@@ -164,8 +206,17 @@ def walk_forward_logistic(df: DataFrame, y: str, xs: list[str], folds: DataFrame
 def make_folds(calendar: DataFrame, train: int, test: int, purge: int) -> DataFrame:
     """fold, train_start, train_end, test_start, test_end in row numbers: consecutive tests after a purged training span."""
     last = calendar.agg(F.max("pos").alias("last"))
-    starts = last.select(F.explode(F.sequence(F.lit(train + purge).cast("long"), F.col("last").cast("long"), F.lit(test).cast("long"))).alias("test_start"), "last")
-    return starts.select(((F.col("test_start") - train - purge) / test).cast("int").alias("fold"), (F.col("test_start") - train - purge).alias("train_start"), (F.col("test_start") - purge - 1).alias("train_end"), "test_start", F.least(F.col("test_start") + test - 1, F.col("last").cast("long")).alias("test_end"))
+    starts = last.select(
+        F.explode(F.sequence(F.lit(train + purge).cast("long"), F.col("last").cast("long"), F.lit(test).cast("long"))).alias("test_start"),
+        "last"
+    )
+    return starts.select(
+        ((F.col("test_start") - train - purge) / test).cast("int").alias("fold"),
+        (F.col("test_start") - train - purge).alias("train_start"),
+        (F.col("test_start") - purge - 1).alias("train_end"),
+        "test_start",
+        F.least(F.col("test_start") + test - 1, F.col("last").cast("long")).alias("test_end")
+    )
 
 
 def _seed(seed: int, key: str) -> np.random.Generator:
@@ -177,7 +228,12 @@ def shift_test(df: DataFrame, mask: str, r: str, tries: int, key: str, seed: int
 
     The means of all offsets of a key's series come from one Fourier transform, so that tries cost nothing but a look-up.
     """
-    rows = df.where(F.col(r).isNotNull()).select(F.col(key).cast("string").alias(key), "date", F.coalesce(F.col(mask), F.lit(False)).alias("on"), F.col(r).cast("double").alias("r"))
+    rows = df.where(F.col(r).isNotNull()).select(
+        F.col(key).cast("string").alias(key),
+        "date",
+        F.coalesce(F.col(mask), F.lit(False)).alias("on"),
+        F.col(r).cast("double").alias("r")
+    )
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("date")
@@ -199,12 +255,24 @@ def draw_test(df: DataFrame, chosen: str, label: str, tries: int, key: str, seed
     """
     c, y = F.coalesce(F.col(chosen), F.lit(False)), F.col(label).cast("boolean")
     n = lambda x: F.sum(x.cast("long"))
-    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(key).cast("string").alias(key)).agg(n(c & y).alias("hits"), n(c).alias("m"), n(y).alias("labels"), F.count("*").alias("n")).where("m > 0")
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(key).cast("string").alias(key)).agg(
+        n(c & y).alias("hits"),
+        n(c).alias("m"),
+        n(y).alias("labels"),
+        F.count("*").alias("n")
+    ).where("m > 0")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            drawn = [_seed(seed, k).hypergeometric(lab, all_ - lab, m, tries) for k, lab, m, all_ in zip(part[key], part["labels"], part["m"], part["n"], strict=True)]
-            yield pd.DataFrame({key: part[key], "hits": part["hits"], "p": [(1 + (d >= h).sum()) / (1 + tries) for d, h in zip(drawn, part["hits"], strict=True)]})
+            drawn = [
+                _seed(seed, k).hypergeometric(lab, all_ - lab, m, tries) for k,
+                lab,
+                m,
+                all_ in zip(part[key], part["labels"], part["m"], part["n"], strict=True)
+            ]
+            yield pd.DataFrame(
+                {key: part[key], "hits": part["hits"], "p": [(1 + (d >= h).sum()) / (1 + tries) for d, h in zip(drawn, part["hits"], strict=True)]}
+            )
 
     return counts.mapInPandas(run, f"{key} string, hits long, p double")
 
@@ -212,13 +280,27 @@ def draw_test(df: DataFrame, chosen: str, label: str, tries: int, key: str, seed
 def hac_slope(df: DataFrame, y: str, x: str, lags: int, key: str, order: str = "date") -> DataFrame:
     """key, slope, t_value of a line with Newey-West errors (Bartlett weights); t_value is null under ten rows."""
     rows = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
-    fit = rows.groupBy(key).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("_a"), F.avg(x).alias("_mx"), F.regr_sxx(y, x).alias("_sxx"))
+    fit = rows.groupBy(key).agg(
+        F.regr_slope(y, x).alias("slope"),
+        F.regr_intercept(y, x).alias("_a"),
+        F.avg(x).alias("_mx"),
+        F.regr_sxx(y, x).alias("_sxx")
+    )
     rows = rows.join(fit, key).withColumn("_u", (F.col(x) - F.col("_mx")) * (F.col(y) - F.col("_a") - F.col("slope") * F.col(x)))
     w, spread = Window.partitionBy(key).orderBy(order), F.col("_u") * F.col("_u")
     for k in range(1, lags + 1):
         spread = spread + 2 * (1 - k / (lags + 1)) * F.col("_u") * F.coalesce(F.lag("_u", k).over(w), F.lit(0.0))
     rows = rows.withColumn("_v", spread)
-    return rows.groupBy(key).agg(F.first("slope").alias("slope"), F.first("_sxx").alias("_sxx"), F.sum("_v").alias("_s"), F.count("*").alias("_n")).select(key, "slope", F.when(F.col("_n") >= 10, F.try_divide(F.col("slope") * F.col("_sxx"), F.sqrt(F.greatest(F.col("_s"), F.lit(0.0))))).alias("t_value"))
+    return rows.groupBy(key).agg(
+        F.first("slope").alias("slope"),
+        F.first("_sxx").alias("_sxx"),
+        F.sum("_v").alias("_s"),
+        F.count("*").alias("_n")
+    ).select(
+        key,
+        "slope",
+        F.when(F.col("_n") >= 10, F.try_divide(F.col("slope") * F.col("_sxx"), F.sqrt(F.greatest(F.col("_s"), F.lit(0.0))))).alias("t_value")
+    )
 
 
 def principal_components(df: DataFrame, names: list[str], k: int) -> DataFrame:

@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], direction: str = "backward", exact: bool = True) -> DataFrame:
+def asof(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    left_time: str,
+    right_time: str,
+    values: list[str],
+    direction: str = "backward",
+    exact: bool = True
+) -> DataFrame:
     """left with the values of the nearest row of right in time: the last before (backward) or the first after (forward).
 
     Rows of right with a null in any of the values are skipped; exact says whether equal times match. Both sides are
@@ -18,8 +27,20 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right
     backward = direction == "backward"
     payload = F.struct(*[F.col(c) for c in left.columns])
     found = F.struct(F.col(right_time).alias("matched"), *[F.col(v) for v in values])
-    a = left.select(*on, F.col(left_time).cast("timestamp").alias("_t"), F.lit(1 if exact else 0).alias("_k"), payload.alias("_left"), F.lit(None).cast(right.select(found.alias("x")).schema["x"].dataType).alias("_right"))
-    b = right.select(*on, F.col(right_time).cast("timestamp").alias("_t"), F.lit(0 if exact else 1).alias("_k"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), found.alias("_right"))
+    a = left.select(
+        *on,
+        F.col(left_time).cast("timestamp").alias("_t"),
+        F.lit(1 if exact else 0).alias("_k"),
+        payload.alias("_left"),
+        F.lit(None).cast(right.select(found.alias("x")).schema["x"].dataType).alias("_right")
+    )
+    b = right.select(
+        *on,
+        F.col(right_time).cast("timestamp").alias("_t"),
+        F.lit(0 if exact else 1).alias("_k"),
+        F.lit(None).cast(a.schema["_left"].dataType).alias("_left"),
+        found.alias("_right")
+    )
     order = [F.col("_t").asc() if backward else F.col("_t").desc(), F.col("_k").asc()]
     last = F.last("_right", ignorenulls=True).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     merged = a.unionByName(b).withColumn("_hit", last).where(F.col("_left").isNotNull())
@@ -75,7 +96,16 @@ def replay_last(grid: DataFrame, events: DataFrame, seeds: list[str] | None = No
 
 def first_within(starts: DataFrame, states: DataFrame, on: list[str], at: str, h: int) -> DataFrame:
     """starts with delay: places until the first row of states (rows where the target state holds) from the start on, null beyond h."""
-    hit = asof(starts.withColumn("_t", F.timestamp_seconds(at)), states.select(*on, F.col(at).alias("_p"), F.timestamp_seconds(at).alias("_s")), on, "_t", "_s", ["_p"], "forward", True)
+    hit = asof(
+        starts.withColumn("_t", F.timestamp_seconds(at)),
+        states.select(*on, F.col(at).alias("_p"), F.timestamp_seconds(at).alias("_s")),
+        on,
+        "_t",
+        "_s",
+        ["_p"],
+        "forward",
+        True
+    )
     return hit.withColumn("delay", F.when(F.col("_p") - F.col(at) <= h, F.col("_p") - F.col(at))).drop("_t", "_p", "matched")
 
 

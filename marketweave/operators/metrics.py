@@ -61,7 +61,10 @@ def spearman_ic(df: DataFrame, s: str, r: str, least: int, keys: list[str] | Non
     keys = keys or ["date"]
     rows = df.where(F.col(s).isNotNull() & F.col(r).isNotNull())
     ranked = rows.withColumn("_a", cs_rank(s, keys)).withColumn("_b", cs_rank(r, keys))
-    return ranked.groupBy(*keys).agg(corr_of("_a", "_b").alias("ic"), F.count("*").alias("n")).withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
+    return ranked.groupBy(*keys).agg(
+        corr_of("_a", "_b").alias("ic"),
+        F.count("*").alias("n")
+    ).withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 
 
 def ic_stats(ic: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,14 +104,20 @@ def long_short(returns: DataFrame, bucket: str, best: int, worst: int) -> DataFr
 def turnover_proxy(labels: DataFrame, bucket: str, k: int) -> DataFrame:
     """date, turnover: share of bucket k that was not in it on the previous rebalance date. labels: date, ticker, bucket on a dense grid."""
     was = F.lag(bucket).over(Window.partitionBy("ticker").orderBy("date"))
-    rows = labels.withColumn("_in", F.coalesce(F.col(bucket) == k, F.lit(False)).cast("int")).withColumn("_was", F.coalesce(was == k, F.lit(False)).cast("int"))
+    rows = labels.withColumn(
+        "_in",
+        F.coalesce(F.col(bucket) == k, F.lit(False)).cast("int")
+    ).withColumn("_was", F.coalesce(was == k, F.lit(False)).cast("int"))
     out = rows.groupBy("date").agg(F.sum("_in").alias("size"), F.sum(F.col("_in") * F.col("_was")).alias("stay"))
     return out.where("size > 0").select("date", (1 - F.col("stay") / F.col("size")).alias("turnover"))
 
 
 def transition_matrix(df: DataFrame, state: str, key: str, order: str = "date") -> DataFrame:
     """prev, state, share: how often each state follows each other, by the state before."""
-    moves = df.withColumn("prev", F.lag(state).over(Window.partitionBy(key).orderBy(order))).where(F.col("prev").isNotNull() & F.col(state).isNotNull())
+    moves = df.withColumn(
+        "prev",
+        F.lag(state).over(Window.partitionBy(key).orderBy(order))
+    ).where(F.col("prev").isNotNull() & F.col(state).isNotNull())
     counts = moves.groupBy("prev", F.col(state).alias("state")).agg(F.count("*").alias("n"))
     return counts.select("prev", "state", (F.col("n") / F.sum("n").over(Window.partitionBy("prev"))).alias("share"))
 
@@ -117,25 +126,54 @@ def confusion(df: DataFrame, p: str, y: str, at: float, keys: list[str] | None =
     """tp, fp, tn, fn, precision, recall of p >= at for the 0/1 label y."""
     yes, is_one = F.col(p) >= at, F.col(y) == 1
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    out = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*(keys or [])).agg(n(yes & is_one).alias("tp"), n(yes & ~is_one).alias("fp"), n(~yes & ~is_one).alias("tn"), n(~yes & is_one).alias("fn"))
-    return out.withColumn("precision", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")))
+    out = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*(keys or [])).agg(
+        n(yes & is_one).alias("tp"),
+        n(yes & ~is_one).alias("fp"),
+        n(~yes & ~is_one).alias("tn"),
+        n(~yes & is_one).alias("fn")
+    )
+    return out.withColumn(
+        "precision",
+        F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))
+    ).withColumn("recall", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")))
 
 
 def roc_points(df: DataFrame, p: str, y: str, key: str) -> DataFrame:
     """key, threshold, tpr, fpr, precision, youden for each distinct score, from the highest on."""
-    grouped = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(key, F.col(p).alias("threshold")).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
+    grouped = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(key, F.col(p).alias("threshold")).agg(
+        F.sum(y).alias("pos"),
+        F.sum(1 - F.col(y)).alias("neg")
+    )
     down = Window.partitionBy(key).orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(key)
-    rows = grouped.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).withColumn("all_pos", F.sum("pos").over(every)).withColumn("all_neg", F.sum("neg").over(every))
-    rows = rows.withColumn("tpr", F.try_divide(F.col("tp").cast("double"), "all_pos")).withColumn("fpr", F.try_divide(F.col("fp").cast("double"), "all_neg"))
-    return rows.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))).withColumn("youden", F.col("tpr") - F.col("fpr")).select(key, "threshold", "pos", "tpr", "fpr", "precision", "youden", "all_pos")
+    rows = grouped.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).withColumn(
+        "all_pos",
+        F.sum("pos").over(every)
+    ).withColumn("all_neg", F.sum("neg").over(every))
+    rows = rows.withColumn(
+        "tpr",
+        F.try_divide(F.col("tp").cast("double"), "all_pos")
+    ).withColumn("fpr", F.try_divide(F.col("fp").cast("double"), "all_neg"))
+    return rows.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))).withColumn("youden", F.col("tpr") - F.col("fpr")).select(
+        key,
+        "threshold",
+        "pos",
+        "tpr",
+        "fpr",
+        "precision",
+        "youden",
+        "all_pos"
+    )
 
 
 def auc(df: DataFrame, p: str, y: str, key: str) -> DataFrame:
     """key, auc (by ranks, ties count half), average_precision and youden_threshold."""
     points = roc_points(df, p, y, key)
     before = Window.partitionBy(key).orderBy(F.col("threshold").desc())
-    steps = points.withColumn("t0", F.coalesce(F.lag("tpr").over(before), F.lit(0.0))).withColumn("f0", F.coalesce(F.lag("fpr").over(before), F.lit(0.0)))
+    steps = points.withColumn(
+        "t0",
+        F.coalesce(F.lag("tpr").over(before), F.lit(0.0))
+    ).withColumn("f0", F.coalesce(F.lag("fpr").over(before), F.lit(0.0)))
     return steps.groupBy(key).agg(
         F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2).alias("auc"),
         F.sum((F.col("tpr") - F.col("t0")) * F.col("precision")).alias("average_precision"),
@@ -149,7 +187,11 @@ def brier(p: str, y: str) -> Column:
 
 def calibration(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     at = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
-    return df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(at.alias("bin")).agg(F.avg(p).alias("mean_p"), F.avg(y).alias("rate"), F.count("*").alias("n"))
+    return df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(at.alias("bin")).agg(
+        F.avg(p).alias("mean_p"),
+        F.avg(y).alias("rate"),
+        F.count("*").alias("n")
+    )
 
 
 def sample_skew(x: str) -> Column:
@@ -174,7 +216,10 @@ def pairwise_corr(df: DataFrame, name: str, value: str, on: str, least: int) ->
     left = df.select(on, F.col(name).alias("a"), F.col(value).alias("x"))
     right = df.select(F.col(on).alias("_on"), F.col(name).alias("b"), F.col(value).alias("y"))
     joined = left.join(right, (F.col(on) == F.col("_on")) & (F.col("a") < F.col("b"))).where("x is not null and y is not null")
-    return joined.groupBy("a", "b").agg(corr_of("x", "y").alias("corr"), F.count("*").alias("n")).withColumn("corr", F.when(F.col("n") >= least, F.col("corr")))
+    return joined.groupBy("a", "b").agg(
+        corr_of("x", "y").alias("corr"),
+        F.count("*").alias("n")
+    ).withColumn("corr", F.when(F.col("n") >= least, F.col("corr")))
 
 
 def log_choose(n: Column, k: Column) -> Column:
@@ -195,7 +240,10 @@ def fisher_greater(a: Column, b: Column, c: Column, d: Column) -> Column:
     first = F.greatest(a.cast("double"), F.floor(mean - 12 * deviation) - 2, row + column - n, F.lit(0)).cast("long")
     last = F.least(row, column, F.ceil(F.greatest(a, mean) + 12 * deviation) + 50).cast("long")
     chance = lambda k: F.exp(log_choose(row, k) + log_choose(n - row, column - k) - base)
-    return F.least(F.lit(1.0), F.aggregate(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, k: s + chance(k)))
+    return F.least(
+        F.lit(1.0),
+        F.aggregate(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, k: s + chance(k))
+    )
 
 
 def enrichment(df: DataFrame, subset: Column, label: Column) -> DataFrame:

@@ -47,7 +47,9 @@ class TradeStop:
 
     def apply(self, df: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
         out = rg.trailing_stop(df, "w", self.price, self.stop, self.cooldown, ["ticker"])
-        return out.drop("w", "exit_flag", "dd", "peak").withColumnRenamed("held", "w"), {"exits": out.select("date", "ticker", "exit_flag", "dd", "peak")}
+        return out.drop("w", "exit_flag", "dd", "peak").withColumnRenamed("held", "w"), {
+            "exits": out.select("date", "ticker", "exit_flag", "dd", "peak")
+        }
 
 
 def apply_overlays(df: DataFrame, overlays: Sequence[Overlay]) -> tuple[DataFrame, dict[str, dict[str, DataFrame]]]:
@@ -136,16 +138,37 @@ def select_book(
     return out
 
 
-def tilt_study(df: DataFrame, r: str, predictors: list[str], least: int = 36, confirm: int = 2, threshold: float = 0.0, target: float = 0.1, lookback: int = 36, cap: float = 2.0, freq: float = 12, cost: float = 0.0) -> DataFrame:
+def tilt_study(
+    df: DataFrame,
+    r: str,
+    predictors: list[str],
+    least: int = 36,
+    confirm: int = 2,
+    threshold: float = 0.0,
+    target: float = 0.1,
+    lookback: int = 36,
+    cap: float = 2.0,
+    freq: float = 12,
+    cost: float = 0.0
+) -> DataFrame:
     """ticker, date, pred, position, pnl: return forecasts by expanding least squares, their confirmed signs as positions,
     scaled to a target volatility, and last row's position times this row's return less the cost of its change."""
-    rows = inf.expanding_ols(df.select("ticker", "date", r, *predictors), r, predictors, least, ["ticker"]).where("forecast is not null and not isnan(forecast)").withColumnRenamed("forecast", "pred")
+    rows = inf.expanding_ols(
+        df.select("ticker", "date", r, *predictors),
+        r,
+        predictors,
+        least,
+        ["ticker"]
+    ).where("forecast is not null and not isnan(forecast)").withColumnRenamed("forecast", "pred")
     rows = rg.tri_state(rows, "pred", threshold, confirm)
     vol = full(F.stddev_samp, r, lookback) * freq**0.5
     rows = staged(rows, _vol=vol, _lev=F.when(F.col("_vol") > 1e-12, F.least(F.lit(target) / F.col("_vol"), F.lit(cap))))
     rows = rows.withColumn("position", F.col("position") * F.coalesce(ref("_lev"), F.lit(0.0)))
     rows = staged(rows, _held=F.coalesce(ref("position"), F.lit(0.0)), _traded=F.abs(F.col("position") - F.coalesce(ref("position"), F.lit(0.0))))
-    return rows.withColumn("pnl", F.col("_held") * F.coalesce(F.col(r), F.lit(0.0)) - cost * F.col("_traded")).select("ticker", "date", F.col(r).alias("r"), "pred", "position", "pnl")
+    return rows.withColumn(
+        "pnl",
+        F.col("_held") * F.coalesce(F.col(r), F.lit(0.0)) - cost * F.col("_traded")
+    ).select("ticker", "date", F.col(r).alias("r"), "pred", "position", "pnl")
 
 
 def tilt_metrics(study: DataFrame, freq: float = 12) -> DataFrame:
@@ -157,6 +180,10 @@ def tilt_metrics(study: DataFrame, freq: float = 12) -> DataFrame:
     known = F.col("_mean").isNotNull() & F.col("r").isNotNull()
     square = lambda e: F.sum(F.when(known, F.pow(F.col("r") - F.col(e), 2)))
     return rows.groupBy("ticker").agg(
-        F.count("r").alias("n"), (1 - F.try_divide(square("pred"), square("_mean"))).alias("oos_r2"), (F.try_divide(F.avg("pnl"), F.stddev_samp("pnl")) * freq**0.5).alias("sharpe"),
-        F.min("_dd").alias("max_drawdown"), F.avg((F.signum("pred") == F.signum("r")).cast("double")).alias("hit_rate"), F.avg("_turn").alias("turnover"),
+        F.count("r").alias("n"),
+        (1 - F.try_divide(square("pred"), square("_mean"))).alias("oos_r2"),
+        (F.try_divide(F.avg("pnl"), F.stddev_samp("pnl")) * freq**0.5).alias("sharpe"),
+        F.min("_dd").alias("max_drawdown"),
+        F.avg((F.signum("pred") == F.signum("r")).cast("double")).alias("hit_rate"),
+        F.avg("_turn").alias("turnover"),
     )

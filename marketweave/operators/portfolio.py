@@ -15,7 +15,11 @@ def strategy_key(key: str | None) -> list[str]:
 
 def hold_weights(grid: DataFrame, weights: DataFrame, rebalance: DataFrame) -> DataFrame:
     """Daily weights: on rebalance dates those given (0 for all others), kept until the next one; 0 before the first."""
-    marked = grid.join(rebalance.select("date", F.lit(True).alias("_reb")), "date", "left").join(weights.select("date", "ticker", "w"), ["date", "ticker"], "left")
+    marked = grid.join(
+        rebalance.select("date", F.lit(True).alias("_reb")),
+        "date",
+        "left"
+    ).join(weights.select("date", "ticker", "w"), ["date", "ticker"], "left")
     given = F.when(F.col("_reb"), F.coalesce("w", F.lit(0.0)))
     return marked.withColumn("w", given).withColumn("w", F.coalesce(F.last("w", ignorenulls=True).over(trailing(None)), F.lit(0.0))).drop("_reb")
 
@@ -26,18 +30,32 @@ def backtest(df: DataFrame, fee: float = 0.0, cash: float = 0.0, key: str | None
     Weights act on the next row's return; the fee is paid on the turnover one row later; the first turnover is 0.
     """
     keys = strategy_key(key)
-    df = df.withColumn("_w", F.coalesce(ref("w", 1, keys), F.lit(0.0))).withColumn("_dw", F.coalesce(F.abs(F.col("w") - ref("w", 1, keys)), F.lit(0.0)))
+    df = df.withColumn("_w", F.coalesce(ref("w", 1, keys), F.lit(0.0))).withColumn(
+        "_dw",
+        F.coalesce(F.abs(F.col("w") - ref("w", 1, keys)), F.lit(0.0))
+    )
     by = [key, "date"] if key else ["date"]
-    daily = df.groupBy(*by).agg(F.sum(F.col("_w") * F.coalesce("ret", F.lit(0.0))).alias("held"), F.sum(F.abs("_w")).alias("exposure"), F.sum("_dw").alias("turnover"))
+    daily = df.groupBy(*by).agg(
+        F.sum(F.col("_w") * F.coalesce("ret", F.lit(0.0))).alias("held"),
+        F.sum(F.abs("_w")).alias("exposure"),
+        F.sum("_dw").alias("turnover")
+    )
     daily = daily.withColumn("_s", F.col(key) if key else F.lit(1))
     late = F.coalesce(F.lag("turnover").over(Window.partitionBy("_s").orderBy("date")), F.lit(0.0))
-    return daily.withColumn("gross", F.col("held") + (1 - F.col("exposure")) * cash).withColumn("cost", late * fee).withColumn("net", F.col("gross") - F.col("cost")).drop("_s", "held")
+    return daily.withColumn(
+        "gross",
+        F.col("held") + (1 - F.col("exposure")) * cash
+    ).withColumn("cost", late * fee).withColumn("net", F.col("gross") - F.col("cost")).drop("_s", "held")
 
 
 def allocate(df: DataFrame, method: str, leg: str = "leg", budget: str = "budget", cap: float | None = None) -> DataFrame:
     """w of the chosen names of each date and leg: equal, inv_vol (column vol) or score_prop (column score, floor 0)."""
     within = Window.partitionBy("date", leg)
-    raw = {"equal": F.lit(1.0), "inv_vol": F.when(F.col("vol") > 0, 1 / F.col("vol")) if "vol" in df.columns else None, "score_prop": F.greatest(F.col("score"), F.lit(0.0)) if "score" in df.columns else None}[method]
+    raw = {
+        "equal": F.lit(1.0),
+        "inv_vol": F.when(F.col("vol") > 0, 1 / F.col("vol")) if "vol" in df.columns else None,
+        "score_prop": F.greatest(F.col("score"), F.lit(0.0)) if "score" in df.columns else None
+    }[method]
     df = df.withColumn("_raw", raw).withColumn("_sum", F.sum("_raw").over(within))
     df = df.withColumn("w", F.when(F.col("_sum") > 0, F.col("_raw") / F.col("_sum")).otherwise(1 / F.count("*").over(within)) * F.col(budget))
     if cap is not None:
@@ -57,11 +75,17 @@ def capped(df: DataFrame, w: str, cap: float, by: list[str], budget: str) -> Dat
 def asset_vol_target(df: DataFrame, target: float, window: int, cap: float, freq: float = 252) -> DataFrame:
     """Weights scaled by target / volatility up to the cap; if any date's gross is above 1, all rows are divided by theirs."""
     vol = full(F.stddev_pop, "ret", window) * freq**0.5
-    df = df.withColumn("_scale", F.coalesce(F.least(div(F.lit(target), F.when(vol > 1e-12, vol)), F.lit(cap)), F.lit(1.0))).withColumn("w", F.col("w") * F.col("_scale"))
+    df = df.withColumn(
+        "_scale",
+        F.coalesce(F.least(div(F.lit(target), F.when(vol > 1e-12, vol)), F.lit(cap)), F.lit(1.0))
+    ).withColumn("w", F.col("w") * F.col("_scale"))
     gross = df.groupBy("date").agg(F.sum(F.abs("w")).alias("_gross"))
     worst = gross.agg(F.max("_gross").alias("_worst"))
     df = df.join(gross, "date").crossJoin(F.broadcast(worst))  # one row
-    return df.withColumn("w", F.when((F.col("_worst") > 1) & (F.col("_gross") > 0), F.col("w") / F.col("_gross")).otherwise(F.col("w"))).drop("_scale", "_gross", "_worst")
+    return df.withColumn(
+        "w",
+        F.when((F.col("_worst") > 1) & (F.col("_gross") > 0), F.col("w") / F.col("_gross")).otherwise(F.col("w"))
+    ).drop("_scale", "_gross", "_worst")
 
 
 def book_vol(df: DataFrame, window: int, freq: float = 252) -> DataFrame:
@@ -72,9 +96,17 @@ def book_vol(df: DataFrame, window: int, freq: float = 252) -> DataFrame:
     """
     w = df.where("w <> 0").select("date", "pos", "ticker", "w")
     r = df.select(F.col("ticker").alias("_t"), F.col("pos").alias("_p"), F.coalesce("ret", F.lit(0.0)).alias("_r"))
-    each = w.withColumn("_at", F.explode(F.sequence(F.col("pos") - (window - 1), F.col("pos")))).join(r, (F.col("ticker") == F.col("_t")) & (F.col("_at") == F.col("_p")))
-    full_path = each.groupBy("date", "_at").agg(F.sum(F.col("w") * F.col("_r")).alias("x")).groupBy("date").agg((F.stddev_pop("x") * freq**0.5).alias("full"), F.count("*").alias("rows"))
-    diagonal = each.groupBy("date", "ticker").agg(F.max("w").alias("w"), F.var_pop("_r").alias("v")).groupBy("date").agg((F.sqrt(F.sum(F.col("w") * F.col("w") * F.col("v"))) * freq**0.5).alias("diagonal"))
+    each = w.withColumn(
+        "_at",
+        F.explode(F.sequence(F.col("pos") - (window - 1), F.col("pos")))
+    ).join(r, (F.col("ticker") == F.col("_t")) & (F.col("_at") == F.col("_p")))
+    full_path = each.groupBy("date", "_at").agg(F.sum(F.col("w") * F.col("_r")).alias("x")).groupBy("date").agg(
+        (F.stddev_pop("x") * freq**0.5).alias("full"),
+        F.count("*").alias("rows")
+    )
+    diagonal = each.groupBy("date", "ticker").agg(F.max("w").alias("w"), F.var_pop("_r").alias("v")).groupBy("date").agg(
+        (F.sqrt(F.sum(F.col("w") * F.col("w") * F.col("v"))) * freq**0.5).alias("diagonal")
+    )
     return full_path.join(diagonal, "date").where(F.col("rows") == window).drop("rows")
 
 

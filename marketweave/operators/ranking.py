@@ -60,7 +60,13 @@ def prepare(df: DataFrame, cfg: RankConfig) -> DataFrame:
     """date, pos, ticker, the features (z-scores per date, turned so that higher is better), target and label."""
     rows = df.where(" and ".join(f"{c} is not null" for c in (*cfg.features, cfg.target)))
     if cfg.grades:
-        rows = xs.grades(rows, cfg.target, cfg.grades, cfg.least, "label").where("label is not null").withColumn("label", F.col("label").cast("double"))
+        rows = xs.grades(
+            rows,
+            cfg.target,
+            cfg.grades,
+            cfg.least,
+            "label"
+        ).where("label is not null").withColumn("label", F.col("label").cast("double"))
     else:
         rows = rows.withColumn("label", F.col(cfg.target))
     rows = rows.select("date", "pos", "ticker", F.col(cfg.target).alias("target"), "label", *cfg.features)
@@ -100,7 +106,9 @@ def walk_forward_scores(df: DataFrame, folds: DataFrame, cfg: RankConfig) -> Dat
 def rank_metrics(scores: DataFrame, top_k: int, least: int = 5) -> DataFrame:
     """fold, n, mean and icir of the rank correlation of score and target per date, and the mean target of the top_k scores."""
     ic = m.ic_stats(m.spearman_ic(scores, "score", "target", least, ["date", "fold"]), ["fold"])
-    top = xs.top_k(scores, "score", top_k).groupBy("fold", "date").agg(F.avg("target").alias("top")).groupBy("fold").agg(F.avg("top").alias("top_mean"))
+    top = xs.top_k(scores, "score", top_k).groupBy("fold", "date").agg(F.avg("target").alias("top")).groupBy("fold").agg(
+        F.avg("top").alias("top_mean")
+    )
     return ic.join(top, "fold")
 
 

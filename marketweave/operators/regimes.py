@@ -18,7 +18,16 @@ def hysteresis(x: str, upper: float, lower: float, key: str = "ticker", order: s
     return F.coalesce(F.last(trigger, ignorenulls=True).over(trailing(None, key, order)), F.lit(0))
 
 
-def confirmed_hysteresis(df: DataFrame, x: str, upper: float, lower: float, k: int, name: str = "state", key: str = "ticker", order: str = "date") -> DataFrame:
+def confirmed_hysteresis(
+    df: DataFrame,
+    x: str,
+    upper: float,
+    lower: float,
+    k: int,
+    name: str = "state",
+    key: str = "ticker",
+    order: str = "date"
+) -> DataFrame:
     """hysteresis whose triggers must hold for k rows in a row."""
     w = trailing(k, key, order)
     n = F.count(F.lit(1)).over(w)
@@ -50,29 +59,74 @@ def quadrant(macro: Column, curve: Column) -> Column:
 
 def spans(df: DataFrame, label: str, key: str = "ticker", order: str = "date", pos: str = "pos") -> DataFrame:
     """key, label, start, end, n of each run of equal labels; a missing label is a label of its own."""
-    changed = ~F.col(label).eqNullSafe(F.lag(label).over(Window.partitionBy(key).orderBy(order))) | F.lag(F.lit(1)).over(Window.partitionBy(key).orderBy(order)).isNull()
+    changed = ~F.col(label).eqNullSafe(
+        F.lag(label).over(Window.partitionBy(key).orderBy(order))
+    ) | F.lag(F.lit(1)).over(Window.partitionBy(key).orderBy(order)).isNull()
     rows = df.withColumn("_c", changed.cast("int")).withColumn("_g", F.sum("_c").over(trailing(None, key, order)))
-    return rows.groupBy(key, "_g").agg(F.first(label).alias(label), F.min(order).alias("start"), F.max(order).alias("end"), F.min(pos).alias("first"), F.max(pos).alias("last"), F.count("*").alias("n")).drop("_g")
+    return rows.groupBy(key, "_g").agg(
+        F.first(label).alias(label),
+        F.min(order).alias("start"),
+        F.max(order).alias("end"),
+        F.min(pos).alias("first"),
+        F.max(pos).alias("last"),
+        F.count("*").alias("n")
+    ).drop("_g")
 
 
 def episodes(df: DataFrame, flag: str, least: int = 1, key: str = "ticker", order: str = "date", pos: str = "pos") -> DataFrame:
     """Runs of rows where the flag holds, of at least `least` rows."""
-    return spans(df.withColumn(flag, F.coalesce(F.col(flag), F.lit(False))), flag, key, order, pos).where(F.col(flag) & (F.col("n") >= least)).drop(flag)
+    return spans(
+        df.withColumn(flag, F.coalesce(F.col(flag), F.lit(False))),
+        flag,
+        key,
+        order,
+        pos
+    ).where(F.col(flag) & (F.col("n") >= least)).drop(flag)
 
 
 def merge_episodes(found: DataFrame, gap: int, key: str = "ticker") -> DataFrame:
     """Episodes with at most `gap` rows between them become one."""
     w = Window.partitionBy(key).orderBy("first")
-    rows = found.withColumn("_new", (F.coalesce(F.col("first") - F.lag("last").over(w) - 1 > gap, F.lit(True))).cast("int")).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(key, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"), F.max("last").alias("last")).withColumn("n", F.col("last") - F.col("first") + 1).drop("_g")
-
-
-def bull_cycles(df: DataFrame, x: str, upper: float, lower: float, k: int, least: int, gap: int, price: str, key: str = "ticker", order: str = "date") -> DataFrame:
+    rows = found.withColumn(
+        "_new",
+        (F.coalesce(F.col("first") - F.lag("last").over(w) - 1 > gap, F.lit(True))).cast("int")
+    ).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(key, "_g").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last")
+    ).withColumn("n", F.col("last") - F.col("first") + 1).drop("_g")
+
+
+def bull_cycles(
+    df: DataFrame,
+    x: str,
+    upper: float,
+    lower: float,
+    k: int,
+    least: int,
+    gap: int,
+    price: str,
+    key: str = "ticker",
+    order: str = "date"
+) -> DataFrame:
     """Confirmed bull runs, small gaps merged, of some length, with a gain from first to last row."""
-    found = merge_episodes(episodes(confirmed_hysteresis(df, x, upper, lower, k, "_bull", key, order).withColumn("_bull", F.col("_bull") == 1), "_bull", 1, key, order), gap, key).where(F.col("n") >= least)
+    found = merge_episodes(
+        episodes(confirmed_hysteresis(df, x, upper, lower, k, "_bull", key, order).withColumn("_bull", F.col("_bull") == 1), "_bull", 1, key, order),
+        gap,
+        key
+    ).where(F.col("n") >= least)
     at = df.select(F.col(key).alias("_key"), F.col("pos").alias("_pos"), F.col(price).alias("_px"))
-    first, last = at.select(F.col("_key").alias("_k1"), F.col("_pos").alias("_p1"), F.col("_px").alias("px_first")), at.select(F.col("_key").alias("_k2"), F.col("_pos").alias("_p2"), F.col("_px").alias("px_last"))
-    out = found.join(first, (F.col(key) == F.col("_k1")) & (F.col("first") == F.col("_p1"))).join(last, (F.col(key) == F.col("_k2")) & (F.col("last") == F.col("_p2")))
+    first, last = at.select(
+        F.col("_key").alias("_k1"),
+        F.col("_pos").alias("_p1"),
+        F.col("_px").alias("px_first")
+    ), at.select(F.col("_key").alias("_k2"), F.col("_pos").alias("_p2"), F.col("_px").alias("px_last"))
+    out = found.join(
+        first,
+        (F.col(key) == F.col("_k1")) & (F.col("first") == F.col("_p1"))
+    ).join(last, (F.col(key) == F.col("_k2")) & (F.col("last") == F.col("_p2")))
     return out.withColumn("gain", F.try_divide("px_last", "px_first") - 1).where("gain > 0").drop("_k1", "_p1", "_k2", "_p2")
 
 
@@ -170,7 +224,14 @@ def acceleration(df: DataFrame, price: str, k: int, share: float, key: str = "ti
 
 def event_paths(df: DataFrame, events: DataFrame, before: int, after: int, price: str, key: str = "ticker") -> DataFrame:
     """key, event, step, level: the price around each event, as a ratio to the event row's. events: key, pos."""
-    at = events.select(F.col(key).alias("_key"), F.col("pos").alias("event"), F.explode(F.sequence(F.col("pos") - before, F.col("pos") + after)).alias("_pos"))
+    at = events.select(
+        F.col(key).alias("_key"),
+        F.col("pos").alias("event"),
+        F.explode(F.sequence(F.col("pos") - before, F.col("pos") + after)).alias("_pos")
+    )
     base = df.select(F.col(key).alias("_bkey"), F.col("pos").alias("_bpos"), F.col(price).alias("_base"))
-    path = at.join(df, (F.col("_key") == F.col(key)) & (F.col("_pos") == F.col("pos"))).join(base, (F.col("_key") == F.col("_bkey")) & (F.col("event") == F.col("_bpos")))
+    path = at.join(df, (F.col("_key") == F.col(key)) & (F.col("_pos") == F.col("pos"))).join(
+        base,
+        (F.col("_key") == F.col("_bkey")) & (F.col("event") == F.col("_bpos"))
+    )
     return path.select(key, "event", (F.col("_pos") - F.col("event")).alias("step"), F.try_divide(F.col(price), F.col("_base")).alias("level"))

@@ -67,7 +67,17 @@ def per_key(df: DataFrame, key: list[str], order: str, fn: Callable[[pd.DataFram
     return df.groupBy(*key).applyInPandas(run, schema)
 
 
-def ewm(df: DataFrame, x: str, name: str, span: float | None = None, alpha: float | None = None, halflife: float | None = None, least: int = 1, key: tuple[str, ...] = ("ticker",), order: str = "date") -> DataFrame:
+def ewm(
+    df: DataFrame,
+    x: str,
+    name: str,
+    span: float | None = None,
+    alpha: float | None = None,
+    halflife: float | None = None,
+    least: int = 1,
+    key: tuple[str, ...] = ("ticker",),
+    order: str = "date"
+) -> DataFrame:
     """Exponential mean without adjustment along each key; gaps go on decaying."""
     how = {k: v for k, v in (("span", span), ("alpha", alpha), ("halflife", halflife)) if v is not None}
     return per_key(df, list(key), order, lambda rows: rows[x].astype(float).ewm(**how, adjust=False, min_periods=least).mean(), name)
@@ -163,13 +173,26 @@ def _step(x: str) -> Column:
     return F.col(x) - ref(x)
 
 
-@register_signal("first_order_divergence", "correlation of the ranks of volume change and intraday return", ("open", "close", "volume"), window=10, sign=1)
+@register_signal(
+    "first_order_divergence",
+    "correlation of the ranks of volume change and intraday return",
+    ("open", "close", "volume"),
+    window=10,
+    sign=1
+)
 def first_order_divergence(df, window, sign):
     df = staged(df, _dv=_step("volume"), _r=div("close", "open") - 1, _a=ts_rank("_dv", window), _b=ts_rank("_r", window))
     return df.withColumn("value", -sign * rolling_corr("_a", "_b", window))
 
 
-@register_signal("vol_amp_comove", "correlation of the ranks of volume change and day range", ("high", "low", "volume"), window=10, negate=False, sign=1)
+@register_signal(
+    "vol_amp_comove",
+    "correlation of the ranks of volume change and day range",
+    ("high", "low", "volume"),
+    window=10,
+    negate=False,
+    sign=1
+)
 def vol_amp_comove(df, window, negate, sign):
     df = staged(df, _dv=_step("volume"), _r=div("high", "low") - 1, _a=ts_rank("_dv", window), _b=ts_rank("_r", window))
     return df.withColumn("value", (-sign if negate else sign) * rolling_corr("_a", "_b", window))
@@ -209,7 +232,15 @@ def rolling_vwap(df: DataFrame, n: int, name: str) -> DataFrame:
     return df.withColumn(name, safe_div(F.col("_pvn"), F.col("_vn")))
 
 
-@register_signal("turnover_change", "short over long mean share turnover", ("volume", "shares_outstanding"), window1=20, window2=60, lot_size=1, sign=1)
+@register_signal(
+    "turnover_change",
+    "short over long mean share turnover",
+    ("volume", "shares_outstanding"),
+    window1=20,
+    window2=60,
+    lot_size=1,
+    sign=1
+)
 def turnover_change(df, window1, window2, lot_size, sign):
     df = df.withColumn("_t", share_turnover(lot_size))
     return df.withColumn("value", sign * safe_div(ma("_t", window1), ma("_t", window2)))
@@ -250,20 +281,43 @@ def _padded_return(df: DataFrame) -> DataFrame:
     return staged(df, _p=ffill("close"), _r=change("_p"))
 
 
-@register_signal("liq_vstd_3M", "mean amount over the deviation of returns", ("high", "low", "close", "volume"), lookback=63, amount_mode="tp", sign=1)
+@register_signal(
+    "liq_vstd_3M",
+    "mean amount over the deviation of returns",
+    ("high", "low", "close", "volume"),
+    lookback=63,
+    amount_mode="tp",
+    sign=1
+)
 def liq_vstd(df, lookback, amount_mode, sign):
     df = staged(_amount(_padded_return(df), lookback, amount_mode), _s=std("_r", lookback))
     return df.withColumn("value", sign * safe_div(ma("_a", lookback), F.col("_s")))
 
 
-@register_signal("liq_amihud_avg_3M", "mean of absolute return over amount", ("high", "low", "close", "volume"), lookback=63, amount_mode="tp", use_abs=True, sign=1)
+@register_signal(
+    "liq_amihud_avg_3M",
+    "mean of absolute return over amount",
+    ("high", "low", "close", "volume"),
+    lookback=63,
+    amount_mode="tp",
+    use_abs=True,
+    sign=1
+)
 def liq_amihud_avg(df, lookback, amount_mode, use_abs, sign):
     df = _amount(_padded_return(df), lookback, amount_mode)
     df = df.withColumn("_i", safe_div(F.abs("_r") if use_abs else F.col("_r"), F.col("_a")))
     return df.withColumn("value", sign * ma("_i", lookback))
 
 
-@register_signal("liq_amihud_std_3M", "deviation of absolute unpadded return over amount", ("high", "low", "close", "volume"), lookback=63, amount_mode="tp", use_abs=True, sign=1)
+@register_signal(
+    "liq_amihud_std_3M",
+    "deviation of absolute unpadded return over amount",
+    ("high", "low", "close", "volume"),
+    lookback=63,
+    amount_mode="tp",
+    use_abs=True,
+    sign=1
+)
 def liq_amihud_std(df, lookback, amount_mode, use_abs, sign):
     df = _amount(df.withColumn("_r", change("close")), lookback, amount_mode)
     df = df.withColumn("_i", safe_div(F.abs("_r") if use_abs else F.col("_r"), F.col("_a")))
@@ -295,7 +349,11 @@ def fourline_open_score(df, **p):
         df,
         _spread=F.when(known, div(F.greatest(*fast) - F.least(*fast), "close")),
         _ups=sum((rising(n, p["slope_L"]).cast("int") for n in (5, 10, 20, 30)), F.lit(0)),
-        _knot=_yes((F.col("_spread") <= p["spread_eps"]) & (F.col("_ups") >= 3) & (ref("_spread", p["adh_contract_L"]) - F.col("_spread") >= p["spread_contract_min"])).cast("int"),
+        _knot=_yes(
+            (F.col("_spread") <= p["spread_eps"]) & (F.col("_ups") >= 3) & (
+                ref("_spread", p["adh_contract_L"]) - F.col("_spread") >= p["spread_contract_min"]
+            )
+        ).cast("int"),
         _bull=_yes((fast[0] > fast[1]) & (fast[1] > fast[2]) & (fast[2] > fast[3])).cast("int"),
         _fresh=F.min("_bull").over(trailing(p["D_open"])) == 0,
         _knotted=F.max("_knot").over(trailing(p["D_pre"])) == 1,
@@ -322,20 +380,47 @@ def fourline_open_score(df, **p):
     return df.withColumn("value", (F.col("value") >= p["trade_threshold"]).cast("double")) if p["output"] == "trade" else df
 
 
-@register_signal("vwap_dev_x_volratio_x_mom", "distance to the mean price times volume ratio times momentum", ("high", "low", "close", "volume"), vwap_window=10, vol_window=20, mom_window=20, sign=1)
+@register_signal(
+    "vwap_dev_x_volratio_x_mom",
+    "distance to the mean price times volume ratio times momentum",
+    ("high", "low", "close", "volume"),
+    vwap_window=10,
+    vol_window=20,
+    mom_window=20,
+    sign=1
+)
 def vwap_dev_x_volratio_x_mom(df, vwap_window, vol_window, mom_window, sign):
     df = staged(rolling_vwap(df, vwap_window, "_w"), _vm=ma("volume", vol_window), _cm=ma("close", mom_window))
     value = (safe_div(F.col("_w"), F.col("close")) - 1) * safe_div(F.col("volume"), F.col("_vm")) * (safe_div(F.col("close"), F.col("_cm")) - 1)
     return df.withColumn("value", sign * value)
 
 
-@register_signal("vol_price_combination", "1 on high volume above the mean price, else 0", ("high", "low", "close", "volume"), vol_window=20, vwap_window=20, vol_mult=1.5, sign=1)
+@register_signal(
+    "vol_price_combination",
+    "1 on high volume above the mean price, else 0",
+    ("high", "low", "close", "volume"),
+    vol_window=20,
+    vwap_window=20,
+    vol_mult=1.5,
+    sign=1
+)
 def vol_price_combination(df, vol_window, vwap_window, vol_mult, sign):
     df = rolling_vwap(df, vwap_window, "_w").withColumn("_vm", ma("volume", vol_window))
     return df.withColumn("value", sign * _yes((F.col("volume") > vol_mult * F.col("_vm")) & (F.col("close") > F.col("_w"))).cast("double"))
 
 
-@register_signal("volume_breakout", "1 on high volume above the highest high, else 0", ("high", "close", "volume"), vol_window=60, hhv_window=60, vol_mult=1.5, use_confirm=True, confirm_window=5, confirm_mult=1.2, sign=1)
+@register_signal(
+    "volume_breakout",
+    "1 on high volume above the highest high, else 0",
+    ("high", "close", "volume"),
+    vol_window=60,
+    hhv_window=60,
+    vol_mult=1.5,
+    use_confirm=True,
+    confirm_window=5,
+    confirm_mult=1.2,
+    sign=1
+)
 def volume_breakout(df, vol_window, hhv_window, vol_mult, use_confirm, confirm_window, confirm_mult, sign):
     df = staged(df, _vm=ma("volume", vol_window), _hh=full(F.max, "high", hhv_window), _v5=ma("volume", confirm_window), _v5p=ref("_v5"))
     hit = _yes((F.col("volume") > vol_mult * F.col("_vm")) & (F.col("close") > F.col("_hh")))
@@ -367,10 +452,30 @@ def _register_volatility() -> None:
     ratio = lambda df: df.withColumn("_x", safe_div(F.col("high"), F.col("low")))
     _volatility("vol_highlow_avg_3M", "mean of high over low", ("high", "low"), ratio, F.avg)
     _volatility("vol_highlow_std_3M", "deviation of high over low", ("high", "low"), ratio)
-    _volatility("vol_upshadow_std_3M", "deviation of the upper shadow", ("open", "close", "high"), lambda df: _shadow(F.col("high"), _both(F.greatest, "open", "close"), "high")(df))
-    _volatility("vol_downshadow_std_3M", "deviation of the lower shadow", ("open", "close", "low"), lambda df: _shadow(_both(F.least, "open", "close"), F.col("low"), "low")(df))
-    _volatility("vol_w_upshadow_std_3M", "deviation of the distance from close up to high", ("close", "high"), lambda df: _shadow(F.col("high"), F.col("close"), "high")(df))
-    _volatility("vol_w_downshadow_std_3M", "deviation of the distance from low up to close", ("close", "low"), lambda df: _shadow(F.col("close"), F.col("low"), "low")(df))
+    _volatility(
+        "vol_upshadow_std_3M",
+        "deviation of the upper shadow",
+        ("open", "close", "high"),
+        lambda df: _shadow(F.col("high"), _both(F.greatest, "open", "close"), "high")(df)
+    )
+    _volatility(
+        "vol_downshadow_std_3M",
+        "deviation of the lower shadow",
+        ("open", "close", "low"),
+        lambda df: _shadow(_both(F.least, "open", "close"), F.col("low"), "low")(df)
+    )
+    _volatility(
+        "vol_w_upshadow_std_3M",
+        "deviation of the distance from close up to high",
+        ("close", "high"),
+        lambda df: _shadow(F.col("high"), F.col("close"), "high")(df)
+    )
+    _volatility(
+        "vol_w_downshadow_std_3M",
+        "deviation of the distance from low up to close",
+        ("close", "low"),
+        lambda df: _shadow(F.col("close"), F.col("low"), "low")(df)
+    )
 
 
 _register_volatility()

@@ -65,7 +65,13 @@ def investable(df: DataFrame, cfg: UniverseConfig) -> Column:
 def universe_bundle(df: DataFrame, cfg: UniverseConfig, first_event: Column | None = None) -> DataFrame:
     """df (with member) with exists, investable and eligible; members before the first event are blanked if it is given."""
     member = holds(F.col("member")) if first_event is None else holds(F.col("member")) & holds(F.col("date") >= first_event)
-    return staged(df, member=member, exists=F.col("close").isNotNull(), investable=investable(df, cfg), eligible=F.col("member") & F.col("exists") & F.col("investable"))
+    return staged(
+        df,
+        member=member,
+        exists=F.col("close").isNotNull(),
+        investable=investable(df, cfg),
+        eligible=F.col("member") & F.col("exists") & F.col("investable")
+    )
 
 
 MASKS = ("tradeable", "limit_up_locked", "limit_down_locked", "can_buy_next_open", "can_sell_next_open")
@@ -76,7 +82,14 @@ def execution_masks(df: DataFrame, tolerance: float = 0.01, missing: str = "allo
     unknown = F.lit(missing == "block")
     near = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) <= tolerance, unknown)
     tradeable = F.col("open").isNotNull() & F.col("close").isNotNull() & holds(F.col("volume") > 0)
-    df = staged(df, tradeable=tradeable, limit_up_locked=near("close", "high_limit"), limit_down_locked=near("close", "low_limit"), _up=near("open", "high_limit"), _down=near("open", "low_limit"))
+    df = staged(
+        df,
+        tradeable=tradeable,
+        limit_up_locked=near("close", "high_limit"),
+        limit_down_locked=near("close", "low_limit"),
+        _up=near("open", "high_limit"),
+        _down=near("open", "low_limit")
+    )
     can = lambda lock: F.coalesce(ref("tradeable", -1), F.lit(False)) & ~F.coalesce(ref(lock, -1), F.lit(True))
     return staged(df, can_buy_next_open=can("_up"), can_sell_next_open=can("_down")).drop("_up", "_down")
 

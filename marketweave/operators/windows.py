@@ -74,7 +74,10 @@ def rebalance_calendar(calendar: DataFrame, rule: str) -> DataFrame:
 
 def rebalance_dates_of(weights: DataFrame) -> DataFrame:
     """Dates on which any weight changes, and the first date. weights: date, ticker, w on a dense grid."""
-    moved = weights.withColumn("moved", F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce(ref("w"), F.lit(0.0))) > 1e-12).withColumn("first", ref("date").isNull())
+    moved = weights.withColumn(
+        "moved",
+        F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce(ref("w"), F.lit(0.0))) > 1e-12
+    ).withColumn("first", ref("date").isNull())
     return moved.groupBy("date").agg(F.max(F.col("moved") | F.col("first")).alias("hit")).where("hit").select("date")
 
 
@@ -94,7 +97,10 @@ def cusum(df: DataFrame, x: str, drift: float = 0.0, key: str = "ticker", order:
     """up and down: one-sided cumulative sums that never fall below 0; the first row does not count."""
     w = trailing(None, key, order)
     first = ref(x, 1, key, order).isNull()
-    df = df.withColumn("_u", F.when(first, 0.0).otherwise(F.coalesce(F.col(x) - drift, F.lit(0.0)))).withColumn("_d", F.when(first, 0.0).otherwise(F.coalesce(-F.col(x) - drift, F.lit(0.0))))
+    df = df.withColumn("_u", F.when(first, 0.0).otherwise(F.coalesce(F.col(x) - drift, F.lit(0.0)))).withColumn(
+        "_d",
+        F.when(first, 0.0).otherwise(F.coalesce(-F.col(x) - drift, F.lit(0.0)))
+    )
     df = df.withColumn("_cu", F.sum("_u").over(w)).withColumn("_cd", F.sum("_d").over(w))
     up = F.col("_cu") - F.least(F.lit(0.0), F.min("_cu").over(w))
     down = F.col("_cd") - F.least(F.lit(0.0), F.min("_cd").over(w))

@@ -84,11 +84,17 @@ def corr(x: str, y: str, n: int) -> str:
 
 def ts_rank(x: str, n: int) -> str:
     values = f"list_filter(list({x}) {w(n)}, lambda v: v IS NOT NULL)"
-    return f"CASE WHEN count({x}) {w(n)} = {n} THEN (len(list_filter({values}, lambda v: v < {x})) + (len(list_filter({values}, lambda v: v = {x})) + 1) / 2.0) / {n}.0 END"
+    return (
+        f"CASE WHEN count({x}) {w(n)} = {n} THEN (len(list_filter({values}, lambda v: v < {x})) + (len(list_filter({values}, lambda v: v = {x})) + "
+        f"1) / 2.0) / {n}.0 END"
+    )
 
 
 def cs_rank(x: str, by: str = "date") -> str:
-    return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {by}, {x} IS NULL ORDER BY {x}) + (count({x}) OVER (PARTITION BY {by}, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY {by}) END"
+    return (
+        f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY {by}, {x} IS NULL "
+        f"ORDER BY {x}) + (count({x}) OVER (PARTITION BY {by}, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY {by}) END"
+    )
 
 
 def stages(base: str, steps: list[str], final: str, source: str = "bars") -> str:
@@ -101,7 +107,11 @@ def stages(base: str, steps: list[str], final: str, source: str = "bars") -> str
 
 
 def value_query(steps: list[str], value: str, digits: int = 4, base: str = BRAND) -> str:
-    return stages(base, [*steps, f"{value} AS value"], f"SELECT date, ticker, round(value, {digits}) + 0.0 AS value FROM {{s}} WHERE value IS NOT NULL")
+    return stages(
+        base,
+        [*steps, f"{value} AS value"],
+        f"SELECT date, ticker, round(value, {digits}) + 0.0 AS value FROM {{s}} WHERE value IS NOT NULL"
+    )
 
 
 PANEL = f"""{BRAND},
@@ -134,11 +144,15 @@ def ewm(name: str, rows: str, x: str, alpha: float, least: int, out: str, key: s
     keep = 1 - alpha
     first = {"wt": f"CAST(n.{x} AS DOUBLE)", "ow": "CAST(1 AS DOUBLE)", "nobs": f"CASE WHEN n.{x} IS NULL THEN 0 ELSE 1 END"}
     step = {
-        "wt": f"CASE WHEN s.wt IS NULL THEN n.{x} WHEN n.{x} IS NULL THEN s.wt ELSE (s.ow * {keep} * s.wt + {alpha} * n.{x}) / (s.ow * {keep} + {alpha}) END",
+        "wt": f"CASE WHEN s.wt IS NULL THEN n.{x} WHEN n.{x} IS NULL THEN s.wt ELSE (s.ow * {keep} * s.wt + {alpha} * n.{x}) / (s.ow * {keep} + {alpha}) "
+        f"END",
         "ow": f"CASE WHEN s.wt IS NULL OR n.{x} IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE s.ow * {keep} END",
         "nobs": f"s.nobs + CASE WHEN n.{x} IS NULL THEN 0 ELSE 1 END",
     }
-    return f"{walk(f'{name}_w', rows, first, step, key, order)},\n{name} AS (SELECT * EXCLUDE (wt, ow, nobs, rn), CASE WHEN nobs >= {least} THEN wt END AS {out} FROM {name}_w)"
+    return (
+        f"{walk(f'{name}_w', rows, first, step, key, order)},\n{name} AS (SELECT * EXCLUDE (wt, ow, nobs, rn), "
+        f"CASE WHEN nobs >= {least} THEN wt END AS {out} FROM {name}_w)"
+    )
 
 
 def recursive(sql: str) -> str:
@@ -148,10 +162,20 @@ def recursive(sql: str) -> str:
 
 def rsi(name: str, rows: str, x: str, n: int) -> str:
     """rows with Wilder's relative strength index of x, as a table `name`."""
-    diff = f"{name}_d AS (SELECT *, {x} - {ref(x)} AS df FROM {rows}), {name}_u AS (SELECT *, CASE WHEN df > 0 THEN df WHEN df IS NOT NULL THEN 0.0 END AS up, CASE WHEN df < 0 THEN -df WHEN df IS NOT NULL THEN 0.0 END AS dn FROM {name}_d)"
+    diff = (
+        f"{name}_d AS (SELECT *, {x} - {ref(x)} AS df FROM {rows}), {name}_u AS (SELECT *, "
+        f"CASE WHEN df > 0 THEN df WHEN df IS NOT NULL THEN 0.0 END AS up, CASE WHEN df < 0 THEN -df WHEN df IS NOT NULL THEN 0.0 END AS dn "
+        f"FROM {name}_d)"
+    )
     means = f"{ewm(f'{name}_g', f'{name}_u', 'up', 1 / n, n, 'gain')}, {ewm(f'{name}_l', f'{name}_g', 'dn', 1 / n, n, 'loss')}"
-    return f"{diff}, {means}, {name} AS (SELECT *, CASE WHEN loss = 0 AND gain > 0 THEN 100.0 ELSE 100 - 100 / (1 + gain / nullif(loss, 0)) END AS rsi FROM {name}_l)"
+    return (
+        f"{diff}, {means}, {name} AS (SELECT *, CASE WHEN loss = 0 AND gain > 0 THEN 100.0 ELSE 100 - 100 / (1 + gain / nullif(loss, 0)) END AS rsi "
+        f"FROM {name}_l)"
+    )
 
 
 def rsi_query(n: int) -> str:
-    return f"WITH RECURSIVE {BRAND}, base AS (SELECT date, ticker, close FROM bars), {rsi('r', 'base', 'close', n)} SELECT date, ticker, round(rsi, 4) + 0.0 AS value FROM r WHERE rsi IS NOT NULL"
+    return (
+        f"WITH RECURSIVE {BRAND}, base AS (SELECT date, ticker, close FROM bars), {rsi('r', 'base', 'close', n)} "
+        f"SELECT date, ticker, round(rsi, 4) + 0.0 AS value FROM r WHERE rsi IS NOT NULL"
+    )

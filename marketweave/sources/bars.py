@@ -22,8 +22,11 @@ def trades(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
         names = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select("s_suppkey", F.col("n_name").alias("ticker"))
         line = line.join(names, line["l_suppkey"] == names["s_suppkey"])
     return line.select(
-        F.to_date(F.date_trunc("week", "l_shipdate") if by == "brand" else F.col("l_shipdate")).alias("date"), "ticker", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("amount"),
+        F.to_date(F.date_trunc("week", "l_shipdate") if by == "brand" else F.col("l_shipdate")).alias("date"),
+        "ticker",
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_extendedprice").alias("amount"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("at"),
     )
 
@@ -63,11 +66,19 @@ def bars(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker (nation) and sector (region)."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_name").alias("ticker"), F.col("r_name").alias("sector"))
+    return nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(
+        F.col("n_name").alias("ticker"),
+        F.col("r_name").alias("sector")
+    )
 
 
 def member_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, change_date, direction: order statuses as membership changes of 25 codes named like brands (O: in, F: out)."""
     orders = table(spark, sf_dir, "orders")
     direction = F.when(F.col("o_orderstatus") == "O", "in").when(F.col("o_orderstatus") == "F", "out")
-    return orders.select(F.col("o_orderkey").alias("event_id"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("code"), F.to_date("o_orderdate").alias("change_date"), direction.alias("direction")).where("direction is not null")
+    return orders.select(
+        F.col("o_orderkey").alias("event_id"),
+        F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string")).alias("code"),
+        F.to_date("o_orderdate").alias("change_date"),
+        direction.alias("direction")
+    ).where("direction is not null")

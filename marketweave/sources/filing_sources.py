@@ -40,7 +40,10 @@ def price_window(prices: DataFrame, index: DataFrame, issuers: DataFrame) -> tup
     """
     dates = index.agg(F.date_sub(F.min("publish"), PRICE_MARGIN).alias("first"), F.date_add(F.max("publish"), PRICE_MARGIN).alias("last"))
     wanted = issuers.join(index.select("stock_code").distinct(), "stock_code", "left_semi").select("ticker").distinct()
-    kept = prices.join(F.broadcast(dates), F.col("date").between(F.col("first"), F.col("last"))).drop("first", "last").join(wanted, "ticker", "left_semi")
+    kept = prices.join(
+        F.broadcast(dates),
+        F.col("date").between(F.col("first"), F.col("last"))
+    ).drop("first", "last").join(wanted, "ticker", "left_semi")
     tickers = wanted.agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))  # a dimension: one name an issuer
     return kept, dates.crossJoin(tickers).withColumn("fill_method", F.lit("none"))  # one row each
 
@@ -71,7 +74,13 @@ def check_manifest(spark: SparkSession, path: str) -> DataFrame:
     return entries.select(*[F.col("entry")[k].alias(k) for k in MANIFEST_KEYS])
 
 
-def save_shares(shares: DataFrame, path: str, asof: str | None = None, price_asof: str | None = None, source: str = "market cap / latest close") -> None:
+def save_shares(
+    shares: DataFrame,
+    path: str,
+    asof: str | None = None,
+    price_asof: str | None = None,
+    source: str = "market cap / latest close"
+) -> None:
     """ticker and estimated_shares with their dates and source, as Parquet or CSV by suffix; other suffixes are an error."""
     rows = shares.select(F.col("ticker").cast("string"), F.col("estimated_shares").cast("double"))
     for name, value in (("asof_date", asof), ("px_asof_date", price_asof)):

@@ -46,7 +46,10 @@ def to_long(wide: DataFrame) -> DataFrame:
     if odd := [c for c in names if "__" not in c]:
         raise ValueError(f"not field__ticker: {odd}")
     fields = sorted({c.split("__", 1)[0] for c in names})
-    long = wide.unpivot(["date"], names, "name", "value").withColumn("field", F.substring_index("name", "__", 1)).withColumn("ticker", F.expr("substring(name, instr(name, '__') + 2)"))
+    long = wide.unpivot(["date"], names, "name", "value").withColumn("field", F.substring_index("name", "__", 1)).withColumn(
+        "ticker",
+        F.expr("substring(name, instr(name, '__') + 2)")
+    )
     return long.groupBy("date", "ticker").pivot("field", fields).agg(F.first("value", ignorenulls=True))
 
 
@@ -62,7 +65,13 @@ def load_panel(spark: SparkSession, path: str, registry: DatasetRegistry | None
     return spark.read.parquet(path)
 
 
-def load_with_provenance(spark: SparkSession, path: str, registry: DatasetRegistry, root: str = "", schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+def load_with_provenance(
+    spark: SparkSession,
+    path: str,
+    registry: DatasetRegistry,
+    root: str = "",
+    schema: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """A table by name or path, read by its suffix, and the registry's entries for it (no row, if it has none)."""
     name = path if "/" not in path and "." not in path else None
     entries = registry.read()
@@ -87,7 +96,11 @@ def load_limits(spark: SparkSession, path: str, grid: DataFrame) -> DataFrame:
     A missing column and a repeated date and code are errors; codes are trimmed, rows without a key dropped.
     """
     rows = require(spark.read.parquet(path), ["date", "code", *LIMIT_FIELDS])
-    keyed = rows.select(F.to_date("date").alias("date"), F.trim("code").alias("ticker"), *[clean(F.col(c)).alias(c) for c in LIMIT_FIELDS]).where("date is not null and ticker <> ''")
+    keyed = rows.select(
+        F.to_date("date").alias("date"),
+        F.trim("code").alias("ticker"),
+        *[clean(F.col(c)).alias(c) for c in LIMIT_FIELDS]
+    ).where("date is not null and ticker <> ''")
     if keyed.groupBy("date", "ticker").count().where("count > 1").limit(1).count():
         raise ValueError("duplicate date and code")
     return grid.select("date", "ticker").join(keyed, ["date", "ticker"], "left")
@@ -107,7 +120,11 @@ def load_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 def aligned(df: DataFrame, date_col: str, code_col: str, value_col: str, grid: DataFrame) -> DataFrame:
     """value on the grid (date, ticker) from a long table: codes trimmed, rows without key dropped, duplicates an error."""
-    rows = df.select(F.to_date(date_col).alias("date"), F.trim(code_col).alias("ticker"), clean(F.col(value_col)).alias("value")).where("date is not null and ticker <> ''")
+    rows = df.select(
+        F.to_date(date_col).alias("date"),
+        F.trim(code_col).alias("ticker"),
+        clean(F.col(value_col)).alias("value")
+    ).where("date is not null and ticker <> ''")
     if rows.groupBy("date", "ticker").count().where("count > 1").limit(1).count():
         raise ValueError("duplicate date and code")
     return grid.join(rows, ["date", "ticker"], "left")
@@ -119,7 +136,16 @@ def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def yearly_csv_to_parquet(spark: SparkSession, paths: list[str], schema: str, keys: list[str], date_col: str, out: str, postprocess: Callable[[DataFrame], DataFrame] | None = None, order: str | None = None) -> DataFrame:
+def yearly_csv_to_parquet(
+    spark: SparkSession,
+    paths: list[str],
+    schema: str,
+    keys: list[str],
+    date_col: str,
+    out: str,
+    postprocess: Callable[[DataFrame], DataFrame] | None = None,
+    order: str | None = None
+) -> DataFrame:
     """CSV files of years as one Parquet table: codes trimmed, dates parsed (a bad one is an error), the last row of a key kept.
 
     The last row is the one with the highest `order`; without it, the last line of the last file by name.
@@ -140,7 +166,11 @@ def yearly_csv_to_parquet(spark: SparkSession, paths: list[str], schema: str, ke
 
 def snapshot(df: DataFrame, ticker_col: str, value_col: str, order: str) -> DataFrame:
     """ticker and value: numbers only, above 0, the last row of a ticker."""
-    rows = df.select(F.col(ticker_col).alias("ticker"), F.col(value_col).cast("string").try_cast("double").alias("value"), F.col(order).alias("_o")).where("value > 0")
+    rows = df.select(
+        F.col(ticker_col).alias("ticker"),
+        F.col(value_col).cast("string").try_cast("double").alias("value"),
+        F.col(order).alias("_o")
+    ).where("value > 0")
     return keep_last(rows, ["ticker"], "_o").drop("_o")
 
 
@@ -171,7 +201,10 @@ class FactorStore:
 class DatasetRegistry:
     """Names of datasets with paths and metadata, kept as JSON lines."""
 
-    SCHEMA = "dataset_name string, path string, source_system string, schema_version int, format string, build_timestamp string, upstream_raw_inputs array<string>, source_quality string, parameters map<string,string>"
+    SCHEMA = (
+        "dataset_name string, path string, source_system string, schema_version int, format string, build_timestamp string, upstream_raw_inputs "
+        "array<string>, source_quality string, parameters map<string,string>"
+    )
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path

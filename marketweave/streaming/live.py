@@ -34,7 +34,13 @@ def live_bars(rows: DataFrame, size: str = "1 hour", late: str = LATE) -> DataFr
     """start, event_type, open, high, low, close, n of tumbling windows."""
     w = rows.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
     at = F.struct("ts", "event_id")
-    return w.agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "open", "high", "low", "close", "n")
+    return w.agg(
+        F.min_by("value", at).alias("open"),
+        F.max("value").alias("high"),
+        F.min("value").alias("low"),
+        F.max_by("value", at).alias("close"),
+        F.count("*").alias("n")
+    ).select(F.col("window.start").alias("start"), "event_type", "open", "high", "low", "close", "n")
 
 
 def live_distinct(rows: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:
@@ -44,12 +50,22 @@ def live_distinct(rows: DataFrame, keys: list[str], late: str = LATE) -> DataFra
 def live_rolling(rows: DataFrame, size: str = "2 hours", slide: str = "1 hour", late: str = LATE) -> DataFrame:
     """Mean and deviation of sliding windows."""
     w = rows.withWatermark("ts", late).groupBy(F.window("ts", size, slide), "event_type")
-    return w.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "mean", "std", "n")
+    return w.agg(
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.count("*").alias("n")
+    ).select(F.col("window.start").alias("start"), "event_type", "mean", "std", "n")
 
 
 def live_sessions(rows: DataFrame, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
     w = rows.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id")
-    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "user_id", "n", "total")
+    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
+        F.col("session_window.start").alias("start"),
+        F.col("session_window.end").alias("stop"),
+        "user_id",
+        "n",
+        "total"
+    )
 
 
 def _ordered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -57,7 +73,15 @@ def _ordered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(found).sort_values(["ts", "event_id"]) if found else pd.DataFrame()
 
 
-def _keyed(rows: DataFrame, step: Callable[[pd.DataFrame, tuple], tuple[list, tuple]], first: tuple, out: str, schema: str, late: str, idle_ms: int) -> DataFrame:
+def _keyed(
+    rows: DataFrame,
+    step: Callable[[pd.DataFrame, tuple], tuple[list, tuple]],
+    first: tuple,
+    out: str,
+    schema: str,
+    late: str,
+    idle_ms: int
+) -> DataFrame:
     """event_id, user_id and column `out`: step walks a user's rows of a batch, in order of time, on from the state that the
     last batch left. Rows behind the watermark are dropped; a user's state goes idle_ms of event time after its last row."""
 
@@ -113,6 +137,9 @@ def live_trailing_stop(rows: DataFrame, stop: float, cooldown: int, late: str =
 
 def run_to_end(rows: DataFrame, path: str) -> DataFrame:
     """Runs the stream over all that is there, into Parquet files under path, and returns what it wrote."""
-    query = rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    query = rows.writeStream.format("parquet").option("path", f"{path}/out").option(
+        "checkpointLocation",
+        f"{path}/state"
+    ).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/out")

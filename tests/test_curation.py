@@ -15,7 +15,10 @@ from marketweave.sources import filing_sources as fs
 from marketweave.sources import io
 
 DAY = dt.date(2024, 1, 1)
-FACTS = "filing_id long, kind string, label string, code string, value double, page_no int, line_no int, confidence double, currency string, unit_scale string"
+FACTS = (
+    "filing_id long, kind string, label string, code string, value double, page_no int, line_no int, confidence double, currency string, unit_scale "
+    "string"
+)
 
 
 def days(i):
@@ -28,18 +31,32 @@ def facts(spark, rows):
 
 @pytest.fixture(scope="module")
 def index(spark):
-    return spark.createDataFrame([(1, "00016", DAY, DAY), (2, "00012", DAY, days(60))], "filing_id long, stock_code string, period_end date, publish date")
+    return spark.createDataFrame(
+        [(1, "00016", DAY, DAY), (2, "00012", DAY, days(60))],
+        "filing_id long, stock_code string, period_end date, publish date"
+    )
 
 
 def test_first_numeric_goes_by_pattern_then_row(spark, index):
-    rows = [(1, "table", "Issued shares 500", None, None), (1, "table", "shares in ISSUE none", None, None), (1, "table", "Shares in issue 1,200 and 7", None, None), (1, "table", "weighted average 3", None, 9.5), (3, "table", "issued shares 1", None, None)]
+    rows = [
+        (1, "table", "Issued shares 500", None, None),
+        (1, "table", "shares in ISSUE none", None, None),
+        (1, "table", "Shares in issue 1,200 and 7", None, None),
+        (1, "table", "weighted average 3", None, 9.5),
+        (3, "table", "issued shares 1", None, None)
+    ]
     got = {r.filing_id: r for r in cu.capital_structure(index, facts(spark, rows)).collect()}
     assert (got[1].shares_outstanding_period_end, got[1].weighted_avg_shares_basic) == (7.0, 9.5)
     assert got[2].shares_outstanding_period_end is None and set(got) == {1, 2}
 
 
 def test_curated_tables(spark, index):
-    rows = [(1, "table", "Bank borrowings 5", "total_borrowings_current", 5.0), (3, "table", "other BORROWINGS", None, None), (2, "note", "a note", None, None), (1, "table", "x", "investment_properties_y", 2.0)]
+    rows = [
+        (1, "table", "Bank borrowings 5", "total_borrowings_current", 5.0),
+        (3, "table", "other BORROWINGS", None, None),
+        (2, "note", "a note", None, None),
+        (1, "table", "x", "investment_properties_y", 2.0)
+    ]
     f = facts(spark, rows)
     items = {r.fact_id: r for r in cu.statement_line_items(index, f).collect()}
     assert set(items) == {"fact_1_1", "fact_1_2", "fact_3_1"} and items["fact_3_1"].stock_code is None
@@ -61,7 +78,10 @@ def test_overrides_need_their_columns(spark, index):
 
 
 def test_property_lines_take_the_first_of_a_page(spark):
-    pages = spark.createDataFrame([(1, 1, "x\n  Investment PROPERTIES a\ninvestment property b"), (1, 2, "none"), (2, 1, None), (2, 2, "")], "filing_id long, page_no int, text string")
+    pages = spark.createDataFrame(
+        [(1, 1, "x\n  Investment PROPERTIES a\ninvestment property b"), (1, 2, "none"), (2, 1, None), (2, 2, "")],
+        "filing_id long, page_no int, text string"
+    )
     assert [(r.filing_id, r.page_no, r.label, r.value) for r in cu.property_lines(pages).collect()] == [(1, 1, "Investment PROPERTIES a", None)]
 
 
@@ -87,7 +107,10 @@ def test_manifest_keys_are_required(spark, tmp_path):
 
 
 def test_price_window_metadata(spark, index):
-    prices = spark.createDataFrame([("0016.HK", days(i - 40), 80.0) for i in range(160)] + [("9.HK", DAY, 1.0)], "ticker string, date date, close double")
+    prices = spark.createDataFrame(
+        [("0016.HK", days(i - 40), 80.0) for i in range(160)] + [("9.HK", DAY, 1.0)],
+        "ticker string, date date, close double"
+    )
     issuers = spark.createDataFrame([("00016", "0016.HK"), ("00099", "9.HK")], "stock_code string, ticker string")
     kept, said = fs.price_window(prices, index, issuers)
     assert {r.ticker for r in kept.collect()} == {"0016.HK"} and kept.agg(F.min("date"), F.max("date")).first()[:] == (days(-30), days(90))
@@ -96,7 +119,10 @@ def test_price_window_metadata(spark, index):
 
 def test_limits_need_their_columns_and_single_rows(spark, tmp_path):
     grid = spark.createDataFrame([(DAY, "A"), (days(1), "A")], "date date, ticker string")
-    rows = spark.createDataFrame([("2024-01-01", " A ", 1.0, 1.0, 1.0, 2.0, 0.5)], "date string, code string, open double, close double, volume double, high_limit double, low_limit double")
+    rows = spark.createDataFrame(
+        [("2024-01-01", " A ", 1.0, 1.0, 1.0, 2.0, 0.5)],
+        "date string, code string, open double, close double, volume double, high_limit double, low_limit double"
+    )
     rows.write.parquet(f"file://{tmp_path}/l")
     got = {r.date: r.high_limit for r in io.load_limits(spark, f"file://{tmp_path}/l", grid).collect()}
     assert got == {DAY: 2.0, days(1): None}
@@ -152,7 +178,10 @@ def test_gates_agree(spark, book):
 @pytest.fixture(scope="module")
 def long(spark):
     rng = np.random.default_rng(6)
-    rows = [(days(7 * i), i, f"t{k}", float(a), float(b), float(a - 0.5 * b + rng.normal(0, 0.3))) for i in range(60) for k in range(12) for a, b in [rng.normal(size=2)]]
+    rows = [
+        (days(7 * i), i, f"t{k}", float(a), float(b), float(a - 0.5 * b + rng.normal(0, 0.3))) for i in range(60) for k in range(12) for a,
+        b in [rng.normal(size=2)]
+    ]
     return spark.createDataFrame(rows, "date date, pos int, ticker string, a double, b double, fwd double")
 
 
@@ -193,7 +222,19 @@ def test_tilt_study_equals_a_loop(spark):
         r.append(0.02 * (x[i - 1] if i else 0) + rng.normal(0, 0.01))
     lag = np.append(np.nan, x[:-1])
     rows = [("k", days(i), None if i == 0 else float(lag[i]), float(r[i])) for i in range(120)]
-    got = ov.tilt_study(spark.createDataFrame(rows, "ticker string, date date, l double, r double"), "r", ["l"], 30, 2, 0.0, 0.2, 12, 2.0, 12, 0.001).orderBy("date").collect()
+    got = ov.tilt_study(
+        spark.createDataFrame(rows, "ticker string, date date, l double, r double"),
+        "r",
+        ["l"],
+        30,
+        2,
+        0.0,
+        0.2,
+        12,
+        2.0,
+        12,
+        0.001
+    ).orderBy("date").collect()
     pred = []
     for i in range(120):
         a, b = np.column_stack([np.ones(i), lag[:i]])[1:], np.array(r[1:i])
@@ -213,8 +254,13 @@ def test_tilt_study_equals_a_loop(spark):
         last = pos[n - 1] if n else 0.0
         pnl.append(last * r[i] - 0.001 * abs(pos[n] - last))
     assert [g.position for g in got] == pytest.approx(pos) and [g.pnl for g in got] == pytest.approx(pnl)
-    found = ov.tilt_metrics(spark.createDataFrame([tuple(g) for g in got], "ticker string, date date, r double, pred double, position double, pnl double"), 12).first()
-    assert found.sharpe == pytest.approx(np.mean(pnl) / np.std(pnl, ddof=1) * 12**0.5) and found.hit_rate == pytest.approx(np.mean([np.sign(pred[i]) == np.sign(r[i]) for i in known]))
+    found = ov.tilt_metrics(
+        spark.createDataFrame([tuple(g) for g in got], "ticker string, date date, r double, pred double, position double, pnl double"),
+        12
+    ).first()
+    assert found.sharpe == pytest.approx(np.mean(pnl) / np.std(pnl, ddof=1) * 12**0.5) and found.hit_rate == pytest.approx(
+        np.mean([np.sign(pred[i]) == np.sign(r[i]) for i in known])
+    )
 
 
 def test_universe_defaults():

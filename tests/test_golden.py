@@ -26,8 +26,15 @@ DAYS = [dt.date(2024, 1, d) for d in range(1, 7)]
 
 @pytest.fixture(scope="module")
 def bars(spark):
-    rows = [(DAYS[i], i, t, c - 0.25, c + 0.5, c - 0.5, float(c), 1000.0, c * 1000.0, c * 100000.0) for t, cs in CLOSE.items() for i, c in enumerate(cs)]
-    return spark.createDataFrame(rows, "date date, pos int, ticker string, open double, high double, low double, close double, volume double, turnover double, mkt_cap double")
+    rows = [
+        (DAYS[i], i, t, c - 0.25, c + 0.5, c - 0.5, float(c), 1000.0, c * 1000.0, c * 100000.0) for t,
+        cs in CLOSE.items() for i,
+        c in enumerate(cs)
+    ]
+    return spark.createDataFrame(
+        rows,
+        "date date, pos int, ticker string, open double, high double, low double, close double, volume double, turnover double, mkt_cap double"
+    )
 
 
 def series(spark, values, key="k"):
@@ -119,21 +126,45 @@ def test_membership_next_day(spark):
 
 
 def test_filing_titles(spark):
-    titles = ["Annual Report 2024", "Interim Results for the six months ended 30 June 2024", "Notice of Annual General Meeting", "Annual Report 2024/06/30"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t string").select("i", fl.doc_type(F.col("t")).alias("d"), fl.period_end(F.col("t")).alias("p"))
+    titles = [
+        "Annual Report 2024",
+        "Interim Results for the six months ended 30 June 2024",
+        "Notice of Annual General Meeting",
+        "Annual Report 2024/06/30"
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t string").select(
+        "i",
+        fl.doc_type(F.col("t")).alias("d"),
+        fl.period_end(F.col("t")).alias("p")
+    )
     rows = {r.i: (r.d, r.p) for r in df.collect()}
-    assert rows[0][0] == "annual_report" and rows[1] == ("interim_results", dt.date(2024, 6, 30)) and rows[2][0] is None and rows[3][1] == dt.date(2024, 6, 30)
+    assert rows[0][0] == "annual_report" and rows[1] == (
+        "interim_results",
+        dt.date(2024, 6, 30)
+    ) and rows[2][0] is None and rows[3][1] == dt.date(2024, 6, 30)
     texts = spark.createDataFrame([("HK$ million", "Equity attributable to owners of the Company (1,234.5)")], "u string, l string")
-    r = texts.select(fl.currency(F.col("u")).alias("c"), fl.unit_scale(F.col("u")).alias("s"), fl.line_item(F.col("l")).alias("i"), fl.last_number(F.col("l")).alias("n"), fl.hk_ticker(F.lit("16")).alias("t")).first()
+    r = texts.select(
+        fl.currency(F.col("u")).alias("c"),
+        fl.unit_scale(F.col("u")).alias("s"),
+        fl.line_item(F.col("l")).alias("i"),
+        fl.last_number(F.col("l")).alias("n"),
+        fl.hk_ticker(F.lit("16")).alias("t")
+    ).first()
     assert tuple(r) == ("HKD", "millions", "equity_attributable_to_owners", -1234.5, "0016.HK")
 
 
 def test_next_close_and_book_value(spark):
-    prices = spark.createDataFrame([("0016.HK", dt.date(2024, 6, 28), 80.0), ("0016.HK", dt.date(2024, 7, 1), 81.0), ("0016.HK", dt.date(2024, 7, 2), 82.0)], "ticker string, date date, close double")
+    prices = spark.createDataFrame(
+        [("0016.HK", dt.date(2024, 6, 28), 80.0), ("0016.HK", dt.date(2024, 7, 1), 81.0), ("0016.HK", dt.date(2024, 7, 2), 82.0)],
+        "ticker string, date date, close double"
+    )
     filing = spark.createDataFrame([("0016.HK", dt.date(2024, 6, 30))], "ticker string, publish date")
     r = jn.asof(filing, prices, ["ticker"], "publish", "date", ["close"], "forward", False).first()
     assert (r.matched, r.close) == (dt.date(2024, 7, 1), 81.0)
-    nav = spark.createDataFrame([(1000.0, 100.0, 50.0, 150.0, 100.0, None, 12.0)], "equity double, cash double, borrowings_current double, borrowings_noncurrent double, shares double, weighted_shares double, price double")
+    nav = spark.createDataFrame(
+        [(1000.0, 100.0, 50.0, 150.0, 100.0, None, 12.0)],
+        "equity double, cash double, borrowings_current double, borrowings_noncurrent double, shares double, weighted_shares double, price double"
+    )
     r = fl.book_nav(nav).first()
     assert (r.nav_per_share, r.net_debt) == (10.0, 100.0) and r.discount == pytest.approx(0.2)
 
@@ -141,7 +172,9 @@ def test_next_close_and_book_value(spark):
 def test_lagged_weights_and_late_fee(spark):
     rows = [(dt.date(2024, 1, 1 + i), "A", w, r) for i, (w, r) in enumerate([(0.0, 0.1), (1.0, 0.2), (1.0, 0.3), (0.0, 0.1)])]
     got = pf.backtest(spark.createDataFrame(rows, "date date, ticker string, w double, ret double"), 0.01)
-    assert column(got, "gross") == pytest.approx([0, 0, 0.3, 0.1]) and column(got, "turnover") == [0, 1, 0, 1] and column(got, "cost") == pytest.approx([0, 0, 0.01, 0])
+    assert column(got, "gross") == pytest.approx(
+        [0, 0, 0.3, 0.1]
+    ) and column(got, "turnover") == [0, 1, 0, 1] and column(got, "cost") == pytest.approx([0, 0, 0.01, 0])
 
 
 def test_capped_weights(spark):
@@ -161,7 +194,10 @@ def test_stateful_rules_match_loops(spark):
     assert column(stopped, "peak") == [10, 12, 12, None, None, 9] and column(stopped, "dd")[:3] == pytest.approx([0, 0, -0.25])
     assert column(rg.trailing_stop(stop, "w", "x", 0.2, 0, ["ticker"]), "held") == [1, 1, 0, 1, 1, 1]
     assert column(rg.kill_switch(series(spark, [0, -0.2, -0.2, 0, 0]), "x", 0.1, 2, "ticker"), "live") == [True, True, False, False, True]
-    assert column(rg.kill_switch(series(spark, [0, -0.2, -0.2, -0.2, 0, 0, 0]), "x", 0.1, 2, "ticker"), "live") == [True, True, False, False, False, False, True]
+    assert column(
+        rg.kill_switch(series(spark, [0, -0.2, -0.2, -0.2, 0, 0, 0]), "x", 0.1, 2, "ticker"),
+        "live"
+    ) == [True, True, False, False, False, False, True]
 
 
 def test_episodes_and_merging(spark):
@@ -176,7 +212,10 @@ def test_ols_forecasts_match_numpy(spark):
     a, b = rng.normal(size=50), rng.normal(size=50)
     y = 1 + 2 * a - b + rng.normal(0, 0.1, 50)
     rows = [("k", dt.date(2024, 1, 1) + dt.timedelta(days=i), float(a[i]), float(b[i]), float(y[i])) for i in range(50)]
-    got = column(inf.expanding_ols(spark.createDataFrame(rows, "ticker string, date date, a double, b double, y double"), "y", ["a", "b"], 20, ["ticker"]), "forecast")
+    got = column(
+        inf.expanding_ols(spark.createDataFrame(rows, "ticker string, date date, a double, b double, y double"), "y", ["a", "b"], 20, ["ticker"]),
+        "forecast"
+    )
     x = np.column_stack([np.ones(50), a, b])
     for i in (20, 35, 49):
         assert got[i] == pytest.approx(x[i] @ np.linalg.lstsq(x[:i], y[:i], rcond=None)[0])

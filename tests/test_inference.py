@@ -65,7 +65,15 @@ def test_shift_test_equals_rolling_the_mask(spark, panel):
 
 
 def test_draw_test_tends_to_the_exact_chance(spark, panel):
-    got = {r.ticker: r for r in inf.draw_test(panel.withColumn("on", F.col("z") == 2).withColumn("y", F.col("up") == 1), "on", "y", 20_000, "ticker").collect()}
+    got = {
+        r.ticker: r for r in inf.draw_test(
+            panel.withColumn("on", F.col("z") == 2).withColumn("y", F.col("up") == 1),
+            "on",
+            "y",
+            20_000,
+            "ticker"
+        ).collect()
+    }
     for t, part in panel.toPandas().groupby("ticker"):
         on, y = part.z == 2, part.up == 1
         n, k, d, hits = len(part), int(y.sum()), int(on.sum()), int((on & y).sum())
@@ -80,10 +88,20 @@ def test_principal_components_equal_numpy(spark, panel):
     for r in got:
         v = vectors[:, ::-1][:, r.component - 1]
         v = v * (1 if v[np.argmax(np.abs(v))] > 0 else -1)
-        assert r.loading == pytest.approx(v[["x", "z", "up"].index(r.name)]) and r.share == pytest.approx(values[::-1][r.component - 1] / values.sum())
-
-
-@pytest.mark.parametrize("values", [[1.0], [3.0, 3.0, 3.0], np.random.default_rng(1).integers(0, 40, 500).astype(float).tolist(), np.random.default_rng(2).normal(size=3001).tolist()])
+        assert r.loading == pytest.approx(v[["x", "z", "up"].index(r.name)]) and r.share == pytest.approx(
+            values[::-1][r.component - 1] / values.sum()
+        )
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [1.0],
+        [3.0, 3.0, 3.0],
+        np.random.default_rng(1).integers(0, 40, 500).astype(float).tolist(),
+        np.random.default_rng(2).normal(size=3001).tolist()
+    ]
+)
 def test_pooled_quantiles_are_exact(spark, values):
     df = spark.createDataFrame([("k", v) for v in values] + [("k", None), (None, 7.0), (None, 9.0)], "k string, v double")
     got = {r.k: r for r in sr.pooled_quantiles(df, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.99}).collect()}
@@ -106,12 +124,24 @@ def test_feature_signs_are_those_of_rank_correlation(spark):
 
 def test_next_trading_date_over_gaps(spark):
     cal = spark.createDataFrame([(days(i),) for i in (2, 3, 6, 9)], "date date")
-    at = [dt.datetime(2023, 12, 1), dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 3, 12), dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 11), None]
+    at = [
+        dt.datetime(2023, 12, 1),
+        dt.datetime(2024, 1, 3),
+        dt.datetime(2024, 1, 3, 12),
+        dt.datetime(2024, 1, 5),
+        dt.datetime(2024, 1, 10),
+        dt.datetime(2024, 1, 11),
+        None
+    ]
     events = spark.createDataFrame(list(enumerate(at)), "i int, at timestamp").withColumn("date", F.lit(1))
     for strict in (False, True):
         got = {r.i: r.trade_date for r in jn.next_trading_date(events, cal, "at", strict).collect()}
         for i, t in enumerate(at):
-            later = [d for d in (days(k) for k in (2, 3, 6, 9)) if t and ((dt.datetime(d.year, d.month, d.day) > t) if strict else (dt.datetime(d.year, d.month, d.day) >= t))]
+            later = [
+                d for d in (days(k) for k in (2, 3, 6, 9)) if t and (
+                    (dt.datetime(d.year, d.month, d.day) > t) if strict else (dt.datetime(d.year, d.month, d.day) >= t)
+                )
+            ]
             assert got[i] == (min(later) if later else None), (i, strict)
     plan = jn.next_trading_date(events, cal, "at", True)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan
@@ -132,7 +162,13 @@ def test_alert_scores(spark):
     labels = spark.createDataFrame([("k", days(5)), ("k", days(25)), ("k", days(60))], "ticker string, date date")
     got = {r.ticker: r for r in al.score_alerts(rows, "hit", labels, 7, 7).collect()}
     k = got["k"]
-    assert (k.n_alerts, k.n_events, k.tp, k.fn, k.fp) == (4, 3, 2, 1, 2) and k.precision == 0.5 and k.recall == pytest.approx(2 / 3) and k.mean_delay == -5
+    assert (
+        k.n_alerts,
+        k.n_events,
+        k.tp,
+        k.fn,
+        k.fp
+    ) == (4, 3, 2, 1, 2) and k.precision == 0.5 and k.recall == pytest.approx(2 / 3) and k.mean_delay == -5
     assert got["none"].n_alerts == 0 and got["none"].recall is None
 
 

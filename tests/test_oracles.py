@@ -10,7 +10,23 @@ from marketweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
 #: One or more of each family; the others are compared in the same way by the driver.
-NAMES = ["agg05_mom_decile_summary", "agg25_roc_auc", "flt10_universe_bundle", "jon06_next_close_after", "jon14_replay_last", "ml09_hac_slope", "nav12_revalued_nav", "pf02_weights_backtest", "reg09_bull_cycles", "sig20_bull_bear_total", "src18_filled_sheets", "str06_live_sessions", "top01_long_short_weights", "win07_ewm", "xs04_neutralize"]
+NAMES = [
+    "agg05_mom_decile_summary",
+    "agg25_roc_auc",
+    "flt10_universe_bundle",
+    "jon06_next_close_after",
+    "jon14_replay_last",
+    "ml09_hac_slope",
+    "nav12_revalued_nav",
+    "pf02_weights_backtest",
+    "reg09_bull_cycles",
+    "sig20_bull_bear_total",
+    "src18_filled_sheets",
+    "str06_live_sessions",
+    "top01_long_short_weights",
+    "win07_ewm",
+    "xs04_neutralize"
+]
 
 
 def plain(x):

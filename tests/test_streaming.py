@@ -18,7 +18,9 @@ def parts(spark, tmp_path_factory):
     top = str(tmp_path_factory.mktemp("parts"))
     rows = spark.read.parquet(f"{SF}/events.parquet").withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(5)))
     for k in range(5):
-        rows.where(F.col("part") == k).drop("part").coalesce(1).sortWithinPartitions(F.desc("ts")).write.mode("append").parquet(f"{top}/events.parquet")
+        rows.where(F.col("part") == k).drop("part").coalesce(1).sortWithinPartitions(F.desc("ts")).write.mode("append").parquet(
+            f"{top}/events.parquet"
+        )
     assert len([f for f in os.listdir(f"{top}/events.parquet") if f.endswith(".parquet")]) == 5
     return top
 
@@ -38,7 +40,10 @@ def days(spark, tmp_path_factory):
     rows = spark.read.parquet(f"{SF}/events.parquet")
     low, high = rows.agg(F.min("ts"), F.max("ts")).first()
     edges = [low, low + (high - low) / 3, low + (high - low) * 2 / 3, high]
-    late = spark.createDataFrame([(900_001, edges[2] - dt.timedelta(minutes=30), 1, "click", 5.0, "{}"), (900_002, edges[0], 1, "click", 7.0, "{}")], rows.schema)
+    late = spark.createDataFrame(
+        [(900_001, edges[2] - dt.timedelta(minutes=30), 1, "click", 5.0, "{}"), (900_002, edges[0], 1, "click", 7.0, "{}")],
+        rows.schema
+    )
     for k in range(3):
         part = rows.where((F.col("ts") >= edges[k]) & ((F.col("ts") < edges[k + 1]) | F.lit(k == 2)))
         part = part.unionByName(late) if k == 2 else part
@@ -88,10 +93,18 @@ def test_three_batches_give_what_one_gives(spark, days, tmp_path, name):
 def test_state_of_idle_keys_is_dropped(spark, tmp_path):
     """A user's peak is forgotten after an idle span that other users' events have passed."""
     start = dt.datetime(2024, 1, 1)
-    rows = [(1, start, 1, 100.0), (2, start + dt.timedelta(days=5), 2, 1.0), (3, start + dt.timedelta(days=6), 2, 1.0), (4, start + dt.timedelta(days=7), 1, 5.0)]
+    rows = [
+        (1, start, 1, 100.0),
+        (2, start + dt.timedelta(days=5), 2, 1.0),
+        (3, start + dt.timedelta(days=6), 2, 1.0),
+        (4, start + dt.timedelta(days=7), 1, 5.0)
+    ]
     for k, (i, at, user, value) in enumerate(rows):
         path = f"{tmp_path}/in/part{k}"
-        spark.createDataFrame([(i, at, user, "x", value, "{}")], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(path)
+        spark.createDataFrame(
+            [(i, at, user, "x", value, "{}")],
+            "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+        ).coalesce(1).write.parquet(path)
         name = next(f for f in os.listdir(path) if f.endswith(".parquet"))
         os.makedirs(f"{tmp_path}/events.parquet", exist_ok=True)
         os.replace(f"{path}/{name}", f"{tmp_path}/events.parquet/{k}.parquet")
