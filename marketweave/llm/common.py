@@ -63,12 +63,12 @@ def hot_join(rows: DataFrame, names: DataFrame, keys: list[str], count: str, how
     1/HOT_SHARE of all rows are under HOT_SHARE in number, so that part is broadcast whatever the size of
     the data; all other keys are joined by shuffle. Null keys match null keys.
     """
-    total = names.agg(F.sum(count)).first()[0] or 0
+    total, most = (x or 0 for x in names.agg(F.sum(count), F.max(count)).first())
     names = names.select(*[F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in names.columns])
     hot = names.where(F.col(count) * HOT_SHARE > F.lit(total))
     on = lambda a, b: [a[k].eqNullSafe(b[f"_{k}"]) for k in keys]
     joined = lambda a, b, how: a.join(b, on(a, b), how).drop(*[f"_{k}" for k in keys])
-    if hot.limit(1).count() == 0:
+    if most * HOT_SHARE <= total:
         return joined(rows, names, how)
     hot_keys = F.broadcast(hot.select(*[f"_{k}" for k in keys]))
     cold = names.where(F.col(count) * HOT_SHARE <= F.lit(total))

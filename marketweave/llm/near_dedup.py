@@ -198,8 +198,10 @@ def probability_jaccard(x: np.ndarray, p: np.ndarray, y: np.ndarray, q: np.ndarr
 
 
 def _weighted_similarity(sa: pd.Series, ta: pd.Series, sb: pd.Series, tb: pd.Series) -> pd.Series:
+    """The similarity of each pair with multiplicities (an empty list: all are 1); 0 where there are no arrays."""
     times = lambda s, t: np.asarray(t, dtype=float) if len(t) else np.ones(len(s))
-    return pd.Series([probability_jaccard(x, times(x, p), y, times(y, q)) for x, p, y, q in zip(sa, ta, sb, tb, strict=True)])
+    of = lambda x, p, y, q: 0.0 if x is None else probability_jaccard(x, times(x, p), y, times(y, q))
+    return pd.Series([of(*pair) for pair in zip(sa, ta, sb, tb, strict=True)], dtype=float)
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:
@@ -234,35 +236,25 @@ def _sets_of(docs: DataFrame, keys: DataFrame, words: int, counted: bool) -> Dat
 
 def _verified(held: DataFrame, pairs: DataFrame, similarity: float, counted: bool) -> DataFrame:
     """The pairs whose shingle sets (or multisets, if counted) have at least the given similarity."""
-    if counted:
-        # where no shingle of either text occurs again, the weighted similarity is that of the sets
-        uneven = cut(held.where(F.size("times") > 0).select("key"), "uneven")
-        mark = lambda c: sized(uneven.select(F.col("key").alias(c), F.lit(True).alias(f"_{c}")))
-        marked = pairs.join(mark("a"), "a", "left").join(mark("b"), "b", "left")
-        even = _verified(held, marked.where("_a is null and _b is null").select("a", "b"), similarity, False)
-        return even.unionByName(_verified_uneven(held, marked.where("_a or _b").select("a", "b"), similarity))
-    return _pairs_with(held, pairs).where(_shared() >= similarity * (F.size("sa") + F.size("sb") - _shared())).select("a", "b")
-
-
-def _shared():
-    return F.size(F.array_intersect("sa", "sb"))
-
-
-def _verified_uneven(held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    near = F.pandas_udf(_weighted_similarity, "double")("sa", "ta", "sb", "tb") >= similarity - ROUNDING
-    return _pairs_with(held, pairs, "times").where(near).select("a", "b")
-
-
-def _pairs_with(held: DataFrame, pairs: DataFrame, *more: str) -> DataFrame:
-    """pairs (a, b) with sa and sb, the shingles of each (and ta, tb)."""
-    columns = lambda x: [F.col("key").alias(x), F.col("shingles").alias(f"s{x}"), *[F.col(c).alias(f"{c[0]}{x}") for c in more]]
+    columns = lambda x: [F.col("key").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in held.columns if c != "key"]]
     left, right = held.select(*columns("a")), held.select(*columns("b"))
     # a popular text stands in very many pairs: its shingles are shipped once for each COPY_PAIRS of them
     many = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / COPY_PAIRS).cast("int").alias("copies")).where("copies > 1"), "popular")
-    copies = F.coalesce("copies", F.lit(1))
-    dealt = pairs.join(sized(many, MOST_POPULAR), "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), copies).cast("int")).drop("copies")
-    left = left.join(sized(many, MOST_POPULAR), "a", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
-    return dealt.join(left, ["a", "copy"]).join(right, "b")
+    n = many.limit(MOST_POPULAR + 1).count()
+    keys = ["a"]
+    if n:
+        few, copies, keys = F.broadcast(many) if n <= MOST_POPULAR else many, F.coalesce("copies", F.lit(1)), ["a", "copy"]
+        pairs = pairs.join(few, "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), copies).cast("int")).drop("copies")
+        left = left.join(few, "a", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    both = pairs.join(left, keys).join(right, "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    near = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
+    if counted:
+        # where no shingle of either text occurs again, the weighted similarity is that of the sets, and Python sees no array
+        uneven = (F.size("ta") > 0) | (F.size("tb") > 0)
+        weighted = F.pandas_udf(_weighted_similarity, "double")(*[F.when(uneven, F.col(c)) for c in ("sa", "ta", "sb", "tb")])
+        near = F.when(uneven, weighted >= similarity - ROUNDING).otherwise(near)
+    return both.where(near).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -271,6 +263,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each is a grouped minimum and a join on tables in the shared folder.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    n = edges.count()
     while True:
         # large star: each larger neighbour of u is linked to the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -288,7 +281,8 @@ def components(links: DataFrame) -> DataFrame:
             F.col("m").alias("v")
         ).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = cut(small, "small-star")
-        same = small.count() == edges.count() and small.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0
+        before, n = n, small.count()
+        same = n == before and small.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0
         edges = small
         if same:
             break
