@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.series import div, full, ref, staged, trailing
+from .signals import ewm
 
 
 def strategy_key(key: str | None) -> list[str]:
@@ -91,23 +92,29 @@ def asset_vol_target(df: DataFrame, target: float, window: int, cap: float, freq
 def book_vol(df: DataFrame, window: int, freq: float = 252) -> DataFrame:
     """date, full, diagonal: the book's volatility with the covariance of the last rows, and without it.
 
-    The variance of the weighted sum of returns equals w'Sw, so that no matrix is built. Each decision's weights meet
-    the window's returns by a range join on the row number.
+    The variance of the weighted sum of returns equals w'Sw, so that no matrix is built. Dates that follow each other with
+    the same weights are a span: its weighted returns are summed once for each row that any of its windows holds, so that
+    a name costs a span's length and a window's, not their product. Dates are a dimension: spans are found by one sort.
     """
     w = df.where("w <> 0").select("date", "pos", "ticker", "w")
     r = df.select(F.col("ticker").alias("_t"), F.col("pos").alias("_p"), F.coalesce("ret", F.lit(0.0)).alias("_r"))
-    each = w.withColumn(
-        "_at",
-        F.explode(F.sequence(F.col("pos") - (window - 1), F.col("pos")))
-    ).join(r, (F.col("ticker") == F.col("_t")) & (F.col("_at") == F.col("_p")))
-    full_path = each.groupBy("date", "_at").agg(F.sum(F.col("w") * F.col("_r")).alias("x")).groupBy("date").agg(
-        (F.stddev_pop("x") * freq**0.5).alias("full"),
-        F.count("*").alias("rows")
-    )
-    diagonal = each.groupBy("date", "ticker").agg(F.max("w").alias("w"), F.var_pop("_r").alias("v")).groupBy("date").agg(
-        (F.sqrt(F.sum(F.col("w") * F.col("w") * F.col("v"))) * freq**0.5).alias("diagonal")
-    )
-    return full_path.join(diagonal, "date").where(F.col("rows") == window).drop("rows")
+    dates = w.groupBy("date", "pos").agg(F.bit_xor(F.xxhash64("ticker", "w")).alias("_h"))
+    order = Window.orderBy("pos")
+    follows = (F.lag("_h").over(order) == F.col("_h")) & (F.lag("pos").over(order) == F.col("pos") - 1)
+    dates = dates.withColumn("_new", F.coalesce((~follows).cast("int"), F.lit(1)))
+    dates = dates.withColumn("_span", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("date", "pos", "_span")
+    spans = dates.groupBy("_span").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    held = w.join(spans, F.col("pos") == F.col("_first")).select("_span", "ticker", "w", "_first", "_last")
+    each = held.withColumn("_at", F.explode(F.sequence(F.col("_first") - (window - 1), F.col("_last"))))
+    each = each.join(r, (F.col("ticker") == F.col("_t")) & (F.col("_at") == F.col("_p")))
+    path = each.groupBy("_span", "_at").agg(F.sum(F.col("w") * F.col("_r")).alias("x"))
+    last = Window.partitionBy("_span").orderBy("_at").rowsBetween(-(window - 1), 0)
+    path = path.select("_span", "_at", (F.stddev_pop("x").over(last) * freq**0.5).alias("full"), F.count("x").over(last).alias("rows"))
+    full_path = dates.join(path.where(F.col("rows") == window), (dates["_span"] == path["_span"]) & (F.col("pos") == F.col("_at"))).select("date", "full")
+    own = df.select("date", F.col("ticker").alias("_t"), F.var_pop(F.coalesce("ret", F.lit(0.0))).over(trailing(window)).alias("v"))
+    squares = w.join(own, (w["date"] == own["date"]) & (F.col("ticker") == F.col("_t"))).groupBy(w["date"])
+    diagonal = squares.agg((F.sqrt(F.sum(F.col("w") * F.col("w") * F.col("v"))) * freq**0.5).alias("diagonal"))
+    return full_path.join(diagonal, "date")
 
 
 def series_vol_target(df: DataFrame, r: str, target: float, window: int, cap: float, key: str, freq: float = 252) -> DataFrame:
@@ -128,3 +135,26 @@ def risk_parity(df: DataFrame, window: int) -> DataFrame:
     """w in inverse proportion to rolling volatility per date."""
     df = staged(df, _v=full(F.stddev_samp, "ret", window), _i=F.when(F.col("_v") > 1e-12, 1 / F.col("_v")))
     return df.withColumn("w", F.col("_i") / F.sum("_i").over(Window.partitionBy("date"))).drop("_v", "_i")
+
+
+def policy_weights(
+    df: DataFrame, p: str, regime: str, momentum: str, policies: dict[int, tuple[float, float, float]], share: float, bond_share: float,
+    halflife: float = 2.0, key: str = "ticker",
+) -> DataFrame:
+    """w_eq, w_bond and w_cash of each row: a blend (share) of what the risk probability p says and the regime's policy.
+
+    policies: equity, bond and cash by regime. In regime 1 with momentum below 0 the bonds' weight goes to cash. The
+    weights are smoothed by exponential means along the key, and add up to 1.
+    """
+    by_regime = lambda k: F.coalesce(*[F.when(F.col(regime) == r, F.lit(float(w[k]))) for r, w in policies.items()])
+    by_chance = (1 - F.col(p), F.lit(bond_share) * F.col(p), F.lit(1 - bond_share) * F.col(p))
+    names = ("w_eq", "w_bond", "w_cash")
+    for k, name in enumerate(names):
+        df = df.withColumn(name, F.greatest(F.least(share * by_chance[k] + (1 - share) * by_regime(k), F.lit(1.0)), F.lit(0.0)))
+    divert = F.coalesce((F.col(regime) == 1) & (F.col(momentum) < 0), F.lit(False))
+    df = df.withColumn("w_cash", F.when(divert, F.col("w_cash") + F.col("w_bond")).otherwise(F.col("w_cash")))
+    df = df.withColumn("w_bond", F.when(divert, F.lit(0.0)).otherwise(F.col("w_bond")))
+    for name in names:
+        df = ewm(df, name, f"_{name}", halflife=halflife, key=(key,))
+    total = F.col("_w_eq") + F.col("_w_bond") + F.col("_w_cash")
+    return df.withColumns({n: div(F.col(f"_{n}"), total) for n in names}).drop(*[f"_{n}" for n in names])

@@ -76,13 +76,11 @@ def _facts(s, d):
 
 
 def _index(s, d):
-    o = table(s, d, "orders").where("o_custkey % 7 > 0")
-    return o.select(
-        F.col("o_orderkey").alias("filing_id"),
-        F.lpad((F.col("o_custkey") % 50).cast("string"), 5, "0").alias("stock_code"),
-        F.to_date("o_orderdate").alias("period_end"),
-        F.to_date("o_orderdate").alias("publish")
-    )
+    """Filings of half-yearly periods."""
+    o, day = table(s, d, "orders").where("o_custkey % 7 > 0"), F.to_date("o_orderdate")
+    end = F.make_date(F.year(day), F.when(F.month(day) <= 6, 6).otherwise(12), F.when(F.month(day) <= 6, 30).otherwise(31))
+    code = F.lpad((F.col("o_custkey") % 50).cast("string"), 5, "0")
+    return o.select(F.col("o_orderkey").alias("filing_id"), code.alias("stock_code"), end.alias("period_end"), day.alias("publish"))
 
 
 _F = """o0 AS (SELECT *, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS n FROM orders),
@@ -92,7 +90,8 @@ fa AS (
   UNION ALL SELECT o_orderkey, CAST(o_orderkey % 3 + 1 AS INTEGER), 1, 'table', CASE o_orderkey % 3 WHEN 0 THEN 'SHARES IN ISSUE as stated' WHEN 1 THEN 'Issued shares 12 and ' || n ELSE 'Shares in issue: ' || format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)) END, NULL, NULL, NULL FROM o0
   UNION ALL SELECT o_orderkey, CAST(o_orderkey % 3 + 1 AS INTEGER), 2, 'table', CASE WHEN o_orderkey % 4 > 0 THEN 'Weighted average 987,654 shares' ELSE 'Issued shares 77' END, NULL, CASE WHEN o_orderkey % 4 = 1 THEN 55.0 END, NULL FROM o0
   UNION ALL SELECT o_orderkey, CAST(o_orderkey % 3 + 1 AS INTEGER), 3, 'note', 'Investment properties at ' || n, 'investment_properties_fair_value_total', NULL, NULL FROM o0),
-ix AS (SELECT o_orderkey AS filing_id, lpad(CAST(o_custkey % 50 AS VARCHAR), 5, '0') AS stock_code, CAST(o_orderdate AS DATE) AS period_end FROM orders WHERE o_custkey % 7 > 0),
+ix AS (SELECT o_orderkey AS filing_id, lpad(CAST(o_custkey % 50 AS VARCHAR), 5, '0') AS stock_code, make_date(year(o_orderdate), CASE WHEN month(o_orderdate) <= 6 THEN 6 ELSE 12 END, CASE WHEN month(o_orderdate) <= 6 THEN 30 ELSE 31 END) AS period_end
+  FROM orders WHERE o_custkey % 7 > 0),
 nm AS (SELECT *, coalesce(value, try_cast(replace(regexp_extract_all(label, '[0-9][0-9,]*')[-1], ',', '') AS DOUBLE)) AS num FROM fa)"""
 _FIRST = """cap AS (SELECT filing_id,
     min_by(num, {'a': CASE WHEN contains(lower(label), 'shares in issue') THEN 0 ELSE 1 END, 'b': line_no}) FILTER (num IS NOT NULL AND (contains(lower(label), 'shares in issue') OR contains(lower(label), 'issued shares'))) AS sh,
@@ -153,7 +152,7 @@ def _pages(s, d):
 _PAGED = """p0 AS (SELECT o_orderkey AS filing_id, CAST(o_orderkey % 4 + 1 AS INTEGER) AS page_no, o_orderkey % 6 AS k, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS n FROM orders),
 final AS (
   SELECT filing_id, page_no, 'note' AS kind, CASE k WHEN 0 THEN 'Investment Properties RMB''000 ' || n ELSE 'Gain on investment property HK$ million' END AS label, CAST(NULL AS DOUBLE) AS value, 0.2 AS confidence, CASE k WHEN 0 THEN 'CNY' ELSE 'HKD' END AS currency, CASE k WHEN 0 THEN 'thousands' ELSE 'millions' END AS unit_scale FROM p0 WHERE k IN (0, 1)
-  UNION ALL SELECT filing_id, page_no, 'table', CASE k WHEN 1 THEN 'Cash and bank balances ' || n ELSE 'Total equity (in thousands) ' || n END, CAST(n AS DOUBLE), 0.45, NULL, CASE k WHEN 2 THEN 'thousands' END FROM p0 WHERE k IN (1, 2))"""
+  UNION ALL SELECT filing_id, page_no, 'table', CASE k WHEN 1 THEN 'Cash and bank balances ' || n ELSE 'Total equity (in thousands) ' || n END, CAST(n AS DOUBLE), 0.45, NULL, CASE k WHEN 2 THEN 'thousands' ELSE 'units' END FROM p0 WHERE k IN (1, 2))"""
 _add(
     "nav05_extracted_facts",
     lambda s, d: cu.extracted_facts(_pages(s, d)),
@@ -341,7 +340,7 @@ def _vendor(s, d):
 
 
 def _price_window(s, d):
-    index = _index(s, d).where("period_end between date'1996-02-01' and date'1996-05-01'")
+    index = _index(s, d).where("publish between date'1996-02-01' and date'1996-05-01'")
     issuers = index.select("stock_code").distinct().withColumn(
         "ticker",
         F.concat(F.lit("NATION_"), (F.col("stock_code").cast("int") % 5).cast("string"))
@@ -363,7 +362,7 @@ _add(
 _add(
     "src09_price_limits",
     _limits,
-    {"open": 4, "close": 4, "high_limit": 3, "low_limit": 3},
+    {"open": 8, "close": 8, "high_limit": 8, "low_limit": 8},
     f"{q.NATION}, final AS (SELECT *, close * 1.1 AS high_limit, close * 0.9 AS low_limit FROM bars)",
     (*_DT, "volume")
 )

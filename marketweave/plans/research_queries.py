@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.series import change, ma, pooled_quantiles, ref, staged
+from ..functions.series import change, full, ma, pooled_quantiles, ref, staged
 from ..operators import cross_section as xs
 from ..operators import inference as inf
 from ..operators import metrics as m
@@ -441,6 +441,37 @@ _add(
     f"{_HYS}, s0 AS (SELECT date, ticker, CAST(state AS DOUBLE) AS s FROM hy), {q.ewm('final', 's0', 's', 2 / 7, 1, 'w')}",
     _DT
 )
+_POLICIES = {0: (0.9, 0.1, 0.0), 1: (0.4, 0.4, 0.2), 2: (0.2, 0.7, 0.1)}
+
+
+def _policy(d):
+    d = staged(
+        d.select("date", "ticker", "score", "ret"),
+        p=F.when(F.col("score").isNotNull(), F.greatest(F.least(0.5 - F.col("score"), F.lit(1.0)), F.lit(0.0))).otherwise(0.5),
+        regime=F.when(F.col("score") < -0.1, 2).when(F.col("score") < 0.1, 1).otherwise(0),
+        mom=full(F.sum, "ret", 6),
+    )
+    return pf.policy_weights(d, "p", "regime", "mom", _POLICIES, 0.4, 0.6)
+
+
+_BLEND = ", ".join(
+    f"greatest(least(0.4 * {chance} + 0.6 * CASE regime {' '.join(f'WHEN {r} THEN {w[k]}' for r, w in _POLICIES.items())} END, 1.0), 0.0) AS {name}0"
+    for k, (name, chance) in enumerate((("eq", "(1 - p)"), ("bo", "0.6 * p"), ("ca", "(1 - 0.6) * p")))
+)
+_HALF = 1 - 0.5 ** (1 / 2)
+_MEANS = ", ".join(q.ewm(f"pw{i + 4}", f"pw{i + 3}", f"{n}1", _HALF, 1, f"{n}2") for i, n in enumerate(("eq", "bo", "ca")))
+_add(
+    "pf17_policy_weights",
+    _policy,
+    {"w_eq": 5, "w_bond": 5, "w_cash": 5},
+    f"pw0 AS (SELECT date, ticker, coalesce(greatest(least(0.5 - score, 1.0), 0.0), 0.5) AS p0, score, {q.full('sum', 'ret', 6)} AS mom, "
+    f"CASE WHEN score < -0.1 THEN 2 WHEN score < 0.1 THEN 1 ELSE 0 END AS regime FROM panel), "
+    f"pw1 AS (SELECT *, CASE WHEN score IS NULL THEN 0.5 ELSE p0 END AS p FROM pw0), pw2 AS (SELECT *, {_BLEND} FROM pw1), "
+    f"pw3 AS (SELECT *, eq0 AS eq1, CASE WHEN regime = 1 AND coalesce(mom < 0, false) THEN 0.0 ELSE bo0 END AS bo1, "
+    f"CASE WHEN regime = 1 AND coalesce(mom < 0, false) THEN ca0 + bo0 ELSE ca0 END AS ca1 FROM pw2), {_MEANS}, "
+    f"final AS (SELECT date, ticker, eq2 / (eq2 + bo2 + ca2) AS w_eq, bo2 / (eq2 + bo2 + ca2) AS w_bond, ca2 / (eq2 + bo2 + ca2) AS w_cash FROM pw6)",
+    _DT,
+)
 _add(
     "pf18_risk_parity",
     lambda d: pf.risk_parity(d, 12).where("w is not null"),
@@ -727,7 +758,7 @@ _add(
         ),
         yoy=change("last", 12)
     ),
-    {"mean": 4, "last": 6, "yoy": 5},
+    {"mean": 8, "last": 6, "yoy": 5},
     f"mo AS (SELECT ticker, last_day(date) AS date, avg(px) AS mean, max_by(px, date) AS last FROM panel WHERE px IS NOT NULL "
     f"GROUP BY ticker, last_day(date)), final AS (SELECT *, {q.change('last', 12)} AS yoy FROM mo)",
     _DT

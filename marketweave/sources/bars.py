@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .io import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,8 +57,26 @@ def densify(rows: DataFrame) -> DataFrame:
     return grid.join(rows, ["date", "ticker"], "left")
 
 
+#: Paths of the bars that an application has written, by application, folder and kind.
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
 def bars(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
-    """date, pos, ticker, open, high, low, close, volume, turnover and, by brand, shares_outstanding and mkt_cap."""
+    """date, pos, ticker, open, high, low, close, volume, turnover and, by brand, shares_outstanding and mkt_cap.
+
+    Bars are small beside the order lines, and nearly every study begins with them: an application derives them once from
+    a folder's tables and writes them, laid out by ticker and date, and reads them from then on. fresh_bars derives them anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, by)
+    if key not in _KEPT:
+        path = scratch(spark, f"bars-{by}")
+        fresh_bars(spark, sf_dir, by).repartition("ticker").sortWithinPartitions("ticker", "date").write.parquet(path)
+        _KEPT[key] = path
+    return spark.read.parquet(_KEPT[key])
+
+
+def fresh_bars(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """bars, derived from the order lines."""
     grid = densify(sparse_bars(spark, sf_dir, by))
     if by == "brand":
         grid = grid.join(shares(spark, sf_dir), "ticker", "left").withColumn("mkt_cap", F.col("close") * F.col("shares_outstanding"))

@@ -51,7 +51,7 @@ def price_window(prices: DataFrame, index: DataFrame, issuers: DataFrame) -> tup
 def write_extraction(facts: DataFrame, index: DataFrame, path: str) -> DataFrame:
     """Writes facts as Parquet by stock_code and period_end; returns the log: filing_id and how many facts it has (0 too)."""
     rows = facts.join(index.select("filing_id", "stock_code", "period_end"), "filing_id")
-    rows.write.mode("overwrite").partitionBy("stock_code", "period_end").parquet(path)
+    rows.repartition("stock_code", "period_end").write.mode("overwrite").partitionBy("stock_code", "period_end").parquet(path)
     return index.select("filing_id").join(facts.groupBy("filing_id").agg(F.count("*").alias("facts")), "filing_id", "left").fillna(0, ["facts"])
 
 

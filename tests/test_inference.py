@@ -13,6 +13,7 @@ from marketweave.operators import cross_section as xs
 from marketweave.operators import inference as inf
 from marketweave.operators import joins as jn
 from marketweave.operators import metrics as m
+from marketweave.operators import portfolio as pf
 
 DAY = dt.date(2024, 1, 1)
 
@@ -179,3 +180,17 @@ def test_trend_episodes_need_a_start_flag(spark):
     got = [(r.start, r.end, r.n) for r in al.trend_episodes(df, "up", "px", 3, 2, 1).orderBy("start").collect()]
     assert got == [(days(2), days(5), 3), (days(8), days(10), 2)]
     assert [r.start for r in al.trend_episodes(df, "up", "px", 3, 2, 3).collect()] == [days(2)]
+
+
+def test_book_volatility_over_spans(spark):
+    rng = np.random.default_rng(4)
+    r = rng.normal(size=(30, 3))
+    weights = np.array([[0.5, 0.5, 0.0]] * 8 + [[0.0, 0.0, 0.0]] * 3 + [[0.2, -0.3, 0.4]] * 9 + [[0.5, 0.5, 0.0]] * 10)
+    rows = [(days(i), i, t, float(weights[i, k]), float(r[i, k])) for i in range(30) for k, t in enumerate("abc")]
+    got = {x.date: x for x in pf.book_vol(spark.createDataFrame(rows, "date date, pos int, ticker string, w double, ret double"), 5, 12).collect()}
+    want = [i for i in range(4, 30) if weights[i].any()]
+    assert set(got) == {days(i) for i in want}
+    for i in want:
+        part = r[i - 4 : i + 1]
+        assert got[days(i)].full == pytest.approx((part @ weights[i]).std() * 12**0.5)
+        assert got[days(i)].diagonal == pytest.approx(np.sqrt((weights[i] ** 2 * part.var(axis=0)).sum()) * 12**0.5)
