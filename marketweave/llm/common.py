@@ -61,7 +61,8 @@ def hot_join(rows: DataFrame, names: DataFrame, keys: list[str], count: str, how
 
     names has one row per key and, in column count, how many of the rows carry it. Keys with more than
     1/HOT_SHARE of all rows are under HOT_SHARE in number, so that part is broadcast whatever the size of
-    the data; all other keys are joined by shuffle. Null keys match null keys.
+    the data; all other keys are joined by shuffle, where adaptive execution splits a partition that one of
+    them still makes too large. Null keys match null keys.
     """
     total, most = (x or 0 for x in names.agg(F.sum(count), F.max(count)).first())
     names = names.select(*[F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in names.columns])
