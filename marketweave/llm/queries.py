@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, language_id, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, url_filter, vector_links
+from . import bpe, exact_dedup, html_text, language_id, merkle, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, url_filter, vector_links
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,11 +58,16 @@ def op11_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links.links(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents")).drop("proof")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_url_filter, op3_html_extraction, op4_source_mixing, op5_exact_dedup,
         op6_quality_classifier, op7_bpe, op8_quality_rules, op9_language_id, op10_minhash_near_dedup, op11_vector_links,
+        op12_merkle_manifest,
     )
 }
 
@@ -70,4 +75,5 @@ ORACLE_SQL = {
     "op2_url_filter": url_filter.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op11_vector_links": vector_links.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
