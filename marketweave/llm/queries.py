@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, language_id, merkle, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, url_filter, vector_links
+from . import bpe, exact_dedup, html_text, language_id, merkle, mixing, near_dedup, quality_classifier, quality_rules, ranked_search, secret_scan, url_filter, vector_links
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +62,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents")).drop("proof")
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_url_filter, op3_html_extraction, op4_source_mixing, op5_exact_dedup,
         op6_quality_classifier, op7_bpe, op8_quality_rules, op9_language_id, op10_minhash_near_dedup, op11_vector_links,
-        op12_merkle_manifest,
+        op12_merkle_manifest, op13_ranked_search,
     )
 }
 
@@ -76,4 +80,5 @@ ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op11_vector_links": vector_links.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
 }
