@@ -24,7 +24,6 @@ from .common import cut, hot_join, id_crc
 
 #: Nodes of a run, and levels that one block spans: FAN ** DEPTH digests are in a task at a time.
 FAN, DEPTH = 3, 7
-BLOCK = FAN**DEPTH
 _FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _MESSAGE = "grp long, place long, digest binary, proof binary, subroot binary, root binary"
 
@@ -124,73 +123,82 @@ def fold(leaf: bytes, proof: bytes) -> bytes:
     return leaf
 
 
-def _in_order(rows: pa.Table) -> tuple[pa.Table, int]:
+def _in_order(rows: pa.Table, depth: int) -> tuple[pa.Table, int]:
     """A block's nodes by place, and the levels that it spans."""
     rows = rows.sort_by("place")
-    return rows, min(DEPTH, steps(rows.column("total")[0].as_py()))
+    return rows, min(depth, steps(rows.column("total")[0].as_py()))
 
 
-def _rise(rows: pa.Table) -> pa.Table:
-    rows, levels = _in_order(rows)
-    grp, place, total = (rows.column(c)[0].as_py() for c in ("grp", "place", "total"))
-    top = sweep(rows.column("digest").to_pylist(), levels)[-1][0]
-    return pa.table(
-        {"grp": pa.array([grp], pa.int64()), "place": pa.array([place // BLOCK], pa.int64()), "total": pa.array([-(-total // BLOCK)], pa.int64()), "digest": [top]}
-    )
+def _rise(depth: int):
+    def run(rows: pa.Table) -> pa.Table:
+        rows, levels = _in_order(rows, depth)
+        grp, place, total = (rows.column(c)[0].as_py() for c in ("grp", "place", "total"))
+        size, top = FAN**depth, sweep(rows.column("digest").to_pylist(), levels)[-1][0]
+        return pa.table(
+            {"grp": pa.array([grp], pa.int64()), "place": pa.array([place // size], pa.int64()), "total": pa.array([-(-total // size)], pa.int64()), "digest": [top]}
+        )
+
+    return run
 
 
-def _proofs(nodes: pa.Table, above: pa.Table) -> tuple[pa.Table, list[bytes], bytes, bytes]:
-    nodes, levels = _in_order(nodes)
+def _proofs(nodes: pa.Table, above: pa.Table, depth: int) -> tuple[pa.Table, list[bytes], bytes, bytes]:
+    nodes, levels = _in_order(nodes, depth)
     proof, subroot, root = (above.column(c)[0].as_py() for c in ("proof", "subroot", "root"))
     return nodes, sweep_back(sweep(nodes.column("digest").to_pylist(), levels), proof), subroot, root
 
 
-def _hand_down(nodes: pa.Table, above: pa.Table) -> pa.Table:
-    nodes, proofs, subroot, root = _proofs(nodes, above)
-    same = lambda x: pa.array([x] * nodes.num_rows, pa.binary())
-    return pa.table(
-        {
-            "grp": nodes.column("grp"), "place": nodes.column("place"), "digest": nodes.column("digest"), "proof": pa.array(proofs, pa.binary()),
-            "subroot": same(subroot), "root": same(root),
-        }
-    )
+def _hand_down(depth: int):
+    def run(nodes: pa.Table, above: pa.Table) -> pa.Table:
+        nodes, proofs, subroot, root = _proofs(nodes, above, depth)
+        same = lambda x: pa.array([x] * nodes.num_rows, pa.binary())
+        return pa.table(
+            {
+                "grp": nodes.column("grp"), "place": nodes.column("place"), "digest": nodes.column("digest"), "proof": pa.array(proofs, pa.binary()),
+                "subroot": same(subroot), "root": same(root),
+            }
+        )
 
+    return run
 
-def _verify(nodes: pa.Table, above: pa.Table) -> pa.Table:
-    nodes, proofs, subroot, root = _proofs(nodes, above)
-    leaf, other = (nodes.column(c).to_pylist() for c in ("digest", "other"))
-    folded = [fold(o or d, p) for d, o, p in zip(leaf, other, proofs, strict=True)]
-    shas = [hashlib.sha256("".join(x.hex() for left, right in siblings(p) for x in [*left, *right]).encode()).hexdigest() for p in proofs]
-    return pa.table(
-        {
-            "doc_id": nodes.column("doc_id"), "leaf": [d.hex() for d in leaf], "subroot": [subroot.hex()] * len(leaf), "root": [root.hex()] * len(leaf),
-            "proof_sha256": shas, "folded_root": [f.hex() for f in folded], "verified": [f == root for f in folded],
-            "proof": pa.array(proofs, pa.binary()),
-        }
-    )
+
+def _verify(depth: int):
+    def run(nodes: pa.Table, above: pa.Table) -> pa.Table:
+        nodes, proofs, subroot, root = _proofs(nodes, above, depth)
+        leaf, other = (nodes.column(c).to_pylist() for c in ("digest", "other"))
+        folded = [fold(o or d, p) for d, o, p in zip(leaf, other, proofs, strict=True)]
+        shas = [hashlib.sha256("".join(x.hex() for left, right in siblings(p) for x in [*left, *right]).encode()).hexdigest() for p in proofs]
+        return pa.table(
+            {
+                "doc_id": nodes.column("doc_id"), "leaf": [d.hex() for d in leaf], "subroot": [subroot.hex()] * len(leaf), "root": [root.hex()] * len(leaf),
+                "proof_sha256": shas, "folded_root": [f.hex() for f in folded], "verified": [f == root for f in folded],
+                "proof": pa.array(proofs, pa.binary()),
+            }
+        )
+
+    return run
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("place") / BLOCK).cast("long"))
+def _blocks(nodes: DataFrame, depth: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("place") / FAN**depth).cast("long"))
 
 
-def _rounds(nodes: DataFrame, name: str) -> list[DataFrame]:
+def _rounds(nodes: DataFrame, depth: int, name: str) -> list[DataFrame]:
     """The nodes of each round, the given ones first and one node for each group last."""
     out, most = [nodes], nodes.agg(F.max("total")).first()[0] or 1
     while most > 1 or len(out) == 1:
-        rows = _blocks(out[-1].select("grp", "place", "total", "digest"))
-        out.append(cut(rows.groupBy("grp", "block").applyInArrow(_rise, "grp long, place long, total long, digest binary"), name))
-        most = -(-most // BLOCK)
+        rows = _blocks(out[-1].select("grp", "place", "total", "digest"), depth)
+        out.append(cut(rows.groupBy("grp", "block").applyInArrow(_rise(depth), "grp long, place long, total long, digest binary"), name))
+        most = -(-most // FAN**depth)
     return out
 
 
-def _down(nodes: DataFrame, above: DataFrame, run, schema: str) -> DataFrame:
+def _down(nodes: DataFrame, above: DataFrame, depth: int, run, schema: str) -> DataFrame:
     """Nodes with the messages of their blocks' roots; a message is for the node of its group and place."""
     messages = above.select(F.col("grp").alias("_grp"), F.col("place").alias("_block"), "proof", "subroot", "root")
-    return _blocks(nodes).groupBy("grp", "block").cogroup(messages.groupBy("_grp", "_block")).applyInArrow(run, schema)
+    return _blocks(nodes, depth).groupBy("grp", "block").cogroup(messages.groupBy("_grp", "_block")).applyInArrow(run(depth), schema)
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """One row per row of docs: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified, proof.
 
     A leaf is the digest of the row's doc_id, source, lang, n_chars and text, where nulls differ from empty values. In a
@@ -208,19 +216,19 @@ def manifest(docs: DataFrame) -> DataFrame:
     sources = cut(rows.groupBy("source").agg(F.min("at").alias("start"), F.count("*").alias("total")), "sources")
     sources = cut(numbered(sources, ["start"], "ordered-sources").withColumnRenamed("at", "grp"), "numbered-sources")
     leaves = hot_join(rows, sources, ["source"], "total").select("grp", (F.col("at") - F.col("start")).alias("place"), "total", "digest", "doc_id", "other")
-    up = _rounds(cut(leaves, "labelled-leaves"), "merkle-nodes")
+    up = _rounds(cut(leaves, "labelled-leaves"), depth, "merkle-nodes")
     n_sources = sources.count()
     tops = up[-1].select(F.lit(0).cast("long").alias("grp"), F.col("grp").alias("place"), F.lit(n_sources).cast("long").alias("total"), "digest")
-    over = _rounds(tops, "source-nodes")
+    over = _rounds(tops, depth, "source-nodes")
     none = F.lit(b"").cast("binary")
     down = over[-1].select("grp", "place", "digest", none.alias("proof"), none.alias("subroot"), F.col("digest").alias("root"))
     for nodes in reversed(over[:-1]):
-        down = cut(_down(nodes, down, _hand_down, _MESSAGE), "source-proofs")
+        down = cut(_down(nodes, down, depth, _hand_down, _MESSAGE), "source-proofs")
     down = down.select(F.col("place").alias("grp"), F.lit(0).cast("long").alias("place"), "proof", F.col("digest").alias("subroot"), "root")
     for nodes in reversed(up[1:-1]):
-        down = cut(_down(nodes, down, _hand_down, _MESSAGE), "block-proofs")
+        down = cut(_down(nodes, down, depth, _hand_down, _MESSAGE), "block-proofs")
     out = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean, proof binary"
-    return _down(up[0], down, _verify, out)
+    return _down(up[0], down, depth, _verify, out)
 
 
 _LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in _FIELDS[:-1]) + " || {})"
