@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.series import ma, staged
-from .regimes import stateful
+from .blocks import ROWS, speculate
+from .regimes import spaced
 
 
 def trend_episodes(
@@ -44,18 +45,9 @@ def trend_episodes(
     return rows.groupBy(key).applyInPandas(run, f"{key} string, start date, end date, n long")
 
 
-def collapse_alerts(df: DataFrame, flag: str, cooldown_days: int, key: list[str], order: str = "date") -> DataFrame:
+def collapse_alerts(df: DataFrame, flag: str, cooldown_days: int, key: list[str], order: str = "date", rows: int = ROWS) -> DataFrame:
     """kept: alerts more than cooldown_days calendar days after the last one kept."""
-
-    def step(rows: pd.DataFrame) -> list:
-        out, last = [], None
-        for hit, at in zip(rows[flag], pd.to_datetime(rows[order]), strict=True):
-            hit = bool(hit) and (last is None or (at - last).days > cooldown_days)
-            last = at if hit else last
-            out.append(hit)
-        return out
-
-    return stateful(df, key, order, "kept", "boolean", step)
+    return speculate(df, key, order, [flag, order], {"kept": "boolean"}, None, spaced(cooldown_days + 1, flag, order, "kept"), rows)
 
 
 def match_alerts(events: DataFrame, alerts: DataFrame, key: str, at: str, tolerance: int) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.series import ref, trailing
+from .blocks import ROWS, Scan, scan, speculate
 
 
 def hysteresis(x: str, upper: float, lower: float, key: str = "ticker", order: str = "date") -> Column:
@@ -130,90 +129,159 @@ def bull_cycles(
     return out.withColumn("gain", F.try_divide("px_last", "px_first") - 1).where("gain > 0").drop("_k1", "_p1", "_k2", "_p2")
 
 
-def stateful(df: DataFrame, key: list[str], order: str, name: str, kind: str, step: Callable[[pd.DataFrame], list]) -> DataFrame:
-    """A column from a loop over each key's ordered rows: for rules whose next state depends on the last one."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{name}` {kind}"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        return rows.assign(**{name: step(rows)})
-
-    return df.groupBy(*key).applyInPandas(run, schema)
-
-
-def minimum_duration(df: DataFrame, state: str, least: int, key: str = "ticker", order: str = "date") -> DataFrame:
-    """steady: the state, but a change is put off until the last one has lasted `least` rows."""
-
-    def step(rows: pd.DataFrame) -> list:
-        out, age = [], 0
-        for s in rows[state]:
-            if out and s != out[-1] and age < least:
-                s = out[-1]
-            age = 1 if not out or s != out[-1] else age + 1
-            out.append(s)
-        return out
-
-    return stateful(df, [key], order, "steady", "int", step)
-
-
-def spaced_events(df: DataFrame, flag: str, gap_days: int, key: list[str], order: str = "date") -> DataFrame:
+def minimum_duration(df: DataFrame, state: str, least: int, key: str = "ticker", order: str = "date", rows: int = ROWS) -> DataFrame:
+    """steady: the state, but a change is put off until the last one has lasted `least` rows.
+
+    A block's summary says, for each label and age that it may begin with, which it ends with: what follows a change
+    depends on the row of the change only.
+    """
+
+    def changes(labels: np.ndarray) -> np.ndarray:
+        """For each place, the next one after it with another label (the length, where there is none)."""
+        n = len(labels)
+        other = np.flatnonzero(labels[1:] != labels[:-1]) + 1
+        return np.append(other, n)[np.searchsorted(other, np.arange(n), side="right")]
+
+    def following(labels: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+        """For a state taken over at each place, the place of the next one."""
+        n, place = len(labels), np.minimum(np.arange(len(labels)) + least, len(labels))
+        at = np.minimum(place, n - 1)
+        return np.where(place >= n, n, np.where(labels[at] != labels, place, nxt[at]))
+
+    def first(labels: np.ndarray, nxt: np.ndarray, held, age: int) -> int:
+        place = max(0, least - age)
+        return len(labels) if place >= len(labels) else place if labels[place] != held else int(nxt[place])
+
+    def summarise(c: dict) -> dict:
+        labels = c[state].astype(np.int64)
+        n, nxt = len(labels), changes(labels)
+        last = np.arange(n)
+        step = following(labels, nxt)
+        for i in range(n - 1, -1, -1):
+            last[i] = i if step[i] >= n else last[step[i]]
+        known = [int(x) for x in np.unique(labels)]
+        ways = {}
+        for held in [*known, None]:
+            for age in range(1, min(least, n) + 1):
+                age = least - min(least, n) + age
+                i = first(labels, nxt, held, age)
+                ways[f"{held} {age}"] = None if i >= n else [int(labels[last[i]]), int(min(n - last[i], least))]
+        at = int(last[0])
+        return {"n": n, "known": known, "ways": ways, "start": [int(labels[at]), int(min(n - at, least))]}
+
+    def fold(s: list | None, block: dict) -> list:
+        if s is None:
+            return block["start"]
+        low = least - min(least, block["n"]) + 1
+        way = block["ways"][f"{s[0] if s[0] in block['known'] else None} {s[1]}"] if s[1] >= low else None
+        return way or [s[0], min(s[1] + block["n"], least)]
+
+    def finish(c: dict, s: list | None) -> dict:
+        labels = c[state].astype(np.int64)
+        nxt = changes(labels)
+        step, out = following(labels, nxt), np.empty(len(labels), np.int64)
+        i = 0 if s is None else first(labels, nxt, *s)
+        out[:i] = 0 if s is None else s[0]
+        while i < len(labels):
+            out[i : step[i]] = labels[i]
+            i = int(step[i])
+        return {"steady": out}
+
+    return scan(df, [key], order, [state], {"steady": "int"}, Scan(None, summarise, fold, finish), rows)
+
+
+def spaced(gap: int, flag: str, order: str, name: str):
+    """Walks events in order: one counts if it is `gap` days or more after the last that counted. The state is the last one's day.
+
+    How the choice goes on depends on the phase at which a block begins, so no small summary exists; see blocks.speculate.
+    """
+
+    def run(c: dict, last: int | None) -> tuple[dict, int | None]:
+        day = c[order].astype("datetime64[D]").astype(np.int64)
+        hits, out = np.flatnonzero([bool(h) for h in c[flag]]), np.zeros(len(day), bool)
+        days = day[hits]
+        k = 0 if last is None else int(np.searchsorted(days, last + gap))
+        while k < len(hits):
+            out[hits[k]], last = True, int(days[k])
+            k = max(k + 1, int(np.searchsorted(days, last + gap)))
+        return {name: out}, last
+
+    return run
+
+
+def spaced_events(df: DataFrame, flag: str, gap_days: int, key: list[str], order: str = "date", rows: int = ROWS) -> DataFrame:
     """chosen: events at least gap_days calendar days after the last one chosen, from the first on."""
+    return speculate(df, key, order, [flag, order], {"chosen": "boolean"}, None, spaced(gap_days, flag, order, "chosen"), rows)
 
-    def step(rows: pd.DataFrame) -> list:
-        out, last = [], None
-        for hit, at in zip(rows[flag], pd.to_datetime(rows[order]), strict=True):
-            hit = bool(hit) and (last is None or (at - last).days >= gap_days)
-            last = at if hit else last
-            out.append(hit)
-        return out
-
-    return stateful(df, key, order, "chosen", "boolean", step)
 
-
-def trailing_stop(df: DataFrame, w: str, price: str, stop: float, cooldown: int, key: list[str], order: str = "date") -> DataFrame:
+def trailing_stop(df: DataFrame, w: str, price: str, stop: float, cooldown: int, key: list[str], order: str = "date", rows: int = ROWS) -> DataFrame:
     """held, exit_flag, dd, peak: the weight, but 0 on a row whose price has fallen by `stop` from the trade's peak and for
-    `cooldown` rows after it. A trade begins with a positive weight; one that begins without a price is never stopped."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, held double, exit_flag boolean, dd double, peak double"
+    `cooldown` rows after it. A trade begins with a positive weight; one that begins without a price is never stopped.
+
+    The state is whether a trade is open, its peak and the cooldown's rows left; see blocks.speculate.
+    """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        out, inside, peak, until = [], False, float("nan"), -1
-        for i, (weight, px) in enumerate(zip(rows[w].fillna(0.0).astype(float), rows[price].astype(float), strict=True)):
+    def run(c: dict, state: list) -> tuple[dict, list]:
+        (inside, peak, left), out = state, []
+        nan = float("nan")
+        for weight, px in zip(np.nan_to_num(c[w].astype(float)).tolist(), c[price].astype(float).tolist(), strict=True):
             wanted = weight > 1e-12
-            if wanted and i <= until:
+            if wanted and left > 0:
                 weight, wanted = 0.0, False
+            left = max(left - 1, 0)
             if wanted and not inside:
                 inside, peak = True, px
             elif not wanted:
-                inside, peak = False, float("nan")
-            fall = float("nan")
+                inside, peak = False, nan
+            fall = nan
             if inside:
                 peak = px if px > peak else peak
                 fall = px / peak - 1
             row = [weight, False, fall, peak]
             if inside and fall <= -stop:
                 row[:2] = 0.0, True
-                inside, peak, until = False, float("nan"), i + cooldown
+                inside, peak, left = False, nan, cooldown
             out.append(row)
-        held = pd.DataFrame(out, columns=["held", "exit_flag", "dd", "peak"], index=rows.index)
-        return pd.concat([rows, held], axis=1)
-
-    return df.groupBy(*key).applyInPandas(run, schema)
-
-
-def kill_switch(df: DataFrame, dd: str, limit: float, lockout: int, key: str, order: str = "date") -> DataFrame:
-    """live: false for `lockout` rows after the drawdown has passed the limit; the row that uses the lockout up is tested again."""
-
-    def step(rows: pd.DataFrame) -> list:
-        out, left = [], 0
-        for d in rows[dd]:
-            out.append(left == 0)
-            left = max(left - 1, 0)
-            if left == 0 and d is not None and d <= -limit:
-                left = lockout
-        return out
-
-    return stateful(df, [key], order, "live", "boolean", step)
+        return dict(zip(("held", "exit_flag", "dd", "peak"), map(list, zip(*out, strict=True)), strict=True)), [inside, peak, left]
+
+    out = {"held": "double", "exit_flag": "boolean", "dd": "double", "peak": "double"}
+    return speculate(df, key, order, [w, price], out, [False, float("nan"), 0], run, rows)
+
+
+def kill_switch(df: DataFrame, dd: str, limit: float, lockout: int, key: str, order: str = "date", rows: int = ROWS) -> DataFrame:
+    """live: false for `lockout` rows after the drawdown has passed the limit; the row that uses the lockout up is tested again.
+
+    A block's summary says, for each number of locked rows that it may begin with, how many it ends with.
+    """
+
+    def fires(c: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Rows beyond the limit, and for each the number of the next one that is tested after it."""
+        hits = np.flatnonzero(c[dd].astype(float) <= -limit)
+        return hits, np.searchsorted(hits, hits + max(lockout, 1))
+
+    def summarise(c: dict) -> list[int]:
+        n, (hits, nxt) = len(c[dd]), fires(c)
+        last = np.arange(len(hits))
+        for i in range(len(hits) - 1, -1, -1):
+            last[i] = i if nxt[i] >= len(hits) else last[nxt[i]]
+        left = np.arange(lockout + 1)
+        i = np.searchsorted(hits, np.maximum(left - 1, 0))
+        fired = i < len(hits)
+        end = np.maximum(left - n, 0)
+        end[fired] = np.maximum(lockout - (n - 1 - hits[last[i[fired]]]), 0)
+        return end.tolist()
+
+    def finish(c: dict, left: int) -> dict:
+        hits, nxt = fires(c)
+        live = np.ones(len(c[dd]), bool)
+        live[:left] = False
+        i = int(np.searchsorted(hits, max(left - 1, 0)))
+        while i < len(hits):
+            live[hits[i] + 1 : hits[i] + 1 + lockout] = False
+            i = int(nxt[i])
+        return {"live": live}
+
+    return scan(df, [key], order, [dd], {"live": "boolean"}, Scan(0, summarise, lambda left, ends: ends[left], finish), rows)
 
 
 def acceleration(df: DataFrame, price: str, k: int, share: float, key: str = "ticker") -> DataFrame:

@@ -6,14 +6,17 @@ columns that they need; compute() merges parameters over the defaults.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import change, cs_rank, div, ffill, full, ma, ref, rolling_corr, rolling_cov, staged, std, total, trailing, ts_rank
+from .blocks import Scan, scan
 
 
 @dataclass(frozen=True)
@@ -56,17 +59,6 @@ def compute(df: DataFrame, name: str, **parameters) -> DataFrame:
     return signal.run(df, **{**signal.defaults, **parameters})
 
 
-def per_key(df: DataFrame, key: list[str], order: str, fn: Callable[[pd.DataFrame], pd.Series], name: str = "value") -> DataFrame:
-    """A column of an ordered recursion along each key's rows: the one kind of step that windows can't express."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{name}` double"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        return rows.assign(**{name: fn(rows).to_numpy(dtype=float)})
-
-    return df.groupBy(*key).applyInPandas(run, schema)
-
-
 def ewm(
     df: DataFrame,
     x: str,
@@ -79,8 +71,53 @@ def ewm(
     order: str = "date"
 ) -> DataFrame:
     """Exponential mean without adjustment along each key; gaps go on decaying."""
-    how = {k: v for k, v in (("span", span), ("alpha", alpha), ("halflife", halflife)) if v is not None}
-    return per_key(df, list(key), order, lambda rows: rows[x].astype(float).ewm(**how, adjust=False, min_periods=least).mean(), name)
+    decay = alpha if alpha is not None else 2 / (span + 1) if span is not None else 1 - math.exp(-math.log(2) / halflife)
+    return scan(df, list(key), order, [x], {name: "double"}, _means(decay, least, x, name))
+
+
+def _means(alpha: float, least: int, x: str, name: str) -> Scan:
+    """State: the mean (null before a value), the weight left to it, and the values so far. Between two values a block is an affine map of the mean."""
+    f = 1 - alpha
+
+    def first_of(v: np.ndarray) -> int:
+        known = ~np.isnan(v)
+        return int(known.argmax()) if known.any() else len(v)
+
+    def at_first(state: list, gap: int, value: float) -> float:
+        mean, weight = state[0], state[1] * f ** (gap + 1)
+        return value if mean is None else (weight * mean + alpha * value) / (weight + alpha)
+
+    def along(v: np.ndarray) -> np.ndarray:
+        return pd.Series(v).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+
+    def summarise(c: dict) -> dict:
+        v = c[x].astype(float)
+        i = first_of(v)
+        if i == len(v):
+            return {"rows": i, "n": 0}
+        rest, unit = v[i:].copy(), np.where(np.isnan(v[i:]), np.nan, 0.0)
+        rest[0], unit[0] = 0.0, 1.0
+        known = np.flatnonzero(~np.isnan(v))
+        return {
+            "rows": len(v), "n": len(known), "gap": i, "first": float(v[i]), "times": float(along(unit)[-1]), "plus": float(along(rest)[-1]),
+            "tail": int(len(v) - 1 - known[-1]),
+        }
+
+    def fold(state: list, s: dict) -> list:
+        if not s["n"]:
+            return [state[0], state[1] * f ** s["rows"] if state[0] is not None else 1.0, state[2]]
+        return [s["times"] * at_first(state, s["gap"], s["first"]) + s["plus"], f ** s["tail"], state[2] + s["n"]]
+
+    def finish(c: dict, state: list) -> dict:
+        v = c[x].astype(float)
+        i, out = first_of(v), np.full(len(v), np.nan if state[0] is None else state[0])
+        if i < len(v):
+            rest = v[i:].copy()
+            rest[0] = at_first(state, i, v[i])
+            out[i:] = along(rest)
+        return {name: np.where(state[2] + np.cumsum(~np.isnan(v)) >= least, out, np.nan)}
+
+    return Scan([None, 1.0, 0], summarise, fold, finish)
 
 
 def typical() -> Column:
@@ -105,14 +142,11 @@ def on_minus_id(df, lookback, sign):
 
 @register_signal("rsi", "relative strength index with Wilder's smoothing", ("close",), lookback=14, sign=1)
 def rsi(df, lookback, sign):
-    def run(rows: pd.DataFrame) -> pd.Series:
-        step = rows["close"].astype(float).diff()
-        gain = step.clip(lower=0).ewm(alpha=1 / lookback, adjust=False, min_periods=lookback).mean()
-        loss = (-step.clip(upper=0)).ewm(alpha=1 / lookback, adjust=False, min_periods=lookback).mean()
-        out = sign * (100 - 100 / (1 + gain / loss.where(loss != 0)))
-        return out.mask((loss == 0) & (gain > 0), sign * 100.0)
-
-    return per_key(df, ["ticker"], "date", run)
+    step = F.col("_step")
+    df = staged(df, _step=F.col("close") - ref("close"), _up=F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))), _down=F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0))))
+    df = ewm(ewm(df, "_up", "_gain", alpha=1 / lookback, least=lookback), "_down", "_loss", alpha=1 / lookback, least=lookback)
+    value = F.when(F.col("_loss") != 0, 100 - 100 / (1 + F.col("_gain") / F.col("_loss"))).when((F.col("_loss") == 0) & (F.col("_gain") > 0), 100.0)
+    return df.withColumn("value", sign * value)
 
 
 def _product(x: Column, n: int, df: DataFrame, sign: int) -> DataFrame:

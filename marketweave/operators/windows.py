@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.orderstat import window_ranks
 from ..functions.series import change, col, div, forward, full, ma, ordered, ref, staged, std, trailing
+from .blocks import ROWS, in_blocks, in_order, kept, long_keys, numbered, same, schema_of, with_columns
 
 
 def rolling_ols(df: DataFrame, y: str, n: int, key: str = "ticker", order: str = "date", t: str = "pos") -> DataFrame:
@@ -107,12 +112,91 @@ def cusum(df: DataFrame, x: str, drift: float = 0.0, key: str = "ticker", order:
     return df.withColumn("up", up).withColumn("down", down).drop("_u", "_d", "_cu", "_cd")
 
 
-def expanding_rank(x: str, least: int, key: str = "ticker", order: str = "date") -> Column:
-    """Average rank of the value among all values so far, as a share; null before `least` values."""
-    seen = F.collect_list(x).over(trailing(None, key, order))
-    last = F.col(x)
-    rank = (F.size(F.filter(seen, lambda v: v < last)) + (F.size(F.filter(seen, lambda v: v == last)) + 1) / 2) / F.size(seen)
-    return F.when(last.isNotNull() & (F.size(seen) >= least), rank)
+def rolling_rank(df: DataFrame, x: str, n: int, name: str, key: str | list[str] = "ticker", order: str = "date", rows: int = ROWS) -> DataFrame:
+    """df with the average rank of the value among the last n rows' values, as a share; null unless all of them are known.
+
+    Ranks come from sorted runs (functions.orderstat), a few for each row whatever n is. A key of more than `rows` rows
+    is cut into blocks that also read the n - 1 rows before them.
+    """
+    keys, inputs = [key] if isinstance(key, str) else key, df.columns
+    schema = schema_of(df, inputs, {name: "double"})
+
+    def ranks(part: pa.Table) -> pa.Table:
+        v = part.column(x).to_numpy().astype(float)
+        begin = np.maximum(np.arange(len(v)) - n + 1, 0)
+        seen = np.append(0, np.cumsum(~np.isnan(v)))
+        less, equal = window_ranks(np.nan_to_num(v), begin)
+        full = (seen[1:] - seen[begin] == n) & (np.arange(len(v)) >= n - 1)
+        return with_columns(part, {name: "double"}, {name: np.where(full, (less + (equal + 2) / 2) / n, np.nan)}, part.column_names)
+
+    def whole(part: pa.Table) -> pa.Table:
+        return ranks(in_order(part, [order])).select([*inputs, name])
+
+    def one_block(part: pa.Table) -> pa.Table:
+        own = ranks(in_order(part, ["_pos"]))
+        return own.filter(pc.greater_equal(own.column("_pos"), pc.multiply(own.column("_block"), rows))).select([*inputs, name])
+
+    cold, hot = in_blocks(df, keys, order, rows, reach=n - 1)
+    done = cold.groupBy(*keys).applyInArrow(whole, schema)
+    return done if hot is None else done.unionByName(hot.groupBy(*keys, "_block").applyInArrow(one_block, schema))
+
+
+def expanding_rank(df: DataFrame, x: str, least: int, name: str, key: str | list[str] = "ticker", order: str = "date", rows: int = ROWS) -> DataFrame:
+    """df with the average rank of the value among all of the key's values so far, as a share; null before `least` values.
+
+    A key of more than `rows` rows is numbered by time and by value and cut into blocks both ways. Below a row's value
+    are: earlier rows of its value block; rows of its time block before it, of lower value blocks; and whole cells of
+    earlier time blocks and lower value blocks, of which only counts move. Equal values are numbered by time.
+    """
+    keys, inputs = [key] if isinstance(key, str) else key, df.columns
+    schema, places = schema_of(df, inputs, {name: "double"}), ["_pos", "_less", "_equal", "_time", "_value"]
+    share = lambda less, equal, seen: np.where(seen >= least, (less + (equal + 2) / 2) / seen, np.nan)
+
+    def whole(part: pa.Table) -> pa.Table:
+        part = in_order(part, [order])
+        v = part.column(x).to_numpy().astype(float)
+        known, rank = ~np.isnan(v), np.full(len(v), np.nan)
+        less, equal = window_ranks(v[known], np.zeros(known.sum(), np.int64))
+        rank[known] = share(less, equal, np.arange(1, len(less) + 1))
+        return with_columns(part, {name: "double"}, {name: rank}, inputs)
+
+    def value_block(part: pa.Table) -> pa.Table:
+        part = in_order(part, ["_pos"])
+        less = window_ranks(part.column("_less").to_numpy(), np.zeros(part.num_rows, np.int64))[0]
+        return part.set_column(part.column_names.index("_less"), "_less", pa.array(less, pa.int64()))
+
+    def cells(part: pa.Table) -> pa.Table:
+        """For each time block and value block that meet: the rows of earlier and lower blocks."""
+        part = part.sort_by([("_time", "ascending"), ("_value", "ascending")])
+        time, value, n = (part.column(c).to_numpy() for c in ("_time", "_value", "n"))
+        sums, before = np.zeros(int(value.max()) + 2, np.int64), np.zeros(len(n), np.int64)
+        for own in np.split(np.arange(len(n)), np.flatnonzero(np.diff(time)) + 1):
+            before[own] = np.cumsum(sums)[value[own]]
+            sums[value[own] + 1] += n[own]
+        return part.append_column("_before", pa.array(before))
+
+    def time_block(part: pa.Table, below: pa.Table) -> pa.Table:
+        part = in_order(part, ["_pos"])
+        value, pos = part.column("_value").to_numpy(), part.column("_pos").to_numpy()
+        before = dict(zip(below.column("_value").to_pylist(), below.column("_before").to_pylist(), strict=True))
+        less = part.column("_less").to_numpy() + window_ranks(value, np.zeros(len(value), np.int64))[0] + np.array([before[v] for v in value.tolist()])
+        return with_columns(part, {name: "double"}, {name: share(less, part.column("_equal").to_numpy(), pos + 1)}, inputs)
+
+    hot = long_keys(df, keys, rows)
+    if hot is None:
+        return df.groupBy(*keys).applyInArrow(whole, schema)
+    done = df.join(hot, same(df, hot, keys), "left_anti").groupBy(*keys).applyInArrow(whole, schema)
+    long = df.join(hot, same(df, hot, keys), "left_semi").withColumn(x, F.nanvl(F.col(x).cast("double"), F.lit(None)))
+    timed = numbered(long.where(F.col(x).isNotNull()), keys, [F.col(order).asc_nulls_last()])
+    valued = numbered(timed.withColumnRenamed("_pos", "_t"), keys, [F.col(x), F.col("_t").desc()]).withColumnRenamed("_pos", "_less")
+    both = numbered(valued, [*keys, x], [F.col("_t")]).withColumnRenamed("_pos", "_equal").withColumnRenamed("_t", "_pos")
+    block = lambda c: F.floor(F.col(c) / rows).cast("long")
+    both = kept(both.select(*inputs, "_pos", "_less", "_equal", block("_pos").alias("_time"), block("_less").alias("_value")), "ranked-blocks")
+    keyed = schema_of(df, keys, {"_time": "long", "_value": "long", "n": "long", "_before": "long"})
+    counts = both.groupBy(*keys, "_time", "_value").agg(F.count("*").alias("n")).groupBy(*keys).applyInArrow(cells, keyed)
+    inside = both.groupBy(*keys, "_value").applyInArrow(value_block, schema_of(both, [*inputs, *places], {}))
+    ranked = inside.groupBy(*keys, "_time").cogroup(counts.groupBy(*keys, "_time")).applyInArrow(time_block, schema)
+    return done.unionByName(ranked).unionByName(long.where(F.col(x).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def returns_grid(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.series import change, cs_rank, ffill, full, ma, ref, rolling_corr, rolling_cov, staged, std, total, trailing, ts_rank
+from ..functions.series import change, cs_rank, ffill, full, ma, ref, rolling_corr, rolling_cov, staged, std, total, trailing
 from ..operators import windows as op
 from ..operators.signals import ewm
 from ..sources.bars import bars, calendar, sparse_bars
@@ -72,7 +72,7 @@ _add(
     {"cov": 2, "corr": 4},
     [f"{q.cov('close', 'volume', 12)} AS cov, {q.corr('close', 'volume', 12)} AS corr"]
 )
-_add("win05_ts_rank", lambda d: staged(d, k=ts_rank("volume", 10)), {"k": 6}, [f"{q.ts_rank('volume', 10)} AS k"])
+_add("win05_ts_rank", lambda d: op.rolling_rank(d, "volume", 10, "k"), {"k": 6}, [f"{q.ts_rank('volume', 10)} AS k"])
 _add("win06_cs_rank", lambda d: staged(d, k=cs_rank("volume")), {"k": 6}, [f"{q.cs_rank('volume')} AS k"], by="nation")
 
 QUERIES["win07_ewm"] = lambda spark, sf: ewm(bars(spark, sf), "close", "e", span=10).select("date", "ticker", F.round("e", 4).alias("e"))
@@ -168,7 +168,7 @@ _add(
 )
 _add(
     "win20_expanding_bins",
-    lambda d: staged(d, k=op.expanding_rank("volume", 52), bin=F.least(F.floor(F.col("k") * 10), F.lit(9)).cast("long")),
+    lambda d: staged(op.expanding_rank(d, "volume", 52, "k"), bin=F.least(F.floor(F.col("k") * 10), F.lit(9)).cast("long")),
     {"k": 6, "bin": -1},
     [
         f"list(volume) {q.w()} AS vs, count(volume) {q.w()} AS n",
