@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .blocks import ROWS, kept, long_keys, renamed, same
+
 
 def asof(
     left: DataFrame,
@@ -15,12 +17,15 @@ def asof(
     right_time: str,
     values: list[str],
     direction: str = "backward",
-    exact: bool = True
+    exact: bool = True,
+    rows: int = ROWS
 ) -> DataFrame:
     """left with the values of the nearest row of right in time: the last before (backward) or the first after (forward).
 
     Rows of right with a null in any of the values are skipped; exact says whether equal times match. Both sides are
-    put in one order per key and the last known values run along it, so that the cost is one sort.
+    put in one order per key and the last known values run along it, so that the cost is one sort. A key of more than
+    `rows` rows of both sides is dealt to ranges of time; a range without a value yet takes the last of those before it.
+    Null keys match null keys.
     """
     for v in values:
         right = right.where(F.col(v).isNotNull())
@@ -42,16 +47,54 @@ def asof(
         found.alias("_right")
     )
     order = [F.col("_t").asc() if backward else F.col("_t").desc(), F.col("_k").asc()]
-    last = F.last("_right", ignorenulls=True).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    merged = a.unionByName(b).withColumn("_hit", last).where(F.col("_left").isNotNull())
+    last = F.last("_right", ignorenulls=True)
+    along = lambda *by: last.over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = a.unionByName(b)
+    hot = long_keys(both, on, rows)
+    if hot is None:
+        merged = both.withColumn("_hit", along(*on))
+    else:
+        short = both.join(hot, same(both, hot, on), "left_anti").withColumn("_hit", along(*on))
+        long = both.join(hot, same(both, hot, on), "left_semi")
+        by = [*[F.col(k) for k in on], *order, F.xxhash64("_left", "_right")]
+        ranges = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        long = long.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+        long = kept(long, "as-of").withColumn("_range", F.shiftright("_id", 33))
+        # one row for each range and key that meet
+        ends = long.groupBy(*on, "_range").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.col("_id"))).alias("_end"))
+        before = Window.partitionBy(*on).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = renamed(ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).drop("_end"), [*on, "_range"])
+        inside = last.over(Window.partitionBy(*on, "_range").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0))
+        long = long.withColumn("_hit", inside).where(F.col("_left").isNotNull())
+        long = long.join(carried, same(long, carried, [*on, "_range"])).withColumn("_hit", F.coalesce("_hit", "_carried"))
+        merged = short.unionByName(long.select(*short.columns))
+    merged = merged.where(F.col("_left").isNotNull())
     return merged.select("_left.*", F.col("_hit.matched").alias("matched"), *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
+def disjoint(spans: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
+    """key, start and end of the unions of each key's overlapping spans; spans without a start or an end, or that end before they start, are none."""
+    fine = spans.where(F.col(start) <= F.col(end)).groupBy(key, start).agg(F.max(end).alias(end))
+    w = Window.partitionBy(key).orderBy(start)
+    reached = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = fine.withColumn("_new", F.coalesce(F.col(start) > reached, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(w))
+    return runs.groupBy(key, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
+
+
 def within_span(rows: DataFrame, spans: DataFrame, key: str, at: str, start: str = "start", end: str = "end") -> DataFrame:
-    """rows with alive: whether the date lies in one of the key's spans; unknown keys are not alive. spans is a dimension."""
-    s = spans.select(F.col(key).alias("_key"), F.col(start).alias("_start"), F.col(end).alias("_end"))
-    joined = rows.join(s, (F.col(key) == F.col("_key")) & F.col(at).between(F.col("_start"), F.col("_end")), "left")
-    return joined.groupBy(*rows.columns).agg((F.count("_key") > 0).alias("alive"))
+    """rows with alive: whether the date lies in one of the key's spans; unknown keys and missing dates are not alive.
+
+    Overlapping spans are joined first, so a row meets one at most and repeated rows stay. Spans are spread over the
+    months in which there are rows, and a row meets the few spans of its key and month, however many the key has.
+    """
+    month = lambda c: F.trunc(c, "month")
+    ends = rows.agg(month(F.min(at)).alias("_low"), F.max(at).alias("_high"))
+    s = disjoint(spans, key, start, end).select(F.col(key).alias("_key"), F.col(start).alias("_start"), F.col(end).alias("_end"))
+    s = s.crossJoin(F.broadcast(ends)).where((F.col("_end") >= F.col("_low")) & (F.col("_start") <= F.col("_high")))  # one row
+    months = F.sequence(month(F.greatest("_start", "_low")), month(F.least("_end", "_high")), F.expr("interval 1 month"))
+    s = s.select("_key", "_start", "_end", F.explode(months).alias("_month"))
+    hit = (F.col(key) == F.col("_key")) & (month(F.col(at)) == F.col("_month")) & F.col(at).between(F.col("_start"), F.col("_end"))
+    return rows.join(s, hit, "left").select(*rows.columns, F.col("_key").isNotNull().alias("alive"))
 
 
 def next_trading_date(events: DataFrame, calendar: DataFrame, at: str, strict: bool) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -199,6 +201,69 @@ def expanding_rank(df: DataFrame, x: str, least: int, name: str, key: str | list
     return done.unionByName(ranked).unionByName(long.where(F.col(x).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
+#: Aggregates of windows by name: from an array of windows (rows x n, one array for each column) to a value for each row.
+AGGREGATES: dict[str, Callable[..., np.ndarray]] = {
+    "product": lambda x: x.prod(axis=1),
+    "rank": lambda x: ((x < x[:, -1:]).sum(axis=1) + ((x == x[:, -1:]).sum(axis=1) + 1) / 2) / x.shape[1],
+    "rmse": lambda x, y: np.sqrt(((x - y) ** 2).mean(axis=1)),
+    "dot": lambda x, y: (x * y).sum(axis=1),
+}
+
+
+def register_aggregate(name: str, fn: Callable[..., np.ndarray]) -> None:
+    """Names a user's aggregate of windows for rolling_apply; a name is taken once."""
+    if name in AGGREGATES:
+        raise ValueError(f"an aggregate named {name} exists")
+    AGGREGATES[name] = fn
+
+
+def rolling_apply(
+    df: DataFrame,
+    fn: str | Callable[..., float],
+    columns: str | list[str],
+    n: int,
+    name: str,
+    key: str | list[str] = "ticker",
+    order: str = "date",
+    rows: int = ROWS
+) -> DataFrame:
+    """df with a user's aggregate of the last n rows; null unless all of them have all values, and where fn gives NaN or an infinity.
+
+    fn is called for each window with a numpy array for each column, or is the name of an aggregate of whole arrays of
+    windows (AGGREGATES), which is some 100 times as fast. Keys of more than `rows` rows are cut into blocks that also
+    read the n - 1 rows before them. Windows are views of a block: no row is copied n times.
+    """
+    keys, columns, inputs = [key] if isinstance(key, str) else key, [columns] if isinstance(columns, str) else columns, df.columns
+    if isinstance(fn, str) and fn not in AGGREGATES:
+        raise KeyError(f"unknown aggregate {fn}; known: {', '.join(sorted(AGGREGATES))}")
+    many = AGGREGATES[fn] if isinstance(fn, str) else lambda *x: np.array([fn(*w) for w in zip(*x, strict=True)], dtype=float)
+    schema = schema_of(df, inputs, {name: "double"})
+
+    def applied(part: pa.Table) -> pa.Table:
+        values = [part.column(c).to_numpy().astype(float) for c in columns]
+        out = np.full(part.num_rows, np.nan)
+        if part.num_rows >= n:
+            views = [np.lib.stride_tricks.sliding_window_view(v, n) for v in values]
+            step = max(1, 1_000_000 // n)
+            for begin in range(0, len(views[0]), step):
+                some = [v[begin : begin + step] for v in views]
+                fine = np.flatnonzero(np.logical_and.reduce([~np.isnan(v).any(axis=1) for v in some]))
+                if len(fine):
+                    out[begin + n - 1 + fine] = many(*[v[fine] for v in some])
+        return with_columns(part, {name: "double"}, {name: np.where(np.isfinite(out), out, np.nan)}, part.column_names)
+
+    def whole(part: pa.Table) -> pa.Table:
+        return applied(in_order(part, [order])).select([*inputs, name])
+
+    def one_block(part: pa.Table) -> pa.Table:
+        own = applied(in_order(part, ["_pos"]))
+        return own.filter(pc.greater_equal(own.column("_pos"), pc.multiply(own.column("_block"), rows))).select([*inputs, name])
+
+    cold, hot = in_blocks(df, keys, order, rows, reach=n - 1)
+    done = cold.groupBy(*keys).applyInArrow(whole, schema)
+    return done if hot is None else done.unionByName(hot.groupBy(*keys, "_block").applyInArrow(one_block, schema))
+
+
 def returns_grid(df: DataFrame) -> DataFrame:
     """close_to_close (without padding), open_to_close and open_to_open returns; where an open is missing the close stands in."""
     return staged(

@@ -239,6 +239,26 @@ _add(
 )
 _add("win26_forward_log_return", lambda d: staged(d, f=F.ln(ref("close", -4) / F.col("close"))), {"f": 5}, [f"ln({q.ref('close', -4)} / close) AS f"])
 
+
+
+def _applied(d):
+    d = staged(d, r=1 + change("close"), prev=ref("close"), age=F.least(F.lit(5.0), F.col("pos") + 1.0))
+    d = op.rolling_apply(op.rolling_apply(d, "product", "r", 8, "p"), "rank", "volume", 10, "k")
+    d = op.rolling_apply(op.rolling_apply(d, "rmse", ["close", "prev"], 10, "e"), "dot", ["close", "age"], 5, "s")
+    return op.rolling_apply(d, lambda v: float(v.max() - v.min()), "volume", 6, "spread")
+
+
+_add(
+    "udf08_rolling_apply",
+    _applied,
+    {"p": 4, "k": 6, "e": 3, "s": 6, "spread": 2},
+    [
+        f"1 + {q.change('close')} AS r, {q.ref('close')} AS prev, least(5.0, pos + 1.0) AS age",
+        f"{q.full('product', 'r', 8)} AS p, {q.ts_rank('volume', 10)} AS k, sqrt({q.ma('(close - prev) * (close - prev)', 10)}) AS e, "
+        f"{q.full('sum', 'close * age', 5)} AS s, ({q.full('max', 'volume', 6)}) - ({q.full('min', 'volume', 6)}) AS spread",
+    ],
+)
+
 # Indicators
 _add(
     "ind01_multi_ma_bias",
