@@ -8,12 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.series import trailing
 from ..sources.io import scratch
+from .blocks import ROWS, Scan, kept, scan
 
 
 def expanding_trend(df: DataFrame, y: str, least: int = 10, key: str = "ticker", order: str = "date", t: str = "pos") -> DataFrame:
@@ -92,24 +94,44 @@ def break_scan(df: DataFrame, y: str, least: int, key: str = "ticker", order: st
     return rows.withColumn("sse", sse("p") + sse("q")).groupBy(key).agg(F.min_by(t, F.struct("sse", t)).alias("break_at"), F.min("sse").alias("sse"))
 
 
-def expanding_ols(df: DataFrame, y: str, xs: list[str], least: int, key: list[str], order: str = "date") -> DataFrame:
-    """forecast of y by least squares on all earlier complete rows of the key, at least `least`; normal equations run along."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, forecast double"
+def expanding_ols(df: DataFrame, y: str, xs: list[str], least: int, key: list[str], order: str = "date", rows: int = ROWS) -> DataFrame:
+    """forecast of y by least squares on all earlier complete rows of the key, at least `least`.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        a = np.column_stack([np.ones(len(rows)), rows[xs].to_numpy(dtype=float)])
-        b, k = rows[y].to_numpy(dtype=float), len(xs) + 1
-        gram, moment, n, out = np.zeros((k, k)), np.zeros(k), 0, np.full(len(rows), np.nan)
-        for i in range(len(rows)):
-            known = np.isfinite(a[i]).all()
-            if known and n >= least:
-                out[i] = a[i] @ np.linalg.lstsq(gram, moment, rcond=None)[0]
-            if known and np.isfinite(b[i]):
-                gram, moment, n = gram + np.outer(a[i], a[i]), moment + a[i] * b[i], n + 1
-        return rows.assign(forecast=out)
-
-    return df.groupBy(*key).applyInPandas(run, schema)
+    Gram matrices and moments are running sums, so that a block of a long key adds to those before it; the normal
+    equations of many rows are solved together, by pseudo-inverses where they are singular.
+    """
+    width = len(xs) + 1
+
+    def parts(c: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        a = np.column_stack([np.ones(len(c[y])), *[c[x].astype(float) for x in xs]])
+        b = c[y].astype(float)
+        known = np.isfinite(a).all(axis=1)
+        full = known & np.isfinite(b)
+        return a, np.where(full[:, None], a, 0.0), np.where(full, b, 0.0), known
+
+    def summarise(c: dict) -> list:
+        a, used, b, _ = parts(c)
+        return [(used.T @ used).tolist(), (used.T @ b).tolist(), int(used[:, 0].sum())]
+
+    def fold(state: list, block: list) -> list:
+        return [(np.array(u) + np.array(v)).tolist() for u, v in zip(state, block, strict=True)]
+
+    def finish(c: dict, state: list) -> dict:
+        a, used, b, known = parts(c)
+        (gram, moment, n), out = (np.array(x, dtype=float) for x in state), np.full(len(b), np.nan)
+        for begin in range(0, len(b), 4096):
+            own = slice(begin, begin + 4096)
+            grams = gram + np.cumsum(used[own, :, None] * used[own, None, :], axis=0)
+            moments, counts = moment + np.cumsum(used[own] * b[own, None], axis=0), n + np.cumsum(used[own, 0])
+            before = [np.concatenate([first[None], later[:-1]]) for first, later in ((gram, grams), (moment, moments), (n, counts))]
+            fit = np.flatnonzero(known[own] & (before[2] >= least))
+            inverse = np.linalg.pinv(before[0][fit], rcond=np.finfo(float).eps * width, hermitian=True)
+            out[begin + fit] = np.einsum("ij,ijk,ik->i", a[own][fit], inverse, before[1][fit])
+            gram, moment, n = grams[-1], moments[-1], counts[-1]
+        return {"forecast": out}
+
+    start = [np.zeros((width, width)).tolist(), [0.0] * width, 0]
+    return scan(df, key, order, [*xs, y], {"forecast": "double"}, Scan(start, summarise, fold, finish), rows)
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -304,14 +326,91 @@ def hac_slope(df: DataFrame, y: str, x: str, lags: int, key: str, order: str = "
 
 
 def principal_components(df: DataFrame, names: list[str], k: int) -> DataFrame:
-    """component, name, loading, share of variance, from the covariances of columns: a matrix as large as their number squared."""
-    pairs = [F.covar_samp(a, b).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j <= i]
-    row = df.where(" and ".join(f"`{n}` is not null" for n in names)).agg(*pairs).first().asDict()
-    matrix = np.array([[row[f"{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(len(names))] for i in range(len(names))])
-    values, vectors = np.linalg.eigh(matrix)
-    order = np.argsort(values)[::-1][:k]
-    out = []
-    for c, i in enumerate(order):
-        v = vectors[:, i] * (1 if vectors[np.argmax(np.abs(vectors[:, i])), i] > 0 else -1)
-        out += [(c + 1, n, float(x), float(values[i] / max(values.sum(), 1e-300))) for n, x in zip(names, v, strict=True)]
-    return df.sparkSession.createDataFrame(out, "component int, name string, loading double, share double")
+    """component, name, loading, share of variance of columns, over the rows in which none is missing; see components_of."""
+    rows = df.where(" and ".join(f"`{n}` is not null" for n in names)).withColumn("_row", F.monotonically_increasing_id())
+    long = rows.select("_row", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").cast("double").alias("value")) for n in names])))
+    return components_of(long, "_row", "name", "value", k)
+
+
+#: Columns of a sketch beyond the wanted components, and its most multiplications by the covariances.
+EXTRA, TURNS = 30, 40
+
+
+def components_of(df: DataFrame, on: str, name: str, value: str, k: int, extra: int = EXTRA, turns: int = TURNS) -> DataFrame:
+    """component, name, loading, share of variance of the k largest principal components of long data (on, name, value).
+
+    Rows (values of `on`) that lack a name's value are left out; values of a name in one row are averaged. A sketch of
+    k + extra columns, drawn from hashes of the names, is multiplied by the covariance matrix, which is never formed:
+    each row's values are summed with the names' sketches, and each name's values with those sums. Sketches are made
+    orthonormal by their small Gram matrix. It ends when the images of the components are multiples of them to 1e-8 of the
+    largest, or after `turns` multiplications. A loading's sign makes
+    the largest one positive. The driver sees matrices of k + extra columns and rows only.
+    """
+    rows = df.where(F.col(value).isNotNull()).groupBy(F.col(on).alias("_on"), F.col(name).alias("name")).agg(F.avg(value).alias("x"))
+    rows = kept(rows, "values")
+    n_names = rows.select("name").distinct().count()
+    complete = rows.groupBy("_on").count().where(F.col("count") == n_names).select("_on")
+    rows = rows.join(complete, "_on", "left_semi")
+    means = rows.groupBy("name").agg(F.avg("x").alias("_mean"), F.var_samp("x").alias("_var"))
+    rows = kept(rows.join(means, "name").select("_on", "name", (F.col("x") - F.col("_mean")).alias("x")), "centred")
+    n_rows, total = complete.count(), means.agg(F.sum("_var")).first()[0] or 0.0
+    width = min(k + extra, n_names)
+    cols = [f"q{j}" for j in range(width)]
+    empty = "component int, name string, loading double, share double"
+    if n_rows < 2 or not width:
+        return df.sparkSession.createDataFrame([], empty)
+
+    def small(left: DataFrame, right: list[str]) -> np.ndarray:
+        """Products of the columns q0... with the given ones, summed over names: a matrix from each partition, added up."""
+
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(cols), len(right)))
+            for batch in batches:
+                a, b = (np.column_stack([batch.column(c).to_numpy() for c in some]) for some in (cols, right))
+                total += a.T @ b
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "x"])
+
+        sums = left.select(*dict.fromkeys([*cols, *right])).mapInArrow(products, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+        return np.array([x for _, x in sorted(map(tuple, sums))]).reshape(len(cols), len(right))
+
+    def turned(table: DataFrame, matrix: np.ndarray) -> DataFrame:
+        linear = lambda j: sum((F.col(c) * float(matrix[i, j]) for i, c in enumerate(cols)), F.lit(0.0))
+        return table.select("name", *[linear(j).alias(f"q{j}") for j in range(matrix.shape[1])])
+
+    def orthonormal(table: DataFrame) -> DataFrame:
+        for _ in range(2):  # the second time removes what rounding left
+            values, vectors = np.linalg.eigh(small(table, cols))
+            scale = np.where(values > values.max() * 1e-13, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+            table = kept(turned(table, vectors * scale), "sketch")
+        return table
+
+    def multiplied(table: DataFrame) -> DataFrame:
+        """The covariance matrix times the sketch, two aggregates."""
+        rows_ = rows.join(table, "name").groupBy("_on").agg(*[F.sum(F.col("x") * F.col(c)).alias(c) for c in cols])
+        return kept(rows.join(rows_, "_on").groupBy("name").agg(*[(F.sum(F.col("x") * F.col(c)) / (n_rows - 1)).alias(c) for c in cols]), "sketch")
+
+    seed = lambda j: F.xxhash64("name", F.lit(j)).cast("double") / float(1 << 63)
+    sketch = orthonormal(rows.select("name").distinct().select("name", *[seed(j).alias(c) for j, c in enumerate(cols)]))
+    for _ in range(turns):
+        image = multiplied(sketch)
+        joined = sketch.join(image.select("name", *[F.col(c).alias(f"z{j}") for j, c in enumerate(cols)]), "name")
+        core = small(joined, [f"z{j}" for j in range(width)])
+        values, vectors = np.linalg.eigh((core + core.T) / 2)
+        order = np.argsort(values)[::-1][: min(k, width)]
+        values, vectors = values[order], vectors[:, order]
+        # how far the image of each component is from a multiple of it
+        square = small(image, cols)
+        rest = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", vectors, square, vectors) - values**2, 0))
+        if width == n_names or (rest <= 1e-8 * max(values[0], 1e-300)).all():
+            break
+        sketch = orthonormal(image)
+    found = kept(turned(sketch, vectors), "loadings")
+    tops = found.agg(*[F.max_by(f"q{j}", F.struct(F.abs(f"q{j}"), "name")).alias(f"q{j}") for j in range(len(values))]).first()
+    parts = [
+        F.struct(
+            F.lit(j + 1).alias("component"), F.col("name").cast("string").alias("name"),
+            (F.col(f"q{j}") * (1.0 if (tops[f"q{j}"] or 0) >= 0 else -1.0)).alias("loading"), F.lit(float(v / max(total, 1e-300))).alias("share"),
+        )
+        for j, v in enumerate(values)
+    ]
+    return found.select(F.inline(F.array(*parts)))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.series import corr_of, cs_rank, ln_factorial, pooled_quantiles, trailing
+from .blocks import kept
 
 TRADING_DAYS = 252
 
@@ -208,18 +212,91 @@ def event_study(df: DataFrame, event: Column, horizons: dict[str, str]) -> DataF
     return sums.join(pooled_quantiles(rows, ["horizon"], "ret", {"p10": 0.1, "p50": 0.5, "p90": 0.9}), "horizon")
 
 
-def pairwise_corr(df: DataFrame, name: str, value: str, on: str, least: int) -> DataFrame:
-    """a, b, corr, n for each pair of names by a self-join on the date; null under `least` common dates.
+#: Names and dates of a block of pairwise_corr: two blocks of names meet in a task for each block of dates.
+NAMES, DATES = 1024, 1024
 
-    All pairs are the result: its size, and the rows that meet per date, grow with the square of the number of names.
+
+def pairwise_corr(df: DataFrame, name: str, value: str, on: str, least: int, best: int | None = None, names: int = NAMES, dates: int = DATES) -> DataFrame:
+    """a, b, corr, n for each pair of names with a common date, a < b; corr is null under `least` common dates or without variation.
+
+    Names are dealt to blocks of about `names`, dates to blocks of about `dates`. A task takes two blocks of names on a
+    block of dates and multiplies matrices; sums of blocks of dates are then added for each two blocks of names. What is
+    shuffled are the rows, once for each block of names, and these sums, never pairs of rows. With `best`, each two
+    blocks give back only their pairs of the highest |corr|, of which there are enough for the best overall. Several
+    values of a name on a date are averaged.
     """
-    left = df.select(on, F.col(name).alias("a"), F.col(value).alias("x"))
-    right = df.select(F.col(on).alias("_on"), F.col(name).alias("b"), F.col(value).alias("y"))
-    joined = left.join(right, (F.col(on) == F.col("_on")) & (F.col("a") < F.col("b"))).where("x is not null and y is not null")
-    return joined.groupBy("a", "b").agg(
-        corr_of("x", "y").alias("corr"),
-        F.count("*").alias("n")
-    ).withColumn("corr", F.when(F.col("n") >= least, F.col("corr")))
+    kind = dict(df.dtypes)[name]
+    rows = df.where(F.col(value).isNotNull() & F.col(name).isNotNull() & F.col(on).isNotNull())
+    rows = kept(rows.groupBy(F.col(on).alias("on"), F.col(name).alias("name")).agg(F.avg(value).cast("double").alias("x")), "pair-values")
+    n_names, n_dates = rows.agg(F.approx_count_distinct("name"), F.approx_count_distinct("on")).first()
+    blocks, spans = max(1, -(-n_names // names)), max(1, -(-n_dates // dates))
+    # sums about a name's mean do not cancel
+    means = rows.groupBy("name").agg(F.avg("x").alias("_mean"))
+    rows = rows.join(means, "name").select("on", "name", (F.col("x") - F.col("_mean")).alias("x"))
+    own = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")
+    rows = rows.withColumn("own", own).withColumn("span", F.pmod(F.xxhash64("on"), F.lit(spans)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select("on", "name", "x", "own", "span", F.least("own", "other").alias("l"), F.greatest("own", "other").alias("r"))
+
+    def matrix(rows: pa.Table, dates: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        labels = pc.unique(rows.column("name"))
+        labels = labels.take(pc.sort_indices(labels))
+        at = pc.index_in(rows.column("name"), labels).to_numpy()
+        out = np.full((len(dates), len(labels)), np.nan)
+        out[np.searchsorted(dates, rows.column("_at").to_numpy()), at] = rows.column("x").to_numpy()
+        return labels, out
+
+    def products(part: pa.Table) -> pa.Table:
+        l, r, span = (part.column(c)[0].as_py() for c in ("l", "r", "span"))
+        at = part.column("on").combine_chunks().dictionary_encode().indices.to_numpy()
+        part = part.append_column("_at", pa.array(at))
+        every = np.unique(at)
+        sides = [matrix(part.filter(pc.equal(part.column("own"), s)), every) for s in (l, r)]
+        (a, x), (b, y) = sides
+        m, k = (~np.isnan(v) for v in (x, y))
+        x, y, m, k = np.nan_to_num(x), np.nan_to_num(y), m.astype(float), k.astype(float)
+        sums = [m.T @ k, x.T @ k, m.T @ y, (x * x).T @ k, m.T @ (y * y), x.T @ y]
+        return pa.table(
+            {
+                "l": pa.array([l], pa.int32()), "r": pa.array([r], pa.int32()), "span": pa.array([span], pa.int32()), "a": pa.array([a.to_pylist()], pa.list_(a.type)),
+                "b": pa.array([b.to_pylist()], pa.list_(b.type)), "sums": pa.array([np.stack(sums).tobytes()], pa.binary()),
+            }
+        )
+
+    def pairs(part: pa.Table) -> pa.Table:
+        a, b = ([v for v in part.column(c).to_pylist()] for c in ("a", "b"))
+        left, right = sorted({x for v in a for x in v}), sorted({x for v in b for x in v})
+        total = np.zeros((6, len(left), len(right)))
+        of = {x: i for i, x in enumerate(left)}, {x: i for i, x in enumerate(right)}
+        for p, q, raw in zip(a, b, part.column("sums").to_pylist(), strict=True):
+            if p and q:
+                i, j = np.array([of[0][x] for x in p]), np.array([of[1][x] for x in q])
+                total[:, i[:, None], j[None]] += np.frombuffer(raw).reshape(6, len(p), len(q))
+        n, x, y, xx, yy, xy = total
+        with np.errstate(all="ignore"):
+            scale = np.sqrt(np.maximum(xx - x * x / n, 0) * np.maximum(yy - y * y / n, 0))
+            corr = np.where((n >= max(least, 2)) & (scale / (n - 1) > 1e-15), (xy - x * y / n) / scale, np.nan)
+        i, j = np.nonzero(n)
+        if part.column("l")[0].as_py() == part.column("r")[0].as_py():
+            i, j = i[i < j], j[i < j]
+        values, n = corr[i, j], n[i, j].astype(np.int64)
+        low = [left[p] < right[q] for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+        a, b = ([(left[p] if z == s else right[q]) for p, q, z in zip(i.tolist(), j.tolist(), low, strict=True)] for s in (True, False))
+        out = pa.table({"a": pa.array(a, part.schema.field("a").type.value_type), "b": pa.array(b, part.schema.field("b").type.value_type),
+                        "corr": pa.array(values, from_pandas=True), "n": pa.array(n)})
+        if best is None or len(n) <= best:
+            return out
+        size = pc.fill_null(pc.abs(out.column("corr")), -1.0)
+        order = out.append_column("_size", size).sort_by([("_size", "descending"), ("a", "ascending"), ("b", "ascending")])
+        return order.slice(0, best).drop_columns(["_size"])
+
+    sums = rows.groupBy("l", "r", "span").applyInArrow(products, f"l int, r int, span int, a array<{kind}>, b array<{kind}>, sums binary")
+    return sums.groupBy("l", "r").applyInArrow(pairs, f"a {kind}, b {kind}, corr double, n long")
+
+
+def top_pairs(df: DataFrame, name: str, value: str, on: str, least: int, k: int) -> DataFrame:
+    """The k pairs of pairwise_corr with the highest |corr|, equal ones by name."""
+    return pairwise_corr(df, name, value, on, least, k).orderBy(F.abs("corr").desc_nulls_last(), "a", "b").limit(k)
 
 
 def log_choose(n: Column, k: Column) -> Column:

@@ -600,7 +600,7 @@ _add(
 )
 _add(
     "top06_top_pairs",
-    lambda d: m.pairwise_corr(d, "ticker", "ret", "date", 10).orderBy(F.abs("corr").desc(), "a", "b").limit(20),
+    lambda d: m.top_pairs(d, "ticker", "ret", "date", 10, 20),
     {"corr": 5},
     "r AS (SELECT * FROM panel WHERE ret IS NOT NULL), p AS (SELECT x.ticker AS a, y.ticker AS b, "
     "CASE WHEN count(*) >= 10 THEN covar_samp(x.ret, y.ret) / (stddev_samp(x.ret) * stddev_samp(y.ret)) END AS corr, count(*) AS n FROM r x "

@@ -593,7 +593,7 @@ _add("ml07_penalty_grid", _c_grid, {"auc": 4}, None, ("grid", "fold"))
 _TK = [f"Brand#{i}" for i in range(1, 26)]
 _add(
     "ml08_principal_components",
-    lambda d: inf.principal_components(d.where(F.col("ticker").isin(_TK)).groupBy("date").pivot("ticker", _TK).agg(F.max("ret")), _TK, 3),
+    lambda d: inf.components_of(d, "date", "ticker", "ret", 3),
     {"loading": 4, "share": 5},
     None,
     ("component", "name")
