@@ -68,6 +68,24 @@ _add(
     f"WITH RECURSIVE {_LIVE_STOP} SELECT event_id, user_id, held FROM ls",
     ("event_id", "user_id", "held")
 )
+# rows that the watermark has not passed at the end of the data wait in the state
+_PASSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+_add(
+    "str03_ordered_hysteresis",
+    lambda r: live.ordered_hysteresis(r, 60.0, 10.0),
+    {},
+    "SELECT event_id, user_id, state FROM (SELECT *, coalesce(last_value(CASE WHEN value > 60 THEN 1 WHEN value < 10 THEN 0 END IGNORE NULLS) OVER "
+    f"(PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0) AS state FROM events) WHERE date_trunc('milliseconds', ts) < {_PASSED}",
+    ("event_id", "user_id", "state")
+)
+_add(
+    "str04_ordered_trailing_stop",
+    lambda r: live.ordered_trailing_stop(r, 0.9, 2),
+    {},
+    f"WITH RECURSIVE {_LIVE_STOP} SELECT event_id, user_id, held FROM ls WHERE event_id IN (SELECT event_id FROM events WHERE "
+    f"date_trunc('milliseconds', ts) < {_PASSED})",
+    ("event_id", "user_id", "held")
+)
 _add("str05_live_rolling", live.live_rolling, {"mean": 6, "std": 4}, f"""
 WITH e AS (SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events)
 SELECT strftime(s, {_FMT}) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 4) AS std FROM e GROUP BY s, event_type HAVING s + INTERVAL 2 HOUR <= {_CLOSED}""", ("start", "event_type", "n"))

@@ -8,11 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 LATE = "1 hour"
 #: A key without events for so long loses its state.
 IDLE_MS = 90 * 24 * 3_600_000
 
+#: Values of a key's rows in order, and the state after them, from the rows and the state before them.
+Step = Callable[[pd.DataFrame, tuple], tuple[list, tuple]]
+
 
 def events(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """The event table as a stream; its local timestamps become instants, which watermarks need.
@@ -102,9 +106,7 @@ def _keyed(
     return keyed.applyInPandasWithState(run, f"event_id long, user_id long, {out} int", schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def live_hysteresis(rows: DataFrame, upper: float, lower: float, late: str = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
-    """event_id, user_id, state: on above upper, off below lower, kept in between; the state lives between batches."""
-
+def _switch(upper: float, lower: float) -> Step:
     def step(batch: pd.DataFrame, before: tuple) -> tuple[list, tuple]:
         now, out = before[0], []
         for v in batch["value"]:
@@ -112,12 +114,10 @@ def live_hysteresis(rows: DataFrame, upper: float, lower: float, late: str = LAT
             out.append(now)
         return out, (now,)
 
-    return _keyed(rows, step, (0,), "state", "state int", late, idle_ms)
+    return step
 
 
-def live_trailing_stop(rows: DataFrame, stop: float, cooldown: int, late: str = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
-    """event_id, user_id, held: 0 on a fall of `stop` from the running peak and for `cooldown` rows after it."""
-
+def _stop(stop: float, cooldown: int) -> Step:
     def step(batch: pd.DataFrame, before: tuple) -> tuple[list, tuple]:
         (peak, wait), out = before, []
         for v in batch["value"]:
@@ -132,14 +132,104 @@ def live_trailing_stop(rows: DataFrame, stop: float, cooldown: int, late: str =
                 wait, peak = cooldown, 0.0
         return out, (float(peak), int(wait))
 
-    return _keyed(rows, step, (0.0, 0), "held", "peak double, wait int", late, idle_ms)
+    return step
+
+
+def live_hysteresis(rows: DataFrame, upper: float, lower: float, late: str = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
+    """event_id, user_id, state: on above upper, off below lower, kept in between; the state lives between batches."""
+    return _keyed(rows, _switch(upper, lower), (0,), "state", "state int", late, idle_ms)
+
+
+def live_trailing_stop(rows: DataFrame, stop: float, cooldown: int, late: str = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
+    """event_id, user_id, held: 0 on a fall of `stop` from the running peak and for `cooldown` rows after it."""
+    return _keyed(rows, _stop(stop, cooldown), (0.0, 0), "held", "peak double, wait int", late, idle_ms)
+
+
+class InOrder(StatefulProcessor):
+    """Walks a user's rows in order of event time, whatever batches they come in.
+
+    Rows wait in the state until the watermark has passed them, when no earlier row can come any more; a timer at the
+    earliest waiting row's time releases them. What waits is bounded by the lateness. A user without a waiting row keeps
+    its state until the watermark has passed its last row by idle_ms.
+    """
+
+    def __init__(self, step: Step, first: tuple, out: str, schema: str, idle_ms: int):
+        self.step, self.first, self.out, self.schema, self.idle_ms = step, first, out, schema, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, value double")
+        self.now = handle.getValueState("now", self.schema)
+
+    def _wake(self, ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        for part in rows:
+            waiting += zip(part["us"].tolist(), part["event_id"].tolist(), part["value"].tolist(), strict=True)
+        self.waiting.put(waiting)
+        self._wake(min(w[0] for w in waiting) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        done = [w for w in waiting if w[0] <= passed * 1000]
+        if not waiting:
+            self.now.clear()
+            return iter(())
+        rest = waiting[len(done) :]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        self._wake(rest[0][0] // 1000 + 1 if rest else max(passed, done[-1][0] // 1000) + self.idle_ms)
+        if not done:
+            return iter(())
+        batch = pd.DataFrame(done, columns=["us", "event_id", "value"])
+        found, now = self.step(batch, tuple(self.now.get()) if self.now.exists() else self.first)
+        self.now.update(now)
+        return iter([pd.DataFrame({"event_id": batch["event_id"], "user_id": key[0], self.out: found})])
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(rows: DataFrame, step: Step, first: tuple, out: str, schema: str, late: str, idle_ms: int) -> DataFrame:
+    keyed = rows.withWatermark("ts", late).select("ts", "user_id", "event_id", "value", F.unix_micros("ts").alias("us")).groupBy("user_id")
+    return keyed.transformWithStateInPandas(
+        statefulProcessor=InOrder(step, first, out, schema, idle_ms),
+        outputStructType=f"event_id long, user_id long, {out} int",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+def ordered_hysteresis(rows: DataFrame, upper: float, lower: float, late: str = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
+    """live_hysteresis over each user's rows in order of time: any split into batches within the lateness gives the same
+    rows, those that the watermark has passed. Needs the RocksDB state store (run_to_end sets it)."""
+    return _in_order(rows, _switch(upper, lower), (0,), "state", "state int", late, idle_ms)
+
+
+def ordered_trailing_stop(rows: DataFrame, stop: float, cooldown: int, late: str = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
+    """live_trailing_stop over each user's rows in order of time; see ordered_hysteresis."""
+    return _in_order(rows, _stop(stop, cooldown), (0.0, 0), "held", "peak double, wait int", late, idle_ms)
 
 
 def run_to_end(rows: DataFrame, path: str) -> DataFrame:
     """Runs the stream over all that is there, into Parquet files under path, and returns what it wrote."""
-    query = rows.writeStream.format("parquet").option("path", f"{path}/out").option(
-        "checkpointLocation",
-        f"{path}/state"
-    ).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    conf, store = rows.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(store)
+    conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # keeps state and timers on disk
+    try:
+        query = rows.writeStream.format("parquet").option("path", f"{path}/out").option(
+            "checkpointLocation",
+            f"{path}/state"
+        ).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        conf.set(store, before)
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/out")

@@ -114,3 +114,33 @@ def test_state_of_idle_keys_is_dropped(spark, tmp_path):
         stream = live.live_trailing_stop(live.events(spark, f"{tmp_path}/events.parquet", 1), 0.5, 2, idle_ms=idle * 24 * 3_600_000)
         got[idle] = {r.event_id: r.held for r in live.run_to_end(stream, f"file://{tmp_path}/out{idle}").collect()}
     assert got[30] == {1: 1, 2: 1, 3: 1, 4: 0} and got[1] == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
+@pytest.mark.parametrize("split", ["order", "mixed"])
+@pytest.mark.parametrize(("name", "form"), [("state", lambda r: live.ordered_hysteresis(r, 60.0, 10.0, "400 days")), ("held", lambda r: live.ordered_trailing_stop(r, 0.9, 2, "30 minutes"))])
+def test_ordered_forms_do_not_depend_on_batches(spark, tmp_path, name, form, split):
+    """Rows dealt to batches within the lateness, in any order, give what one batch gives: all rows that the watermark has passed."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k, start + dt.timedelta(minutes=7 * k + k % 3), k % 4, "x", float((k * 37) % 100), "{}") for k in range(160)]
+    parts = [rows[:50], rows[50:90], rows[90:]]
+    if split == "mixed":  # neighbours change places over batches; a row comes at most 25 minutes after a later one
+        parts = [[*rows[:47], rows[49]], [rows[47], rows[48], *rows[50:88], rows[90]], [rows[88], rows[89], *rows[91:]]]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+    def run(parts, to):
+        os.makedirs(f"{tmp_path}/{to}/events.parquet")
+        for k, part in enumerate(parts):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/{to}/in{k}")
+            found = next(f for f in os.listdir(f"{tmp_path}/{to}/in{k}") if f.endswith(".parquet"))
+            os.replace(f"{tmp_path}/{to}/in{k}/{found}", f"{tmp_path}/{to}/events.parquet/{k}.parquet")
+            os.utime(f"{tmp_path}/{to}/events.parquet/{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+        last = rows[-1][1] + dt.timedelta(days=2000)  # of another user, moves the watermark past all rows
+        spark.createDataFrame([(999, last, 99, "x", 1.0, "{}")], schema).coalesce(1).write.parquet(f"{tmp_path}/{to}/end")
+        found = next(f for f in os.listdir(f"{tmp_path}/{to}/end") if f.endswith(".parquet"))
+        os.replace(f"{tmp_path}/{to}/end/{found}", f"{tmp_path}/{to}/events.parquet/9.parquet")
+        os.utime(f"{tmp_path}/{to}/events.parquet/9.parquet", (1_700_000_009, 1_700_000_009))
+        out = live.run_to_end(form(live.events(spark, f"{tmp_path}/{to}/events.parquet", 1)), f"file://{tmp_path}/{to}/out")
+        return {r.event_id: r[name] for r in out.collect()}
+
+    want, found = run([rows], "once"), run(parts, "batches")
+    assert found == want and len(found) == 160 and len(set(found.values())) == 2
