@@ -117,6 +117,49 @@ def index_filings(seed: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["stock_code", "doc_type", "publish_datetime_hk", "title"])
 
 
+#: Columns of a seed row; all but title may be missing.
+SEED_FIELDS = (
+    "title", "doc_type", "publish_datetime_hk", "publish_datetime", "publish_date", "period_end", "stock_code", "issuer_name", "filing_id", "doc_id",
+    "language", "hkex_url", "pdf_url", "notes",
+)
+
+
+def normalize_seeds(seed: DataFrame, run_id: str, issuers: DataFrame | None = None, default_issuer: str | None = None) -> DataFrame:
+    """Filings from seed rows of any of SEED_FIELDS: what a row gives wins over what its title and its other fields say.
+
+    Empty texts count as missing. A row without a given type whose title has no known one is dropped, and so is one
+    without a publication: the Hong Kong time, else the time, else midnight of the date. Codes are padded to five
+    digits, longer ones stay. The issuer is the given one, else that of the code in issuers (stock_code, issuer_name, a
+    row for each code), else the default. Periods that are no dates are null. Repeated rows stay; see filing_index.
+    """
+    given = lambda c: F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) if c in seed.columns else F.lit(None).cast("string")
+    trimmed = lambda x: F.when(F.trim(x) != "", F.trim(x))
+    rows = seed.select(*[given(c).alias(c) for c in SEED_FIELDS]).withColumn("title", F.coalesce(F.trim("title"), F.lit("")))
+    rows = rows.withColumn("doc_type", F.coalesce("doc_type", doc_type(F.col("title"))))
+    at = F.coalesce(trimmed(F.coalesce("publish_datetime_hk", "publish_datetime")), F.concat(trimmed(F.col("publish_date")), F.lit("T00:00:00")))
+    rows = rows.withColumn("publish_datetime_hk", at).where("doc_type is not null and publish_datetime_hk is not null")
+    code = F.coalesce("stock_code", F.lit(""))
+    rows = rows.withColumn("stock_code", F.when(F.length(code) < 5, F.lpad(code, 5, "0")).otherwise(code))
+    rows = rows.withColumn("period_end", F.coalesce(F.expr("try_to_date(substr(period_end, 1, 10))"), F.when(F.col("period_end").isNull(), period_end(F.col("title")))))
+    if issuers is not None:
+        names = issuers.select(F.col("stock_code").alias("_code"), F.col("issuer_name").alias("_name"))
+        rows = rows.join(names, F.col("stock_code") == F.col("_code"), "left").withColumn("issuer_name", F.coalesce("issuer_name", "_name"))
+    rows = rows.withColumn("filing_id", F.coalesce("filing_id", filing_id(F.col("stock_code"), F.col("publish_datetime_hk"), F.col("title"))))
+    return rows.select(
+        "filing_id", "stock_code", F.coalesce("issuer_name", F.lit(default_issuer)).alias("issuer_name"), F.coalesce("doc_id", "filing_id").alias("doc_id"), "doc_type",
+        "period_end", F.year("period_end").alias("fiscal_year"), fiscal_half(F.col("period_end")).alias("fiscal_half"), "publish_datetime_hk", "title",
+        F.coalesce("language", F.lit("EN")).alias("language"), "hkex_url", "pdf_url", F.lit(run_id).alias("discovery_run_id"), F.lit("indexed").alias("parse_status"), "notes",
+    )
+
+
+def filing_index(seed: DataFrame, run_id: str, issuers: DataFrame | None = None, default_issuer: str | None = None) -> DataFrame:
+    """normalize_seeds, of rows with equal code, title, publication and language the last one of the seed."""
+    rows = normalize_seeds(seed, run_id, issuers, default_issuer).withColumn("_at", F.monotonically_increasing_id())
+    same = ["stock_code", "title", "publish_datetime_hk", "language"]
+    last = rows.groupBy(*same).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (*same, "_at")]), "_at").alias("_row"))
+    return last.select(*same, "_row.*").select(*[c for c in rows.columns if c != "_at"])
+
+
 def _rules(df: DataFrame, rules: tuple, names: str) -> DataFrame:
     """Fixed rules as a broadcast table: as many rows as the constant has."""
     return F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in rules], names))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -36,6 +37,27 @@ def linear(rows: DataFrame, parameters: dict):
     return LinearRegression(featuresCol="features", labelCol="label", **{"regParam": 0.0, **parameters}).fit(rows)
 
 
+def linear_folds(rows: DataFrame, folds: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """fold, weights (intercept first): least squares of label on the features over each fold's training span.
+
+    Every fold's Gram matrix is summed in one pass: a row counts in each fold whose span it is in, and a fold comes back
+    as one row of (features + 1) squared numbers. Singular matrices get the least-norm fit.
+    """
+    terms = {"one": F.lit(1.0), **{c: F.col(c).cast("double") for c in features}, "label": F.col("label")}
+    names = list(terms)
+    spans = F.broadcast(folds.select("fold", "train_start", "train_end"))  # a row for each test span of the calendar
+    train = rows.join(spans, F.col("pos").between(F.col("train_start"), F.col("train_end")))
+    sums = train.groupBy("fold").agg(*[F.sum(terms[a] * terms[b]).alias(f"{a}*{b}") for i, a in enumerate(names) for b in names[i:]])
+    out = []
+    for r in sums.collect():
+        square = np.array([[r[f"{a}*{b}"] if i <= j else r[f"{b}*{a}"] for j, b in enumerate(names)] for i, a in enumerate(names)])
+        mean = square[0] / square[0, 0]
+        centred = square / square[0, 0] - np.outer(mean, mean)
+        slopes = np.linalg.pinv(centred[1:-1, 1:-1], rcond=1e-12, hermitian=True) @ centred[1:-1, -1]
+        out.append((r["fold"], [float(mean[-1] - mean[1:-1] @ slopes), *map(float, slopes)]))
+    return rows.sparkSession.createDataFrame(out, "fold int, weights array<double>")
+
+
 @register_ranker("gbt")
 def gbt(rows: DataFrame, parameters: dict):
     return GBTRegressor(featuresCol="features", labelCol="label", **{"maxIter": 20, "maxDepth": 3, "seed": 0, **parameters}).fit(rows)
@@ -83,14 +105,24 @@ def prepare(df: DataFrame, cfg: RankConfig) -> DataFrame:
 def walk_forward_scores(df: DataFrame, folds: DataFrame, cfg: RankConfig) -> DataFrame:
     """fold, date, ticker, score, target: each fold's model scores the rows of its test span.
 
-    folds: as of inference.make_folds. A fold's fit is a distributed job of its own; folds without training or test rows
-    are left out. The prepared rows are written once. An unknown model is an error, and so is no score at all.
+    folds: as of inference.make_folds. The plain linear ranker fits all folds in one aggregate (linear_folds); another fit is
+    a distributed job for each fold. Folds without training or test rows are left out. The prepared rows are written once. An unknown model is an error, and so is no score at all.
     """
     if cfg.model not in RANKERS:
         raise KeyError(f"unknown ranker {cfg.model}; known: {', '.join(sorted(RANKERS))}")
     path = inf.scratch(df.sparkSession, "ranking")
     VectorAssembler(inputCols=list(cfg.features), outputCol="features").transform(prepare(df, cfg)).write.parquet(path)
     rows, out = df.sparkSession.read.parquet(path), None
+    if RANKERS[cfg.model] is linear and not cfg.parameters:
+        weights = F.broadcast(folds.select(F.col("fold").cast("int").alias("fold"), "test_start", "test_end").join(linear_folds(rows, folds, cfg.features), "fold"))
+        test = rows.join(weights, F.col("pos").between(F.col("test_start"), F.col("test_end")))
+        score = F.get("weights", F.lit(0))
+        for i, c in enumerate(cfg.features):
+            score = score + F.get("weights", F.lit(i + 1)) * F.col(c)
+        scores = test.select("fold", "date", "ticker", score.alias("score"), "target")
+        if not scores.limit(1).count():
+            raise ValueError("no fold has training and test rows")
+        return scores
     for f in folds.orderBy("fold").collect():  # a row per test span of the calendar
         train, test = rows.where(F.col("pos").between(f.train_start, f.train_end)), rows.where(F.col("pos").between(f.test_start, f.test_end))
         if not train.limit(1).count() or not test.limit(1).count():

@@ -553,6 +553,39 @@ _IDX = (
     f"CASE WHEN month(period_end) = 6 THEN 'H1' ELSE 'FY' END AS fiscal_half FROM idx0 WHERE doc_type IS NOT NULL)"
 )
 _index = lambda s, d: fl.index_filings(_seed(s, d).drop("o_orderkey", "amount"))
+
+
+def _given_seeds(spark, sf_dir):
+    """Seed rows of which some give a type, a period, an id or an issuer, and some lack a time."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    when = lambda n, x: F.when(k % n == 0, x)
+    return _seed(spark, sf_dir).drop("amount").join(o.select("o_orderkey", "o_orderdate", "o_custkey", "o_orderstatus"), "o_orderkey").select(
+        "o_orderkey", F.concat(F.lit("  "), "title", F.lit(" ")).alias("title"), (F.col("o_custkey") % 50).alias("stock_code"),
+        F.coalesce(when(7, F.lit("circular")), when(3, F.lit(""))).alias("doc_type"),
+        F.when(k % 4 != 0, F.col("publish_datetime_hk")).alias("publish_datetime_hk"), when(8, F.lit("2001-02-03T04:05:06")).alias("publish_datetime"),
+        when(12, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("publish_date"), when(9, F.lit("1999-06-30")).alias("period_end"),
+        when(10, F.concat(F.lit("id-"), k.cast("string"))).alias("filing_id"), when(14, F.lit("doc")).alias("doc_id"), when(15, F.lit("Own Name")).alias("issuer_name"),
+    )
+
+
+_issuers = lambda s, d: table(s, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("stock_code"), F.col("n_name").alias("issuer_name"))
+_add(
+    "nav01_seed_rows",
+    lambda s, d: fl.normalize_seeds(_given_seeds(s, d), "run", _issuers(s, d), "Default Ltd"),
+    {},
+    f"{_SEED}, g AS (SELECT *, CAST(lpad(stock_code, 5, '0') AS VARCHAR) AS code, CASE WHEN o_orderkey % 7 = 0 THEN 'circular' WHEN o_orderkey % 5 = 0 THEN 'annual_report' "
+    f"WHEN o_orderkey % 5 = 1 THEN 'interim_results' WHEN o_orderkey % 5 = 3 THEN 'annual_results' WHEN o_orderkey % 5 = 4 THEN 'interim_report' END AS dt, "
+    f"CASE WHEN o_orderkey % 4 <> 0 THEN publish_datetime_hk WHEN o_orderkey % 8 = 0 THEN '2001-02-03T04:05:06' WHEN o_orderkey % 12 = 0 "
+    f"THEN substr(publish_datetime_hk, 1, 10) || 'T00:00:00' END AS pub, trim(title) AS t FROM seed), "
+    f"p AS (SELECT *, CASE WHEN o_orderkey % 9 = 0 THEN DATE '1999-06-30' WHEN o_orderkey % 5 IN (0, 3) THEN make_date(CAST(substr(publish_datetime_hk, 1, 4) AS INTEGER), 12, 31) "
+    f"WHEN o_orderkey % 5 IN (1, 4) THEN make_date(CAST(substr(publish_datetime_hk, 1, 4) AS INTEGER), 6, 30) END AS pe FROM g WHERE dt IS NOT NULL AND pub IS NOT NULL), "
+    f"i AS (SELECT *, CASE WHEN o_orderkey % 10 = 0 THEN 'id-' || o_orderkey ELSE code || '_' || substr(sha1(code || '|' || pub || '|' || t), 1, 16) END AS id FROM p), "
+    f"final AS (SELECT id AS filing_id, code AS stock_code, CASE WHEN o_orderkey % 15 = 0 THEN 'Own Name' ELSE coalesce(n_name, 'Default Ltd') END AS issuer_name, "
+    f"CASE WHEN o_orderkey % 14 = 0 THEN 'doc' ELSE id END AS doc_id, dt AS doc_type, pe AS period_end, year(pe) AS fiscal_year, "
+    f"CASE WHEN pe IS NOT NULL THEN CASE WHEN month(pe) = 6 THEN 'H1' ELSE 'FY' END END AS fiscal_half, pub AS publish_datetime_hk, t AS title "
+    f"FROM i LEFT JOIN nation ON lpad(CAST(n_nationkey AS VARCHAR), 5, '0') = code)",
+    ("filing_id", "stock_code", "issuer_name", "doc_id", "doc_type", "period_end", "fiscal_year", "fiscal_half", "publish_datetime_hk", "title"),
+)
 _add(
     "fn01_hk_ticker",
     lambda s, d: table(s, d, "customer").select("c_custkey", fl.hk_ticker(F.col("c_name")).alias("t")),

@@ -549,6 +549,17 @@ _add(
     ("ticker", "break_at")
 )
 _features = lambda d: staged(d, l1=ref("ret"), l2=ref("ret", 2), up=(F.col("fwd") > 0).cast("double"))
+_PAST = "FILTER (WHERE y IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_OLS = (
+    f"f AS (SELECT date, ticker, ret AS y, {q.ref('ret', 1)} AS l1, {q.ref('ret', 2)} AS l2 FROM panel), s AS (SELECT *, count(*) {_PAST} AS n, "
+    + ", ".join(f"avg({a}) {_PAST} AS m_{a}" for a in ("y", "l1", "l2"))
+    + ", " + ", ".join(f"avg({a} * {b}) {_PAST} AS m_{a}{b}" for a, b in (("l1", "l1"), ("l1", "l2"), ("l2", "l2"), ("l1", "y"), ("l2", "y")))
+    + " FROM f), c AS (SELECT *, "
+    + ", ".join(f"m_{a}{b} - m_{a} * m_{b} AS c_{a}{b}" for a, b in (("l1", "l1"), ("l1", "l2"), ("l2", "l2"), ("l1", "y"), ("l2", "y")))
+    + " FROM s WHERE n >= 36 AND l1 IS NOT NULL AND l2 IS NOT NULL), final AS (SELECT date, ticker, m_y "
+    "+ (c_l1y * c_l2l2 - c_l2y * c_l1l2) / (c_l1l1 * c_l2l2 - c_l1l2 * c_l1l2) * (l1 - m_l1) "
+    "+ (c_l2y * c_l1l1 - c_l1y * c_l1l2) / (c_l1l1 * c_l2l2 - c_l1l2 * c_l1l2) * (l2 - m_l2) AS forecast FROM c)"
+)
 _add(
     "ml05_expanding_ols",
     lambda d: inf.expanding_ols(
@@ -559,7 +570,7 @@ _add(
         ["ticker"]
     ).where("forecast is not null and not isnan(forecast)"),
     {"forecast": 5},
-    None,
+    _OLS,
     _DT
 )
 _add(

@@ -17,9 +17,41 @@ PRICE_MARGIN = 30
 
 
 class Indexer(Protocol):
-    """Finds the filings of an issuer: rows with stock_code, title, publish_datetime_hk and language."""
+    """Finds the filings of an issuer between two years: rows of operators.filings.SEED_FIELDS, with stock_code and language."""
 
-    def __call__(self, spark: SparkSession, stock_code: str) -> DataFrame: ...
+    def __call__(self, spark: SparkSession, stock_code: str, start_year: int, end_year: int, language: str = "EN") -> DataFrame: ...
+
+
+class SeedFolder:
+    """An Indexer over prepared files: {folder}/{stock_code}.csv and .jsonl, all columns as text; a code without files has no rows.
+
+    Files are prepared for the years, so years choose nothing here. Missing codes and languages get the arguments.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
+
+    def __call__(self, spark: SparkSession, stock_code: str, start_year: int, end_year: int, language: str = "EN") -> DataFrame:
+        found = spark.createDataFrame([], "stock_code string, title string, language string")
+        for path in (f"{self.folder}/{stock_code}{suffix}" for suffix in (".csv", ".jsonl")):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+                rows = load_any(spark, path)
+                found = found.unionByName(rows.select([F.col(c).cast("string") for c in rows.columns]), allowMissingColumns=True)
+        return found.withColumns({"stock_code": F.coalesce("stock_code", F.lit(stock_code)), "language": F.coalesce("language", F.lit(language))})
+
+
+#: Indexers by name.
+INDEXERS: dict[str, Callable[[str], Indexer]] = {"seeds": SeedFolder}
+
+
+def discover(spark: SparkSession, indexer: Indexer, codes: list[str], start_year: int, end_year: int, language: str = "EN") -> DataFrame:
+    """The seed rows that an indexer finds for the codes, for operators.filings.filing_index."""
+    found = [indexer(spark, c, start_year, end_year, language) for c in codes]
+    out = found[0] if found else spark.createDataFrame([], "stock_code string, title string, language string")
+    for part in found[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def seed_index(spark: SparkSession, paths: list[str], schema: str, stock_code: str | None = None, language: str = "EN") -> DataFrame:
