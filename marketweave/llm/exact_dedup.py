@@ -4,8 +4,9 @@ A text, lower-cased in A-Z only, is cut into blocks of BLOCK bytes. Sorting brin
 each distinct block an integer name. Then adjacent names are paired, distinct pairs are named in the same way, and so
 on, until each text has one name. Equal names mean equal texts: names come from comparing contents, not from hashing.
 
-Blocks that hold over 1/HOT_SHARE of all blocks are found by a count of block hashes, and named from a broadcast table
-of fewer than HOT_SHARE rows (equality of contents again); all others are named after one shuffle by content.
+Blocks are cut once and written. A block whose hash no other has is named by its own number; others are compared by
+content. Blocks that hold over 1/HOT_SHARE of all blocks are named from a broadcast table of fewer than HOT_SHARE rows
+(equality of contents again), the rest after one shuffle by content.
 """
 
 from __future__ import annotations
@@ -65,25 +66,25 @@ def _cut_texts(size: int):
 def _named_blocks(docs: DataFrame, size: int) -> DataFrame:
     """uid, doc_id, sha, n and the array of block names of each row."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("text").cast("binary").alias("text"))
-    blocks = rows.mapInArrow(_cut_texts(size), _OUT)
+    # numbers are given once: what is read again is what was written
+    blocks = cut(rows.mapInArrow(_cut_texts(size), _OUT).withColumn("bid", F.monotonically_increasing_id()), "blocks")
     counts = cut(blocks.groupBy("block_hash").count(), "block-counts")
     total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = counts.where(F.col("count") * HOT_SHARE > total).where(F.col("count") > 100).select("block_hash").withColumn("hot", F.lit(True))
-    any_hot = hot.limit(1).count() > 0
-    at = blocks.withColumn("bid", F.monotonically_increasing_id())
-    if any_hot:
-        at = at.join(F.broadcast(hot), "block_hash", "left")
+    # contents are compared only where hashes are equal
+    again = counts.where("count > 1").withColumn("hot", (F.col("count") * HOT_SHARE > total) & (F.col("count") > 100)).select("block_hash", "hot")
+    again, keep = sized(again), ["uid", "doc_id", "sha", "n", "pos", "name"]
+    alone = blocks.drop("block").join(again, "block_hash", "left_anti").withColumn("name", F.col("bid"))
+    cold = blocks.join(again.where("not hot"), "block_hash").withColumn("name", F.min("bid").over(Window.partitionBy("block")))
+    named = alone.select(*keep).unionByName(cold.select(*keep))
+    hot = F.broadcast(again.where("hot").select("block_hash"))
+    if again.where("hot").limit(1).count():
         contents = cut(
-            blocks.join(F.broadcast(hot), "block_hash").groupBy("block").agg(F.lit(1).alias("one"))
+            blocks.join(hot, "block_hash").groupBy("block").agg(F.lit(1).alias("one"))
             .select("block", (-F.row_number().over(Window.orderBy("block"))).cast("long").alias("hot_name")),
             "hot-blocks",
         )
-        cold = at.where("hot is null").withColumn("name", F.min("bid").over(Window.partitionBy("block")))
-        warm = at.where("hot").join(F.broadcast(contents), "block").withColumn("name", F.col("hot_name"))
-        keep = ["uid", "doc_id", "sha", "n", "pos", "name"]
-        named = cold.select(*keep).unionByName(warm.select(*keep))
-    else:
-        named = at.withColumn("name", F.min("bid").over(Window.partitionBy("block")))
+        warm = blocks.join(hot, "block_hash").join(F.broadcast(contents), "block").withColumn("name", F.col("hot_name"))
+        named = named.unionByName(warm.select(*keep))
     arranged = named.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("sha").alias("sha"), F.max("n").alias("n"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"),
