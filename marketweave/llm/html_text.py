@@ -27,9 +27,10 @@ from .url_filter import host
 
 #: A subtree is template from this many different pages of its host on, whatever the host's size.
 LEAST_PAGES = 5
-#: Templates, and pages with their deleted ranges, that are broadcast at most; more are joined by shuffle.
-MOST_BROADCAST = 300_000
-#: Elements nested deeper are taken as part of the one at this depth.
+#: Templates, and pages with their deleted ranges, that are broadcast at most, and ranges of all pages together (8 bytes
+#: each, so 16 MB); more are joined by shuffle.
+MOST_BROADCAST, MOST_RANGES = 300_000, 2_000_000
+#: Elements nested deeper are judged like others, but have no hash of their own: that of the one at this depth holds their content.
 DEPTH = 512
 #: Elements without main text, elements whose content is no markup, and elements that have no end tag.
 DROPPED = frozenset(
@@ -49,6 +50,8 @@ MARKS = frozenset(
     comment comments reply replies disqus respond share sharing social related recommended newsletter subscribe subscription
     signup login search pagination pager skip complementary contentinfo""".split()
 )
+#: Of these words, those that in an article may as well name prose: there they tell only where links make up most of an element.
+WEAK = frozenset("menu nav navigation search login overlay skip social".split())
 #: Elements that hold prose, and of these the headings.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | frozenset("p blockquote pre table thead tbody tr td th figure figcaption dl dt dd address".split())
@@ -75,17 +78,19 @@ KEPT, TAGGED, OUTSIDE = 0, 1, 2
 
 
 class Element:
-    __slots__ = ("digest", "dropped", "first", "frame", "in_main", "linked", "named", "shape", "size", "tag")
+    __slots__ = ("digest", "dropped", "first", "frame", "in_main", "linked", "named", "shape", "size", "tag", "weak")
 
-    def __init__(self, tag: str, parent: "Element | None", names: list[tuple[str, str]], first: int):
+    def __init__(self, tag: str, parent: "Element | None", names: list[tuple[str, str]], first: int, deep: bool = False):
         self.tag, self.named, self.first = tag, bool(names), first
         self.in_main = bool(parent) and (parent.in_main or parent.tag in ("article", "main"))
         whole, named, part = _marks(tag, names)
         above = parent.dropped if parent else False
+        self.weak = whole and self.in_main and not {v for k, v in names if k != "id"} & (MARKS - WEAK)
+        whole = whole and not self.weak
         self.dropped = above or whole or (part and not self.in_main) or tag in DROPPED or (tag == "header" and not self.in_main)
         looks = " ".join([tag, *sorted(v for k, v in names if k == "class")])
         self.frame = looks if named and self.in_main else ""
-        self.digest, self.shape = xxhash.xxh3_64(tag), xxhash.xxh3_64(looks)
+        self.digest, self.shape = (parent.digest, parent.shape) if deep else (xxhash.xxh3_64(tag), xxhash.xxh3_64(looks))
         self.size = self.linked = 0
 
 
@@ -110,7 +115,7 @@ def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int]],
     """The page's blocks (text, if it may be main text), what keeps each out of the text, the hashes of its subtrees with
     the range of blocks that each covers, and the hash of the page as a whole."""
     root = Element("", None, [], 0)
-    stack, open_tags, skipped = [root], Counter(), Counter()
+    stack, open_tags = [root], Counter()
     blocks: list[str] = []
     why: list[int] = []
     scoped: list[bool] = []
@@ -131,13 +136,18 @@ def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int]],
     def close() -> None:
         e = stack.pop()
         open_tags[e.tag] -= 1
-        own, above = _signed(e.digest), stack[-1]
-        shape = _signed(e.shape)
-        above.digest.update(own.to_bytes(8, "big", signed=True))
-        above.shape.update(shape.to_bytes(8, "big", signed=True))
+        above, deep = stack[-1], e.digest is stack[-1].digest
         above.size += e.size
         above.linked += e.size if e.tag == "a" else e.linked
         last = len(blocks)
+        if e.weak and 2 * e.linked > e.size:
+            for i in range(e.first, last):
+                blocks[i], why[i] = "", TAGGED
+        if deep:
+            return
+        own, shape = _signed(e.digest), _signed(e.shape)
+        above.digest.update(own.to_bytes(8, "big", signed=True))
+        above.shape.update(shape.to_bytes(8, "big", signed=True))
         if last <= e.first or not e.size or e.tag in ("html", "body", "article", "main"):
             return
         links = 2 * e.linked > e.size
@@ -200,9 +210,7 @@ def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int]],
         if tag not in INLINE:
             flush()
         if m[1]:
-            if skipped[tag]:
-                skipped[tag] -= 1
-            elif open_tags[tag]:
+            if open_tags[tag]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         while len(stack) > i:
@@ -219,12 +227,9 @@ def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int]],
             close_open(CLOSES[tag])
         if tag in ENDS_P:
             close_open(("p",))
-        if len(stack) <= DEPTH:
-            pending = any(t and not t.isspace() for t in text)
-            stack.append(Element(tag, stack[-1], _names(attributes), len(blocks) + pending))
-            open_tags[tag] += 1
-        else:
-            skipped[tag] += 1
+        pending = any(t and not t.isspace() for t in text)
+        stack.append(Element(tag, stack[-1], _names(attributes), len(blocks) + pending, len(stack) > DEPTH))
+        open_tags[tag] += 1
         has_main = has_main or (tag in ("article", "main") and not stack[-1].dropped)
         if tag in RAW:
             close_at = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -236,7 +241,6 @@ def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int]],
         close()
     if has_main:
         why = [OUTSIDE if w == KEPT and not s else w for w, s in zip(why, scoped, strict=True)]
-        blocks = [b if w == KEPT else "" for b, w in zip(blocks, why, strict=True)]
     return blocks, why, subtrees, _signed(root.digest)
 
 
@@ -273,6 +277,10 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 depth[g["last"]] -= 1
             recurs = np.cumsum(depth[:-1]) > 0
             cause = np.array(why, dtype=np.int8)
+            # an article is the page's text only if it holds the larger part of the prose that recurrence leaves
+            sizes = np.array([len(b) for b in blocks], dtype=np.int64)
+            if sizes[(cause == OUTSIDE) & ~recurs].sum() > sizes[(cause == KEPT) & ~recurs].sum():
+                cause[cause == OUTSIDE] = KEPT
             texts.append(" ".join([blocks[i] for i in np.flatnonzero((cause == KEPT) & ~recurs)]))
             counts.append([int(x.sum()) for x in ((cause == KEPT) & recurs, recurs, (cause == TAGGED) & ~recurs, (cause == OUTSIDE) & ~recurs)])
         columns = [ids, urls, texts, [len(t) for t in texts], *([c[k] for c in counts] for k in range(4))]
@@ -286,7 +294,8 @@ def extract(pages: DataFrame, least_pages: int | None = LEAST_PAGES) -> DataFram
     at all), and n_deleted those of them that would else be text; n_tagged and n_outside count the blocks that recurrence
     leaves and that go by tag, role or class name, or as they stand outside the page's article. Null and empty pages
     have empty text; null urls and urls without :// share the empty host. Repeated rows and pages that are alike count as
-    one page, and each gets its own row. A page without article or main element is taken as a whole, less its template.
+    one page, and each gets its own row. A page without article or main element is taken as a whole, less its template, and so is
+    one whose articles hold the smaller part of the prose that recurrence leaves (a teaser beside the text).
     Markup may be unclosed or cut off. Other columns are not read; an empty table gives an empty result.
     """
     small_batches(pages.sparkSession)
@@ -306,5 +315,6 @@ def extract(pages: DataFrame, least_pages: int | None = LEAST_PAGES) -> DataFram
     few = sized(template, MOST_BROADCAST)
     found = hot_join(inside, template, ["host", "subtree"], "n") if few is template else inside.join(few, ["host", "subtree"])
     gone = cut(found.groupBy("uid").agg(F.collect_set(F.struct("first", "last")).alias("gone")), "deleted")
-    joined = own.join(sized(gone, MOST_BROADCAST), "uid", "left")
+    n_ranges = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
+    joined = own.join(sized(gone, MOST_BROADCAST) if n_ranges <= MOST_RANGES else gone, "uid", "left")
     return joined.select("page_id", "url", "blocks", "why", "gone").mapInArrow(_assemble, _OUT)

@@ -20,10 +20,10 @@ ASSIGN = f"""(?:{_WORDS})["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-#: Values behind other names for keys; the value is the first group, with a digit among its first 4,097 characters (a bound
+#: Values behind other names for keys; the value is the first group, with a digit among its first 513 characters (a bound
 #: that keeps a long run of names without digits from being read again for each name).
 _NAMES = "pwd|passphrase|credentials?|auth|authorization|bearer|access_?key|private_?key|client_?secret|conn(?:ection)?_?string"
-KEYED = rf"""(?i)(?<![a-z0-9])(?:{_NAMES})["']?\x20{{0,8}}(?:[:=]|\x20)\x20{{0,8}}["']?((?=[^\s"',;0-9]{{0,4096}}+[0-9])[^\s"',;]{{8,}}+)"""
+KEYED = rf"""(?i)(?<![a-z0-9])(?:{_NAMES})["']?\x20{{0,8}}(?:[:=]|\x20)\x20{{0,8}}["']?((?=[^\s"',;0-9]{{0,512}}+[0-9])[^\s"',;]{{8,}}+)"""
 #: A password behind a mail address or a user's name in a URL; the value is the first group.
 PAIR = r"(?:@[A-Za-z0-9.-]{1,80}\.[A-Za-z]{2,20}|://[A-Za-z0-9._-]{1,80}):((?=[^\s@/:]*[^0-9\s@/:])[^\s@/:]{6,})"
 #: Known prefixes and the head of a private key.

@@ -253,3 +253,16 @@ def test_telling_names_inside_an_article(spark):
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert [got[k] for k in range(6)] == [f"Own {k} Related work Prose {k}." for k in range(6)]
     assert got[9] == "Related work Prose 9. Buy 9"  # a name that only contains a telling word must recur
+
+
+def test_a_teaser_beside_the_text_is_not_the_page(spark):
+    pages = [
+        (1, "<div><h1>T</h1><p>main text here long</p></div><article class='teaser'><p>Related card</p></article>", "T main text here long Related card"),
+        (2, "<article><p>Prose.</p><section class='search'><p>Search engines index pages.</p></section></article>", "Prose. Search engines index pages."),
+        (3, "<article><p>Prose.</p><ul class='menu'><li>Soup of the day</li></ul><ul class='menu'><li><a href='/'>Home</a></li></ul></article>", "Prose. Soup of the day"),
+        (4, "<div>" * 600 + "<nav>menu</nav><p>text</p>" + "</div>" * 600, "text"),
+        (5, "<article><p>The article's own words.</p></article><div><p>Beside</p></div>", "The article's own words."),
+        (6, "<div>" * 50_000 + "deep", "deep"),
+    ]
+    table = spark.createDataFrame([(i, f"http://h{i}.org/", p) for i, p, _ in pages], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(table).collect()} == {i: t for i, _, t in pages}
