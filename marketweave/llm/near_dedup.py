@@ -9,8 +9,9 @@ default) is the Jaccard similarity of the sets. Bands of registers give candidat
 Buckets never become all pairs. A bucket first gives, for each member, a pair with the bucket's most popular member
 and one with a neighbour. Verified pairs are joined into components. Members of one component need no further look.
 Where a bucket's members lie in different components, small buckets list these pairs (a bounded number for each
-member), and in large buckets blocks of members are compared inside tasks, which give back only links that join
-components. So each pair of texts that share a bucket is decided, by one way or another.
+member). Members of large ones are put into buckets again, by their rarest shingles (prefixes, with an exact bound);
+of these the small list pairs, and in large ones blocks of members are compared inside tasks, which give back only
+links that join components. So each pair of texts that share a bucket is decided, by one way or another.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .common import cut, flat_words, hot_join, mix, sized, small_batches, window
 WORDS, SIMILARITY = 5, 0.8
 #: What floating point may take from a weighted similarity: pairs at the threshold itself are links.
 ROUNDING = 1e-9
+#: What sums of shares may be off by; prefixes are longer by that.
+SLACK = 1e-6
 #: BANDS bands of ROWS registers: a pair at 0.8 is a candidate with probability 1 - (1 - 0.8**4)**24 = 0.999997.
 BANDS, ROWS = 24, 4
 #: Members of a part of a bucket, about, in which neighbours are looked for before the parts' first members meet, and
@@ -214,8 +217,9 @@ def _first_pairs(members: DataFrame) -> DataFrame:
     # neighbours by popularity: inside parts of a bucket, and from part to part
     salted = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / PART)))
     order = [F.col("popular").desc(), F.col("key")]
-    near = salted.select("band", "key", "popular", F.lag("key").over(Window.partitionBy("band", "salt").orderBy(*order)).alias("before"))
-    heads = near.where("before is null").select("key", F.lag("key").over(Window.partitionBy("band").orderBy(*order)).alias("before"))
+    near = salted.select("band", "key", "n", "popular", F.lag("key").over(Window.partitionBy("band", "salt").orderBy(*order)).alias("before"))
+    heads = near.where("before is null").withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("n") / PART / PART)))
+    heads = heads.select("key", F.lag("key").over(Window.partitionBy("band", "salt").orderBy(*order)).alias("before"))
     chain = near.select("before", "key").unionByName(heads.select("before", "key")).where("before is not null")
     pairs = star.unionByName(chain.select(F.col("before").alias("a"), F.col("key").alias("b"))).where("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -234,19 +238,27 @@ def _sets_of(docs: DataFrame, keys: DataFrame, words: int, counted: bool) -> Dat
     return cut(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]), "shingles")
 
 
+def _dealt(pairs: DataFrame, texts: DataFrame, side: str, other: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """pairs and texts with a number of the copy of side's text that a pair meets, and the columns that join them."""
+    many = pairs.groupBy(side).agg(F.ceil(F.count("*") / COPY_PAIRS).cast("int").alias("copies")).where("copies > 1")
+    many = cut(many, "popular")
+    n = many.limit(MOST_POPULAR + 1).count()
+    if not n:
+        return pairs, texts, [side]
+    few, copies, copy = F.broadcast(many) if n <= MOST_POPULAR else many, F.coalesce("copies", F.lit(1)), f"copy_{side}"
+    pairs = pairs.join(few, side, "left").withColumn(copy, F.pmod(F.xxhash64(other), copies).cast("int")).drop("copies")
+    texts = texts.join(few, side, "left").withColumn(copy, F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    return pairs, texts, [side, copy]
+
+
 def _verified(held: DataFrame, pairs: DataFrame, similarity: float, counted: bool) -> DataFrame:
     """The pairs whose shingle sets (or multisets, if counted) have at least the given similarity."""
     columns = lambda x: [F.col("key").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in held.columns if c != "key"]]
     left, right = held.select(*columns("a")), held.select(*columns("b"))
-    # a popular text stands in very many pairs: its shingles are shipped once for each COPY_PAIRS of them
-    many = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / COPY_PAIRS).cast("int").alias("copies")).where("copies > 1"), "popular")
-    n = many.limit(MOST_POPULAR + 1).count()
-    keys = ["a"]
-    if n:
-        few, copies, keys = F.broadcast(many) if n <= MOST_POPULAR else many, F.coalesce("copies", F.lit(1)), ["a", "copy"]
-        pairs = pairs.join(few, "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), copies).cast("int")).drop("copies")
-        left = left.join(few, "a", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
-    both = pairs.join(left, keys).join(right, "b")
+    # a popular text stands in very many pairs, on either side: its shingles are shipped once for each COPY_PAIRS of them
+    pairs, left, on_a = _dealt(pairs, left, "a", "b")
+    pairs, right, on_b = _dealt(pairs, right, "b", "a")
+    both = pairs.join(left, on_a).join(right, on_b)
     shared = F.size(F.array_intersect("sa", "sb"))
     near = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
     if counted:
@@ -316,6 +328,28 @@ def _small(inside: DataFrame, tested: DataFrame) -> DataFrame:
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
+def _prefixes(inside: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """band, key: members of large buckets by the shingles (as bands) of which any two near duplicates share one.
+
+    Shares of a text's weights sum to 1, and the sum over common shingles of the lesser share bounds the similarity from
+    above. With shingles from the rarest to the commonest, a text's prefix ends where what follows weighs less than the
+    similarity; two texts whose prefixes have nothing in common share less than that. Texts that only have a common
+    line or passage between them meet no more, unless it makes up most of either.
+    """
+    some = held.join(inside.where(F.col("n") > SMALL).select("key").distinct(), "key", "left_semi")
+    ones = F.array_repeat(F.lit(1), F.size("shingles"))
+    times = F.when(F.size("times") > 0, F.col("times")).otherwise(ones) if "times" in held.columns else ones
+    total = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
+    each = some.select("key", F.col("shingles").alias("band"), times.alias("times")).withColumn("total", total)
+    each = each.select("key", "total", F.explode(F.arrays_zip("band", "times")).alias("x"))
+    each = each.select("key", "x.band", (F.col("x.times") / F.col("total")).alias("share"))
+    # a shingle of one text only comes first in its order and meets nothing
+    shared = cut(each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "frequencies")
+    commonest = Window.partitionBy("key").orderBy(F.desc("n"), F.desc("band")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = hot_join(each, shared, ["band"], "n").withColumn("rest", F.sum("share").over(commonest))
+    return cut(rest.where(F.col("rest") >= similarity - SLACK).select("band", "key"), "prefixes")
+
+
 def _compare(similarity: float, counted: bool):
     """Links between a group's rows of side 0 and its rows of side 1, one for each row and component that it meets."""
 
@@ -408,9 +442,9 @@ def _classes(
         ).withColumn("uid", F.monotonically_increasing_id()),
         "sketches"
     )
-    members = sketched.select("key", F.explode("bands").alias("band")).distinct()
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(shared, "band"), "buckets")
+    members = cut(sketched.select("key", F.explode("bands").alias("band")).distinct(), "bands")
+    shared = cut(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = cut(hot_join(members, shared, ["band"], "n"), "buckets")
     popular = members.groupBy("key").agg(F.sum("n").alias("popular"))
     members = cut(members.join(popular, "key"), "members")
     pairs = cut(_first_pairs(members), "pairs")
@@ -418,9 +452,15 @@ def _classes(
     links = cut(_verified(held, pairs, similarity, counted), "links")
     roots = components(links)
     inside = _open_buckets(members, roots)
-    more = _verified(held, cut(_small(inside, pairs), "pairs"), similarity, counted)
+    open_pairs = _small(inside, pairs)
+    finer = None
     if inside.where(F.col("n") > SMALL).limit(1).count():
-        more = more.unionByName(_large(inside, held, similarity, counted))
+        # members of large buckets meet again by shingles that a link between them can't do without
+        finer = _open_buckets(_prefixes(inside, held, similarity), roots)
+        open_pairs = open_pairs.unionByName(_small(finer, pairs)).distinct()
+    more = _verified(held, cut(open_pairs, "pairs"), similarity, counted)
+    if finer is not None and finer.where(F.col("n") > SMALL).limit(1).count():
+        more = more.unionByName(_large(finer, held, similarity, counted))
     more = cut(more, "links")
     if more.limit(1).count():
         roots = components(links.unionByName(more))

@@ -85,3 +85,34 @@ def test_recall_of_weighted_sketches():
             ]
             found[want] += bool((regs[0] == regs[1]).all(axis=1).any())
     assert found[0.8] >= 149 and found[0.3] < 75
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_prefixes_keep_every_link_and_part_texts_with_a_common_passage(spark, monkeypatch, counted):
+    """Each two texts at 0.8 share a band of _prefixes; texts that only have a common passage share none."""
+    monkeypatch.setattr(near_dedup, "SMALL", 0)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [t for t in made(np.random.default_rng(5)) if t] + [" ".join([f"u{k}x{i}" for i in range(30)] + [passage]) for k in range(20)]
+    texts += [" ".join([*(f"c{i}" for i in range(60)), f"end{k}", *[f"c{i}" for i in range(k)]]) for k in range(8)]
+    texts = list({near_dedup.text_key(t.encode()): t for t in texts}.values())
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    keys = [near_dedup.text_key(t.encode()) for t in texts]
+    names = spark.createDataFrame([(k, 9) for k in keys], "key binary, n int")
+    held = near_dedup._sets_of(docs, names.select("key"), 5, counted)
+    bands = defaultdict(set)
+    for r in near_dedup._prefixes(names, held, 0.8).collect():
+        bands[bytes(r.key)].add(r.band)
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        found = Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1)))
+        sets.append(found if counted else Counter(dict.fromkeys(found, 1)))
+    linked = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if similarity(sets[a], sets[b]) >= 0.8 - near_dedup.ROUNDING:
+                linked += 1
+                assert bands[keys[a]] & bands[keys[b]]
+            if texts[a].endswith(passage) and texts[b].endswith(passage):
+                assert not bands[keys[a]] & bands[keys[b]]
+    assert linked > 10
