@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ SMALL, BLOCK = 32, 512
 MOST_BROADCAST = 1_000_000
 #: Popular texts (a key and a number each) that are broadcast at most; there is one for COPY_PAIRS pairs at most.
 MOST_POPULAR = 300_000
+#: Links that a task turns into stars together.
+CHUNK = 500_000
 #: A text is handled whole; batches are split so that about this many bytes are sketched, or cut into words, together.
 _STEP, _WORD_STEP = 3_000_000, 250_000
 
@@ -269,40 +272,62 @@ def _verified(held: DataFrame, pairs: DataFrame, similarity: float, counted: boo
     return both.where(near).select("a", "b")
 
 
+def _contracted(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """key, root for each key of the batches' links (a, b): root is the least key that these links lead to."""
+    both = pa.concat_arrays([b.column(k) for k in (0, 1) for b in batches]).dictionary_encode()
+    order = pc.array_sort_indices(both.dictionary)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order.to_numpy()] = root = np.arange(len(order))
+    u, v = np.split(rank[both.indices.to_numpy()], 2)
+    while len(u):
+        # the greater root of a link's ends is hung below the lesser one, then all paths are flattened
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        u, v = root[u], root[v]
+        u, v = u[u != v], v[u != v]
+    keys = both.dictionary.take(order)
+    return pa.RecordBatch.from_arrays([keys, keys.take(pa.array(root))], names=["key", "root"])
+
+
+def _forests(chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= chunk:
+                yield _contracted(held)
+                held, n = [], 0
+        if n:
+            yield _contracted(held)
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, root) for each key in links (a, b): root is the least key of the component.
 
-    Alternating large-star and small-star steps; each is a grouped minimum and a join on tables in the shared folder.
+    Each task turns CHUNK of its links at a time into stars: a root for each key. A key then has at most a root for
+    each chunk, so no group is large, however many links a key has. Roots that share a key are linked, and these
+    links, between fewer and fewer keys, are treated likewise until each key has one root. The greatest key is never a
+    root, so this ends; graphs that fit a chunk end there.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
-        # large star: each larger neighbour of u is linked to the least of u and its neighbours
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = hot_join(both, cut(least, "least"), ["u"], "n").where("v > u").select(
-            F.col("v").alias("u"),
-            F.col("m").alias("v")
-        ).where("u <> v").distinct()
-        large = cut(large, "large-star")
-        # small star: u and its smaller neighbours are linked to the least of them
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        joined = hot_join(large, least, ["u"], "n")
-        small = joined.select(
-            F.col("v").alias("u"),
-            F.col("m").alias("v")
-        ).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = cut(small, "small-star")
-        # done when the links are separate stars: no key has two roots, and no root has a root
-        ends = small.select("u").unionByName(small.select(F.col("v").alias("u")).distinct())
-        edges = small
-        if ends.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0:
-            break
-    return cut(
-        edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionByName(
-            edges.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct()
-        ),
-        "components"
-    )
+    kind = links.schema["a"].dataType.simpleString()
+    stars = links.where("a <> b").select("a", "b").mapInArrow(_forests(CHUNK), f"key {kind}, root {kind}")
+    roots = stars.groupBy("key").agg(F.collect_set("root").alias("roots"))
+    roots = cut(roots.select("key", F.array_min("roots").alias("root"), F.when(F.size("roots") > 1, F.col("roots")).alias("roots")), "stars")
+    again = cut(roots.select(F.col("root").alias("a"), F.explode("roots").alias("b")).where("a <> b"), "root-links")
+    roots = roots.drop("roots")
+    if again.limit(1).count() == 0:
+        return roots
+    above = components(again).where("key <> root").select(F.col("key").alias("root"), F.col("root").alias("top"))
+    if above.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        named = roots.join(F.broadcast(above), "root", "left")
+    else:
+        above = cut(above.join(roots.groupBy("root").agg(F.count("*").alias("n")), "root"), "roots-above")
+        named = hot_join(roots, above, ["root"], "n", "left")
+    return cut(named.select("key", F.coalesce("top", "root").alias("root")), "components")
 
 
 def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -462,7 +487,8 @@ def _classes(
         more = more.unionByName(_large(finer, held, similarity, counted))
     more = cut(more, "links")
     if more.limit(1).count():
-        roots = components(links.unionByName(more))
+        # the roots so far stand for the links that gave them
+        roots = components(roots.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(more))
     copies = roots.join(sketched.groupBy("key").agg(F.count("*").alias("n")), "key")
     owned = hot_join(sketched.select("doc_id", "key", "uid"), cut(copies, "copies"), ["key"], "n", "left")
     owned = cut(owned.select("doc_id", "uid", "key", F.coalesce("root", "key").alias("root")), "owned")
