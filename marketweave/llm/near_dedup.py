@@ -466,7 +466,9 @@ def _classes(
         ).withColumn("uid", F.monotonically_increasing_id()),
         "sketches"
     )
-    members = cut(sketched.select("key", F.explode("bands").alias("band")).distinct(), "bands")
+    # equal texts have equal bands, so copies go while a text is still one row
+    texts = sketched.select("key", "bands").dropDuplicates(["key"])
+    members = cut(texts.select("key", F.explode(F.array_distinct("bands")).alias("band")), "bands")
     shared = cut(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     members = cut(hot_join(members, shared, ["band"], "n"), "buckets")
     popular = members.groupBy("key").agg(F.sum("n").alias("popular"))
