@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.series import pooled_quantiles, ref, staged
+from ..functions.series import div, pooled_quantiles, ref, staged
 from ..operators import cross_section as xs
 from ..operators import metrics as m
 from ..operators.windows import rebalance_every
@@ -37,7 +37,7 @@ _add("xs01_winsorized_zscore", lambda d: xs.winsorized_zscore(d.where("score is
 w AS (SELECT *, count(score) {_PD} AS n, {_QS.format(x='score', p=0.05)} AS lo, {_QS.format(x='score', p=0.95)} AS hi FROM panel WHERE score IS NOT NULL),
 c AS (SELECT *, least(greatest(score, lo), hi) AS c FROM w), s AS (SELECT *, avg(c) {_PD} AS mu, stddev_samp(c) {_PD} AS sd FROM c),
 final AS (SELECT date, ticker, CASE WHEN n < 5 THEN score WHEN sd > 1e-12 THEN (c - mu) / sd ELSE c END AS z FROM s)""", _DT)
-_add("xs02_panel_zscore", lambda d: d.where("score is not null").withColumn("z", (F.col("score") - F.avg("score").over(xs.by_date())) / F.stddev_samp("score").over(xs.by_date())), {"z": 5}, f"""
+_add("xs02_panel_zscore", lambda d: d.where("score is not null").withColumn("z", div(F.col("score") - F.avg("score").over(xs.by_date()), F.stddev_samp("score").over(xs.by_date()))), {"z": 5}, f"""
 final AS (SELECT date, ticker, (score - avg(score) {_PD}) / stddev_samp(score) {_PD} AS z FROM panel WHERE score IS NOT NULL)""", _DT)
 _add(
     "xs03_sector_demean",

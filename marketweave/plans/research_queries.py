@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.series import change, full, ma, pooled_quantiles, ref, staged
+from ..functions.series import change, div, full, ma, pooled_quantiles, ref, staged
 from ..operators import cross_section as xs
 from ..operators import inference as inf
 from ..operators import metrics as m
@@ -402,7 +402,7 @@ def _grid_backtest(d):
     return rows.groupBy("param_id").agg(
         F.avg("pnl").alias("mean"),
         F.stddev_pop("pnl").alias("std")
-    ).withColumn("sharpe", F.col("mean") / F.col("std") * 52**0.5)
+    ).withColumn("sharpe", div("mean", "std") * 52**0.5)  # a level that no score passes never trades
 
 
 _add(
