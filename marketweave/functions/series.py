@@ -102,6 +102,15 @@ def cs_rank(x: ColumnLike, by: str | list[str] = "date") -> Column:
     return F.when(x.isNotNull(), (below + (ties - 1) / 2) / F.count(x).over(Window.partitionBy(*keys)))
 
 
+def centred_rank(x: ColumnLike, by: str | list[str] = "date") -> Column:
+    """Twice the average rank of x in its cross section less twice the mean of all ranks: a whole number; null for null."""
+    keys = [by] if isinstance(by, str) else by
+    x = col(x)
+    below = F.rank().over(Window.partitionBy(*keys, x.isNull()).orderBy(x))
+    ties = F.count(x).over(Window.partitionBy(*keys, x))
+    return F.when(x.isNotNull(), 2 * below + ties - F.count(x).over(Window.partitionBy(*keys)) - 2).cast("double")
+
+
 def staged(df: DataFrame, **columns) -> DataFrame:
     """df with one column after the other, each of which may use those before it."""
     for name, column in columns.items():

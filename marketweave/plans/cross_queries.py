@@ -177,6 +177,13 @@ _IC = (
     f"FROM j), ic AS (SELECT date, CASE WHEN count(*) >= 5 THEN covar_samp(a, c) / nullif(stddev_samp(a) * stddev_samp(c), 0) END AS ic, count(*) "
     f"AS n, covar_samp(score, fwd) / nullif(stddev_samp(score) * stddev_samp(fwd), 0) AS pearson FROM k GROUP BY date)"
 )
+# the hit rate asks for the sign of ic: from whole numbers, an ic of 0 is 0 in any order of rows
+_CENTRED = "2 * rank() OVER (PARTITION BY date ORDER BY {x}) + count(*) OVER (PARTITION BY date, {x}) - count(*) OVER (PARTITION BY date) - 2"
+_IC_EXACT = (
+    f"j AS (SELECT * FROM panel WHERE score IS NOT NULL AND fwd IS NOT NULL), k AS (SELECT *, {_CENTRED.format(x='score')} AS a, "
+    f"{_CENTRED.format(x='fwd')} AS c FROM j), ic AS (SELECT date, CASE WHEN count(*) >= 5 THEN CAST(sum(a * c) AS DOUBLE) / "
+    f"nullif(sqrt(CAST(sum(a * a) AS DOUBLE) * CAST(sum(c * c) AS DOUBLE)), 0) END AS ic FROM k GROUP BY date)"
+)
 _ic = lambda d: m.spearman_ic(d, "score", "fwd", 5)
 _add(
     "agg07_icir",
@@ -190,7 +197,7 @@ _add(
     "agg08_ic_stats",
     lambda d: m.ic_stats(_ic(d).withColumn("year", F.year("date")), ["year"]),
     {"mean": 5, "std": 5, "icir": 5, "hit": 5},
-    f"{_IC}, final AS (SELECT year(date) AS year, avg(ic) AS mean, stddev_pop(ic) AS std, avg(ic) / nullif(stddev_pop(ic), 0) AS icir, avg(CASE "
+    f"{_IC_EXACT}, final AS (SELECT year(date) AS year, avg(ic) AS mean, stddev_pop(ic) AS std, avg(ic) / nullif(stddev_pop(ic), 0) AS icir, avg(CASE "
     f"WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS hit, count(ic) AS n FROM ic GROUP BY year(date))",
     ("year", "n")
 )
