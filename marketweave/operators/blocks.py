@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.io import scratch
+from ..sources.io import kept
 
 #: Rows of a block.
 ROWS = 65_536
@@ -41,13 +41,6 @@ class Scan(NamedTuple):
     finish: Callable[[Columns, State], dict[str, Any]]
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, which ends its lineage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def same(a: DataFrame, b: DataFrame, columns: list[str], prefix: str = "_of_") -> list[Column]:
     return [a[c].eqNullSafe(b[prefix + c]) for c in columns]
 
