@@ -324,14 +324,25 @@ def write_shards(
 def mixture(docs: DataFrame, share: float = 1.0, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = 0) -> DataFrame:
     """The rows of docs that the mix takes, whole and with all their columns, once for each time they are taken.
 
-    A pass takes a document whole if it takes at least half of its words. Only the document at the end of a source's
-    words is taken in part, so that a source's words come within half a document of its target. Repeated rows and rows of
-    one doc_id are each counted for themselves. docs is written once more with numbered rows, so that each row is found
-    again. Rows without words are not taken; an empty table gives an empty result.
+    The tree deals each pass's words, block by block, as in mix. A pass takes a document whole if at least half of its
+    words were dealt, into the shard that got the first of them, at that place. Only the document at the end of a source's
+    words is dealt in part, so that a source's words come within half a document of its target. Rows come by shard, each
+    shard in its own order. Repeated rows and rows of one doc_id are each counted for themselves. docs is written once more
+    with numbered rows, so that each row is found again. Rows without words are not taken; an empty table gives an empty
+    result.
     """
     numbered = cut(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")), "numbered")
-    laid, _ = _lay(numbered.select("uid", *[F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "text")]), share, weights, repeats, seed)
-    whole = _passes(repeats, lambda p, low, high: ((high > low) & ((high - low) * 2 >= F.col("size"))).cast("int"))
-    times = cut(laid.select(F.col("uid").alias("_uid"), F.aggregate(whole, F.lit(0), lambda s, x: s + x).alias("times")).where("times > 0"), "times")
-    taken = numbered.join(sized(times), F.col("uid") == F.col("_uid"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    rows = numbered.select("uid", *[F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "text")])
+    laid, targets = _lay(rows, share, weights, repeats, seed)
+    laid = cut(laid, "laid")
+    dealt = _dealt(laid, targets, repeats, seed, None).withColumnRenamed("uid", "_uid")
+
+    def whole(p: int) -> Column:
+        pieces = F.filter("segments", lambda s: s["pass"] == p)
+        words = F.aggregate(pieces, F.lit(0).cast("long"), lambda n, s: n + s["words"])
+        return F.when((words > 0) & (words * 2 >= F.col("size")), F.struct(F.get(pieces, F.lit(0))["shard"].alias("shard"), F.get(pieces, F.lit(0))["place"].alias("place")))
+
+    copies = F.array_compact(F.array(*[whole(p) for p in range(repeats)]))
+    found = laid.select("uid", "size").join(dealt, F.col("uid") == F.col("_uid")).select("_uid", copies.alias("_copies")).where(F.size("_copies") > 0)
+    taken = numbered.join(sized(cut(found, "copies"), 300_000), F.col("uid") == F.col("_uid")).withColumn("_copy", F.explode("_copies"))
+    return taken.repartition("_copy.shard").sortWithinPartitions("_copy.shard", "_copy.place").select("row.*")

@@ -96,3 +96,29 @@ def test_mixture_meets_the_targets_on_the_given_documents(spark):
     }
     got = {r.source: r.words for r in mixing.mixture(docs).groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("words")).collect()}
     assert all(abs(got.get(s, 0) - t) <= longest / 2 + 1 for s, (t, longest) in targets.items())
+
+
+def test_mixture_comes_in_the_shards_that_the_tree_deals(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(1 + i % 37)), f"s{i % 3}") for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    dealt = {}
+    for r in mixing.mix(docs).collect():
+        for p in {s["pass"] for s in r.segments}:
+            pieces = [s for s in r.segments if s["pass"] == p]
+            if sum(s.words for s in pieces) * 2 >= r.size:
+                dealt.setdefault(r.doc_id, []).append((pieces[0].shard, pieces[0].place))
+    got = mixing.mixture(docs).withColumn("part", F.spark_partition_id()).collect()
+    assert Counter(r.doc_id for r in got) == Counter({i: len(x) for i, x in dealt.items()})
+    order = defaultdict(list)
+    for r in got:
+        order[r.part].append(r.doc_id)
+    shards = defaultdict(list)
+    for shard, _, i in sorted((shard, place, i) for i, x in dealt.items() for shard, place in x):
+        shards[shard].append(i)
+    assert len(shards) == 16
+    for ids in order.values():  # a part has whole shards, one after the other, each in its own order
+        while ids:
+            shard = next(k for k, own in shards.items() if ids[: len(own)] == own)
+            ids = ids[len(shards.pop(shard)) :]
+    assert not shards
