@@ -2,31 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from marketweave.llm import bpe, common, exact_dedup, language_id, mixing, near_dedup
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Tables that the stages called so far have written and that are not dropped yet.
+_HELD: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    """The stage, which first drops the tables of the stages before it, but for those that its documents still read.
+
+    A stage's result is written before the next stage starts, which then reads that and none of those tables.
+    """
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _HELD[:] = common.drop_tables(spark, _HELD, docs)
+        before = set(common._WRITTEN)
+        out = stage(spark, docs, sf_dir)
+        _HELD.extend(p for p in common._WRITTEN if p not in before)
+        return out
+
+    return run
+
 
+@_tidy
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a recognised language; null texts and texts without a letter go."""
     return language_id.keep_known(docs)
 
 
+@_tidy
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased), the row with the largest doc_id; of rows of that id, one."""
     return exact_dedup.drop_duplicates(docs)
 
 
+@_tidy
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the least doc_id."""
     return near_dedup.drop_near_duplicates(docs, counted=True)
 
 
+@_tidy
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents up to their source's target, up to three times over; documents without words are not taken."""
     return mixing.mixture(docs)
 
 
+@_tidy
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row, repeated ones too."""
     return bpe.digests(docs)

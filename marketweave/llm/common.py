@@ -51,24 +51,37 @@ def release(spark: SparkSession, since: int) -> int:
     return len(_WRITTEN)
 
 
+def drop_tables(spark: SparkSession, paths: list[str], docs: DataFrame) -> list[str]:
+    """Drops those of the tables at paths that docs does not read; returns the others."""
+    read = [f.rpartition("/")[0] for f in docs.inputFiles()] if paths else []
+    held = [p for p in paths if any(f.endswith(f"/{p.rpartition('/')[2]}") for f in read)]
+    for path in (p for p in paths if p not in held):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return held
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker holds at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def hot_join(rows: DataFrame, names: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+def hot_join(rows: DataFrame, names: DataFrame, keys: list[str], count: str, how: str = "inner", few: int = 0) -> DataFrame:
     """rows joined with names on keys, where a few keys may hold most rows.
 
     names has one row per key and, in column count, how many of the rows carry it. Keys with more than
     1/HOT_SHARE of all rows are under HOT_SHARE in number, so that part is broadcast whatever the size of
     the data; all other keys are joined by shuffle, where adaptive execution splits a partition that one of
-    them still makes too large. Null keys match null keys.
+    them still makes too large. Null keys match null keys. At most `few` names (narrow rows, under 100 bytes) are
+    broadcast whole, so that rows are neither shuffled nor read once more for the hot keys.
     """
-    total, most = (x or 0 for x in names.agg(F.sum(count), F.max(count)).first())
+    total, most, n = (x or 0 for x in names.agg(F.sum(count), F.max(count), F.count("*")).first())
     names = names.select(*[F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in names.columns])
     hot = names.where(F.col(count) * HOT_SHARE > F.lit(total))
     on = lambda a, b: [a[k].eqNullSafe(b[f"_{k}"]) for k in keys]
     joined = lambda a, b, how: a.join(b, on(a, b), how).drop(*[f"_{k}" for k in keys])
+    if n <= few:
+        return joined(rows, F.broadcast(names), how)
     if most * HOT_SHARE <= total:
         return joined(rows, names, how)
     hot_keys = F.broadcast(hot.select(*[f"_{k}" for k in keys]))

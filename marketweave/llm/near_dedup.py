@@ -46,6 +46,8 @@ SMALL, BLOCK = 32, 512
 MOST_BROADCAST = 1_000_000
 #: Popular texts (a key and a number each) that are broadcast at most; there is one for COPY_PAIRS pairs at most.
 MOST_POPULAR = 300_000
+#: Bands, texts and shingles (a key and its counts each) that are broadcast whole at most; more are joined by hot_join.
+MOST_NAMES = 300_000
 #: Links that a task turns into stars together.
 CHUNK = 500_000
 #: A text is handled whole; batches are split so that about this many bytes are sketched, or cut into words, together.
@@ -216,7 +218,7 @@ def _first_pairs(members: DataFrame) -> DataFrame:
     Popular are texts that share buckets with many others. members: band, key, popular, n (the bucket's members).
     """
     tops = cut(members.groupBy("band").agg(F.max(F.struct("popular", "key")).alias("top"), F.count("*").alias("n")), "tops")
-    star = hot_join(members.drop("n"), tops, ["band"], "n").select(F.col("top.key").alias("a"), F.col("key").alias("b"))
+    star = hot_join(members.drop("n"), tops, ["band"], "n", few=MOST_NAMES).select(F.col("top.key").alias("a"), F.col("key").alias("b"))
     # neighbours by popularity: inside parts of a bucket, and from part to part
     salted = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / PART)))
     order = [F.col("popular").desc(), F.col("key")]
@@ -340,7 +342,7 @@ def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
         F.max(F.struct(F.col("m").alias("m"), F.col("root").alias("r"))).alias("top")
     ).where("parts > 1")
     bands = cut(bands.select("band", "n", F.col("top.m").alias("most"), F.col("top.r").alias("largest")), "open-bands")
-    return cut(hot_join(labelled, bands, ["band"], "n"), "open-buckets")
+    return cut(hot_join(labelled, bands, ["band"], "n", few=MOST_NAMES), "open-buckets")
 
 
 def _small(inside: DataFrame, tested: DataFrame) -> DataFrame:
@@ -360,17 +362,17 @@ def _prefixes(inside: DataFrame, held: DataFrame, similarity: float) -> DataFram
     similarity; two texts whose prefixes have nothing in common share less than that. Texts that only have a common
     line or passage between them meet no more, unless it makes up most of either.
     """
-    some = held.join(inside.where(F.col("n") > SMALL).select("key").distinct(), "key", "left_semi")
+    some = held.join(sized(cut(inside.where(F.col("n") > SMALL).select("key").distinct(), "crowd")), "key", "left_semi")
     ones = F.array_repeat(F.lit(1), F.size("shingles"))
     times = F.when(F.size("times") > 0, F.col("times")).otherwise(ones) if "times" in held.columns else ones
     total = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
     each = some.select("key", F.col("shingles").alias("band"), times.alias("times")).withColumn("total", total)
     each = each.select("key", "total", F.explode(F.arrays_zip("band", "times")).alias("x"))
-    each = each.select("key", "x.band", (F.col("x.times") / F.col("total")).alias("share"))
+    each = cut(each.select("key", "x.band", (F.col("x.times") / F.col("total")).alias("share")), "shares")
     # a shingle of one text only comes first in its order and meets nothing
     shared = cut(each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "frequencies")
     commonest = Window.partitionBy("key").orderBy(F.desc("n"), F.desc("band")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rest = hot_join(each, shared, ["band"], "n").withColumn("rest", F.sum("share").over(commonest))
+    rest = hot_join(each, shared, ["band"], "n", few=MOST_NAMES).withColumn("rest", F.sum("share").over(commonest))
     return cut(rest.where(F.col("rest") >= similarity - SLACK).select("band", "key"), "prefixes")
 
 
@@ -470,7 +472,7 @@ def _classes(
     texts = sketched.select("key", "bands").dropDuplicates(["key"])
     members = cut(texts.select("key", F.explode(F.array_distinct("bands")).alias("band")), "bands")
     shared = cut(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = cut(hot_join(members, shared, ["band"], "n"), "buckets")
+    members = cut(hot_join(members, shared, ["band"], "n", few=MOST_NAMES), "buckets")
     popular = members.groupBy("key").agg(F.sum("n").alias("popular"))
     members = cut(members.join(popular, "key"), "members")
     pairs = cut(_first_pairs(members), "pairs")
