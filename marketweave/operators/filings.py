@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,16 +79,17 @@ def line_item(label: Column) -> Column:
     """The canonical code of the first rule that the label matches."""
     out, low = None, F.lower(label)
     for pattern, name in TABLE_RULES:
-        out = F.when(low.rlike(pattern), F.lit(name)) if out is None else out.when(low.rlike(pattern), F.lit(name))
+        out = F.when(_holds(low, pattern), F.lit(name)) if out is None else out.when(_holds(low, pattern), F.lit(name))
     return out
 
 
 def last_number(line: Column) -> Column:
     """The last number of a line; commas are dropped and parentheses mean a minus."""
     found = F.regexp_extract_all(line, F.lit(r"(\(?-?\d[\d,]*\.?\d*\)?)"), F.lit(1))
-    text = F.try_element_at(found, F.lit(-1))
-    number = F.regexp_replace(text, r"[(),]", "").try_cast("double")
-    return F.when(text.startswith("("), -number).otherwise(number)
+    number = lambda text: F.regexp_replace(text, r"[(),]", "").try_cast("double")
+    # inside transform the line is searched once, however often its last number is looked at
+    signed = F.transform(F.array(F.try_element_at(found, F.lit(-1))), lambda t: F.when(t.startswith("("), -number(t)).otherwise(number(t)))
+    return F.get(signed, F.lit(0))
 
 
 def hk_ticker(code: Column) -> Column:
@@ -165,16 +168,28 @@ def _rules(df: DataFrame, rules: tuple, names: str) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in rules], names))
 
 
-def _matches(text: Column, rules: tuple) -> Column:
-    """A row for each rule (pattern, name) whose pattern text holds; each pattern is compiled once."""
-    return F.explode(F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(name).cast("string").alias("name"))) for p, name in rules])))
+def _holds(text: Column, pattern: str) -> Column:
+    """rlike; fixed words are looked for as they are first, which needs no regular expression where they are missing."""
+    words = pattern.replace(r"\b", "")
+    if not re.fullmatch(r"[\w -]+", words):
+        return text.rlike(pattern)
+    return text.contains(words) if words == pattern else text.contains(words) & text.rlike(pattern)
+
+
+def _matches(text: Column, rules: tuple, value: Column | None = None) -> Column:
+    """A row for each rule (pattern, name) whose pattern text holds; each pattern is compiled once.
+
+    value, if given, is worked out here, once for each such row, and not again wherever it is used.
+    """
+    hits = F.array_compact(F.array(*[F.when(_holds(text, p), F.struct(F.lit(name).cast("string").alias("name"))) for p, name in rules]))
+    return F.explode(hits if value is None else F.transform(hits, lambda h: F.struct(h["name"].alias("name"), value.alias("value"))))
 
 
 def line_facts(pages: DataFrame) -> DataFrame:
     """Every table line and rule that match: filing_id, page_no, line_no, code, value, confidence, label."""
     lines = pages.select("filing_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    hits = lines.withColumn("hit", _matches(F.lower("line"), TABLE_RULES))
-    value = last_number(F.col("line"))
+    hits = lines.withColumn("hit", _matches(F.lower("line"), TABLE_RULES, last_number(F.col("line"))))
+    value = F.col("hit.value")
     code = F.coalesce("hit.name", line_item(F.col("line")))
     return hits.select(
         "filing_id",
@@ -195,8 +210,8 @@ def note_anchors(pages: DataFrame) -> DataFrame:
 def note_facts(pages: DataFrame) -> DataFrame:
     """Note lines by metric rule; labels are cut to 250 characters."""
     lines = pages.select("filing_id", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    hits = lines.withColumn("hit", _matches(F.col("line"), METRIC_RULES))
-    value = last_number(F.col("line"))
+    hits = lines.withColumn("hit", _matches(F.col("line"), METRIC_RULES, last_number(F.col("line"))))
+    value = F.col("hit.value")
     return hits.select(
         "filing_id",
         "page_no",
@@ -210,8 +225,12 @@ def note_facts(pages: DataFrame) -> DataFrame:
 
 def pivot_facts(facts: DataFrame, codes: list[str]) -> DataFrame:
     """A row per filing with the first value of each code, by page and line."""
-    known = facts.where("value is not null")
-    first = lambda c: F.min_by("value", F.when(F.col("code") == c, F.struct("page_no", "line_no"))).alias(c)
+    known, place = facts.where("value is not null"), F.struct("page_no", "line_no")
+    if all(facts.schema[c].dataType.simpleString() == "int" for c in ("page_no", "line_no")):
+        # one number orders as page and line do, a missing one first, and is summed up by hash, without a sort
+        page, line = (F.coalesce(F.col(c), F.lit(-(2**31))).cast("long") for c in ("page_no", "line_no"))
+        place = page * F.lit(2**32) + line + F.lit(2**31)
+    first = lambda c: F.min_by("value", F.when(F.col("code") == c, place)).alias(c)
     return known.groupBy("filing_id").agg(*map(first, codes))
 
 
