@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 LATE = "1 hour"
 #: A key without events for so long loses its state.
@@ -145,72 +145,43 @@ def live_trailing_stop(rows: DataFrame, stop: float, cooldown: int, late: str =
     return _keyed(rows, _stop(stop, cooldown), (0.0, 0), "held", "peak double, wait int", late, idle_ms)
 
 
-class InOrder(StatefulProcessor):
-    """Walks a user's rows in order of event time, whatever batches they come in.
+def _in_order(rows: DataFrame, step: Step, first: tuple, out: str, schema: str, late: str, idle_ms: int) -> DataFrame:
+    """event_id, user_id and column `out`: walks a user's rows in order of event time, whatever batches they come in.
 
-    Rows wait in the state until the watermark has passed them, when no earlier row can come any more; a timer at the
-    earliest waiting row's time releases them. What waits is bounded by the lateness. A user without a waiting row keeps
-    its state until the watermark has passed its last row by idle_ms.
+    Rows wait in the state until the watermark has passed their millisecond, when no earlier row can come any more; the
+    state times out at the earliest waiting row's time, which releases them. What waits is bounded by the lateness and is
+    read and written as one value of the user, not row by row. A user without a waiting row keeps its state until the
+    watermark has passed its last row by idle_ms.
     """
 
-    def __init__(self, step: Step, first: tuple, out: str, schema: str, idle_ms: int):
-        self.step, self.first, self.out, self.schema, self.idle_ms = step, first, out, schema, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, event_id long, value double")
-        self.now = handle.getValueState("now", self.schema)
-
-    def _wake(self, ms: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        for part in rows:
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        us, ids, values, *now = state.get if state.exists else ([], [], [], *first)
+        waiting, passed = list(zip(us, ids, values, strict=True)), state.getCurrentWatermarkMs()
+        if state.hasTimedOut and not waiting:
+            state.remove()
+            return
+        for part in () if state.hasTimedOut else parts:
             waiting += zip(part["us"].tolist(), part["event_id"].tolist(), part["value"].tolist(), strict=True)
-        self.waiting.put(waiting)
-        self._wake(min(w[0] for w in waiting) // 1000 + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
-        done = [w for w in waiting if w[0] <= passed * 1000]
-        if not waiting:
-            self.now.clear()
-            return iter(())
-        rest = waiting[len(done) :]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        self._wake(rest[0][0] // 1000 + 1 if rest else max(passed, done[-1][0] // 1000) + self.idle_ms)
-        if not done:
-            return iter(())
-        batch = pd.DataFrame(done, columns=["us", "event_id", "value"])
-        found, now = self.step(batch, tuple(self.now.get()) if self.now.exists() else self.first)
-        self.now.update(now)
-        return iter([pd.DataFrame({"event_id": batch["event_id"], "user_id": key[0], self.out: found})])
-
-    def close(self) -> None:
-        pass
-
+        waiting.sort()
+        n = bisect_left(waiting, passed, key=lambda w: w[0] // 1000)
+        done, rest = waiting[:n], waiting[n:]
+        if done:
+            batch = pd.DataFrame(done, columns=["us", "event_id", "value"])
+            found, now = step(batch, tuple(now))
+        state.update((*([w[i] for w in rest] for i in range(3)), *now))
+        wake = rest[0][0] // 1000 if rest else max(passed, done[-1][0] // 1000 if done else 0) + idle_ms
+        state.setTimeoutTimestamp(max(wake, passed, 1))
+        if done:
+            yield pd.DataFrame({"event_id": batch["event_id"], "user_id": key[0], out: found})
 
-def _in_order(rows: DataFrame, step: Step, first: tuple, out: str, schema: str, late: str, idle_ms: int) -> DataFrame:
     keyed = rows.withWatermark("ts", late).select("ts", "user_id", "event_id", "value", F.unix_micros("ts").alias("us")).groupBy("user_id")
-    return keyed.transformWithStateInPandas(
-        statefulProcessor=InOrder(step, first, out, schema, idle_ms),
-        outputStructType=f"event_id long, user_id long, {out} int",
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    held = f"us array<long>, event_id array<long>, value array<double>, {schema}"
+    return keyed.applyInPandasWithState(run, f"event_id long, user_id long, {out} int", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ordered_hysteresis(rows: DataFrame, upper: float, lower: float, late: str = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
     """live_hysteresis over each user's rows in order of time: any split into batches within the lateness gives the same
-    rows, those that the watermark has passed. Needs the RocksDB state store (run_to_end sets it)."""
+    rows, those that the watermark has passed."""
     return _in_order(rows, _switch(upper, lower), (0,), "state", "state int", late, idle_ms)
 
 
